@@ -3,8 +3,15 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.llm import line_dedup, mixing
-from parcelspark.llm.common import table, word_count
+from parcelspark.llm import decontaminate, jaccard_join, language_id, line_dedup, mixing, token_records
+from parcelspark.llm.common import shared_path, table, word_count
+
+try:
+    import public_tokenizers
+
+    TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+except ImportError:
+    TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +59,58 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder(4) == 2, F.lit(False)))
+    model = language_id.train(docs, ~F.col("held_out"))
+    return language_id.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = token_records.write_records(table(spark, sf_dir, "documents"), shared_path(spark, "token-records"), TOKENIZER)
+    return token_records.offsets(index).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
+    ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(ids, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS win
+      FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+v AS (SELECT doc_id, l.n, i, array_to_string(w[i:i + l.n - 1], ' ') AS win
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM p) WHERE len(w) >= n) l),
+h AS (SELECT v.doc_id, v.i, v.n, p.item_id FROM v JOIN p ON v.n = p.n AND v.win = p.win),
+x AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY doc_id),
+y AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN x ON d.doc_id = x.doc_id LEFT JOIN y ON d.doc_id = y.doc_id
+"""
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(table(spark, sf_dir, "documents"), n=4, pct=85)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
+    "op5_token_records": op5_token_records,
+    "op7_decontamination": op7_decontamination,
+    "op8_jaccard_join": op8_jaccard_join,
 }
 ORACLES = {
     "op1_mixing": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
+    "op7_decontamination": OP7_SQL,
 }
