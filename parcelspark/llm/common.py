@@ -49,3 +49,10 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
 def parts_for(spark: SparkSession, size: int, each: int) -> int:
     """So many partitions that each holds about `each` bytes, and no fewer than the session's cores."""
     return max(1, min(spark.sparkContext.defaultParallelism, 1 + size // 65536), -(-size // each))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same as cut, for tables large enough that columns and compression pay."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.llm import decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, substring_dedup, token_records
+from parcelspark.llm import decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, substring_dedup, suffix_dedup, token_records
 from parcelspark.llm.common import shared_path, table, word_count
 
 try:
@@ -110,6 +110,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
@@ -119,6 +124,7 @@ QUERIES = {
     "op7_decontamination": op7_decontamination,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES = {
     "op1_mixing": OP1_SQL,
