@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.llm import decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, substring_dedup, suffix_dedup, token_records
+from parcelspark.llm import decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, lm_scoring, mixing, substring_dedup, suffix_dedup, token_records
 from parcelspark.llm.common import shared_path, table, word_count
 
 try:
@@ -69,6 +69,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), _remainder(7) == 2)
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = token_records.write_records(table(spark, sf_dir, "documents"), shared_path(spark, "token-records"), TOKENIZER)
     return token_records.offsets(index).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -119,6 +123,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
     "op3_line_dedup": op3_line_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_token_records": op5_token_records,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontamination": op7_decontamination,
