@@ -1,4 +1,6 @@
 """Every registered query with the SQL that must give the same rows."""
 
-QUERIES = {}
-ORACLES = {}
+from parcelspark.plans import events, raster, vector
+
+QUERIES = {**vector.QUERIES, **raster.QUERIES, **events.QUERIES}
+ORACLES = {**vector.ORACLES, **raster.ORACLES, **events.ORACLES}
