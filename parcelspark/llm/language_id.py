@@ -144,7 +144,7 @@ def train(docs: DataFrame, training: Column | None = None, per_lang: int = 400)
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), 1.0)
     idf, _ = _document_frequencies(rows.select("text"))
     index = {x: i for i, x in enumerate(langs)}
-    made = [(np.asarray(a), np.asarray(c) / np.sum(c) * idf[a] * SCALE, index[x]) for a, c, x in zip(sample["at"], sample["n"], sample["lang"], strict=True)]
+    made = [(a, c / max(1, c.sum()) * idf[a] * SCALE, index[x]) for a, c, x in zip(sample["at"].map(lambda v: np.asarray(v, np.int64)), sample["n"].map(lambda v: np.asarray(v, np.int64)), sample["lang"], strict=True)]
     held = sample["_n"].to_numpy() % 5 == 0
     weights = fit_regression([r for r, h in zip(made, held, strict=True) if not h], len(langs))
     back = [r for r, h in zip(made, held, strict=True) if h]
