@@ -1,6 +1,6 @@
 """Every registered query with the SQL that must give the same rows."""
 
-from parcelspark.plans import events, raster, vector
+from parcelspark.plans import decisions, events, raster, vector
 
-QUERIES = {**vector.QUERIES, **raster.QUERIES, **events.QUERIES}
-ORACLES = {**vector.ORACLES, **raster.ORACLES, **events.ORACLES}
+QUERIES = {**vector.QUERIES, **raster.QUERIES, **events.QUERIES, **decisions.QUERIES}
+ORACLES = {**vector.ORACLES, **raster.ORACLES, **events.ORACLES, **decisions.ORACLES}

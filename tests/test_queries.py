@@ -27,7 +27,7 @@ def plain(v):
     return v.replace(tzinfo=None) if isinstance(v, datetime.datetime) else v
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_query_matches_its_sql(spark, oracle, name):
     df = catalogue.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
@@ -37,3 +37,16 @@ def test_query_matches_its_sql(spark, oracle, name):
     assert sorted(at) == columns
     want = sorted((tuple(plain(row[at.index(c)]) for c in columns) for row in found.fetchall()), key=repr)
     assert got == want
+
+
+def test_claims_keep_their_distance(spark):
+    from parcelspark.plans import decisions
+
+    placed = decisions.greedy_claims(spark, SF)
+    at = decisions.pin_offsets(spark, SF).select("pin_id", "garden_type", "x", "y").toPandas().set_index("pin_id")
+    groups = {}
+    for building, pin in placed.collect():
+        groups.setdefault((building, at.loc[pin, "garden_type"]), []).append(at.loc[pin, ["x", "y"]].to_list())
+    assert all((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 > 25 for g in groups.values() for i, a in enumerate(g) for b in g[:i])
+    first = at.reset_index().merge(placed.toPandas(), on="pin_id")
+    assert len(first) == placed.count() > 100
