@@ -4,7 +4,7 @@ A record is
 
     u64 length | u32 masked CRC-32 of those 8 bytes | payload | u32 masked CRC-32 of the payload | newline
 
-and a payload is i64 doc_id | u8 (1: doc_id is null) | u32 count | count x u32 ids, all little-endian. The masking rotates a
+and a payload is i64 doc_id | u8 (1: doc_id is null) | u32 count | count x u16 ids, all little-endian. The masking rotates a
 checksum right by 15 bits and adds a constant, so that data which hold checksums of their own don't verify by accident. The
 final newline is Spark's own record end: the frames are written by Spark's writer, so tasks commit whole files, a lost
 executor leaves none behind, and any store that Spark can write to will do.
@@ -13,8 +13,9 @@ Documents are range-partitioned by doc_id, so file order and order within a file
 file holds about `shard_bytes` of text. The index is made by reading the files back and checking every checksum; it has a
 row for each record with file, offset and length, for reads in any order.
 
-A text's ids are those of its chunks between ASCII white space: the tokenizer drops white space and never merges across
-it. Each task so encodes a distinct chunk once and keeps it, within a bound.
+A text's ids are those of its chunks between ASCII white space: the tokenizer has to be one that drops white space, lower-cases
+and never merges across white space or from letters or digits to punctuation. Each task so encodes a distinct chunk once and
+keeps it, within a bound.
 
 Defined results: a null or empty text has only the end id; null doc_ids come first; rows with the same doc_id are separate
 records, in no set order; an empty table gives an empty index; other columns are left behind.
@@ -33,6 +34,7 @@ from parcelspark.llm.common import parts_for, text_bytes
 MASK = 0xA282EAD8
 HOLDS, HOLDS_SIZE = "<qBI", struct.calcsize("<qBI")
 END_ID = 1
+MARK = "|"
 INDEX = "shard int, path string, offset long, length long, doc_id long, n_tokens long, ids_crc32 long, before long"
 
 
@@ -42,13 +44,13 @@ def masked(data: bytes) -> int:
 
 
 def frame(doc_id: int | None, ids: bytes) -> bytes:
-    payload = struct.pack(HOLDS, doc_id or 0, doc_id is None, len(ids) // 4) + ids
+    payload = struct.pack(HOLDS, doc_id or 0, doc_id is None, len(ids) // 2) + ids
     length = struct.pack("<Q", len(payload))
     return length + struct.pack("<I", masked(length)) + payload + struct.pack("<I", masked(payload))
 
 
 def records(data: bytes):
-    """Offset, payload length, doc_id and ids (bytes) of each record; raises where a checksum fails."""
+    """Offset, payload length, doc_id and ids (16-bit, as bytes) of each record; raises where a checksum fails."""
     at = 0
     while at < len(data):
         length, crc = struct.unpack_from("<QI", data, at)
@@ -56,27 +58,66 @@ def records(data: bytes):
         if crc != masked(data[at : at + 8]) or struct.unpack_from("<I", data, at + 12 + length)[0] != masked(payload):
             raise ValueError(f"corrupt record at byte {at}")
         doc_id, none, n = struct.unpack_from(HOLDS, payload)
-        yield at, length, None if none else doc_id, payload[HOLDS_SIZE : HOLDS_SIZE + 4 * n]
+        yield at, length, None if none else doc_id, payload[HOLDS_SIZE : HOLDS_SIZE + 2 * n]
         at += 12 + length + 4 + 1
 
 
-def _encoder(path: str, end_id: int, keep: int):
+def chunks(text: str | None) -> list[bytes]:
+    """The text between ASCII white space. A-Z are lower-cased, as the tokenizer does, but not where special tokens, which know
+    case, may stand."""
+    data = (text or "").encode()
+    return data.split() if b"<|" in data else data.lower().split()
+
+
+def stem(chunk: bytes) -> bytes | None:
+    """The chunk without its full stop or comma, where that follows an ASCII letter or digit and so is a piece by itself."""
+    return chunk[:-1] if chunk[-1:] in b".," and chunk[-2:-1].isalnum() else None
+
+
+def encode_words(tokenizer, words: list[bytes], mark: str) -> list[bytes]:
+    """Ids of each word, as little-endian 16-bit integers. The words go to the tokenizer as one text with `mark` between
+    them, a character of a single id; words that hold it themselves go alone."""
+    out = []
+    (mark_id,) = tokenizer.encode(mark, add_special_tokens=False).ids
+    for i in range(0, len(words), 8192):
+        some = [w.decode() for w in words[i : i + 8192]]
+        odd = {k: tokenizer.encode(w, add_special_tokens=False).ids for k, w in enumerate(some) if mark in w}
+        joined = f" {mark} ".join(["" if k in odd else w for k, w in enumerate(some)] if odd else some)
+        ids = np.asarray(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u2")
+        ends = np.append(np.flatnonzero(ids == mark_id), len(ids)).tolist()
+        raw, at = ids.tobytes(), 0
+        for k, end in enumerate(ends):
+            out.append(np.asarray(odd[k], "<u2").tobytes() if k in odd else raw[2 * at : 2 * end])
+            at = end + 1
+    return out
+
+
+def learn(known: dict[bytes, bytes], tokenizer, words: set[bytes], mark: str) -> None:
+    """Adds the ids of the words to the known ones."""
+    missing = [w for w in words if w not in known]
+    stems = {w: stem(w) for w in missing}
+    new = list({s or w for w, s in stems.items()}.union(b".,"[i : i + 1] for i in range(2)).difference(known))
+    known.update(zip(new, encode_words(tokenizer, new, mark), strict=True))
+    known.update((w, known[s] + known[w[-1:]]) for w, s in stems.items() if s)
+
+
+def _encoder(path: str, end_id: int, keep: int, mark: str):
     def run(batches):
         from tokenizers import Tokenizer
 
         tokenizer, known = Tokenizer.from_file(path), {}
-        end = struct.pack("<I", end_id)
+        if tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are stored in 16 bits")
+        end = struct.pack("<H", end_id)
         for batch in batches:
-            texts = [(t or "").encode().split() for t in batch["text"]]
-            missing = list({w for words in texts for w in words if w not in known})
-            for i in range(0, len(missing), 4096):
-                some = missing[i : i + 4096]
-                for w, e in zip(some, tokenizer.encode_batch([x.decode() for x in some], add_special_tokens=False), strict=True):
-                    known[w] = np.asarray(e.ids, "<u4").tobytes()
-            none = batch["doc_id"].isna()
-            yield pd.DataFrame({"frame": [frame(None if x else int(d), b"".join(map(known.__getitem__, words)) + end) for d, x, words in zip(batch["doc_id"], none, texts, strict=True)]})
-            if len(known) > keep:
-                known.clear()
+            ids, none = batch["doc_id"].tolist(), batch["doc_id"].isna().tolist()
+            for i in range(0, len(batch), 1000):
+                texts = [chunks(t) for t in batch["text"].iloc[i : i + 1000]]
+                learn(known, tokenizer, {w for words in texts for w in words}, mark)
+                frames = [frame(None if x else int(d), b"".join(map(known.__getitem__, words)) + end) for d, x, words in zip(ids[i : i + 1000], none[i : i + 1000], texts, strict=True)]
+                yield pd.DataFrame({"frame": frames})
+                if len(known) > keep:
+                    known.clear()
 
     return run
 
@@ -86,8 +127,8 @@ def _parse(batches):
         for shard, path, data in zip(batch["shard"], batch["path"], batch["content"], strict=True):
             rows, before = [], 0
             for at, length, doc_id, ids in records(data):
-                rows.append((shard, path, at, length, doc_id, len(ids) // 4, zlib.crc32(ids), before))
-                before += len(ids) // 4
+                rows.append((shard, path, at, length, doc_id, len(ids) // 2, zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes()), before))
+                before += len(ids) // 2
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in INDEX.split(", ")])
             yield out.astype({"doc_id": "Int64"})
 
@@ -97,13 +138,13 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "path", "content")
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_bytes: int = 16 << 20, keep: int = 400_000) -> DataFrame:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_bytes: int = 32 << 20, keep: int = 600_000, mark: str = MARK) -> DataFrame:
     """Writes path/records and path/index and returns the index."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = parts_for(spark, text_bytes(docs), shard_bytes)
     ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    frames = ordered.mapInPandas(_encoder(tokenizer, end_id, keep), "frame binary")
+    frames = ordered.mapInPandas(_encoder(tokenizer, end_id, keep, mark), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.text(f"{path}/records")
     _files(spark, path).mapInPandas(_parse, INDEX).write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
@@ -120,12 +161,12 @@ def offsets(index: DataFrame) -> DataFrame:
 def read_records(spark: SparkSession, path: str, seed: int | None = None) -> DataFrame:
     """doc_id and ids of each record, found through the index; with a seed in an order that it shuffles."""
     index = spark.read.parquet(f"{path}/index").drop("path")
-    skip, wide = 12 + HOLDS_SIZE, F.col("n_tokens") * 4
+    skip, wide = 12 + HOLDS_SIZE, F.col("n_tokens") * 2
     out = index.join(_files(spark, path), "shard").select("doc_id", "n_tokens", F.substring("content", F.col("offset").cast("int") + skip + 1, wide.cast("int")).alias("raw"), F.xxhash64("shard", "offset", F.lit(seed or 0)).alias("_order"))
 
     @F.pandas_udf("array<long>")
     def ids(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: np.frombuffer(b, "<u4").astype(np.int64))
+        return raw.map(lambda b: np.frombuffer(b, "<u2").astype(np.int64))
 
     out = out.orderBy("_order") if seed is not None else out
     return out.select("doc_id", ids("raw").alias("ids"))
