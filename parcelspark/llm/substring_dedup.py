@@ -24,7 +24,7 @@ from parcelspark.llm.rolling import Roller, word_line
 
 LAST = (1 << 63) - 1
 TABLE_BITS = 27
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 
 
 def sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
@@ -42,18 +42,18 @@ def minimizers(grams: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     return low, np.flatnonzero(sliding(padded, w, np.maximum) == grams)
 
 
-def bit_table(repeated: DataFrame) -> np.ndarray:
-    """A table of 2^TABLE_BITS bits, set at the top bits of each hash; combined on the executors."""
-    at = F.call_function("shiftrightunsigned", F.col("hash"), F.lit(64 - TABLE_BITS))
-    words = repeated.select(F.call_function("shiftright", at, F.lit(6)).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - TABLE_BITS}) & 63 as int))").alias("bits"))
+def bit_table(repeated: DataFrame, bits: int = TABLE_BITS) -> np.ndarray:
+    """A table of 2^bits bits, set at the top bits of each hash; combined on the executors."""
+    at = F.call_function("shiftrightunsigned", F.col("hash"), F.lit(64 - bits))
+    words = repeated.select(F.call_function("shiftright", at, F.lit(6)).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - bits}) & 63 as int))").alias("bits"))
     rows = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    table = np.zeros(1 << (TABLE_BITS - 6), np.int64)
+    table = np.zeros(1 << (bits - 6), np.int64)
     table[rows["word"]] = rows["bits"]
     return table.view(np.uint64)
 
 
 def has_bit(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes >> np.uint64(64 - TABLE_BITS)
+    at = hashes >> np.uint64(65 - (64 * len(table)).bit_length())
     return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
