@@ -33,7 +33,7 @@ from parcelspark.llm.substring_dedup import FLUSH, LAST, bit_table, counted, cov
 PIECE = 1 << 20
 UNIT = 1 << 18
 SHARDS = 4
-GROUP = 4096
+GROUP = 16384
 
 
 def stretches(data: np.ndarray, k: int, gram: int, roller: Roller):
