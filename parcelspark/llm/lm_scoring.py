@@ -29,8 +29,8 @@ ORDER = 5
 #: Bytes that UTF-8 never has: what stands before a text, and its end.
 BEFORE, END = 0xFE, 0xFF
 SYMBOLS = 256
-CHUNK = 1 << 21
-BLOCK_BYTES = 32 << 20
+CHUNK = 1 << 20
+BLOCK_BYTES = 16 << 20
 
 
 def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -49,16 +49,17 @@ def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, ok[: len(out)], starts
 
 
-def chunked(texts: list[bytes]):
-    """Ranges of texts of about CHUNK bytes together."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) + ORDER + 1
+def chunked(texts):
+    """The texts in lists of about CHUNK characters together."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t or "") + ORDER + 1
         if size >= CHUNK:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,26 +80,39 @@ def _lowered(text: str | None) -> bytes:
     return (text or "").encode().lower()
 
 
+class Tally:
+    """Sums of counts by key; what has gathered is merged whenever it outgrows what is known, so it stays near the distinct keys."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, keys: np.ndarray, one: int) -> None:
+        k, n = np.unique(keys, return_counts=True)
+        self.new.append((k, n * one))
+        self.size += len(k)
+        if self.size > max(1 << 18, len(self.keys)):
+            self.merge()
+
+    def merge(self) -> None:
+        self.keys, self.counts = summed([self.keys, *(k for k, _ in self.new)], [self.counts, *(n for _, n in self.new)])
+        self.new, self.size = [], 0
+
+
 def _requests(g: pd.DataFrame) -> pd.DataFrame:
     """kind (0: context with byte, 1: word), key and training count of all that occurs in the block."""
-    roller, held = Roller(), g["held_out"].to_numpy()
-    texts = [_lowered(t) for t in g["text"]]
-    found: list[list] = [[], [], [], []]
-    for a, b in chunked(texts):
-        grams, ok, starts = codes(texts[a:b])
-        train = np.repeat(~held[a:b], np.diff(np.append(starts, len(grams))))
-        for part, one in ((grams[ok & train], 1), (grams[ok & ~train], 0)):
-            k, n = np.unique(part, return_counts=True)
-            found[0].append(k)
-            found[1].append(n * one)
-        for one in (1, 0):
-            words = [_word_hashes(t, roller) for t, h in zip(g["text"].iloc[a:b], held[a:b], strict=True) if h == (one == 0)]
-            k, n = np.unique(np.concatenate(words) if words else np.zeros(0, np.int64), return_counts=True)
-            found[2].append(k)
-            found[3].append(n * one)
-    grams, words = summed(*found[:2]), summed(*found[2:])
-    kind = np.repeat(np.array([0, 1], np.int8), [len(grams[0]), len(words[0])])
-    return pd.DataFrame({"kind": kind, "key": np.append(grams[0], words[0]), "n": np.append(grams[1], words[1]), "block": g["block"].iloc[0]})
+    roller, grams, words = Roller(), Tally(), Tally()
+    for held, texts in g.groupby("held_out")["text"]:
+        one = 0 if held else 1
+        for some in chunked(texts):
+            codes_, ok, _ = codes([_lowered(t) for t in some])
+            grams.add(codes_[ok], one)
+            words.add(np.concatenate([_word_hashes(t, roller) for t in some]), one)
+    grams.merge()
+    words.merge()
+    kind = np.repeat(np.array([0, 1], np.int8), [len(grams.keys), len(words.keys)])
+    return pd.DataFrame({"kind": kind, "key": np.append(grams.keys, words.keys), "n": np.append(grams.counts, words.counts), "block": g["block"].iloc[0]})
 
 
 class Level:
@@ -161,9 +175,8 @@ def _trigrams(batches):
     """Counts of a byte and the two before it, over the training documents of a task."""
     keys, counts = [], []
     for batch in batches:
-        texts = [_lowered(t) for t in batch["text"]]
-        for a, b in chunked(texts):
-            grams, ok, _ = codes(texts[a:b])
+        for some in chunked(batch["text"]):
+            grams, ok, _ = codes([_lowered(t) for t in some])
             k, n = np.unique((grams[ok] & 0xFFFFFF).astype(np.int32), return_counts=True)
             keys.append(k)
             counts.append(n)
@@ -232,16 +245,14 @@ def _score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("doc_id", "Int64"), ("held_out", bool), ("n_tokens", "int64"), ("n_known", "int64"), ("logs", float), ("score", float), ("vocabulary", "int64"))})
     kind, key, value = (answers[c].to_numpy() for c in ("kind", "key", "value"))
     grams, words = Lookup(key[kind == 0], value[kind == 0]), Lookup(key[kind == 1], value[kind == 1])
-    roller, texts = Roller(), [_lowered(t) for t in docs["text"]]
-    rows = []
-    for a, b in chunked(texts):
-        codes_, ok, starts = codes(texts[a:b])
+    roller, rows = Roller(), []
+    for some in chunked(docs["text"]):
+        codes_, ok, starts = codes([_lowered(t) for t in some])
         logp = np.zeros(len(codes_))
         logp[ok] = grams(codes_[ok])
-        score = np.add.reduceat(logp, starts)
-        for i in range(a, b):
-            c = words(_word_hashes(docs["text"].iloc[i], roller))
-            rows.append((len(c) + 1, int((c > 0).sum()), float(np.log10(c + 1).sum()), float(score[i - a])))
+        for t, score in zip(some, np.add.reduceat(logp, starts), strict=True):
+            c = words(_word_hashes(t, roller))
+            rows.append((len(c) + 1, int((c > 0).sum()), float(np.log10(c + 1).sum()), float(score)))
     out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "logs", "score"])
     out.insert(0, "held_out", docs["held_out"].to_numpy())
     out.insert(0, "doc_id", docs["doc_id"].astype("Int64").to_numpy())
@@ -266,7 +277,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     context = F.when(F.col("kind") == 0, F.call_function("shiftright", F.col("key"), F.lit(8)).bitwiseAND(F.lit(0xFFFFFF))).otherwise(F.col("key"))
     total = total.withColumn("ctx", context).repartition("kind", "ctx").sortWithinPartitions("kind", "ctx")
     values = total.mapInPandas(_answers(low), "kind byte, key long, value double, asked int")
-    answers = asked.join(values, ["kind", "key"]).select("block", "kind", "key", "value", "asked")
+    answers = asked.join(values, ["kind", "key"])  # with n, so both readers of asked read the same rows and share them
     sums = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, vocabulary long")
     sums = cut(sums)
     train = ~F.col("held_out")
