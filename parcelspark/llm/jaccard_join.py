@@ -11,7 +11,8 @@ required similarity share a shingle of their prefixes, |x| - ceil(t |x|) + 1 lon
    can't reach the needed overlap, or all its sets are already connected to it.
 3. Lists whose members are not yet connected are joined pair by pair, but only across components, and checked the same way.
 
-The result is exact up to collisions of 64-bit hashes. The only tables that are broadcast are the fixed cells.
+The result is exact up to collisions of 64-bit hashes. What is broadcast has a fixed size: the cells, and a table of bits that
+spares most documents without candidates a second reading (a false bit costs time only).
 
 Defined results: null text and text without words have an empty set (n_shingles 0) and stand alone; fewer words than n are
 one shingle; null doc_ids come after all others and have component null if no other is reached; rows with the same doc_id are
@@ -29,9 +30,11 @@ from pyspark.sql import functions as F
 from parcelspark.llm.common import cut
 from parcelspark.llm.components import components
 from parcelspark.llm.rolling import Roller, word_windows
+from parcelspark.llm.substring_dedup import bit_table, has_bit
 
 LAST = (1 << 63) - 1
 CELL_BITS = 18
+TABLE_BITS = 24
 GROUP = 256
 
 
@@ -95,12 +98,41 @@ def _prefixes(n: int, pct: int, shared):
     return run
 
 
-def _sets(n: int):
+def _lists(batches):
+    """Rows sorted by shingle and node: lists of two nodes or more, each node once, with the smallest node as leader."""
+    last = None  # shingle, leader, its place, whether the leader's row is still held back, the latest node
+    for b in batches:
+        shingle, node, place = (b[c].to_numpy() for c in ("shingle", "node", "place"))
+        if not len(b):
+            continue
+        new = np.append(last is None or last[0] != shingle[0], shingle[1:] != shingle[:-1])
+        again = ~new & (node == np.append(node[0] - 1 if last is None else last[4], node[:-1]))
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1  # -1: goes on from the batch before
+        leader = np.where(group >= 0, node[starts][group] if len(starts) else 0, last[1] if last else 0)
+        keep = ~new & ~again
+        led = np.unique(group[keep])
+        heads = starts[led[led >= 0]]
+        at = np.concatenate([heads, np.flatnonzero(keep)])
+        out = [(shingle[at], node[at], place[at], leader[at])]
+        held = last is not None and last[3]
+        if held and len(led) and led[0] < 0:
+            out.append(tuple(np.array([x]) for x in (last[0], last[1], last[2], last[1])))
+            held = False
+        if len(starts):
+            h = starts[-1]
+            last = (shingle[h], node[h], place[h], not (len(led) and led[-1] == group[-1]), node[-1])
+        else:
+            last = (*last[:3], held, node[-1])
+        yield pd.DataFrame({c: np.concatenate([o[k] for o in out]) for k, c in enumerate(("shingle", "node", "place", "leader"))})
+
+
+def _flagged(shared):
+    """The documents whose bit is set."""
+
     def run(batches):
-        roller = Roller()
         for batch in batches:
-            sets = [set_of(t, n, roller) for t in batch["text"]]
-            yield pd.DataFrame({"node": batch["node"], "of": [node_of(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+            yield batch.loc[has_bit(shared.value, batch["hash"].to_numpy().view(np.uint64)), ["_id", "text"]]
 
     return run
 
@@ -154,14 +186,16 @@ def tree_links(sets: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
     return links
 
 
-def _groups(pct: int):
-    """Rows come sorted by group; a group may go over from one batch to the next."""
+def _groups(n: int, pct: int):
+    """Rows come sorted by group; a group may go over from one batch to the next. Texts travel instead of sets: they pack better."""
+    roller = Roller()
 
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, g in rows.groupby(["leader", "block"], sort=False):
-            nodes = g["node"].tolist()
-            out += [(nodes[a], nodes[b]) for a, b in tree_links([np.frombuffer(s, np.uint64) for s in g["shingles"]], pct)]
+            sets = [set_of(t, n, roller) for t in g["text"]]
+            of = [(x, s) for x, s in zip(g["node"].tolist(), sets, strict=True) if len(s) and node_of(s) == x]  # not another row of the doc_id
+            out += [(of[a][0], of[b][0]) for a, b in tree_links([s for _, s in of], pct)] if len(of) > 1 else []
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
     def run(batches):
@@ -179,14 +213,14 @@ def _groups(pct: int):
     return run
 
 
-def _check(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+def _check(pairs: DataFrame, texts: DataFrame, n: int, pct: int) -> DataFrame:
     """u, v of the linked nodes among candidates of the same leader. pairs: leader, node, distinct, without the leader itself."""
     sized = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_blocks"))
     dealt = pairs.join(sized, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks"))).select("leader", "block", "node")
     dealt = dealt.union(dealt.select("leader", "block", F.col("leader").alias("node")).distinct())
-    rows = dealt.join(sets, "node").select("leader", "block", "node", "shingles")
+    rows = dealt.join(texts, "node").select("leader", "block", "node", "text")
     rows = rows.repartition("leader", "block").sortWithinPartitions("leader", "block")
-    return rows.mapInPandas(_groups(pct), "u long, v long")
+    return rows.mapInPandas(_groups(n, pct), "u long, v long")
 
 
 def link_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
@@ -201,19 +235,22 @@ def link_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     shared = spark.sparkContext.broadcast(cells)
 
     postings = slim.select("text").mapInPandas(_prefixes(n, pct, shared), "shingle long, node long, place int")
-    postings = postings.repartition("shingle").dropDuplicates(["shingle", "node"])
-    lists = postings.groupBy("shingle").agg(F.min("node").alias("leader"), F.max("node").alias("_other")).where("leader < _other")
-    postings = cut(postings.join(lists.select("shingle", "leader"), "shingle"))
+    postings = postings.repartition("shingle").sortWithinPartitions("shingle", "node")
+    postings = cut(postings.mapInPandas(_lists, "shingle long, node long, place int, leader long"))
 
     sizes = reps.select("node", "size")
     pairs = postings.where("node <> leader").select("leader", "node").distinct()
     near = F.expr(f"100 * least(size, lsize) >= {pct} * greatest(size, lsize)")
-    pairs = pairs.join(sizes, "node").join(sizes.toDF("leader", "lsize"), "leader").where(near).select("leader", "node")
-    wanted = postings.select("node").distinct().join(reps, "node").select("node", F.col("rep").alias("_id"))
-    texts = slim.join(wanted, "_id")
-    sets = texts.select("node", "text").mapInPandas(_sets(n), "node long, of long, shingles binary").where("node = of")
-    sets = cut(sets.dropDuplicates(["node"]).drop("of"))
-    found = cut(_check(pairs, sets, pct))
+    pairs = cut(pairs.join(sizes, "node").join(sizes.toDF("leader", "lsize"), "leader").where(near).select("leader", "node"))
+
+    def check(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select("node").union(pairs.select("leader")).distinct().join(reps, "node")
+        table = spark.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64("rep").alias("hash")), TABLE_BITS))
+        texts = slim.select(F.xxhash64("_id").alias("hash"), "_id", "text").mapInPandas(_flagged(table), "_id long, text string")
+        texts = wanted.select("node", F.col("rep").alias("_id")).join(texts, "_id").select("node", "text")
+        return cut(_check(pairs, texts, n, pct))
+
+    found = check(pairs)
     so_far = components(found)
 
     open_ = postings.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sizes, "node")
@@ -222,7 +259,7 @@ def link_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     a, b = open_, open_.toDF("shingle", "leader", "lcomponent", "lsize", "lplace")
     most = F.expr(f"(100 + {pct}) * (1 + least(size - place, lsize - lplace) - 1) >= {pct} * (size + lsize)")
     across = a.join(b, "shingle").where("leader < node and component <> lcomponent").where(near).where(most).select("leader", "node").distinct()
-    links = found.union(_check(across.join(pairs, ["leader", "node"], "left_anti"), sets, pct))
+    links = found.union(check(cut(across.join(pairs, ["leader", "node"], "left_anti"))))
 
     names = reps.select("node", "rep")
     links = links.join(names.toDF("u", "ru"), "u").join(names.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
@@ -239,6 +276,8 @@ def link_documents(docs: DataFrame, **how) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of their component, and those without a doc_id that stand alone."""
-    gone = link_documents(docs.select("doc_id", "text"), **how).where("component_id < coalesce(doc_id, 9223372036854775807)")
-    gone = gone.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id")).distinct()
-    return docs.withColumn("_id", F.coalesce("doc_id", F.lit(LAST))).join(gone, "_id", "left_anti").drop("_id")
+    far = F.coalesce("doc_id", F.lit(LAST))
+    found = link_documents(docs.select("doc_id", "text"), **how).withColumn("_id", far)
+    gone = found.where("component_id < _id").select("_id").distinct()
+    rows = docs.select(far.alias("_id"), F.struct("*").alias("_row"))
+    return rows.join(gone, "_id", "left_anti").select("_row.*")
