@@ -300,3 +300,40 @@ def test_pipeline(spark, tmp_path, rows):
     assert {r["doc_id"] for r in kept["decontamination"]} == third and 1 not in third
     assert {r["doc_id"] for r in kept["mixture"]} <= third and len(kept["mixture"]) > len(third)
     assert sorted(r["doc_id"] for r in kept["token_output"]) == sorted(r["doc_id"] for r in kept["mixture"])
+
+
+def shared_ids():
+    """Rows of one doc_id and rows without one: different texts, copies of each other, one longer than the other."""
+    r = random.Random(11)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    a, b, c, d, e = text(90), text(40), text(30), text(60), text(25)
+    return [(1, a), (7, b), (7, b), (7, c + " " + a), (7, e), (None, d), (None, d), (None, c), (None, e + " " + text(50)), (None, text(22)), (None, None), (None, "few words"), (None, "few words")]
+
+
+def sources_in_order(rows, split, k, join):
+    """(doc_id, text, kept) of each row where every row is a source; rows of an id come in any order, so the one got is replayed."""
+    seen, out = set(), []
+    for i, t in rows:
+        u = split((t or "").encode())
+        gone = [False] * len(u)
+        for p in range(len(u) - k + 1):
+            w = tuple(u[p : p + k])
+            if w in seen:
+                gone[p : p + k] = [True] * k
+            seen.add(w)
+        out.append((i, t, join([x for x, g in zip(u, gone, strict=True) if not g])))
+    return out
+
+
+def in_key_order(spark, rows):
+    """Rows by doc_id, null last, then by the hash of their text."""
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    return [tuple(r) for r in made.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).collect()]
+
+
+def test_substring_dedup_takes_rows_of_one_id_apart(spark):
+    rows = shared_ids()
+    want = sources_in_order(in_key_order(spark, rows), bytes.split, 20, b" ".join)
+    for parts in (1, 4):
+        got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).select("doc_id", "text", "kept").collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, t, k.decode())) for i, t, k in want)
