@@ -15,8 +15,9 @@ boundaries that are missing are the common prefixes of k bytes or more: the repe
 A minimizer with very many different stretches is dealt out once more by the bytes of each window, so no group is unbounded.
 
 Defined results: null or empty text has no bytes; texts shorter than k bytes lose nothing; matches never cross rows; null doc_ids
-come after all others; rows with the same doc_id count as one source, whose equal positions are one coordinate; an empty
-table gives an empty table; other columns are carried along, except that the added columns replace any of the same name.
+come after all others; rows with the same doc_id are one source each, in the order of a 64-bit hash of their text, and of rows that
+agree in both one is the source and the others lose all their windows (see substring_dedup); an empty table gives an
+empty table; other columns are carried along, except that the added columns replace any of the same name.
 """
 
 import zlib
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from parcelspark.llm.common import written
 from parcelspark.llm.rolling import Roller
-from parcelspark.llm.substring_dedup import FLUSH, LAST, bit_table, counted, covered, has_bit, sliding
+from parcelspark.llm.substring_dedup import FLUSH, bit_table, counted, covered, has_bit, numbered, ranked, row_keys, sliding
 
 PIECE = 1 << 20
 UNIT = 1 << 18
@@ -83,21 +84,23 @@ def _stretches(k: int, gram: int, shared):
     """Rows with done are stretches that are removed for good; the others still have to meet."""
 
     def made(held):
-        m, content, doc, pos, n = (np.concatenate([h[i] for h in held]) for i in range(5))
-        keep, gone = others(content, doc, pos)
+        m, content, pos, n = (np.concatenate([h[i] for h in held]) for i in range(4))
+        keys, row = ranked([h[4] for h in held])
+        row = np.repeat(row, [len(h[0]) for h in held])
+        keep, gone = others(content, row, pos)
         at = np.concatenate([keep, gone])
-        return pd.DataFrame({"m": m[at].view(np.int64), "content": content[at].view(np.int64), "doc": doc[at], "pos": pos[at], "n": n[at].astype(np.int32), "done": np.arange(len(at)) >= len(keep)})
+        return pd.DataFrame({"m": m[at].view(np.int64), "content": content[at].view(np.int64), "doc": keys[row[at], 0], "sub": keys[row[at], 1], "pos": pos[at], "n": n[at].astype(np.int32), "done": np.arange(len(at)) >= len(keep)})
 
     def run(batches):
         roller, table, held, size = Roller(), shared.value, [], 0
         for batch in batches:
-            for doc, t in zip(batch["_id"], batch["text"], strict=True):
+            for doc, sub, t in zip(batch["_id"], batch["_sub"], batch["text"], strict=True):
                 for i, data in pieces(t, k):
                     prefixes, starts, n, m = stretches(data, k, gram, roller)
                     ok = has_bit(table, m)
                     if ok.any():
                         starts, n, m = starts[ok], n[ok], m[ok]
-                        held.append((m, roller.spans(prefixes, starts, starts + n + k - 1), np.full(len(m), doc), starts + i, n))
+                        held.append((m, roller.spans(prefixes, starts, starts + n + k - 1), starts + i, n, (doc, sub)))
                         size += len(m)
             if size > FLUSH:
                 yield made(held)
@@ -109,24 +112,25 @@ def _stretches(k: int, gram: int, shared):
 
 
 def _meet(batches):
-    """Rows sorted by m, content, doc, pos. Equal stretches but the first are removed; first ones whose minimizer has others of
+    """Rows sorted by m, content, doc, sub, pos. Equal stretches but the first are removed; first ones whose minimizer has others of
     different content stay open. At most one row is held back."""
     first = held = before = None
     for b in batches:
         done = b["done"].to_numpy()
-        out = [b.loc[done, ["doc", "pos", "n", "m"]].assign(open=False)]
+        out = [b.loc[done, ["doc", "sub", "pos", "n", "m"]].assign(open=False)]
         b = b[~done]
         if len(b):
-            content, doc, pos = (b[c].to_numpy() for c in ("content", "doc", "pos"))
+            content, doc, sub, pos = (b[c].to_numpy() for c in ("content", "doc", "sub", "pos"))
             m = b["m"].to_numpy()
             new = np.append(first is None or first[:2] != (m[0], content[0]), (m[1:] != m[:-1]) | (content[1:] != content[:-1]))
             at = np.cumsum(new) - 1
             heads = np.flatnonzero(new)
             hd = np.where(at >= 0, doc[heads][at] if len(heads) else 0, first[2] if first else 0)
-            hp = np.where(at >= 0, pos[heads][at] if len(heads) else 0, first[3] if first else 0)
-            out.append(b.loc[~new & ((doc != hd) | (pos != hp)), ["doc", "pos", "n", "m"]].assign(open=False))
-            first = (m[-1], content[-1], hd[-1], hp[-1])
-            rows = b.loc[new, ["doc", "pos", "n", "m"]]
+            hs = np.where(at >= 0, sub[heads][at] if len(heads) else 0, first[3] if first else 0)
+            hp = np.where(at >= 0, pos[heads][at] if len(heads) else 0, first[4] if first else 0)
+            out.append(b.loc[~new & ((doc != hd) | (sub != hs) | (pos != hp)), ["doc", "sub", "pos", "n", "m"]].assign(open=False))
+            first = (m[-1], content[-1], hd[-1], hs[-1], hp[-1])
+            rows = b.loc[new, ["doc", "sub", "pos", "n", "m"]]
             if len(rows):
                 had = held is not None
                 rows = pd.concat([held, rows], ignore_index=True) if had else rows
@@ -143,15 +147,15 @@ def _bytes(k: int):
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, t, todo in zip(batch["_id"], batch["text"], batch["todo"], strict=True):
+            for doc, sub, t, todo in zip(batch["_id"], batch["_sub"], batch["text"], batch["todo"], strict=True):
                 data = (t or "").encode()
                 for x in todo:
                     raw = data[x["pos"] : x["pos"] + x["n"] + k - 1]
                     if x["parts"] == 1:
-                        rows.append((x["m"], 0, doc, x["pos"], raw))
+                        rows.append((x["m"], 0, doc, sub, x["pos"], raw))
                     else:
-                        rows += [(x["m"], zlib.crc32(raw[i : i + k]) % x["parts"], doc, x["pos"] + i, raw[i : i + k]) for i in range(x["n"])]
-            yield pd.DataFrame(rows, columns=["m", "part", "doc", "pos", "raw"])
+                        rows += [(x["m"], zlib.crc32(raw[i : i + k]) % x["parts"], doc, sub, x["pos"] + i, raw[i : i + k]) for i in range(x["n"])]
+            yield pd.DataFrame(rows, columns=["m", "part", "doc", "sub", "pos", "raw"])
 
     return run
 
@@ -232,8 +236,9 @@ def repeats(strings: list[bytes], docs: list[int], starts: list[int], k: int) ->
 
 def _merged(k: int):
     def solved(rows: pd.DataFrame) -> pd.DataFrame:
-        d, p = repeats(rows["raw"].tolist(), rows["doc"].tolist(), rows["pos"].tolist(), k)
-        return pd.DataFrame({"doc": d, "pos": p.astype(np.int32), "n": np.ones(len(d), np.int32)})
+        keys, row = ranked(rows[["doc", "sub"]].to_numpy())
+        d, p = repeats(rows["raw"].tolist(), row.tolist(), rows["pos"].tolist(), k)
+        return pd.DataFrame({"doc": keys[d, 0], "sub": keys[d, 1], "pos": p.astype(np.int32), "n": np.ones(len(d), np.int32)})
 
     def run(batches):
         kept: list[pd.DataFrame] = []
@@ -263,26 +268,29 @@ def _merged(k: int):
 
 
 def removals(docs: DataFrame, k: int = 100, gram: int = 40) -> DataFrame:
-    """doc, pos, n: n windows from byte pos on also start earlier. docs: _id, text."""
+    """doc, sub, pos, n: n windows from byte pos on also start earlier. docs: _id, _sub, text."""
     spark = docs.sparkSession
     repeated = docs.select("text").mapInPandas(_screen(k, gram), "hash long, n int").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
     table = spark.sparkContext.broadcast(bit_table(repeated))
-    rows = docs.mapInPandas(_stretches(k, gram, table), "m long, content long, doc long, pos int, n int, done boolean")
-    met = rows.repartition("m").sortWithinPartitions("m", "content", "doc", "pos").mapInPandas(_meet, "doc long, pos int, n int, m long, open boolean")
+    rows = docs.mapInPandas(_stretches(k, gram, table), "m long, content long, doc long, sub long, pos int, n int, done boolean")
+    met = rows.repartition("m").sortWithinPartitions("m", "content", "doc", "sub", "pos").mapInPandas(_meet, "doc long, sub long, pos int, n int, m long, open boolean")
     met = written(met, "stretches")
     todo = met.where("open")
     parts = todo.groupBy("m").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    todo = todo.join(parts, "m").groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("pos", "n", "m", "parts")).alias("todo"))
-    raw = docs.join(todo, "_id").mapInPandas(_bytes(k), "m long, part int, doc long, pos int, raw binary")
-    more = raw.repartition("m", "part").sortWithinPartitions("m", "part").mapInPandas(_merged(k), "doc long, pos int, n int")
-    return met.where("not open").select("doc", "pos", "n").union(more)
+    todo = todo.join(parts, "m").groupBy(F.col("doc").alias("_id"), F.col("sub").alias("_sub")).agg(F.collect_list(F.struct("pos", "n", "m", "parts")).alias("todo"))
+    raw = docs.join(todo, ["_id", "_sub"]).mapInPandas(_bytes(k), "m long, part int, doc long, sub long, pos int, raw binary")
+    more = raw.repartition("m", "part").sortWithinPartitions("m", "part").mapInPandas(_merged(k), "doc long, sub long, pos int, n int")
+    return met.where("not open").select("doc", "sub", "pos", "n").union(more)
 
 
 def _cut_bytes(k: int):
-    def run(text: pd.Series, removed: pd.Series) -> pd.DataFrame:
+    def run(text: pd.Series, removed: pd.Series, copy: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, r in zip(text, removed, strict=True):
+        for t, r, number in zip(text, removed, copy, strict=True):
             data = (t or "").encode()
+            if number > 1 and len(data) >= k:
+                rows.append((len(data), len(data), 1, b""))
+                continue
             if r is None or not len(r):
                 rows.append((len(data), 0, 0, data))
                 continue
@@ -296,8 +304,8 @@ def _cut_bytes(k: int):
 
 def remove_repeats(docs: DataFrame, k: int = 100, gram: int = 40) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (the remaining bytes)."""
-    docs = docs.withColumn("_id", F.coalesce("doc_id", F.lit(LAST)))
-    gone = removals(docs.select("_id", "text"), k, gram).groupBy(F.col("doc").alias("_id")).agg(F.collect_list(F.struct("pos", "n")).alias("removed"))
+    docs = row_keys(docs)
+    gone = removals(docs.select("_id", "_sub", "text"), k, gram).groupBy(F.col("doc").alias("_id"), F.col("sub").alias("_sub")).agg(F.collect_list(F.struct("pos", "n")).alias("removed"))
     cut_bytes = F.pandas_udf(_cut_bytes(k), "n_bytes long, n_removed long, n_spans long, kept binary")
-    out = docs.join(gone, "_id", "left").withColumn("_c", cut_bytes("text", "removed")).drop("_id", "removed")
+    out = numbered(docs).join(gone, ["_id", "_sub"], "left").withColumn("_c", cut_bytes("text", "removed", "_copy")).drop("_id", "_sub", "_copy", "removed")
     return out.withColumns({c: F.col(f"_c.{c}") for c in ("n_bytes", "n_removed", "n_spans", "kept")}).drop("_c")

@@ -337,3 +337,19 @@ def test_substring_dedup_takes_rows_of_one_id_apart(spark):
     for parts in (1, 4):
         got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).select("doc_id", "text", "kept").collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(repr((i, t, k.decode())) for i, t, k in want)
+
+
+def test_suffix_dedup_takes_rows_of_one_id_apart(spark):
+    rows = shared_ids()
+    want = sources_in_order(in_key_order(spark, rows), lambda b: [b[i : i + 1] for i in range(len(b))], 100, b"".join)
+    for parts in (1, 4):
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).select("doc_id", "text", "kept").collect()
+        assert sorted(repr((r[0], r[1], bytes(r[2]))) for r in got) == sorted(map(repr, want))
+
+
+def test_line_dedup_takes_rows_of_one_id_apart(spark):
+    said, own, more = "this line stands twice", "only this row has it", "and this is one more"
+    rows = [(1, said), (7, f"{own}\n{said}"), (7, f"{said}\n{own} too"), (7, f"{said}\n{own} too"), (None, f"{said}\n{more}"), (None, f"{more} 2\n{said}\n{more}"), (None, None)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_dropped", "kept").collect()
+    want = [(1, 1, 0, said), (7, 2, 1, own), (7, 2, 1, f"{own} too"), (7, 2, 1, f"{own} too"), (None, 2, 1, more), (None, 3, 1, f"{more} 2\n{more}"), (None, 1, 0, "")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
