@@ -17,14 +17,15 @@ spares most documents without candidates a second reading (a false bit costs tim
 Defined results: null text and text without words have an empty set (n_shingles 0) and stand alone; fewer words than n are
 one shingle; null doc_ids come after all others and have component null if no other is reached; rows with the same doc_id are
 one document if their sets link them, and get the same component; an empty table gives an empty table; other columns are
-left behind by link_documents and carried along by drop_near_copies.
+left behind by link_documents and carried along by drop_near_copies. drop_near_copies decides row by row: of each component the
+row of the smallest doc_id (then hash of the text) stays, of rows that agree in both one.
 """
 
 import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelspark.llm.common import cut
@@ -59,7 +60,7 @@ def _nodes(n: int):
         roller = Roller()
         for batch in batches:
             sets = [set_of(t, n, roller) for t in batch["text"]]
-            yield pd.DataFrame({"_id": batch["_id"], "n_shingles": [len(s) for s in sets], "node": pd.array([node_of(s) if len(s) else None for s in sets], "Int64")})
+            yield pd.DataFrame({"_id": batch["_id"], "_sub": batch["_sub"], "n_shingles": [len(s) for s in sets], "node": pd.array([node_of(s) if len(s) else None for s in sets], "Int64")})
 
     return run
 
@@ -223,11 +224,11 @@ def _check(pairs: DataFrame, texts: DataFrame, n: int, pct: int) -> DataFrame:
     return rows.mapInPandas(_groups(n, pct), "u long, v long")
 
 
-def link_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
-    """_id, n_shingles and component_id of each row: rows link at a Jaccard similarity of pct / 100 of their n-word shingles."""
+def link_nodes(docs: DataFrame, n: int = 5, pct: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """_id, _sub (hash of the text), n_shingles and node of each row; node and smallest _id of each set; u, v of linked nodes."""
     spark = docs.sparkSession
     slim = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), "text")
-    nodes = cut(slim.mapInPandas(_nodes(n), "_id long, n_shingles long, node long"))
+    nodes = cut(slim.withColumn("_sub", F.xxhash64("text")).mapInPandas(_nodes(n), "_id long, _sub long, n_shingles long, node long"))
     reps = nodes.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("size"))
     rows = slim.select("text").mapInPandas(_cells(n), "cell int, docs long").groupBy("cell").agg(F.sum("docs").alias("docs")).toPandas()
     cells = np.zeros(1 << CELL_BITS, np.int64)
@@ -259,8 +260,12 @@ def link_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
     a, b = open_, open_.toDF("shingle", "leader", "lcomponent", "lsize", "lplace")
     most = F.expr(f"(100 + {pct}) * (1 + least(size - place, lsize - lplace) - 1) >= {pct} * (size + lsize)")
     across = a.join(b, "shingle").where("leader < node and component <> lcomponent").where(near).where(most).select("leader", "node").distinct()
-    links = found.union(check(cut(across.join(pairs, ["leader", "node"], "left_anti"))))
+    return nodes, reps, found.union(check(cut(across.join(pairs, ["leader", "node"], "left_anti"))))
+
 
+def link_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
+    """_id, n_shingles and component_id of each row: rows link at a Jaccard similarity of pct / 100 of their n-word shingles."""
+    nodes, reps, links = link_nodes(docs, n, pct)
     names = reps.select("node", "rep")
     links = links.join(names.toDF("u", "ru"), "u").join(names.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
     final = reps.join(components(links).toDF("rep", "component"), "rep", "left")
@@ -275,9 +280,19 @@ def link_documents(docs: DataFrame, **how) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component, and those without a doc_id that stand alone."""
-    far = F.coalesce("doc_id", F.lit(LAST))
-    found = link_documents(docs.select("doc_id", "text"), **how).withColumn("_id", far)
-    gone = found.where("component_id < _id").select("_id").distinct()
-    rows = docs.select(far.alias("_id"), F.struct("*").alias("_row"))
-    return rows.join(gone, "_id", "left_anti").select("_row.*")
+    """One row of docs for each component, the one of the smallest doc_id, and all rows that have no words."""
+    nodes, _, links = link_nodes(docs.select("doc_id", "text"), **how)
+    nodes = nodes.where("node is not null").select("_id", "_sub", "node")
+    rows = nodes.join(components(links), "node", "left").select("_id", "_sub", F.coalesce("component", "node").alias("component"))
+    rows = cut(rows.groupBy("component", "_id", "_sub").agg(F.count(F.lit(1)).alias("_n")))
+    first = rows.groupBy("component").agg(F.min(F.struct("_id", "_sub")).alias("_first"))
+    rows = rows.join(first, "component").withColumn("_stays", F.struct("_id", "_sub") == F.col("_first"))
+    keys = {"_id": F.coalesce("doc_id", F.lit(LAST)), "_sub": F.xxhash64("text")}
+    kept = docs.select(*[v.alias(k) for k, v in keys.items()], F.struct("*").alias("_row"))
+    kept = kept.join(rows.where("not _stays").select("_id", "_sub"), ["_id", "_sub"], "left_anti")
+    copies = rows.where("_stays and _n > 1").select("_id", "_sub", "_n")
+    if copies.isEmpty():
+        return kept.select("_row.*")
+    place = F.row_number().over(Window.partitionBy("_id", "_sub").orderBy("_sub"))
+    kept = kept.join(copies, ["_id", "_sub"], "left").withColumn("_place", place)
+    return kept.where("_n is null or _place = 1").select("_row.*")

@@ -353,3 +353,14 @@ def test_line_dedup_takes_rows_of_one_id_apart(spark):
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_dropped", "kept").collect()
     want = [(1, 1, 0, said), (7, 2, 1, own), (7, 2, 1, f"{own} too"), (7, 2, 1, f"{own} too"), (None, 2, 1, more), (None, 3, 1, f"{more} 2\n{more}"), (None, 1, 0, "")]
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_near_copies_are_dropped_row_by_row(spark):
+    r = random.Random(9)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(1, a), (5, b), (7, a + " end"), (7, c), (7, c), (8, d), (None, b + " end"), (None, e), (None, e + " end"), (None, e), (None, f), (None, d), (None, None), (None, " "), (9, ""), (9, "")]
+    want = [(1, a), (5, b), (7, c), (8, d), (None, f), (None, None), (None, " "), (9, ""), (9, "")]
+    got = [tuple(x) for x in jaccard_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    one = [x for x in got if x[0] is None and (x[1] or "").startswith(e)]
+    assert len(one) == 1 and sorted(map(repr, got)) == sorted(map(repr, want + one))
