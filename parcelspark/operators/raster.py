@@ -10,6 +10,9 @@ from parcelspark.operators.tables import cut
 
 c = F.col
 
+#: Windows along columns work on so many rows of the raster at a time.
+BLOCK = 1024
+
 #: Hue, saturation and value ranges of vegetation (low, high).
 GREENS = (
     ((35, 25, 25), (85, 255, 255)),
@@ -53,29 +56,42 @@ def reflected(df: DataFrame, axis: str, size: int, by: int) -> DataFrame:
     return df.withColumn(axis, F.explode(places))
 
 
+def blocked(df: DataFrame, halo: int) -> DataFrame:
+    """Rows of the raster in blocks (_block); those up to halo rows beyond a block's ends stand in it too. See unblocked."""
+    at = lambda y: F.floor(y / F.lit(BLOCK))
+    blocks = F.sequence(at(c("y") - halo), at(c("y") + halo))
+    return df.withColumn("_own", at(c("y"))).withColumn("_block", F.explode(blocks))
+
+
+def unblocked(df: DataFrame) -> DataFrame:
+    return df.where(c("_block") == c("_own")).drop("_block", "_own")
+
+
 def box_sums(df: DataFrame, sizes: dict[str, int], half: int, *values: str, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """Sums over the square of side 2 half + 1 around each pixel, mirrored at the border."""
     for axis in axes:
         other = "y" if axis == "x" else "x"
-        w = Window.partitionBy(other).orderBy(axis).rowsBetween(-half, half)
+        w = Window.partitionBy(other, *["_block"] * (axis == "y")).orderBy(axis).rowsBetween(-half, half)
         df = reflected(df, axis, sizes[axis], half)
+        df = blocked(df, half) if axis == "y" else df
         df = df.withColumns({v: F.sum(v).over(w) for v in values}).where(c(axis).between(0, sizes[axis] - 1))
+        df = unblocked(df) if axis == "y" else df
     return df
 
 
 def cross(df: DataFrame, value: str, pick, name: str) -> DataFrame:
     """pick (F.max: dilate, F.min: erode) over a pixel and its four neighbours; the border has fewer."""
-    row = Window.partitionBy("y").orderBy("x").rowsBetween(-1, 1)
-    column = Window.partitionBy("x").orderBy("y").rowsBetween(-1, 1)
+    row = Window.partitionBy("y", "_block").orderBy("x").rowsBetween(-1, 1)
+    column = Window.partitionBy("x", "_block").orderBy("y").rowsBetween(-1, 1)
     both = (F.greatest if pick is F.max else F.least)(pick(value).over(row), pick(value).over(column))
-    return df.withColumn(name, both)
+    return unblocked(blocked(df, 1).withColumn(name, both))
 
 
 def owner_edges(df: DataFrame, owner: str) -> DataFrame:
     """edge: the owner differs from that of the pixel to the left or above."""
-    left = F.lag(owner).over(Window.partitionBy("y").orderBy("x"))
-    above = F.lag(owner).over(Window.partitionBy("x").orderBy("y"))
-    return df.withColumn("edge", F.coalesce(left != c(owner), F.lit(False)) | F.coalesce(above != c(owner), F.lit(False)))
+    left = F.lag(owner).over(Window.partitionBy("y", "_block").orderBy("x"))
+    above = F.lag(owner).over(Window.partitionBy("x", "_block").orderBy("y"))
+    return unblocked(blocked(df, 1).withColumn("edge", F.coalesce(left != c(owner), F.lit(False)) | F.coalesce(above != c(owner), F.lit(False))))
 
 
 def squared_distance(df: DataFrame, source: Column, reach: int) -> DataFrame:
@@ -83,10 +99,10 @@ def squared_distance(df: DataFrame, source: Column, reach: int) -> DataFrame:
 
     Exact in two passes: distance within the column by windows, then the best column of the row within reach.
     """
-    down = Window.partitionBy("x").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy("x").orderBy("y").rowsBetween(0, Window.unboundedFollowing)
+    down = Window.partitionBy("x", "_block").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy("x", "_block").orderBy("y").rowsBetween(0, Window.unboundedFollowing)
     at = F.when(source, c("y"))
-    col = df.withColumn("_g", F.least(c("y") - F.last(at, True).over(down), F.first(at, True).over(up) - c("y"))).where(c("_g") <= reach)
+    col = unblocked(blocked(df, reach).withColumn("_g", F.least(c("y") - F.last(at, True).over(down), F.first(at, True).over(up) - c("y")))).where(c("_g") <= reach)
     steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
     best = col.select("y", "x", "_g", steps.alias("_d")).groupBy("y", (c("x") + c("_d")).alias("x")).agg(F.min(c("_g") * c("_g") + c("_d") * c("_d")).alias("d2"))
     return df.join(best.where(c("d2") <= reach * reach), ["y", "x"], "left")

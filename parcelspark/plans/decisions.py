@@ -1,5 +1,7 @@
 """Queries of the front/back decisions: directions, sides, corrections and placement."""
 
+from functools import partial
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from parcelspark.functions import geo
 from parcelspark.operators import raster as R
 from parcelspark.operators import spatial
 from parcelspark.plans import vector as X
-from parcelspark.plans.raster import EXG, P64, components_sql, px64
+from parcelspark.plans.raster import EXG, P64, components_sql, px64, size
 from parcelspark.sources import views as V
 from parcelspark.sources.views import oracle
 
@@ -136,29 +138,29 @@ def geocode_cascade(spark, d):
     return df.select("id", how.alias("strategy"), F.coalesce("o_lat", "s_lat", F.lit(53.35)).alias("lat"))
 
 
-def driveway_override(spark, d):
+def driveway_override(spark, d, rows=64):
     """Ground of a class within 5 pixels of a driveway is front."""
-    df = R.squared_distance(px64(spark, d), c("r") + c("b") > 340, 5)
+    df = R.squared_distance(px64(spark, d, rows), c("r") + c("b") > 340, 5)
     kind = F.when(c("g") < 100, 0).when(c("d2").isNotNull() & (c("d2") < 25), 1).when(c("g") > 140, 2).otherwise(3)
     return df.select("y", "x", kind.alias("class"))
 
 
-def shade_recovery(spark, d):
+def shade_recovery(spark, d, rows=64):
     """Dark pixels with more than 15 % vegetation in the 51 x 51 square around them, not vegetation, building or road themselves."""
-    df = px64(spark, d).withColumn("n", (R.excess_green() > 0.1).cast("long"))
-    ratio = R.box_sums(df.select("y", "x", "n"), {"x": 64, "y": 64}, 25, "n").select("y", "x", c("n").alias("near"))
+    df = px64(spark, d, rows).withColumn("n", (R.excess_green() > 0.1).cast("long"))
+    ratio = R.box_sums(df.select("y", "x", "n"), size(spark, d, rows), 25, "n").select("y", "x", c("n").alias("near"))
     return df.join(ratio, ["y", "x"]).where((c("n") == 0) & (c("near") > 0.15 * 2601) & (c("r") <= 190) & (c("b") <= 190) & (R.gray() < 120)).select("y", "x")
 
 
-def property_zones(spark, d):
+def property_zones(spark, d, rows=64):
     """4-connected zones of what is no barrier, and the (owner, zone) pairs that touch; owners are tiles of 16 x 16 pixels."""
-    zones = R.components(px64(spark, d).where("g <= 100").select("y", "x"))
+    zones = R.components(px64(spark, d, rows).where("g <= 100").select("y", "x"))
     return zones.select((F.floor(c("y") / 16) * 4 + F.floor(c("x") / 16)).cast("long").alias("owner"), c("label").alias("zone")).distinct()
 
 
-def claim_disc(spark, d):
+def claim_disc(spark, d, rows=64):
     """Pixels within 5 of a placed pin; pins stand where red is above 215."""
-    return R.squared_distance(px64(spark, d), c("r") > 215, 5).where("d2 is not null").select("y", "x", c("d2").cast("long").alias("d2"))
+    return R.squared_distance(px64(spark, d, rows), c("r") > 215, 5).where("d2 is not null").select("y", "x", c("d2").cast("long").alias("d2"))
 
 
 def grass_ladder(spark, d):
@@ -207,4 +209,4 @@ ORACLES = {
     "claim_disc": oracle("px", "SELECT p.y, p.x, min((p.y - s.y) * (p.y - s.y) + (p.x - s.x) * (p.x - s.x)) AS d2 FROM p JOIN p s ON s.r > 215 AND (p.y - s.y) * (p.y - s.y) + (p.x - s.x) * (p.x - s.x) <= 25 GROUP BY p.y, p.x", P64),
     "grass_ladder": oracle("pin", "SELECT building_id, pin_id, tier::INT AS tier FROM (SELECT p.building_id, s.pin_id, CASE WHEN to_edge >= 4.5 AND garden_m2 >= 5 AND density > 0.1::DOUBLE THEN 1 WHEN garden_m2 >= 5 AND density > 0.1::DOUBLE THEN 2 WHEN density > 0.05::DOUBLE THEN 3 ELSE 4 END AS tier FROM s JOIN pin p USING (pin_id) WHERE s.surface_type = 'grass') QUALIFY tier = min(tier) OVER (PARTITION BY building_id)", X.SCORE_IN),
 }
-QUERIES = {n: globals()[n] for n in ORACLES} | {"greedy_claims": greedy_claims}
+QUERIES = {n: globals()[n] for n in ORACLES} | {"greedy_claims": greedy_claims} | {f"whole_{n}": partial(globals()[n], rows=None) for n in ("driveway_override", "shade_recovery", "property_zones", "claim_disc")}

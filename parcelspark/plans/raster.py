@@ -1,5 +1,7 @@
 """Queries over the pixel tables."""
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from parcelspark.operators import raster as R
@@ -7,11 +9,15 @@ from parcelspark.sources import views as V
 from parcelspark.sources.views import oracle
 
 c = F.col
-SIZE64 = {"x": 64, "y": 64}
 
 
-def px64(spark, d):
-    return V.pixels(spark, d, 64)
+def px64(spark, d, rows=64):
+    """The first rows of the raster, 64 pixels wide; all of them for None."""
+    return V.pixels(spark, d, rows)
+
+
+def size(spark, d, rows=64):
+    return {"x": 64, "y": rows or (V.table(spark, d, "embeddings").agg(F.max("vec_id")).first()[0] or 0) + 1}
 
 
 def hsv_convert(spark, d):
@@ -37,36 +43,36 @@ def box_mean_11(spark, d):
     return df.select("y", "x", F.round(c("g") / 11, 6).alias("mean"))
 
 
-def _cv(spark, d):
-    df = px64(spark, d).select("y", "x", c("g").cast("long").alias("g"), (c("g") * c("g")).cast("long").alias("q"))
-    df = R.box_sums(df, SIZE64, 5, "g", "q")
+def _cv(spark, d, rows=64):
+    df = px64(spark, d, rows).select("y", "x", c("g").cast("long").alias("g"), (c("g") * c("g")).cast("long").alias("q"))
+    df = R.box_sums(df, size(spark, d, rows), 5, "g", "q")
     mean = c("g") / 121
     return df.select("y", "x", (F.sqrt(F.greatest(F.lit(0.0), c("q") / 121 - mean * mean)) / F.greatest(mean, F.lit(1.0))).alias("cv"))
 
 
-def local_cv(spark, d):
-    return _cv(spark, d).select("y", "x", F.round("cv", 5).alias("cv"))
+def local_cv(spark, d, rows=64):
+    return _cv(spark, d, rows).select("y", "x", F.round("cv", 5).alias("cv"))
 
 
-def cv_median_split(spark, d):
-    df = _cv(spark, d).withColumn("cv", F.round("cv", 5))
+def cv_median_split(spark, d, rows=64):
+    df = _cv(spark, d, rows).withColumn("cv", F.round("cv", 5))
     limit = df.agg(F.least(F.lit(0.5), F.greatest(F.lit(0.05), F.percentile("cv", 0.5))).alias("threshold"))
     return df.crossJoin(limit).groupBy("threshold").agg(F.count_if(c("cv") < c("threshold")).alias("grass"), F.count_if(c("cv") >= c("threshold")).alias("tree"))
 
 
-def veg_ratio_51(spark, d):
-    df = px64(spark, d).select("y", "x", (R.excess_green() > 0.1).cast("long").alias("n"))
-    return R.box_sums(df, SIZE64, 25, "n").select("y", "x", F.round(c("n") / 2601, 6).alias("ratio"))
+def veg_ratio_51(spark, d, rows=64):
+    df = px64(spark, d, rows).select("y", "x", (R.excess_green() > 0.1).cast("long").alias("n"))
+    return R.box_sums(df, size(spark, d, rows), 25, "n").select("y", "x", F.round(c("n") / 2601, 6).alias("ratio"))
 
 
-def owner_edges(spark, d):
-    df = px64(spark, d).withColumn("owner", F.floor(c("r") / 64) + 4 * F.floor(c("b") / 128))
+def owner_edges(spark, d, rows=64):
+    df = px64(spark, d, rows).withColumn("owner", F.floor(c("r") / 64) + 4 * F.floor(c("b") / 128))
     return R.owner_edges(df, "owner").where("edge").select("y", "x")
 
 
-def owner_voronoi(spark, d):
+def owner_voronoi(spark, d, rows=64):
     """Each pixel of a 64 x 64 raster to the nearest of its seeds (bright red pixels of every eighth row), smaller seed on ties."""
-    df = px64(spark, d)
+    df = px64(spark, d, rows)
     seeds = df.where((c("r") > 150) & (c("y") % 8 == 0)).select(c("y").alias("sy"), c("x").alias("sx"))
     grid = seeds.withColumn("dy", F.explode(F.sequence(F.lit(-12), F.lit(12)))).withColumn("dx", F.explode(F.sequence(F.lit(-12), F.lit(12))))
     near = grid.select((c("sy") + c("dy")).alias("y"), (c("sx") + c("dx")).alias("x"), (c("dy") * c("dy") + c("dx") * c("dx")).alias("d2"), "sy", "sx").where("d2 <= 144")
@@ -74,46 +80,46 @@ def owner_voronoi(spark, d):
     return df.join(best, ["y", "x"]).select("y", "x", c("m.sy").alias("sy"), c("m.sx").alias("sx"), c("m.d2").cast("long").alias("d2"))
 
 
-def edt_small(spark, d):
-    return R.squared_distance(px64(spark, d), c("g") > 190, 20).select("y", "x", c("d2").cast("long").alias("d2"))
+def edt_small(spark, d, rows=64):
+    return R.squared_distance(px64(spark, d, rows), c("g") > 190, 20).select("y", "x", c("d2").cast("long").alias("d2"))
 
 
-def erode_dilate(spark, d):
-    df = px64(spark, d).select("y", "x", (c("g") > 128).cast("int").alias("m"))
+def erode_dilate(spark, d, rows=64):
+    df = px64(spark, d, rows).select("y", "x", (c("g") > 128).cast("int").alias("m"))
     return R.cross(R.cross(df, "m", F.min, "eroded"), "m", F.max, "dilated").select("y", "x", "eroded", "dilated")
 
 
-def open_close(spark, d):
-    df = px64(spark, d).select("y", "x", (c("g") > 128).cast("int").alias("m"))
+def open_close(spark, d, rows=64):
+    df = px64(spark, d, rows).select("y", "x", (c("g") > 128).cast("int").alias("m"))
     df = R.cross(R.cross(df, "m", F.min, "e"), "m", F.max, "f")
     return R.cross(R.cross(df, "e", F.max, "opened"), "f", F.min, "closed").select("y", "x", "opened", "closed")
 
 
-def _mask(spark, d):
-    return px64(spark, d).where("g > 150").select("y", "x")
+def _mask(spark, d, rows=64):
+    return px64(spark, d, rows).where("g > 150").select("y", "x")
 
 
-def components_4(spark, d):
-    return R.components(_mask(spark, d)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+def components_4(spark, d, rows=64):
+    return R.components(_mask(spark, d, rows)).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def components_8(spark, d):
-    return R.components(_mask(spark, d), eight=True).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+def components_8(spark, d, rows=64):
+    return R.components(_mask(spark, d, rows), eight=True).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fill_holes(spark, d):
-    return R.holes(px64(spark, d).withColumn("m", c("g") > 100), "m", 64, 64)
+def fill_holes(spark, d, rows=64):
+    return R.holes(px64(spark, d, rows).withColumn("m", c("g") > 100), "m", *size(spark, d, rows).values())
 
 
-def surface_precedence(spark, d):
-    df = px64(spark, d)
+def surface_precedence(spark, d, rows=64):
+    df = px64(spark, d, rows)
     kind = F.when(c("r") > 190, "building").when(c("b") > 190, "road").when(c("r") + c("b") > 300, "driveway").when(R.excess_green() > 0.1, "grass").when((R.excess_green() > 0.005) & (c("g") > 120), "grass").when(c("r") < 70, "car_parking").otherwise("paved")
     return df.select("y", "x", kind.alias("surface"))
 
 
-def spatial_mask_20m(spark, d):
+def spatial_mask_20m(spark, d, rows=64):
     """Ground within 12 pixels of a building pixel, less buildings and roads."""
-    df = R.squared_distance(px64(spark, d), c("r") > 190, 12)
+    df = R.squared_distance(px64(spark, d, rows), c("r") > 190, 12)
     return df.where(c("d2").isNotNull() & (c("r") <= 190) & (c("b") <= 190)).select("y", "x", c("d2").cast("long").alias("d2"))
 
 
@@ -170,4 +176,6 @@ ORACLES = {
     "surface_precedence": oracle("px", f"SELECT y, x, CASE WHEN r > 190 THEN 'building' WHEN b > 190 THEN 'road' WHEN r + b > 300 THEN 'driveway' WHEN {EXG} > 0.1::DOUBLE THEN 'grass' WHEN {EXG} > 0.005::DOUBLE AND g > 120 THEN 'grass' WHEN r < 70 THEN 'car_parking' ELSE 'paved' END AS surface FROM p", P64),
     "spatial_mask_20m": oracle("px", "SELECT p.y, p.x, min((p.y - s.y) * (p.y - s.y) + (p.x - s.x) * (p.x - s.x)) AS d2 FROM p JOIN p s ON s.r > 190 AND (p.y - s.y) * (p.y - s.y) + (p.x - s.x) * (p.x - s.x) <= 144 WHERE p.r <= 190 AND p.b <= 190 GROUP BY p.y, p.x", P64),
 }
-QUERIES = {n: globals()[n] for n in ORACLES}
+WHOLE = "local_cv cv_median_split veg_ratio_51 owner_edges owner_voronoi edt_small erode_dilate open_close components_4 components_8 fill_holes surface_precedence spatial_mask_20m".split()
+#: The queries whose SQL reads the first 64 rows only, over all rows; the tests compare them on a small raster.
+QUERIES = {n: globals()[n] for n in ORACLES} | {f"whole_{n}": partial(globals()[n], rows=None) for n in WHOLE}

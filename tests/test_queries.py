@@ -50,3 +50,28 @@ def test_claims_keep_their_distance(spark):
     assert all((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 > 25 for g in groups.values() for i, a in enumerate(g) for b in g[:i])
     first = at.reset_index().merge(placed.toPandas(), on="pin_id")
     assert len(first) == placed.count() > 100
+
+
+@pytest.fixture(scope="module")
+def tall(tmp_path_factory):
+    """A raster of 90 rows."""
+    path = tmp_path_factory.mktemp("tall")
+    duckdb.sql(f"COPY (SELECT * FROM '{SF.replace('sf0.001', 'sf0.01')}/embeddings.parquet' WHERE vec_id < 90) TO '{path}/embeddings.parquet' (FORMAT parquet)")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", sorted(n for n in catalogue.QUERIES if n.startswith("whole_")))
+def test_whole_raster(spark, tall, name, monkeypatch):
+    """Against the query's SQL with the height of 64 rows replaced by that of the raster."""
+    from parcelspark.operators import raster
+
+    monkeypatch.setattr(raster, "BLOCK", 16)
+    sql = catalogue.ORACLES[name.removeprefix("whole_")].replace("y < 64", "true").replace("id // 1048576 IN (0, 63)", "id // 1048576 IN (0, 89)")
+    sql = sql.replace("p.y + i >= 64 THEN 2 * 64 - 1", "p.y + i >= 90 THEN 179").replace("p.y + i >= 64 THEN 127", "p.y + i >= 90 THEN 179")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tall}/embeddings.parquet'")
+    found = con.execute(sql)
+    columns = [x[0] for x in found.description]
+    want = sorted((tuple(plain(v) for v in row) for row in found.fetchall()), key=repr)
+    got = sorted((tuple(plain(v) for v in row) for row in catalogue.QUERIES[name](spark, tall).select(*columns).collect()), key=repr)
+    assert got == want and len(want) > 0
