@@ -38,6 +38,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def hash_pair(value: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes. The number goes first: after the value it would only be hashed with the value's hash as its seed."""
+    return F.xxhash64(value), F.xxhash64(F.lit(7), value)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import cut
+from parcelspark.llm.common import cut, hash_pair
 from parcelspark.llm.components import components
 
 LAST = (1 << 63) - 1
@@ -111,7 +111,8 @@ def link_vectors(vectors: DataFrame, at_least: float = 0.95, near: int = 8, shar
     rows = vectors.select(F.coalesce("vec_id", F.lit(LAST)).cast("long").alias("_id"), F.transform("embedding", lambda x: x.cast("double") + 0.0).alias("vector"))
     ok = F.exists("vector", lambda x: x != 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.withColumn("_ok", F.coalesce(ok, F.lit(False)))
-    keyed = rows.where("_ok").withColumn("_k", F.struct(F.xxhash64("vector").alias("a"), F.xxhash64("vector", F.lit(7)).alias("b")))
+    a, b = hash_pair(F.col("vector"))
+    keyed = rows.where("_ok").withColumn("_k", F.struct(a.alias("a"), b.alias("b")))
     entries = cut(keyed.groupBy("_k").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector")))
     low, high, each = PIVOTS
     wanted = max(low, min(high, entries.count() // each))

@@ -6,7 +6,7 @@ that a third of all documents hold sends one row from each task. Repeated keys a
 hot key of that join at run time. What travels to the documents is only the positions to drop. They travel by doc_id and a 64-bit
 hash of the text, so rows of one doc_id, or of none, keep their own lines; rows that agree in both lose the same ones.
 
-The hash is 128 bits wide (two seeds of a 64-bit hash), so that 10^12 distinct lines don't collide.
+The hash is 128 bits wide (a 64-bit hash of the key, and one that a number before the key gives another seed), so that 10^12 distinct lines don't collide.
 
 Defined results: null or empty text is one empty line and stays; null doc_ids count as one document, after all others; rows with
 the same doc_id are one document as to counting, so a line of one never drops that of another; an empty table gives an empty table; other
@@ -16,7 +16,7 @@ columns are carried along. Lines whose key has fewer than min_chars code points
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import SPACES, ascii_lower
+from parcelspark.llm.common import SPACES, ascii_lower, hash_pair
 
 LAST = (1 << 63) - 1
 
@@ -26,7 +26,8 @@ def _lines(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
     lines = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), F.xxhash64(text).alias("_sub"), F.posexplode(split).alias("_pos", "_line"))
     lines = lines.where(F.length("_line") >= min_chars).withColumn("_key", F.trim("_line", F.lit(SPACES)))
     lines = lines.where(F.length("_key") >= min_chars).withColumn("_key", ascii_lower(F.col("_key")))
-    return lines.select("_id", "_sub", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64("_key", F.lit(7)).alias("_h2"))
+    h1, h2 = hash_pair(F.col("_key"))
+    return lines.select("_id", "_sub", "_pos", h1.alias("_h1"), h2.alias("_h2"))
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:

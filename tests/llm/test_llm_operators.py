@@ -364,3 +364,12 @@ def test_near_copies_are_dropped_row_by_row(spark):
     got = [tuple(x) for x in jaccard_join.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
     one = [x for x in got if x[0] is None and (x[1] or "").startswith(e)]
     assert len(one) == 1 and sorted(map(repr, got)) == sorted(map(repr, want + one))
+
+
+def test_second_hash_does_not_follow_from_the_first(spark):
+    """xxhash64(key, 7) is a function of xxhash64(key), so lines that collide in the one would in the other."""
+    one = spark.createDataFrame([(1, "A line of some length")], "doc_id long, text string")
+    got = line_dedup._lines(one, "text", 10).select("_h1", "_h2").first()
+    key = "a line of some length"
+    chained = one.select(F.xxhash64(F.lit(key)), F.xxhash64(F.lit(key), F.lit(7))).first()
+    assert got["_h1"] == chained[0] and got["_h2"] != chained[1]
