@@ -4,25 +4,30 @@ A record is
 
     u64 length | u32 masked CRC-32 of those 8 bytes | payload | u32 masked CRC-32 of the payload | newline
 
-and a payload is i64 doc_id | u8 (1: doc_id is null) | u32 count | count x u16 ids, all little-endian. The masking rotates a
-checksum right by 15 bits and adds a constant, so that data which hold checksums of their own don't verify by accident. The
-final newline is Spark's own record end: the frames are written by Spark's writer, so tasks commit whole files, a lost
-executor leaves none behind, and any store that Spark can write to will do.
+and a payload is i64 doc_id | u8 (1: doc_id is null) | u8 bytes an id (2 or 4) | u32 count | count x ids, all little-endian. Ids
+take two bytes where the whole vocabulary fits, else four. The masking rotates a checksum right by 15 bits and adds a constant,
+so that data which hold checksums of their own don't verify by accident. The final newline is Spark's own record end: the frames
+are written by Spark's writer, so tasks commit whole files, a lost executor leaves none behind, and any store that Spark can
+write to will do.
 
-Documents are range-partitioned by doc_id, so file order and order within a file give the ascending order of the whole; a
-file holds about `shard_bytes` of text. The index is made by reading the files back and checking every checksum; it has a
-row for each record with file, offset and length, for reads in any order.
+Documents are range-partitioned by doc_id and a hash of the text, so file order and order within a file give the ascending order of
+the whole; a file holds about `shard_bytes` of text, also where many rows have the same doc_id or none. The index is made by reading
+the files back and checking every checksum; it has a row for each record with file, offset and length. Shuffled reads look
+records up by offset: a file is read once, and only the wanted records are taken out of it.
 
-A text's ids are those of its chunks between ASCII white space: the tokenizer has to be one that drops white space, lower-cases
-and never merges across white space or from letters or digits to punctuation. Each task so encodes a distinct chunk once and
-keeps it, within a bound.
+Every text goes to the tokenizer whole, in batches of bounded size. The tokenizer's definition travels to the tasks by
+broadcast; it has the size of its vocabulary, which is checked.
 
 Defined results: a null or empty text has only the end id; null doc_ids come first; rows with the same doc_id are separate
-records, in no set order; an empty table gives an empty index; other columns are left behind.
+records, in the order of a 64-bit hash of their text; a very long text is one record, encoded in one piece (a tokenizer may merge
+across any place), so a task needs memory for its longest text; an empty table gives an empty index; other columns, whatever
+their names, are left behind.
 """
 
+import os
 import struct
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -32,9 +37,11 @@ from pyspark.sql import functions as F
 from parcelspark.llm.common import parts_for, text_bytes
 
 MASK = 0xA282EAD8
-HOLDS, HOLDS_SIZE = "<qBI", struct.calcsize("<qBI")
+HOLDS, HOLDS_SIZE = "<qBBI", struct.calcsize("<qBBI")
 END_ID = 1
-MARK = "|"
+#: Characters that go to the tokenizer at a time (a longer text goes alone), and the largest tokenizer definition that is broadcast.
+TOGETHER = 1 << 18
+MOST_DEFINITION = 256 << 20
 INDEX = "shard int, path string, offset long, length long, doc_id long, n_tokens long, ids_crc32 long, before long"
 
 
@@ -43,81 +50,58 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: bytes) -> bytes:
-    payload = struct.pack(HOLDS, doc_id or 0, doc_id is None, len(ids) // 2) + ids
+def frame(doc_id: int | None, ids: bytes, width: int = 2) -> bytes:
+    payload = struct.pack(HOLDS, doc_id or 0, doc_id is None, width, len(ids) // width) + ids
     length = struct.pack("<Q", len(payload))
     return length + struct.pack("<I", masked(length)) + payload + struct.pack("<I", masked(payload))
 
 
+def record(data: bytes, at: int):
+    """Payload length, doc_id and ids of the record at a byte; raises where a checksum fails."""
+    length, crc = struct.unpack_from("<QI", data, at)
+    payload = data[at + 12 : at + 12 + length]
+    if crc != masked(data[at : at + 8]) or struct.unpack_from("<I", data, at + 12 + length)[0] != masked(payload):
+        raise ValueError(f"corrupt record at byte {at}")
+    doc_id, none, width, n = struct.unpack_from(HOLDS, payload)
+    return length, None if none else doc_id, np.frombuffer(payload, f"<u{width}", n, HOLDS_SIZE)
+
+
 def records(data: bytes):
-    """Offset, payload length, doc_id and ids (16-bit, as bytes) of each record; raises where a checksum fails."""
+    """Offset, payload length, doc_id and ids of each record."""
     at = 0
     while at < len(data):
-        length, crc = struct.unpack_from("<QI", data, at)
-        payload = data[at + 12 : at + 12 + length]
-        if crc != masked(data[at : at + 8]) or struct.unpack_from("<I", data, at + 12 + length)[0] != masked(payload):
-            raise ValueError(f"corrupt record at byte {at}")
-        doc_id, none, n = struct.unpack_from(HOLDS, payload)
-        yield at, length, None if none else doc_id, payload[HOLDS_SIZE : HOLDS_SIZE + 2 * n]
+        length, doc_id, ids = record(data, at)
+        yield at, length, doc_id, ids
         at += 12 + length + 4 + 1
 
 
-def chunks(text: str | None) -> list[bytes]:
-    """The text between ASCII white space. A-Z are lower-cased, as the tokenizer does, but not where special tokens, which know
-    case, may stand."""
-    data = (text or "").encode()
-    return data.split() if b"<|" in data else data.lower().split()
-
-
-def stem(chunk: bytes) -> bytes | None:
-    """The chunk without its full stop or comma, where that follows an ASCII letter or digit and so is a piece by itself."""
-    return chunk[:-1] if chunk[-1:] in b".," and chunk[-2:-1].isalnum() else None
-
-
-def encode_words(tokenizer, words: list[bytes], mark: str) -> list[bytes]:
-    """Ids of each word, as little-endian 16-bit integers. The words go to the tokenizer as one text with `mark` between
-    them, a character of a single id; words that hold it themselves go alone."""
-    out = []
-    (mark_id,) = tokenizer.encode(mark, add_special_tokens=False).ids
-    for i in range(0, len(words), 8192):
-        some = [w.decode() for w in words[i : i + 8192]]
-        odd = {k: tokenizer.encode(w, add_special_tokens=False).ids for k, w in enumerate(some) if mark in w}
-        joined = f" {mark} ".join(["" if k in odd else w for k, w in enumerate(some)] if odd else some)
-        ids = np.asarray(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u2")
-        ends = np.append(np.flatnonzero(ids == mark_id), len(ids)).tolist()
-        raw, at = ids.tobytes(), 0
-        for k, end in enumerate(ends):
-            out.append(np.asarray(odd[k], "<u2").tobytes() if k in odd else raw[2 * at : 2 * end])
-            at = end + 1
-    return out
+def together(texts: list[str]):
+    """The texts in lists of about TOGETHER characters."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= TOGETHER:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
-def learn(known: dict[bytes, bytes], tokenizer, words: set[bytes], mark: str) -> None:
-    """Adds the ids of the words to the known ones."""
-    missing = [w for w in words if w not in known]
-    stems = {w: stem(w) for w in missing}
-    new = list({s or w for w, s in stems.items()}.union(b".,"[i : i + 1] for i in range(2)).difference(known))
-    known.update(zip(new, encode_words(tokenizer, new, mark), strict=True))
-    known.update((w, known[s] + known[w[-1:]]) for w, s in stems.items() if s)
-
-
-def _encoder(path: str, end_id: int, keep: int, mark: str):
+def _encoder(shared, end_id: int):
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        tokenizer, known = Tokenizer.from_file(path), {}
-        if tokenizer.get_vocab_size() > 1 << 16:
-            raise ValueError("ids are stored in 16 bits")
-        end = struct.pack("<H", end_id)
+        tokenizer = Tokenizer.from_str(shared.value)
+        width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         for batch in batches:
-            ids, none = batch["doc_id"].tolist(), batch["doc_id"].isna().tolist()
-            for i in range(0, len(batch), 1000):
-                texts = [chunks(t) for t in batch["text"].iloc[i : i + 1000]]
-                learn(known, tokenizer, {w for words in texts for w in words}, mark)
-                frames = [frame(None if x else int(d), b"".join(map(known.__getitem__, words)) + end) for d, x, words in zip(ids[i : i + 1000], none[i : i + 1000], texts, strict=True)]
+            docs = zip(batch["doc_id"].tolist(), batch["doc_id"].isna().tolist(), strict=True)
+            for texts in together([t or "" for t in batch["text"]]):
+                frames = []
+                for e, (d, none) in zip(tokenizer.encode_batch_fast(texts, add_special_tokens=False), docs, strict=False):
+                    frames.append(frame(None if none else int(d), np.array([*e.ids, end_id], f"<u{width}").tobytes(), width))
                 yield pd.DataFrame({"frame": frames})
-                if len(known) > keep:
-                    known.clear()
 
     return run
 
@@ -127,8 +111,8 @@ def _parse(batches):
         for shard, path, data in zip(batch["shard"], batch["path"], batch["content"], strict=True):
             rows, before = [], 0
             for at, length, doc_id, ids in records(data):
-                rows.append((shard, path, at, length, doc_id, len(ids) // 2, zlib.crc32(np.frombuffer(ids, "<u2").astype("<u4").tobytes()), before))
-                before += len(ids) // 2
+                rows.append((shard, path, at, length, doc_id, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), before))
+                before += len(ids)
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in INDEX.split(", ")])
             yield out.astype({"doc_id": "Int64"})
 
@@ -138,13 +122,17 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "path", "content")
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_bytes: int = 32 << 20, keep: int = 600_000, mark: str = MARK) -> DataFrame:
-    """Writes path/records and path/index and returns the index."""
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_bytes: int = 32 << 20) -> DataFrame:
+    """Writes path/records and path/index and returns the index. tokenizer: the file of its definition, read by the driver."""
     spark = docs.sparkSession
+    definition = Path(tokenizer).read_text(encoding="utf-8")
+    if len(definition) > MOST_DEFINITION:
+        raise ValueError(f"the tokenizer's definition has {len(definition)} characters, more than {MOST_DEFINITION} to broadcast")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = parts_for(spark, text_bytes(docs), shard_bytes)
-    ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    frames = ordered.mapInPandas(_encoder(tokenizer, end_id, keep, mark), "frame binary")
+    order = "doc_id", F.xxhash64("text")
+    ordered = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    frames = ordered.mapInPandas(_encoder(spark.sparkContext.broadcast(definition), end_id), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.text(f"{path}/records")
     _files(spark, path).mapInPandas(_parse, INDEX).write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
@@ -158,15 +146,19 @@ def offsets(index: DataFrame) -> DataFrame:
     return index.join(files, "shard").withColumn("start", F.col("_start") + F.col("before")).drop("_start")
 
 
-def read_records(spark: SparkSession, path: str, seed: int | None = None) -> DataFrame:
-    """doc_id and ids of each record, found through the index; with a seed in an order that it shuffles."""
-    index = spark.read.parquet(f"{path}/index").drop("path")
-    skip, wide = 12 + HOLDS_SIZE, F.col("n_tokens") * 2
-    out = index.join(_files(spark, path), "shard").select("doc_id", "n_tokens", F.substring("content", F.col("offset").cast("int") + skip + 1, wide.cast("int")).alias("raw"), F.xxhash64("shard", "offset", F.lit(seed or 0)).alias("_order"))
-
-    @F.pandas_udf("array<long>")
-    def ids(raw: pd.Series) -> pd.Series:
-        return raw.map(lambda b: np.frombuffer(b, "<u2").astype(np.int64))
-
-    out = out.orderBy("_order") if seed is not None else out
-    return out.select("doc_id", ids("raw").alias("ids"))
+def _wanted(batches):
+    """The records of a file that stand at the wanted offsets."""
+    for batch in batches:
+        for shard, data, wanted in zip(batch["shard"], batch["content"], batch["wanted"], strict=True):
+            found = [record(data, int(at))[1:] for at in wanted]
+            yield pd.DataFrame({"at": wanted, "doc_id": pd.array([d for d, _ in found], "Int64"), "ids": [x.astype(np.int64) for _, x in found], "shard": shard})
+
+
+def read_records(spark: SparkSession, path: str, seed: int | None = None, index: DataFrame | None = None) -> DataFrame:
+    """doc_id and ids of each record of the index (default: all, or any part of it), by offset; with a seed in an order that it
+    shuffles."""
+    index = spark.read.parquet(f"{path}/index") if index is None else index
+    wanted = index.groupBy("shard").agg(F.collect_list("offset").alias("wanted"))  # as many as one file holds
+    found = _files(spark, path).join(wanted, "shard").select("shard", "content", "wanted").mapInPandas(_wanted, "at long, doc_id long, ids array<long>, shard int")
+    found = found.orderBy(F.xxhash64("shard", "at", F.lit(seed))) if seed is not None else found
+    return found.select("doc_id", "ids")

@@ -171,28 +171,52 @@ def test_decontamination(spark, docs, rows, empty, clash, repeated):
     assert decontaminate.find_items(repeated, none).where("n_hit > 0").count() == 0 and decontaminate.find_items(empty, bench).count() == 0
 
 
-def test_token_records(spark, docs, rows, empty, repeated):
+def whole_ids(rows, end_id=1):
+    """doc_id and text in record order: start, number of ids, checksum, ids."""
     from tokenizers import Tokenizer
 
-    tokenizer, start, want = Tokenizer.from_file(TOKENIZER), 0, {}
-    special = [(2000, "Don't <|endoftext|> a<|startoftext|>b <|ENDOFTEXT|>, it's U.S., 3,5. ok,", None, None, None), (2001, "é Å,x İ. 　wide space ,. a,", None, None, None)]
-    for d, t, *_ in sorted(rows + special):
-        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
-        want[d] = (start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()), ids)
+    tokenizer, start, want = Tokenizer.from_file(TOKENIZER), 0, []
+    for d, t in rows:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [end_id]
+        want.append((d, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()), ids))
         start += len(ids)
+    return want
+
+
+def test_token_records(spark, docs, rows, empty, clash):
+    special = [(2000, "Don't <|endoftext|> a<|startoftext|>b <|ENDOFTEXT|>, it's U.S., 3,5. ok,", None, None, None), (2001, "\u00e9 A\u030a,x \u0130. \u3000wide\u2003space ,. a,", None, None, None)]
+    want = whole_ids(sorted((r[0], r[1]) for r in rows + special))
     path = shared_path(spark, "t")
     index = token_records.write_records(docs.union(spark.createDataFrame(special, SCHEMA)), path, TOKENIZER, shard_bytes=4000)
     assert index.select("shard").distinct().count() > 1
-    assert by_id(token_records.offsets(index), "start", "n_tokens", "ids_crc32") == {d: w[:3] for d, w in want.items()}
+    assert sorted(map(tuple, token_records.offsets(index).select("doc_id", "start", "n_tokens", "ids_crc32").collect())) == [w[:4] for w in want]
     for seed in (None, 1):
-        assert {r["doc_id"]: r["ids"] for r in token_records.read_records(spark, path, seed).collect()} == {d: w[3] for d, w in want.items()}
+        assert {r["doc_id"]: r["ids"] for r in token_records.read_records(spark, path, seed).collect()} == {w[0]: w[4] for w in want}
+    some = token_records.read_records(spark, path, index=index.where("doc_id % 7 = 1")).collect()
+    assert {r["doc_id"]: r["ids"] for r in some} == {w[0]: w[4] for w in want if w[0] % 7 == 1}
+    assert token_records.write_records(clash, shared_path(spark, "t"), TOKENIZER).agg(F.sum("n_tokens")).first()[0] == sum(w[2] for w in want if w[0] < 2000)
     assert token_records.write_records(empty, shared_path(spark, "t"), TOKENIZER).count() == 0
-    assert token_records.write_records(repeated, shared_path(spark, "t"), TOKENIZER).count() == repeated.count()
+
+
+def test_token_records_of_shared_ids_and_long_texts(spark):
+    r = random.Random(2)
+    long = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9))) for _ in range(60_000))
+    df = spark.createDataFrame([*shared_ids(), (3, long)], "doc_id long, text string").repartition(3)
+    want = whole_ids([tuple(x) for x in df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()])
+    index = token_records.write_records(df, shared_path(spark, "t"), TOKENIZER, shard_bytes=100_000)
+    got = [tuple(x) for x in token_records.offsets(index).select("doc_id", "start", "n_tokens", "ids_crc32").collect()]
+    assert sorted(got, key=lambda x: x[1]) == [w[:4] for w in want]
+
+
+def test_ids_of_large_vocabularies_take_four_bytes():
+    data = token_records.frame(7, np.array([1, 70_000], "<u4").tobytes(), 4) + b"\n"
+    ((at, _, doc_id, ids),) = token_records.records(data)
+    assert (at, doc_id, ids.tolist()) == (0, 7, [1, 70_000])
 
 
 def test_damaged_records_are_refused():
     data = b"".join(token_records.frame(i, struct.pack("<3H", 1, 2, i)) + b"\n" for i in (5, 6))
-    assert [(r[2], r[3]) for r in token_records.records(data)] == [(i, struct.pack("<3H", 1, 2, i)) for i in (5, 6)]
+    assert [(r[2], r[3].tolist()) for r in token_records.records(data)] == [(i, [1, 2, i]) for i in (5, 6)]
     for at in (3, 9, 20, len(data) - 3):
         broken = bytearray(data)
         broken[at] ^= 1
