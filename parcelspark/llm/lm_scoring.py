@@ -6,15 +6,19 @@ there (n observations, d distinct), else the context escapes with d / (n + d) to
 longer ones have seen are excluded from all counts. Below the empty context all bytes left are equally likely. A text ends with an
 end symbol, so the probabilities of all texts sum to one; its code length is the sum over its bytes.
 
-The trie is never broadcast. Documents are dealt into blocks of bounded size. A block asks for the distinct contexts-with-byte and the
-distinct words that occur in it, giving its training counts along; requests meet by key and are summed up; the trie's
-probabilities are worked out where all contexts of the same last three bytes meet; the answers go back to the blocks that
-asked, where each block scores its texts from its own slice. Only the counts of the last three bytes go to all tasks: at most
-256^3 cells, whatever the corpus.
+The trie is never broadcast. Documents are dealt into blocks of bounded size. A block asks once for the distinct contexts-with-byte and
+the distinct words that occur in it, giving its training counts along. Requests that end in the same three context bytes meet in
+one task, which sums up their counts, works out the probabilities and answers each request; the answers go back to the blocks,
+where each scores its texts from its own slice. Heavy contexts, those of more than one in 2^14 of all training bytes, are dealt
+by their fourth byte too, so no task gets all of a frequent one.
+
+Two tables go to all tasks, both of bounded size whatever the corpus: the counts of three bytes (at most 256^3 cells) and the counts
+of the byte after each heavy context (at most 2^14 * 256).
 
 Defined results: a null or empty text has only the end token and the end symbol; a null doc_id is a training document; repeated rows are
-counted and scored each; with no training documents c, N and V are 0; an empty table gives an empty table; other columns are
-left behind.
+counted and scored each, and rows of one doc_id are told apart by nothing but their text; a very long text is one entry of its block,
+which needs some 40 bytes of memory a character of its longest text; with no training documents c, N and V are 0; an empty table gives
+an empty table; other columns, whatever their names, are left behind.
 """
 
 import numpy as np
@@ -31,6 +35,9 @@ BEFORE, END = 0xFE, 0xFF
 SYMBOLS = 256
 CHUNK = 1 << 20
 BLOCK_BYTES = 16 << 20
+#: A context of three bytes is heavy when it has more than this share of all training bytes.
+HEAVY = 1 / (1 << 14)
+LOW3 = (1 << 24) - 1
 
 
 def codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,8 +79,9 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def _word_hashes(text: str | None, roller: Roller) -> np.ndarray:
+    """One number a word, below 0; the numbers of contexts are 0 or more."""
     line, starts, ends = word_line(text, lower=True)
-    return roller.spans(roller.prefixes(line), starts, ends).view(np.int64) if len(starts) else np.zeros(0, np.int64)
+    return (roller.spans(roller.prefixes(line), starts, ends) | np.uint64(1 << 63)).view(np.int64) if len(starts) else np.zeros(0, np.int64)
 
 
 def _lowered(text: str | None) -> bytes:
@@ -101,7 +109,7 @@ class Tally:
 
 
 def _requests(g: pd.DataFrame) -> pd.DataFrame:
-    """kind (0: context with byte, 1: word), key and training count of all that occurs in the block."""
+    """key (a context with byte, or a word) and training count of all that occurs in the block."""
     roller, grams, words = Roller(), Tally(), Tally()
     for held, texts in g.groupby("held_out")["text"]:
         one = 0 if held else 1
@@ -111,8 +119,7 @@ def _requests(g: pd.DataFrame) -> pd.DataFrame:
             words.add(np.concatenate([_word_hashes(t, roller) for t in some]), one)
     grams.merge()
     words.merge()
-    kind = np.repeat(np.array([0, 1], np.int8), [len(grams.keys), len(words.keys)])
-    return pd.DataFrame({"kind": kind, "key": np.append(grams.keys, words.keys), "n": np.append(grams.counts, words.counts), "block": g["block"].iloc[0]})
+    return pd.DataFrame({"key": np.append(words.keys, grams.keys), "n": np.append(words.counts, grams.counts), "block": g["block"].iloc[0]})
 
 
 class Level:
@@ -148,70 +155,96 @@ def low_levels(keys: np.ndarray, counts: np.ndarray) -> list[Level]:
     return out
 
 
-def log_probabilities(keys: np.ndarray, counts: np.ndarray, low: list[Level]) -> np.ndarray:
-    """log10 probability of each byte in its context. keys: distinct, all of their last three context bytes."""
-    levels = list(low)
-    for order in range(3, ORDER + 1):
-        levels.append(Level(*summed([keys & ((1 << 8 * (order + 1)) - 1)], [counts]), levels[-1], order))
-    out, open_ = np.zeros(len(keys)), np.ones(len(keys), bool)
-    less_n = less_d = np.zeros(len(keys), np.int64)
-    for order in range(ORDER, -1, -1):
-        key = keys & ((1 << 8 * (order + 1)) - 1)
-        n, d, beneath = levels[order].of(key >> 8)
-        c = levels[order].count(key)
-        left = np.maximum(d - less_d, 0)
-        total = np.maximum(n - less_n + left, 1)
-        hit = open_ & (c > 0)
-        out[hit] += np.log10(c[hit] / total[hit])
-        open_ &= ~hit
-        passed = open_ & (left > 0)
-        out[passed] += np.log10(left[passed] / total[passed])
-        less_n, less_d = np.where(d > 0, beneath, 0), d
-    out[open_] -= np.log10(SYMBOLS - less_d[open_])
-    return out
+class Model:
+    """What all tasks know: the low levels, and the heavy contexts with the counts of the byte that follows."""
+
+    def __init__(self, cells: np.ndarray, counts: np.ndarray, heavy_keys: np.ndarray, heavy_counts: np.ndarray):
+        self.low = low_levels(cells, counts)
+        self.heavy_keys, self.heavy_counts = heavy_keys, heavy_counts
+        self.heavy = np.unique(heavy_keys >> 8)
+
+    def is_heavy(self, contexts: np.ndarray) -> np.ndarray:
+        return position(self.heavy, contexts)[1]
+
+    def group(self, keys: np.ndarray) -> np.ndarray:
+        """The number of the group a request belongs to: its last three context bytes, or four where these are heavy."""
+        three = (keys >> 8) & LOW3
+        out = np.where(self.is_heavy(three), (keys >> 8) & 0xFFFFFFFF | (1 << 32), three)
+        return np.where(keys < 0, keys, out)
+
+    def log_probabilities(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 probability of each byte in its context. keys: distinct, all of their groups."""
+        levels = list(self.low)
+        three = keys & 0xFFFFFFFF
+        whole = ~self.is_heavy(three >> 8)
+        asked = np.unique(three[~whole] >> 8)
+        known = position(asked, self.heavy_keys >> 8)[1]
+        levels.append(Level(*summed([three[whole], self.heavy_keys[known]], [counts[whole], self.heavy_counts[known]]), levels[-1], 3))
+        for order in range(4, ORDER + 1):
+            levels.append(Level(*summed([keys & ((1 << 8 * (order + 1)) - 1)], [counts]), levels[-1], order))
+        out, open_ = np.zeros(len(keys)), np.ones(len(keys), bool)
+        less_n = less_d = np.zeros(len(keys), np.int64)
+        for order in range(ORDER, -1, -1):
+            key = keys & ((1 << 8 * (order + 1)) - 1)
+            n, d, beneath = levels[order].of(key >> 8)
+            c = levels[order].count(key)
+            left = np.maximum(d - less_d, 0)
+            total = np.maximum(n - less_n + left, 1)
+            hit = open_ & (c > 0)
+            out[hit] += np.log10(c[hit] / total[hit])
+            open_ &= ~hit
+            passed = open_ & (left > 0)
+            out[passed] += np.log10(left[passed] / total[passed])
+            less_n, less_d = np.where(d > 0, beneath, 0), d
+        out[open_] -= np.log10(SYMBOLS - less_d[open_])
+        return out
 
 
-def _trigrams(batches):
-    """Counts of a byte and the two before it, over the training documents of a task."""
-    keys, counts = [], []
+def _four_bytes(batches):
+    """Counts of a byte and the three before it, over the training documents of a task."""
+    tally = Tally()
     for batch in batches:
         for some in chunked(batch["text"]):
             grams, ok, _ = codes([_lowered(t) for t in some])
-            k, n = np.unique((grams[ok] & 0xFFFFFF).astype(np.int32), return_counts=True)
-            keys.append(k)
-            counts.append(n)
-        if len(keys) > 32:
-            k, n = summed(keys, counts)
-            keys, counts = [k], [n]
-    if keys:
-        k, n = summed(keys, counts)
-        yield pd.DataFrame({"cell": k, "n": n})
+            tally.add(grams[ok] & 0xFFFFFFFF, 1)
+    tally.merge()
+    yield pd.DataFrame({"gram": tally.keys, "n": tally.counts})
 
 
 def _answers(shared):
-    """Rows sorted by kind and ctx: the value of each key, a word's count or a byte's log10 probability."""
-
-    def valued(rows: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(rows["key"].to_numpy(), kind="stable")
-        rows = rows.iloc[order]
-        value = rows["n"].to_numpy().astype(float)
-        grams = rows["kind"].to_numpy() == 0
-        if grams.any():
-            value[grams] = log_probabilities(rows["key"].to_numpy()[grams], rows["n"].to_numpy()[grams], shared.value)
-        return pd.DataFrame({"kind": rows["kind"], "key": rows["key"], "value": value, "asked": rows["asked"]})
+    """Rows sorted by group and key: the answer to each request. A word's answer is its count, negative in one request a word."""
+
+    def answered(rows: dict[str, np.ndarray]) -> pd.DataFrame:
+        key = rows["key"]
+        new = np.append(True, key[1:] != key[:-1])
+        starts, at = np.flatnonzero(new), np.cumsum(new) - 1
+        keys, counts = key[starts], np.add.reduceat(rows["n"], starts)
+        value = counts.astype(float)
+        grams = keys >= 0
+        if grams.any():  # the levels want ascending keys
+            order = np.argsort(keys[grams], kind="stable")
+            logs = np.empty(len(order))
+            logs[order] = shared.value.log_probabilities(keys[grams][order], counts[grams][order])
+            value[grams] = logs
+        value = value[at]
+        return pd.DataFrame({"block": rows["block"], "key": key, "value": np.where(new & (key < 0), -value, value)})
 
     def run(batches):
-        kept: list[pd.DataFrame] = []
+        held: list[dict[str, np.ndarray]] = []
         for b in batches:
-            rows = pd.concat([*kept, b], ignore_index=True) if kept else b
-            if not len(rows):
+            if not len(b):
+                continue
+            rows = {c: b[c].to_numpy() for c in ("group", "key", "n", "block")}
+            if len(b) and held and rows["group"][-1] == held[0]["group"][0]:
+                held.append(rows)  # still the same group
                 continue
-            last = ((rows["ctx"] == rows["ctx"].iloc[-1]) & (rows["kind"] == rows["kind"].iloc[-1]) & (rows["kind"] == 0)).to_numpy()
-            kept = [rows[last]]
-            if not last.all():
-                yield valued(rows[~last])
-        if kept and len(kept[0]):
-            yield valued(kept[0])
+            last = int(np.searchsorted(rows["group"], rows["group"][-1]))
+            if held or last:
+                parts = [*held, {c: v[:last] for c, v in rows.items()}]
+                yield answered({c: np.concatenate([p[c] for p in parts]) for c in rows})
+            held = [{c: v[last:] for c, v in rows.items()}]
+        if held:
+            yield answered({c: np.concatenate([p[c] for p in held]) for c in held[0]})
 
     return run
 
@@ -243,8 +276,9 @@ def _score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     """Sums of each document; the first row of a block also has the number of training words that this block speaks for."""
     if not len(docs):
         return pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("doc_id", "Int64"), ("held_out", bool), ("n_tokens", "int64"), ("n_known", "int64"), ("logs", float), ("score", float), ("vocabulary", "int64"))})
-    kind, key, value = (answers[c].to_numpy() for c in ("kind", "key", "value"))
-    grams, words = Lookup(key[kind == 0], value[kind == 0]), Lookup(key[kind == 1], value[kind == 1])
+    key, value = (answers[c].to_numpy() for c in ("key", "value"))
+    word = key < 0
+    grams, words = Lookup(key[~word], value[~word]), Lookup(key[word], np.abs(value[word]))
     roller, rows = Roller(), []
     for some in chunked(docs["text"]):
         codes_, ok, starts = codes([_lowered(t) for t in some])
@@ -257,31 +291,41 @@ def _score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     out.insert(0, "held_out", docs["held_out"].to_numpy())
     out.insert(0, "doc_id", docs["doc_id"].astype("Int64").to_numpy())
     out["vocabulary"] = 0
-    mine = (kind == 1) & (value > 0) & (answers["asked"].to_numpy() == docs["block"].iloc[0])
-    out.loc[0, "vocabulary"] = int(mine.sum())
+    out.loc[0, "vocabulary"] = int((word & (value < 0)).sum())
     return out
 
 
+def train(texts: DataFrame) -> Model:
+    """The tables that all tasks know, from the training texts."""
+    grams = cut(texts.mapInPandas(_four_bytes, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    cells = grams.groupBy(F.col("gram").bitwiseAND(LOW3).alias("cell")).agg(F.sum("n").alias("n")).toPandas().sort_values("cell")
+    context = F.call_function("shiftright", F.col("gram"), F.lit(8))
+    heavy = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("_all")).where(F.col("_all") > HEAVY * float(cells["n"].sum())).select("context")
+    heavy = grams.withColumn("context", context).join(F.broadcast(heavy), "context").select("gram", "n").toPandas().sort_values("gram")
+    return Model(*(x[c].to_numpy().astype(np.int64) for x, c in ((cells, "cell"), (cells, "n"), (heavy, "gram"), (heavy, "n"))))
+
+
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row; learns from rows not held out."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    cells = docs.where("not held_out").select("text").mapInPandas(_trigrams, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    cells = cells.sort_values("cell")
-    low = spark.sparkContext.broadcast(low_levels(cells["cell"].to_numpy().astype(np.int64), cells["n"].to_numpy().astype(np.int64)))
+    model = spark.sparkContext.broadcast(train(docs.where("not held_out").select("text")))
+
+    def grouped(g: pd.DataFrame) -> pd.DataFrame:
+        out = _requests(g)
+        out.insert(0, "group", model.value.group(out["key"].to_numpy()))
+        return out
 
     blocks = parts_for(spark, text_bytes(docs), BLOCK_BYTES)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(blocks)).cast("int")).repartition("block")
-    asked = dealt.groupBy("block").applyInPandas(_requests, "kind byte, key long, n long, block int").repartition("kind", "key")
-    total = asked.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("block").alias("asked"))
-    context = F.when(F.col("kind") == 0, F.call_function("shiftright", F.col("key"), F.lit(8)).bitwiseAND(F.lit(0xFFFFFF))).otherwise(F.col("key"))
-    total = total.withColumn("ctx", context).repartition("kind", "ctx").sortWithinPartitions("kind", "ctx")
-    values = total.mapInPandas(_answers(low), "kind byte, key long, value double, asked int")
-    answers = asked.join(values, ["kind", "key"])  # with n, so both readers of asked read the same rows and share them
+    block = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int")
+    dealt = docs.withColumn("block", block).repartition("block")
+    asked = dealt.groupBy("block").applyInPandas(grouped, "group long, key long, n int, block int")
+    asked = asked.repartition("group").sortWithinPartitions("group", "key")
+    answers = asked.mapInPandas(_answers(model), "block int, key long, value double")
     sums = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, vocabulary long")
     sums = cut(sums)
-    train = ~F.col("held_out")
-    tokens, ends, words = sums.agg(F.coalesce(F.sum(F.when(train, F.col("n_tokens"))), F.lit(0)), F.count(F.when(train, 1)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
+    train_rows = ~F.col("held_out")
+    tokens, ends, words = sums.agg(F.coalesce(F.sum(F.when(train_rows, F.col("n_tokens"))), F.lit(0)), F.count(F.when(train_rows, 1)), F.coalesce(F.sum("vocabulary"), F.lit(0))).first()
     vocabulary = words + (1 if ends else 0)
     base = F.col("logs") + F.log10(F.lit(float(ends + 1))) - F.col("n_tokens") * F.log10(F.lit(float(tokens + vocabulary + 1)))
     known = F.col("n_known") + F.lit(1 if ends else 0)
