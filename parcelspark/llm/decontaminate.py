@@ -5,15 +5,19 @@ the runs that remain (bytes above 127 belong to words). The patterns are all win
 items, an item of fewer words being one window, with a space at either end. One automaton holds all of them and each text is
 scanned once. Normalising keeps the length, so word numbers map straight to byte offsets of the original text.
 
-The automaton is broadcast. The benchmark doesn't grow with the corpus, but its size is checked all the same: above
-`shard_bytes` of text it is dealt into several automata of that bound, which scan in turn.
-
-Defined results: a null or empty text has no words and no hits; null items and items without words are never found;
-items of equal text are all found; an empty benchmark finds nothing; repeated rows are scanned like any other; other columns
-are carried along, except that the added columns replace any of the same name.
+The windows are made and grouped in Spark; the distinct ones and the items that hold them go to all tasks, where each worker
+builds the automaton once and keeps it for all its batches and tasks. The benchmark doesn't grow with the corpus, but what is broadcast is
+checked all the same: more than `most_bytes` of windows raise an error, as one automaton then doesn't fit a task.
+
+Defined results: a null or empty text has no words and no hits; null items and items without words are never found; a window of
+an item without item_id counts as a hit, but adds no item; items of equal text are all found, and so are rows of one item_id, as one item;
+an empty benchmark finds nothing; repeated rows are scanned like any other; a very long text is scanned in one go, in some 20 bytes
+of memory a character; other columns are carried along, except that the added columns replace any of the same name. item_id may have
+any type that casts to a string; items come in ascending order of it.
 """
 
 import hashlib
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -21,66 +25,75 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import text_bytes
+from parcelspark.llm.common import cut
 
 #: Bytes to normalised bytes.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
-FOUND = "n_words long, spans array<int>, items array<long>"
 
 
-def patterns(items: list[tuple[int, str]], size: int) -> dict[str, tuple[int, tuple[int, ...]]]:
-    """Window (Latin-1 view of its bytes) to number of words and the items that hold it."""
-    found: dict[str, tuple[int, set[int]]] = {}
-    for item, text in items:
-        words = (text or "").encode().translate(TABLE).split()
-        for i in range(max(1, len(words) - size + 1) if words and item is not None else 0):
-            window = words[i : i + size]
-            found.setdefault((b" " + b" ".join(window) + b" ").decode("latin-1"), (len(window), set()))[1].add(item)
-    return {k: (n, tuple(sorted(v))) for k, (n, v) in found.items()}
+def _windows(size: int):
+    """Rows of item and window (Latin-1 view of its bytes, a space at either end)."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for item, text in zip(batch["item"], batch["text"], strict=True):
+                words = (text or "").encode().translate(TABLE).split()
+                for i in range(max(1, len(words) - size + 1) if words else 0):
+                    out.append((item, (b" " + b" ".join(words[i : i + size]) + b" ").decode("latin-1")))
+            yield pd.DataFrame(out, columns=["item", "window"])
+
+    return run
 
 
-def automaton(windows: dict[str, tuple[int, tuple[int, ...]]]) -> ahocorasick.Automaton:
+def automaton(windows: dict[str, list[str]]) -> ahocorasick.Automaton:
+    """windows: items by window."""
     out = ahocorasick.Automaton()
-    for window, (n, items) in windows.items():
-        out.add_word(window, (len(window), n, items))
+    for window, items in windows.items():
+        out.add_word(window, (len(window), window.count(" ") - 1, items))
     out.make_automaton()
     return out
 
 
-def scan(text: str | None, machine: ahocorasick.Automaton, spans: list[int], items: set[int]) -> tuple[int, list[int]]:
-    """Number of words, and the merged word ranges [from, to, from, to ...] that are hit, earlier ones included."""
+#: The windows last seen by this worker process, and their automaton.
+_BUILT: list = [None, None]
+
+
+def built(shared) -> ahocorasick.Automaton:
+    if _BUILT[0] is not shared.value:
+        _BUILT[:] = shared.value, automaton(shared.value)
+    return _BUILT[1]
+
+
+def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple[int, list[int], list[str]]:
+    """Number of words, the merged word ranges [from, to, from, to ...] that are hit, and the items found."""
     words = (text or "").encode().translate(TABLE).split()
     if not words or not len(machine):
-        return len(words), spans
+        return len(words), [], []
     line = b" " + b" ".join(words) + b" "
     ends: dict[int, int] = {}
+    items: set[str] = set()
     for end, (length, n, found) in machine.iter(line.decode("latin-1")):
         ends[end - length + 1] = max(n, ends.get(end - length + 1, 0))
         items.update(found)
     if not ends:
-        return len(words), spans
+        return len(words), [], []
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    ranges = [(int(np.searchsorted(gaps, at)), n) for at, n in ends.items()]
-    ranges = sorted([(a, a + n) for a, n in ranges] + list(zip(spans[::2], spans[1::2], strict=True)))
     merged: list[int] = []
-    for a, b in ranges:
+    for a, b in sorted((int(np.searchsorted(gaps, at)), n) for at, n in ends.items()):
         if merged and a <= merged[-1]:
-            merged[-1] = max(merged[-1], b)
+            merged[-1] = max(merged[-1], a + b)
         else:
-            merged += [a, b]
-    return len(words), merged
+            merged += [a, a + b]
+    return len(words), merged, sorted(items)
 
 
 def _scanner(shared):
-    @F.pandas_udf(FOUND)
-    def run(text: pd.Series, spans: pd.Series, items: pd.Series) -> pd.DataFrame:
-        machine = automaton(shared.value)
-        rows = []
-        for t, old, had in zip(text, spans, items, strict=True):
-            found = set() if had is None else {int(x) for x in had}
-            n, hit = scan(t, machine, [] if old is None else [int(x) for x in old], found)
-            rows.append((n, hit, sorted(found)))
-        return pd.DataFrame(rows, columns=["n_words", "spans", "items"])
+    @F.pandas_udf("n_words long, spans array<int>, items array<string>")
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        machine = built(shared)
+        for text in texts:
+            yield pd.DataFrame([scan(t, machine) for t in text], columns=["n_words", "spans", "items"])
 
     return run
 
@@ -97,18 +110,20 @@ def _original(text: pd.Series, spans: pd.Series) -> pd.Series:
     return pd.Series([[] if t is None or s is None or not len(s) else [{"start": a, "end": b} for a, b in byte_spans(t, [int(x) for x in s])] for t, s in zip(text, spans, strict=True)])
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, size: int = 10, shard_bytes: int = 1 << 18, offsets: bool = False) -> DataFrame:
+def find_items(docs: DataFrame, benchmark: DataFrame, size: int = 10, most_bytes: int = 64 << 20, offsets: bool = False) -> DataFrame:
     """docs with n_words, n_hit, items (ids, ascending), spans (word ranges) and, with offsets, original (byte ranges)."""
     spark = docs.sparkSession
-    shards = max(1, -(-text_bytes(benchmark) // shard_bytes))
-    keyed = benchmark.select("item_id", "text").withColumn("_shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)))
-    out = docs.withColumn("_found", F.lit(None).cast(f"struct<{', '.join(x.replace(' ', ':', 1) for x in FOUND.split(', '))}>"))
-    for k in range(shards):
-        shared = spark.sparkContext.broadcast(patterns([tuple(r) for r in keyed.where(F.col("_shard") == k).drop("_shard").toLocalIterator()], size))
-        out = out.withColumn("_found", _scanner(shared)("text", "_found.spans", "_found.items"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    windows = cut(items.mapInPandas(_windows(size), "item string, window string").groupBy("window").agg(F.collect_set("item").alias("items")))
+    needs = windows.agg(F.coalesce(F.sum(F.length("window") + 8 * F.size("items")), F.lit(0))).first()[0]
+    if needs > most_bytes:
+        raise ValueError(f"the benchmark has {needs} bytes of windows, more than the {most_bytes} that one automaton may have")
+    rows = windows.toPandas()
+    shared = spark.sparkContext.broadcast({w: list(i) for w, i in zip(rows["window"], rows["items"], strict=True)})
+    out = docs.withColumn("_found", _scanner(shared)("text"))
     hit = F.aggregate("_found.spans", F.lit(0), lambda x, y: y - x)  # alternating signs: the ranges' total length
-    hit = F.when(F.size("_found.spans") == 0, F.lit(0)).otherwise(hit)
-    out = out.withColumns({"n_words": F.col("_found.n_words"), "n_hit": hit.cast("long"), "items": F.col("_found.items"), "spans": F.col("_found.spans")})
+    found = F.array_sort(F.transform("_found.items", lambda x: x.cast(benchmark.schema["item_id"].dataType)))
+    out = out.withColumns({"n_words": F.col("_found.n_words"), "n_hit": hit.cast("long"), "items": found, "spans": F.col("_found.spans")})
     if offsets:
         out = out.withColumn("original", F.pandas_udf(_original, "array<struct<start:int,end:int>>")("text", "spans"))
     return out.drop("_found")

@@ -86,11 +86,11 @@ def benchmark_hits(rows, items, size=10):
         for item, text in items:
             b = word.findall(low(text))
             n = min(size, len(b))
-            wins = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)} if n and item is not None else set()
+            wins = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)} if n else set()
             for i in range(len(w) - n + 1):
                 if tuple(w[i : i + n]) in wins:
                     hit.update(range(i, i + n))
-                    found.add(item)
+                    found |= {item} - {None}
         out[d] = (len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))))
     return out
 

@@ -159,9 +159,12 @@ def test_decontamination(spark, docs, rows, empty, clash, repeated):
     items = [(1, " ".join(texts[0].split()[3:20])), (2, "ta"), (10, texts[3].upper()), (11, texts[3]), (12, None), (13, " ;; "), (None, texts[2])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     ids = F.sha2(F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ","), 256)
-    for shard in (1 << 18, 200):
-        out = decontaminate.find_items(docs, bench, shard_bytes=shard)
-        assert by_id(out, "n_words", "n_hit", F.size("items"), ids) == brute.benchmark_hits([r[:2] for r in rows], items)
+    out = decontaminate.find_items(docs, bench)
+    assert by_id(out, "n_words", "n_hit", F.size("items"), ids) == brute.benchmark_hits([r[:2] for r in rows], items)
+    named = decontaminate.find_items(docs, bench.withColumn("item_id", F.concat(F.lit("item "), F.col("item_id").cast("string"))))
+    assert {d: len(i) for d, i in by_id(named, "items").items()} == {d: len(i) for d, i in by_id(out, "items").items()}
+    with pytest.raises(ValueError, match="more than the 200"):
+        decontaminate.find_items(docs, bench, most_bytes=200)
     clean = decontaminate.decontaminate(clash, bench)
     assert clean.columns == clash.columns and clean.count() == out.where("n_hit = 0").count()
     original = {r["doc_id"]: (r["text"], r["original"]) for r in decontaminate.find_items(docs, spark.createDataFrame(items[:1], bench.schema), offsets=True).collect()}
