@@ -1,42 +1,46 @@
 """N-gram Jaccard join with prefix trees.
 
-A document's set is its distinct n-word shingles as 64-bit hashes. Documents of equal sets are one node from the start, so
-copies never meet each other as pairs. Sets share one global order, rarest shingle first; rarity is a count over all documents,
-kept in a table of fixed size (cells of the hash), so shingles that many documents share come last. Two sets of the
-required similarity share a shingle of their prefixes, |x| - ceil(t |x|) + 1 long. So:
-
-1. Prefix postings are grouped by shingle; the smallest set of a shingle's list leads it, and the others are its candidates.
-2. Candidates of a leader form groups of bounded size. In a group, sets are stored in a prefix tree, most frequent shingle
-   first; each set walks the tree, sharing the partial overlap of common paths, and leaves a subtree when the longest rest
-   can't reach the needed overlap, or all its sets are already connected to it.
-3. Lists whose members are not yet connected are joined pair by pair, but only across components, and checked the same way.
-
-The result is exact up to collisions of 64-bit hashes. What is broadcast has a fixed size: the cells, and a table of bits that
-spares most documents without candidates a second reading (a false bit costs time only).
+A document's set is its distinct n-word shingles as 64-bit hashes, in the global order of these. Documents of equal sets are one node
+from the start, so copies never meet each other as pairs.
+
+1. Dealing. Two sets that are similar enough differ in at most k shingles, where k follows from the larger size. Shingles are dealt
+   into k + 1 parts by a hash (and some spare ones for parts that stay empty), so similar sets agree in at least one whole part.
+   Each set posts a hash of each of its parts, by size class. Sets only meet over several equal shingles at once, which
+   chance doesn't bring about however large the corpus grows, and no frequencies have to be known.
+2. The smallest node of a list leads it, and the others are its candidates. Candidates of a leader form groups of bounded
+   size. In a group, sets are stored in a prefix tree; each set walks the tree, sharing the partial overlap of common paths,
+   and leaves a subtree when the longest rest can't reach the needed overlap, or all its sets are already connected to it.
+3. Where the candidates of a leader are more than one group and not yet connected, groups meet two by two in the same way, those that
+   are of one component left out.
+
+The result is exact up to collisions of 64-bit hashes. What is broadcast has a fixed size: a table of bits that spares most
+documents without candidates a second reading (a false bit costs time only).
 
 Defined results: null text and text without words have an empty set (n_shingles 0) and stand alone; fewer words than n are
 one shingle; null doc_ids come after all others and have component null if no other is reached; rows with the same doc_id are
-one document if their sets link them, and get the same component; an empty table gives an empty table; other columns are
-left behind by link_documents and carried along by drop_near_copies. drop_near_copies decides row by row: of each component the
+one document if their sets link them, and get the same component; a very long text is one set, in some 100 bytes of memory a word;
+an empty table gives an empty table; other columns, whatever their names, are left behind by link_documents and carried along by drop_near_copies. drop_near_copies decides row by row: of each component the
 row of the smallest doc_id (then hash of the text) stays, of rows that agree in both one.
 """
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import cut
+from parcelspark.llm.common import cut, written
 from parcelspark.llm.components import components
-from parcelspark.llm.rolling import Roller, word_windows
+from parcelspark.llm.rolling import Roller, mixed, word_windows
 from parcelspark.llm.substring_dedup import bit_table, has_bit
 
 LAST = (1 << 63) - 1
-CELL_BITS = 18
 TABLE_BITS = 24
 GROUP = 256
+#: Sets whose signatures a task remembers, to send those of equal sets once.
+REMEMBER = 1 << 17
 
 
 def set_of(text: str | None, n: int, roller: Roller) -> np.ndarray:
@@ -47,12 +51,35 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def cell_of(shingles: np.ndarray) -> np.ndarray:
-    return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def size_classes(pct: int, most: int = 1 << 40) -> list[int]:
+    """Least sizes of the classes: the sizes that a set may be linked with lie in its class and one neighbour."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(out[-1] * 10000 // (pct * pct) + 1)
+    return out
 
 
-def prefix_length(size: int, pct: int) -> int:
-    return size - -(-pct * size // 100) + 1
+def signatures(shingles: np.ndarray, pct: int, classes: list[int]) -> np.ndarray:
+    """One hash for each part of the set, in its size class and, where a linked set may be in it, the next."""
+    size, out = len(shingles), []
+    own = bisect_right(classes, size) - 1
+    for c in (own, own + 1):
+        if 100 * size < pct * classes[c]:
+            continue
+        differ = 2 * (100 - pct) * (classes[c + 1] - 1) // (100 + pct)
+        if not differ:
+            continue  # only equal sets are linked
+        spare = 1 + differ // 32
+        parts = differ + 1 + spare
+        h = mixed(shingles ^ mixed(np.array([c + 1], np.uint64)))
+        part = (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+        low = np.bincount(part, weights=(h & np.uint64(0xFFFFFFFF)).astype(float), minlength=parts).astype(np.uint64)
+        high = np.bincount(part, weights=(h >> np.uint64(32)).astype(float), minlength=parts).astype(np.uint64)
+        of = mixed(((high << np.uint64(32)) + low) ^ mixed(np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)))
+        filled = np.bincount(part, minlength=parts) > 0
+        # two sets agree in spare + 1 parts or more; all of these are empty only if either has more empty parts than spare ones
+        out.append(of[filled] if parts - int(filled.sum()) <= spare else of)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def _nodes(n: int):
@@ -65,23 +92,11 @@ def _nodes(n: int):
     return run
 
 
-def _cells(n: int):
-    def run(batches):
-        roller, cells = Roller(), np.zeros(1 << CELL_BITS, np.int64)
-        for batch in batches:
-            found = np.concatenate([set_of(t, n, roller) for t in batch["text"]])
-            cells += np.bincount(cell_of(found), minlength=len(cells))
-        at = np.flatnonzero(cells)
-        yield pd.DataFrame({"cell": at, "docs": cells[at]})
-
-    return run
-
-
-def _prefixes(n: int, pct: int, shared):
-    """shingle, node, size, place of each prefix posting; equal sets of one task send theirs once."""
+def _signatures(n: int, pct: int):
+    """signature and node of each posting; equal sets of one task send theirs once."""
 
     def run(batches):
-        roller, cells, seen = Roller(), shared.value, set()
+        roller, classes, seen = Roller(), size_classes(pct), set()
         for batch in batches:
             out = []
             for t in batch["text"]:
@@ -90,42 +105,31 @@ def _prefixes(n: int, pct: int, shared):
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
-                p = prefix_length(len(s), pct)
-                s = s[np.lexsort((s, cells[cell_of(s)]))[:p]]
-                out.append((s.view(np.int64), np.full(p, node), np.arange(p, dtype=np.int32)))
+                found = signatures(s, pct, classes)
+                out.append((found.view(np.int64), np.full(len(found), node)))
             if out:
-                yield pd.DataFrame(dict(zip(("shingle", "node", "place"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                yield pd.DataFrame(dict(zip(("signature", "node"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            if len(seen) > REMEMBER:
+                seen.clear()
 
     return run
 
 
 def _lists(batches):
-    """Rows sorted by shingle and node: lists of two nodes or more, each node once, with the smallest node as leader."""
-    last = None  # shingle, leader, its place, whether the leader's row is still held back, the latest node
+    """Rows sorted by signature and node: each node of a list but its first, the leader."""
+    last = None  # signature, leader, latest node
     for b in batches:
-        shingle, node, place = (b[c].to_numpy() for c in ("shingle", "node", "place"))
         if not len(b):
             continue
-        new = np.append(last is None or last[0] != shingle[0], shingle[1:] != shingle[:-1])
-        again = ~new & (node == np.append(node[0] - 1 if last is None else last[4], node[:-1]))
-        starts = np.flatnonzero(new)
+        signature, node = b["signature"].to_numpy(), b["node"].to_numpy()
+        new = np.append(last is None or last[0] != signature[0], signature[1:] != signature[:-1])
+        again = ~new & (node == np.append(last[2] if last else 0, node[:-1]))
         group = np.cumsum(new) - 1  # -1: goes on from the batch before
-        leader = np.where(group >= 0, node[starts][group] if len(starts) else 0, last[1] if last else 0)
+        heads = node[np.flatnonzero(new)]
+        leader = np.where(group >= 0, heads[group] if len(heads) else 0, last[1] if last else 0)
+        last = signature[-1], leader[-1], node[-1]
         keep = ~new & ~again
-        led = np.unique(group[keep])
-        heads = starts[led[led >= 0]]
-        at = np.concatenate([heads, np.flatnonzero(keep)])
-        out = [(shingle[at], node[at], place[at], leader[at])]
-        held = last is not None and last[3]
-        if held and len(led) and led[0] < 0:
-            out.append(tuple(np.array([x]) for x in (last[0], last[1], last[2], last[1])))
-            held = False
-        if len(starts):
-            h = starts[-1]
-            last = (shingle[h], node[h], place[h], not (len(led) and led[-1] == group[-1]), node[-1])
-        else:
-            last = (*last[:3], held, node[-1])
-        yield pd.DataFrame({c: np.concatenate([o[k] for o in out]) for k, c in enumerate(("shingle", "node", "place", "leader"))})
+        yield pd.DataFrame({"leader": leader[keep], "node": node[keep]}).drop_duplicates()
 
 
 def _flagged(shared):
@@ -157,15 +161,15 @@ class Tree:
             rest = rest[k:]
 
 
-def tree_links(sets: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
-    """Links of similarity >= pct / 100 that connect what all such links connect. sets: any distinct integers."""
-    values, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.empty(len(values), np.int64)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(values))
+def tree_links(sets: list[np.ndarray], pct: int, known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links of similarity >= pct / 100 that connect what all such links connect. sets: ascending distinct integers, which is the
+    global order. known: numbers of the components that sets are in already."""
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
     cuts = np.cumsum([len(s) for s in sets])[:-1]
-    ranked = [np.sort(r) for r in np.split(rank[at], cuts)]
+    ranked = np.split(at, cuts)
     order = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes())
-    root, group, links = Tree(ranked, order), np.arange(len(sets)), []
+    root, links = Tree(ranked, order), []
+    group = np.arange(len(sets)) if known is None else np.unique(np.array(known, np.int64), return_inverse=True)[1]
     for x, mine in enumerate(ranked):
         has = np.zeros(len(values), bool)
         has[mine] = True
@@ -193,74 +197,84 @@ def _groups(n: int, pct: int):
 
     def linked(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, g in rows.groupby(["leader", "block"], sort=False):
+        for _, g in rows.groupby("group", sort=False):
             sets = [set_of(t, n, roller) for t in g["text"]]
-            of = [(x, s) for x, s in zip(g["node"].tolist(), sets, strict=True) if len(s) and node_of(s) == x]  # not another row of the doc_id
-            out += [(of[a][0], of[b][0]) for a, b in tree_links([s for _, s in of], pct)] if len(of) > 1 else []
+            of = [(x, s, c) for x, s, c in zip(g["node"].tolist(), sets, g["component"].tolist(), strict=True) if len(s) and node_of(s) == x]  # not another row of the doc_id
+            if len(of) > 1:
+                out += [(of[a][0], of[b][0]) for a, b in tree_links([s for _, s, _ in of], pct, [c for *_, c in of])]
         return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
     def run(batches):
-        kept = None
+        kept: list[pd.DataFrame] = []
         for batch in batches:
-            rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
-            if not len(rows):
+            if not len(batch):
+                continue
+            group = batch["group"].to_numpy()
+            if kept and group[-1] == kept[0]["group"].iloc[0]:
+                kept.append(batch)
                 continue
-            last = (rows["leader"] == rows["leader"].iloc[-1]) & (rows["block"] == rows["block"].iloc[-1])
-            kept = rows[last]
-            yield linked(rows[~last])
-        if kept is not None and len(kept):
-            yield linked(kept)
+            last = group == group[-1]
+            yield linked(pd.concat([*kept, batch[~last]]))
+            kept = [batch[last]]
+        if kept:
+            yield linked(pd.concat(kept))
 
     return run
 
 
-def _check(pairs: DataFrame, texts: DataFrame, n: int, pct: int) -> DataFrame:
-    """u, v of the linked nodes among candidates of the same leader. pairs: leader, node, distinct, without the leader itself."""
+def first_groups(pairs: DataFrame) -> DataFrame:
+    """leader, group, node, component: the candidates of each leader in groups of about GROUP, the leader in all of them."""
     sized = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_blocks"))
-    dealt = pairs.join(sized, "leader").withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks"))).select("leader", "block", "node")
+    dealt = pairs.join(sized, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("_blocks")).alias("block"), "node")
     dealt = dealt.union(dealt.select("leader", "block", F.col("leader").alias("node")).distinct())
-    rows = dealt.join(texts, "node").select("leader", "block", "node", "text")
-    rows = rows.repartition("leader", "block").sortWithinPartitions("leader", "block")
-    return rows.mapInPandas(_groups(n, pct), "u long, v long")
+    return dealt.select("leader", F.xxhash64("leader", "block").alias("group"), "node", F.col("node").alias("component"))
+
+
+def open_groups(pairs: DataFrame, so_far: DataFrame) -> DataFrame:
+    """leader, group, node, component for leaders whose candidates were several groups and are of several components.
+
+    Large components are cut into chunks of their own, the small ones of a leader share chunks; each two chunks of a leader meet, unless they
+    are of one and the same component.
+    """
+    large = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP).select("leader")
+    rows = pairs.join(large, "leader")
+    rows = rows.union(large.select("leader", F.col("leader").alias("node"))).join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = rows.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("_n"))
+    small = F.col("_n") <= GROUP
+    sums = parts.groupBy("leader").agg(F.count(F.lit(1)).alias("_parts"), F.sum(F.when(small, F.col("_n")).otherwise(0)).alias("_small")).where("_parts > 1")
+    parts = parts.join(sums, "leader").select("leader", "component", F.when(~small, F.ceil(F.col("_n") / GROUP)).alias("_own"), F.ceil(F.col("_small") / GROUP).alias("_shared"))
+    chunk = F.when(F.col("_own").isNotNull(), F.xxhash64("component", F.pmod(F.xxhash64("node"), F.col("_own")))).otherwise(F.pmod(F.xxhash64("component"), F.col("_shared")))
+    rows = cut(rows.join(parts, ["leader", "component"]).select("leader", "node", "component", chunk.alias("chunk"), F.when(F.col("_own").isNotNull(), F.col("component")).alias("whole")))
+    chunks = rows.select("leader", "chunk", "whole").distinct()
+    met = chunks.join(chunks.toDF("leader", "other", "_whole"), "leader").where("chunk <= other and coalesce(whole <> _whole, true)")
+    met = met.select("leader", "chunk", "other", F.xxhash64("leader", "chunk", "other").alias("group"))
+    both = met.select("leader", "chunk", "group").union(met.where("chunk <> other").select("leader", "other", "group"))
+    return rows.join(both, ["leader", "chunk"]).select("leader", "group", "node", "component")
 
 
 def link_nodes(docs: DataFrame, n: int = 5, pct: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """_id, _sub (hash of the text), n_shingles and node of each row; node and smallest _id of each set; u, v of linked nodes."""
     spark = docs.sparkSession
     slim = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), "text")
-    nodes = cut(slim.withColumn("_sub", F.xxhash64("text")).mapInPandas(_nodes(n), "_id long, _sub long, n_shingles long, node long"))
-    reps = nodes.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("size"))
-    rows = slim.select("text").mapInPandas(_cells(n), "cell int, docs long").groupBy("cell").agg(F.sum("docs").alias("docs")).toPandas()
-    cells = np.zeros(1 << CELL_BITS, np.int64)
-    cells[rows["cell"]] = rows["docs"]
-    shared = spark.sparkContext.broadcast(cells)
-
-    postings = slim.select("text").mapInPandas(_prefixes(n, pct, shared), "shingle long, node long, place int")
-    postings = postings.repartition("shingle").sortWithinPartitions("shingle", "node")
-    postings = cut(postings.mapInPandas(_lists, "shingle long, node long, place int, leader long"))
-
-    sizes = reps.select("node", "size")
-    pairs = postings.where("node <> leader").select("leader", "node").distinct()
-    near = F.expr(f"100 * least(size, lsize) >= {pct} * greatest(size, lsize)")
-    pairs = cut(pairs.join(sizes, "node").join(sizes.toDF("leader", "lsize"), "leader").where(near).select("leader", "node"))
-
-    def check(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select("node").union(pairs.select("leader")).distinct().join(reps, "node")
+    nodes = written(slim.withColumn("_sub", F.xxhash64("text")).mapInPandas(_nodes(n), "_id long, _sub long, n_shingles long, node long"), "nodes")
+    reps = nodes.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"))
+
+    posted = slim.select("text").mapInPandas(_signatures(n, pct), "signature long, node long")
+    posted = posted.repartition("signature").sortWithinPartitions("signature", "node")
+    pairs = cut(posted.mapInPandas(_lists, "leader long, node long").distinct())
+
+    def check(groups: DataFrame) -> DataFrame:
+        """u, v of the linked nodes of each group."""
+        wanted = cut(groups.select("node").distinct().join(reps, "node"))
         table = spark.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64("rep").alias("hash")), TABLE_BITS))
         texts = slim.select(F.xxhash64("_id").alias("hash"), "_id", "text").mapInPandas(_flagged(table), "_id long, text string")
         texts = wanted.select("node", F.col("rep").alias("_id")).join(texts, "_id").select("node", "text")
-        return cut(_check(pairs, texts, n, pct))
-
-    found = check(pairs)
-    so_far = components(found)
-
-    open_ = postings.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sizes, "node")
-    mixed_lists = open_.groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a < _b and _n > 2").select("shingle")
-    open_ = cut(open_.join(mixed_lists, "shingle").select("shingle", "node", "component", "size", "place"))
-    a, b = open_, open_.toDF("shingle", "leader", "lcomponent", "lsize", "lplace")
-    most = F.expr(f"(100 + {pct}) * (1 + least(size - place, lsize - lplace) - 1) >= {pct} * (size + lsize)")
-    across = a.join(b, "shingle").where("leader < node and component <> lcomponent").where(near).where(most).select("leader", "node").distinct()
-    return nodes, reps, found.union(check(cut(across.join(pairs, ["leader", "node"], "left_anti"))))
+        rows = groups.join(texts, "node").select("group", "node", "component", "text").repartition("group").sortWithinPartitions("group")
+        return cut(rows.mapInPandas(_groups(n, pct), "u long, v long"))
+
+    found = check(first_groups(pairs))
+    more = cut(open_groups(pairs, components(found)))
+    return nodes, reps, found if more.isEmpty() else found.union(check(more))
 
 
 def link_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:

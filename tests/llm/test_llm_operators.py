@@ -154,6 +154,39 @@ def test_prefix_tree_finds_what_all_pairs_connect():
         assert got == want
 
 
+def test_similar_sets_share_a_signature():
+    """Pairs at the very edge of the similarity, of all sizes."""
+    r = np.random.default_rng(6)
+    for pct in (60, 80, 85, 99):
+        classes = jaccard_join.size_classes(pct)
+        for _ in range(400):
+            n = int(np.exp(r.uniform(0, 7)))
+            base = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+            gone = int(r.integers(0, (100 - pct) * len(base) // 100 + 1))
+            left = base[gone:]
+            most = 100 * len(left) // pct - len(base)  # shingles that may be added
+            other = np.union1d(left, r.integers(0, 1 << 63, int(r.integers(0, most + 1)), dtype=np.uint64))
+            assert 100 * len(np.intersect1d(base, other)) >= pct * len(np.union1d(base, other))
+            if len(base) != len(other) or (base != other).any():
+                assert len(np.intersect1d(jaccard_join.signatures(base, pct, classes), jaccard_join.signatures(other, pct, classes)))
+
+
+def test_large_groups_meet_chunk_by_chunk(spark, monkeypatch):
+    """Several components that share passages, each larger than a group or smaller."""
+    monkeypatch.setattr(jaccard_join, "GROUP", 6)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    common, rows = [word() for _ in range(160)], []
+    for kind in range(6):
+        own = [word() for _ in range(30)]
+        for _ in range(3 if kind % 2 else 15):
+            rows.append((len(rows), " ".join(common + own[: r.randint(24, 30)] + [word() for _ in range(r.randint(0, 6))])))
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for pct in (75, 85, 90):
+        assert by_id(jaccard_join.link_documents(docs, n=2, pct=pct), "n_shingles", "component_id") == brute.jaccard(rows, 2, pct)
+
+
 def test_decontamination(spark, docs, rows, empty, clash, repeated):
     texts = [r[1] for r in rows[:6]]
     items = [(1, " ".join(texts[0].split()[3:20])), (2, "ta"), (10, texts[3].upper()), (11, texts[3]), (12, None), (13, " ;; "), (None, texts[2])]
