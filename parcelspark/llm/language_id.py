@@ -4,21 +4,23 @@ Texts are lower-cased, everything but letters becomes a space, runs of spaces on
 hashed into 2^16 features; a feature's value is its share of the text's n-grams times its inverse document frequency. The
 document frequencies cover every labelled training document. The regression is fitted by follow-the-regularised-leader with
 L1 and L2 penalties, on a bounded sample: at most `per_lang` training documents of each language, those of the smallest
-hash of doc_id, a fifth of which is kept back to fit the softmax temperature. Whole texts are used everywhere.
+hash of doc_id and text, a fifth of which is kept back to fit the softmax temperature; more than `most_langs` languages raise an
+error. Whole texts are used everywhere.
 
 The fitted table (2^16 rows, a column for each language) is all that goes to the executors; its size does not depend on
 the corpus.
 
 Defined results: a null text, and one without any letter, is `und` with score 0; with no training rows every text is `und`;
-rows with a null lang are never trained on; repeated rows are predicted alike; other columns are carried along, except
-that lang_pred and score replace columns of that name.
+rows with a null lang are never trained on; a null doc_id is like any other; repeated rows are trained on once and predicted alike; of
+languages that come out alike the first in code point order is given; very long texts are read in pieces of 2^20 characters; an empty
+table gives an empty table; other columns are carried along, except that lang_pred and score replace columns of that name.
 """
 
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS = 16
@@ -83,21 +85,22 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sample(rows: DataFrame, per_lang: int) -> pd.DataFrame:
-    """lang, and feature numbers and counts, of at most per_lang rows of each language."""
-    from pyspark.sql import Window
+    """lang, and feature numbers and counts, of at most per_lang distinct rows of each language.
 
+    Ranks need only hashes and are cut on the map side; the few hashes go back to the texts by broadcast, so no other text moves.
+    """
     letter_table = letters()
-    ids = rows.select("doc_id", "lang").withColumn("_h", F.xxhash64("doc_id"))
-    first = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    ids = ids.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= per_lang).select("doc_id", "_h", "_n").dropDuplicates(["doc_id"])
+    rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
+    first = Window.partitionBy("lang").orderBy("_h")
+    ids = rows.select("lang", "_h").withColumn("_n", F.dense_rank().over(first)).where(F.col("_n") <= per_lang).distinct()
 
     def counted(batches):
         for batch in batches:
             found = [(np.flatnonzero(c), c[c > 0]) for c in (features(t, letter_table) for t in batch["text"])]
-            yield pd.DataFrame({"lang": batch["lang"], "_h": batch["_h"], "_n": batch["_n"], "at": [x[0] for x in found], "n": [x[1] for x in found]})
+            yield pd.DataFrame({"lang": batch["lang"], "_n": batch["_n"], "at": [x[0] for x in found], "n": [x[1] for x in found]})
 
-    out = rows.join(ids, "doc_id").select("lang", "_h", "_n", "text")
-    return out.mapInPandas(counted, "lang string, _h long, _n int, at array<long>, n array<long>").toPandas().sort_values(["_h", "lang"], kind="stable").reset_index(drop=True)
+    out = rows.join(F.broadcast(ids), ["lang", "_h"]).groupBy("lang", "_n").agg(F.first("text").alias("text"))
+    return out.mapInPandas(counted, "lang string, _n int, at array<long>, n array<long>").toPandas().sort_values(["_n", "lang"], kind="stable").reset_index(drop=True)
 
 
 def fit_regression(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = 4, alpha: float = 0.3, beta: float = 0.05, l1: float = 2e-3, l2: float = 1e-3) -> np.ndarray:
@@ -134,10 +137,12 @@ def fit_temperature(logits: np.ndarray, classes: np.ndarray) -> float:
     return float(min(grid, key=loss))
 
 
-def train(docs: DataFrame, training: Column | None = None, per_lang: int = 400) -> LanguageModel:
+def train(docs: DataFrame, training: Column | None = None, per_lang: int = 400, most_langs: int = 256) -> LanguageModel:
     """Learns from text and lang of the rows where `training` holds (default: all) and neither is null."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
     rows = rows.where(training) if training is not None else rows
+    if rows.select("lang").distinct().limit(most_langs + 1).count() > most_langs:
+        raise ValueError(f"more than {most_langs} languages to learn")
     sample = _sample(rows.select("doc_id", "lang", "text"), per_lang)
     langs = sorted(set(sample["lang"]))
     if not langs:

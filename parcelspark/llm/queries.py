@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelspark.llm import decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, lm_scoring, mixing, substring_dedup, suffix_dedup, token_records
-from parcelspark.llm.common import shared_path, table, word_count
+from parcelspark.llm.common import shared_path, table, word_count, written
 
 try:
     import public_tokenizers
@@ -15,8 +15,9 @@ except ImportError:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"))
-    out = mixing.plan(docs, size=F.col("words"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("tie"))
+    docs = written(docs, "sizes")  # the words are counted once
+    out = mixing.plan(docs, size=F.col("words"), tie=F.col("tie"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
@@ -35,8 +36,8 @@ l AS (SELECT rate FROM p WHERE rate <= ratio ORDER BY ratio, rnk LIMIT 1),
 t AS (SELECT none, key, source_size, coalesce(least(cap, w * (SELECT rate FROM l)), cap) AS target, ((rnk * 1103515245 + 12345) % 1000003) / 1000003.0::DOUBLE AS off FROM p),
 n AS (SELECT d.*, source_size, target, off, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS share,
         row_number() OVER (PARTITION BY none, key ORDER BY (length(bin(size)) - 1) * 4 + ((size * 4) >> (length(bin(size)) - 1)) % 4,
-                           coalesce((doc_id % 32 + 32) % 32, 0), size, doc_id NULLS FIRST) AS n
-      FROM d JOIN t USING (none, key)),
+                           coalesce((doc_id % b + b) % b, 0), size, doc_id NULLS FIRST) AS n
+      FROM d JOIN t USING (none, key), (SELECT greatest(32, (count(*) + 65535) // 65536) AS b FROM d)),
 c AS (SELECT *, (floor(n * share + off) - floor((n - 1) * share + off))::BIGINT AS copies FROM n)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 """

@@ -98,6 +98,14 @@ def test_mixing(docs, rows, empty, clash, repeated):
     assert mixing.mix(empty).count() == 0 and mixing.plan(repeated).count() == repeated.count()
 
 
+def test_mixing_of_rows_alike(spark):
+    """Rows of one doc_id or none, of one size: reruns take the same texts, however the rows are dealt."""
+    rows = [(d, f"{w} {v}", "a" if i % 3 else "b") for i, w in enumerate("abcdefghij") for d in (1, None) for v in "xyz"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted(map(repr, mixing.mix(df.repartition(k)).collect())) for k in (1, 5, 8)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) > 60
+
+
 def test_targets_reshare_until_none_is_above(spark):
     sizes = spark.createDataFrame([(False, "a", 10), (False, "b", 1000), (False, "c", 500), (True, "", 20)], "_none boolean, _key string, source_size long")
     got = {r["_key"]: r["target"] for r in mixing.targets(sizes).collect()}
@@ -134,6 +142,68 @@ def test_language_id_held_out(spark):
     assert len(got) > 40 and sum(a == b for a, b in got) / len(got) > 0.97
 
 
+def test_sample_of_one_id_is_bounded(spark):
+    """Many rows of one doc_id, or none, are no more than per_lang distinct ones a language."""
+    rows = [(7, f"word{i}", "a", "s", 0) for i in range(300)] + [(None, f"other{i % 5}", "b", "s", 0) for i in range(300)]
+    got = language_id._sample(spark.createDataFrame(rows, SCHEMA), 40)
+    assert got.groupby("lang").size().to_dict() == {"a": 40, "b": 5}
+    with pytest.raises(ValueError, match="more than 1 languages"):
+        language_id.train(spark.createDataFrame(rows, SCHEMA), most_langs=1)
+
+
+def test_language_model_against_a_plain_one(spark):
+    """Every step again with dicts: n-grams, TF-IDF, the regression row by row, the temperature, the probabilities."""
+    r = random.Random(4)
+    sounds = {"x": ["ka", "shi", "no"], "y": ["sch", "ung", "ein"], "z": ["tion", "que", "\u00e9"]}
+    rows = [(i, " ".join("".join(r.choice(sounds[s]) for _ in range(2)) for _ in range(r.randint(1, 12))) + " 12,", s, "s", 0) for i in range(60) for s in [r.choice("xyz")]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    model = language_id.train(df, per_lang=12)
+    number = lambda g: int(((sum(c << (21 * (len(g) - 1 - i)) for i, c in enumerate(map(ord, g))) | {1: 1, 2: 2, 3: 0}[len(g)] << 62) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 48)
+
+    def grams(text):
+        t = f" {text.lower()} "
+        t = "".join(ch if ch.isalpha() else " " for ch in t)
+        while "  " in t:
+            t = t.replace("  ", " ")
+        return brute.Counter(number(t[i : i + n]) for n in (1, 2, 3) for i in range(len(t) - n + 1))
+
+    found = [grams(t) for _, t, *_ in rows]
+    seen = brute.Counter(g for f in found for g in f)
+    idf = lambda g: brute.math.log((1 + len(rows)) / (1 + seen[g])) + 1
+    vector = lambda f: {g: c / sum(f.values()) * idf(g) * 10 for g, c in f.items()}
+    ranks = {}
+    for lang in "xyz":
+        hashes = sorted((h, i) for i, l, h in df.select("doc_id", "lang", F.xxhash64("doc_id", "text")).collect() if l == lang)
+        ranks |= {i: k + 1 for k, (_, i) in enumerate(hashes[:12])}
+    sample = sorted((ranks[i], l, i) for i, _, l, *_ in rows if i in ranks)
+    z, n, alpha, beta, l1, l2 = brute.defaultdict(float), brute.defaultdict(float), 0.3, 0.05, 2e-3, 1e-3
+    weight = lambda g, k: 0.0 if abs(z[g, k]) <= l1 else -(z[g, k] - brute.math.copysign(l1, z[g, k])) / ((beta + n[g, k] ** 0.5) / alpha + l2)
+
+    def softmax(x):
+        e = [brute.math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    logits = lambda v: [sum(x * weight(g, k) for g, x in v.items()) for k in "xyz"]
+    for _ in range(4):
+        for rank, lang, i in sample:
+            if rank % 5:
+                v = vector(found[i])
+                w = {(g, k): weight(g, k) for g in v for k in "xyz"}
+                for k, p in zip("xyz", softmax(logits(v)), strict=True):
+                    for g, x in v.items():
+                        d = x * (p - (k == lang))
+                        z[g, k] += d - ((n[g, k] + d * d) ** 0.5 - n[g, k] ** 0.5) / alpha * w[g, k]
+                        n[g, k] += d * d
+    back = [(logits(vector(found[i])), "xyz".index(lang)) for rank, lang, i in sample if rank % 5 == 0]
+    loss = lambda t: -sum(brute.math.log(softmax([v / t for v in x])[y]) for x, y in back)
+    steps = [brute.math.exp(brute.math.log(0.05) + i / 240 * (brute.math.log(20) - brute.math.log(0.05))) for i in range(241)]
+    best = min(steps, key=loss)
+    assert model.temperature == pytest.approx(best, rel=1e-6)
+    for i, (lang, score) in by_id(language_id.predict(df, model), "lang_pred", "score").items():
+        p = softmax([v / best for v in logits(vector(found[i]))])
+        assert lang == "xyz"[p.index(max(p))] and score == pytest.approx(max(p), rel=1e-4)
+
+
 def test_jaccard_join(docs, rows, empty, clash, repeated):
     for n, pct in ((4, 85), (5, 80), (1, 60)):
         assert by_id(jaccard_join.link_documents(docs, n=n, pct=pct), "n_shingles", "component_id") == brute.jaccard([r[:2] for r in rows], n, pct)
