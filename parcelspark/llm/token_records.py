@@ -15,12 +15,15 @@ the whole; a file holds about `shard_bytes` of text, also where many rows have t
 the files back and checking every checksum; it has a row for each record with file, offset and length. Shuffled reads look
 records up by offset: a file is read once, and only the wanted records are taken out of it.
 
-Every text goes to the tokenizer whole, in batches of bounded size. The tokenizer's definition travels to the tasks by
-broadcast; it has the size of its vocabulary, which is checked.
+Whole texts are encoded. With most tokenizers a text's ids are those of its chunks between ASCII white space, one after another: then each
+worker encodes a distinct chunk once and keeps it, within a bound in bytes. Whether that holds for the given tokenizer is
+found out before, on every pair of a set of characters beside each other and across white space (`splits`), and checked again on
+one text in CHECKED of each batch, which goes to the tokenizer whole. Tokenizers for which it doesn't hold get all texts whole, in
+batches of bounded size. The definition of the tokenizer travels to the tasks by broadcast; it has the size of its vocabulary, which
+is checked.
 
 Defined results: a null or empty text has only the end id; null doc_ids come first; rows with the same doc_id are separate
-records, in the order of a 64-bit hash of their text; a very long text is one record, encoded in one piece (a tokenizer may merge
-across any place), so a task needs memory for its longest text; an empty table gives an empty index; other columns, whatever
+records, in the order of a 64-bit hash of their text; a very long text is one record, so a task needs memory for its longest text; an empty table gives an empty index; other columns, whatever
 their names, are left behind.
 """
 
@@ -42,6 +45,10 @@ END_ID = 1
 #: Characters that go to the tokenizer at a time (a longer text goes alone), and the largest tokenizer definition that is broadcast.
 TOGETHER = 1 << 18
 MOST_DEFINITION = 256 << 20
+#: Bytes of chunks and ids that a worker keeps, what an entry takes beside them, and how seldom a text is encoded in both ways.
+KEPT, ENTRY, CHECKED = 160 << 20, 150, 1000
+#: What stands between chunks that are encoded together: a character that is one id by itself.
+MARK = "|"
 INDEX = "shard int, path string, offset long, length long, doc_id long, n_tokens long, ids_crc32 long, before long"
 
 
@@ -88,20 +95,104 @@ def together(texts: list[str]):
         yield some
 
 
-def _encoder(shared, end_id: int):
+def chunks(text: str) -> list[bytes]:
+    """The text between ASCII white space. A-Z are lower-cased, but not where special tokens, which know case, may stand."""
+    data = text.encode()
+    return data.split() if b"<|" in data else data.lower().split()
+
+
+def stem(chunk: bytes) -> bytes | None:
+    """The chunk without its full stop or comma, where that follows an ASCII letter or digit and so is a piece by itself."""
+    return chunk[:-1] if chunk[-1:] in b".," and chunk[-2:-1].isalnum() else None
+
+
+def whole(tokenizer, texts: list[str]) -> list[list[int]]:
+    return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+class ChunkEncoder:
+    """Ids of texts, chunk by chunk; known ones are kept."""
+
+    def __init__(self, tokenizer, kind: str):
+        self.tokenizer, self.kind = tokenizer, kind
+        self.known: dict[bytes, bytes] = {}
+        self.size = 0
+        (self.mark,) = tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        """The words go to the tokenizer as one text with MARK between them; words that hold it go alone."""
+        out = []
+        for i in range(0, len(words), 8192):
+            some = [w.decode() for w in words[i : i + 8192]]
+            odd = {k: np.array(whole(self.tokenizer, [w])[0], self.kind).tobytes() for k, w in enumerate(some) if MARK in w}
+            joined = f" {MARK} ".join(["" if k in odd else w for k, w in enumerate(some)])
+            ids = np.array(whole(self.tokenizer, [joined])[0], self.kind)
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer doesn't keep chunks apart")
+            raw, wide, at = ids.tobytes(), ids.itemsize, 0
+            for k, end in enumerate(ends):
+                out.append(odd.get(k) or raw[wide * at : wide * end])
+                at = end + 1
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.size > KEPT:
+            self.known.clear()
+            self.size = 0
+        split = [chunks(t) for t in texts]
+        stems = {w: stem(w) for w in {w for words in split for w in words}.difference(self.known)}
+        new = list({s or w for w, s in stems.items()}.union([b".", b","]).difference(self.known))
+        self.known.update(zip(new, self._encode(new), strict=True))
+        self.known.update((w, self.known[s] + self.known[w[-1:]]) for w, s in stems.items() if s)
+        self.size += sum(len(w) + len(self.known[w]) + ENTRY for w in stems)
+        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+
+
+def splits(tokenizer) -> bool:
+    """Whether texts may be encoded chunk by chunk: tried on every pair of printable ASCII characters and some others."""
+    if len(tokenizer.encode(MARK, add_special_tokens=False).ids) != 1:
+        return False
+    characters = [chr(c) for c in range(33, 127)] + list("\x00\x1f\x85\xa0\xad\xc9\xe9\xdf\u0130\u0301\u0430\u05d0\u0661\u0e01\u200b\u2003\u3000\u4e2d\uac00\uff21\U0001f600")
+    spaces = [" ", "\n", "\t", "\r\n", "  ", "\x0b", "\x0c", " \n "]
+    texts = []
+    for i, a in enumerate(characters):
+        texts.append("".join(f"{x}{spaces[(i + j) % len(spaces)]}{y}" for j, b in enumerate(characters) for x, y in ((a, b), (f"Ab{a}{b}", f"{a}{b}cD"), (f"{a}12", f"{b}Ef."))))
+    texts += [f"{s}a{s}B.{s}" for s in spaces] + ["", " ", "<|endoftext|> A<|x|>B |a| it's IT'S 'Ll"]
+    try:
+        ids = ChunkEncoder(tokenizer, "<u4")(texts)
+    except ValueError:
+        return False
+    return [np.frombuffer(x, "<u4").tolist() for x in ids] == whole(tokenizer, texts)
+
+
+#: The definition last seen by this worker process, and its tokenizer and encoder.
+_MADE: list = [None, None, None]
+
+
+def _encoder(shared, end_id: int, by_chunk: bool):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(shared.value)
+        if _MADE[0] is not shared.value:
+            _MADE[:] = shared.value, Tokenizer.from_str(shared.value), None
+        tokenizer = _MADE[1]
         width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        kind = f"<u{width}"
+        if by_chunk and _MADE[2] is None:
+            _MADE[2] = ChunkEncoder(tokenizer, kind)
+        end = np.array([end_id], kind).tobytes()
         for batch in batches:
             docs = zip(batch["doc_id"].tolist(), batch["doc_id"].isna().tolist(), strict=True)
-            for texts in together([t or "" for t in batch["text"]]):
-                frames = []
-                for e, (d, none) in zip(tokenizer.encode_batch_fast(texts, add_special_tokens=False), docs, strict=False):
-                    frames.append(frame(None if none else int(d), np.array([*e.ids, end_id], f"<u{width}").tobytes(), width))
-                yield pd.DataFrame({"frame": frames})
+            given = [t or "" for t in batch["text"]]
+            if by_chunk and given:
+                some = given[::CHECKED]
+                if _MADE[2](some) != [np.array(x, kind).tobytes() for x in whole(tokenizer, some)]:
+                    raise ValueError("the tokenizer doesn't encode chunk by chunk")
+            for texts in together(given):
+                ids = _MADE[2](texts) if by_chunk else [np.array(x, kind).tobytes() for x in whole(tokenizer, texts)]
+                yield pd.DataFrame({"frame": [frame(None if none else int(d), x + end, width) for x, (d, none) in zip(ids, docs, strict=False)]})
 
     return run
 
@@ -124,15 +215,18 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_bytes: int = 32 << 20) -> DataFrame:
     """Writes path/records and path/index and returns the index. tokenizer: the file of its definition, read by the driver."""
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
     definition = Path(tokenizer).read_text(encoding="utf-8")
     if len(definition) > MOST_DEFINITION:
         raise ValueError(f"the tokenizer's definition has {len(definition)} characters, more than {MOST_DEFINITION} to broadcast")
+    by_chunk = splits(Tokenizer.from_str(definition))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = parts_for(spark, text_bytes(docs), shard_bytes)
     order = "doc_id", F.xxhash64("text")
     ordered = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    frames = ordered.mapInPandas(_encoder(spark.sparkContext.broadcast(definition), end_id), "frame binary")
+    frames = ordered.mapInPandas(_encoder(spark.sparkContext.broadcast(definition), end_id, by_chunk), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.text(f"{path}/records")
     _files(spark, path).mapInPandas(_parse, INDEX).write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")

@@ -314,6 +314,25 @@ def test_token_records_of_shared_ids_and_long_texts(spark):
     assert sorted(got, key=lambda x: x[1]) == [w[:4] for w in want]
 
 
+def test_tokenizers_that_need_whole_texts(spark, tmp_path):
+    """The shortcut by chunks is only taken where it gives what whole texts give."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    assert token_records.splits(Tokenizer.from_file(TOKENIZER))
+    definition = json.loads(Path(TOKENIZER).read_text())
+    definition["normalizer"]["normalizers"] = definition["normalizer"]["normalizers"][:2]  # A-Z stay
+    (tmp_path / "t.json").write_text(json.dumps(definition))
+    cased = Tokenizer.from_file(str(tmp_path / "t.json"))
+    assert not token_records.splits(cased)
+    text = "Some Text WITH capitals,\nand lines."
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    path = shared_path(spark, "t")
+    token_records.write_records(df, path, str(tmp_path / "t.json"))
+    assert dict(token_records.read_records(spark, path).collect()) == {1: cased.encode(text, add_special_tokens=False).ids + [1], 2: [1]}
+
+
 def test_ids_of_large_vocabularies_take_four_bytes():
     data = token_records.frame(7, np.array([1, 70_000], "<u4").tobytes(), 4) + b"\n"
     ((at, _, doc_id, ids),) = token_records.records(data)
