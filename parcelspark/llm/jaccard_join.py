@@ -8,8 +8,9 @@ from the start, so copies never meet each other as pairs.
    Each set posts a hash of each of its parts, by size class. Sets only meet over several equal shingles at once, which
    chance doesn't bring about however large the corpus grows, and no frequencies have to be known.
 2. The smallest node of a list leads it, and the others are its candidates. Candidates of a leader form groups of bounded
-   size. In a group, sets are stored in a prefix tree; each set walks the tree, sharing the partial overlap of common paths,
-   and leaves a subtree when the longest rest can't reach the needed overlap, or all its sets are already connected to it.
+   size (in shingles). In a group, sets are stored in a prefix tree. Each set meets those it shares one of its rarest shingles of the
+   group with and isn't connected to yet: on the way down to them, the overlap with common paths is worked out once, and a
+   subtree is left when the longest rest can't reach the needed overlap.
 3. Where the candidates of a leader are more than one group and not yet connected, groups meet two by two in the same way, those that
    are of one component left out.
 
@@ -38,7 +39,8 @@ from parcelspark.llm.substring_dedup import bit_table, has_bit
 
 LAST = (1 << 63) - 1
 TABLE_BITS = 24
-GROUP = 256
+#: Shingles of a group.
+GROUP = 1 << 19
 #: Sets whose signatures a task remembers, to send those of equal sets once.
 REMEMBER = 1 << 17
 
@@ -143,51 +145,104 @@ def _flagged(shared):
 
 
 class Tree:
-    """A prefix tree over sorted arrays of ranks; a node holds the run of ranks that all sets below it share."""
-
-    def __init__(self, sets: list[np.ndarray], members: list[int], depth: int = 0):
-        first, last = sets[members[0]], sets[members[-1]]
-        k = min(len(first), len(last))
-        differ = np.flatnonzero(first[depth:k] != last[depth:k])
-        end = depth + int(differ[0]) if len(differ) else k
-        self.run, self.depth, self.members = first[depth:end], end, np.array(members)
-        sizes = [len(sets[i]) for i in members]
-        self.least, self.most = min(sizes), max(sizes)
-        self.here = [i for i in members if len(sets[i]) == end]
-        self.below, rest = [], [i for i in members if len(sets[i]) > end]
-        while rest:
-            k = next((j for j, i in enumerate(rest) if sets[i][end] != sets[rest[0]][end]), len(rest))
-            self.below.append(Tree(sets, rest[:k], end))
-            rest = rest[k:]
+    """A prefix tree over ascending arrays; a node holds the run of values that all sets below it share.
+
+    Nodes are numbers: parent, depth (values from the root to its end), a set below it, and the smallest and largest set below it.
+    """
+
+    def __init__(self, sets: list[np.ndarray]):
+        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
+        self.parent, self.depth, self.of = [-1], [0], [order[0]]
+        self.leaf = [0] * len(sets)
+        path, before = [0], None
+        for i in order:
+            mine = sets[i]
+            if before is None:
+                same = 0
+            else:
+                k = min(len(mine), len(before))
+                differ = np.flatnonzero(mine[:k] != before[:k])
+                same = int(differ[0]) if len(differ) else k
+            last = -1
+            while self.depth[path[-1]] > same:
+                last = path.pop()
+            if self.depth[path[-1]] < same:  # the path forks within the last node's run
+                self.parent[last] = len(self.parent)
+                path.append(self._add(path[-1], same, i))
+            if len(mine) > same:
+                path.append(self._add(path[-1], len(mine), i))
+            self.leaf[i] = path[-1]
+            before = mine
+        self.least, self.most = [1 << 60] * len(self.parent), [0] * len(self.parent)
+        for i, at in enumerate(self.leaf):
+            n = len(sets[i])
+            while at >= 0 and (n < self.least[at] or n > self.most[at]):
+                self.least[at], self.most[at] = min(n, self.least[at]), max(n, self.most[at])
+                at = self.parent[at]
+
+    def _add(self, parent: int, depth: int, of: int) -> int:
+        self.parent.append(parent)
+        self.depth.append(depth)
+        self.of.append(of)
+        return len(self.parent) - 1
+
+
+def rare_lists(at: np.ndarray, sizes: np.ndarray, frequency: np.ndarray, pct: int) -> tuple[np.ndarray, ...]:
+    """The sets of each value among the prefixes of rarest values, one list after another, and for each set the bounds of the lists of
+    its own prefix. Sets similar enough share a value of their prefixes."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((at, frequency[at], owner))
+    place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    prefix = sizes - (pct * sizes + 99) // 100 + 1
+    ok = (place < np.repeat(prefix, sizes)) & (frequency[at[order]] > 1)
+    value, owner = at[order][ok], owner[ok]
+    by_value = np.argsort(value, kind="stable")
+    ordered = value[by_value]
+    return owner[by_value], np.searchsorted(ordered, value), np.searchsorted(ordered, value, "right"), np.searchsorted(owner, np.arange(len(sizes) + 1))
 
 
 def tree_links(sets: list[np.ndarray], pct: int, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Links of similarity >= pct / 100 that connect what all such links connect. sets: ascending distinct integers, which is the
     global order. known: numbers of the components that sets are in already."""
-    values, at = np.unique(np.concatenate(sets), return_inverse=True)
-    cuts = np.cumsum([len(s) for s in sets])[:-1]
-    ranked = np.split(at, cuts)
-    order = sorted(range(len(sets)), key=lambda i: ranked[i].astype(">u4").tobytes())
-    root, links = Tree(ranked, order), []
+    values, at, frequency = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    sizes = np.array([len(s) for s in sets])
+    ranked = np.split(at, np.cumsum(sizes)[:-1])
+    tree, links = Tree(ranked), []
+    members, starts, ends, own = rare_lists(at, sizes, frequency, pct)
     group = np.arange(len(sets)) if known is None else np.unique(np.array(known, np.int64), return_inverse=True)[1]
-    for x, mine in enumerate(ranked):
-        has = np.zeros(len(values), bool)
+    has, met = np.zeros(len(values), bool), np.zeros(len(sets), bool)
+    for x in range(1, len(sets)):
+        for i in range(own[x], own[x + 1]):
+            met[members[starts[i] : ends[i]]] = True
+        others = np.flatnonzero(met[:x] & (group[:x] != group[x]) & (100 * sizes[:x] >= pct * sizes[x]) & (pct * sizes[:x] <= 100 * sizes[x]))
+        met[:] = False
+        if not len(others):
+            continue
+        mine, n = ranked[x], len(ranked[x])
         has[mine] = True
-        stack = [(root, 0)]
-        while stack:
-            tree, shared = stack.pop()
-            if 100 * tree.most < pct * len(mine) or pct * tree.least > 100 * len(mine) or (group[tree.members] == group[x]).all():
-                continue
-            shared += int(has[tree.run].sum())
-            rest = len(mine) - (int(np.searchsorted(mine, tree.run[-1], "right")) if len(tree.run) else shared)
-            can = shared + min(rest, tree.most - tree.depth)
-            if (100 + pct) * can < pct * (len(mine) + tree.least):
+        shared: dict[int, int] = {0: 0}  # of each node seen; -1: no set below it can be linked
+        for y in others.tolist():
+            if group[y] == group[x]:
                 continue
-            for y in tree.here:
-                if group[y] != group[x] and (100 + pct) * shared >= pct * (len(mine) + len(ranked[y])):
-                    links.append((x, y))
-                    group[group == group[y]] = group[x]
-            stack += [(t, shared) for t in tree.below]
+            way, node = [], tree.leaf[y]
+            while node not in shared:
+                way.append(node)
+                node = tree.parent[node]
+            for below in reversed(way):
+                so_far = shared[node]
+                if so_far >= 0:
+                    run = ranked[tree.of[below]][tree.depth[node] : tree.depth[below]]
+                    so_far += int(has[run].sum())
+                    rest = n - int(np.searchsorted(mine, run[-1], "right"))
+                    can = so_far + min(rest, tree.most[below] - tree.depth[below])
+                    if (100 + pct) * can < pct * (n + tree.least[below]):
+                        so_far = -1
+                shared[below] = so_far
+                node = below
+            if (100 + pct) * shared[node] >= pct * (n + len(ranked[y])):
+                links.append((x, y))
+                group[group == group[y]] = group[x]
+        has[mine] = False
     return links
 
 
@@ -224,7 +279,7 @@ def _groups(n: int, pct: int):
 
 def first_groups(pairs: DataFrame) -> DataFrame:
     """leader, group, node, component: the candidates of each leader in groups of about GROUP, the leader in all of them."""
-    sized = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("_blocks"))
+    sized = pairs.groupBy("leader").agg(F.ceil(F.sum("size") / GROUP).alias("_blocks"))
     dealt = pairs.join(sized, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("_blocks")).alias("block"), "node")
     dealt = dealt.union(dealt.select("leader", "block", F.col("leader").alias("node")).distinct())
     return dealt.select("leader", F.xxhash64("leader", "block").alias("group"), "node", F.col("node").alias("component"))
@@ -236,10 +291,10 @@ def open_groups(pairs: DataFrame, so_far: DataFrame) -> DataFrame:
     Large components are cut into chunks of their own, the small ones of a leader share chunks; each two chunks of a leader meet, unless they
     are of one and the same component.
     """
-    large = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP).select("leader")
-    rows = pairs.join(large, "leader")
-    rows = rows.union(large.select("leader", F.col("leader").alias("node"))).join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    parts = rows.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("_n"))
+    large = pairs.groupBy("leader").agg(F.sum("size").alias("_n"), F.max("size").alias("size")).where(F.col("_n") > GROUP)
+    rows = pairs.join(large.select("leader"), "leader")
+    rows = rows.unionByName(large.select("leader", F.col("leader").alias("node"), "size")).join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = rows.groupBy("leader", "component").agg(F.sum("size").alias("_n"))
     small = F.col("_n") <= GROUP
     sums = parts.groupBy("leader").agg(F.count(F.lit(1)).alias("_parts"), F.sum(F.when(small, F.col("_n")).otherwise(0)).alias("_small")).where("_parts > 1")
     parts = parts.join(sums, "leader").select("leader", "component", F.when(~small, F.ceil(F.col("_n") / GROUP)).alias("_own"), F.ceil(F.col("_small") / GROUP).alias("_shared"))
@@ -257,15 +312,16 @@ def link_nodes(docs: DataFrame, n: int = 5, pct: int = 80) -> tuple[DataFrame, D
     spark = docs.sparkSession
     slim = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), "text")
     nodes = written(slim.withColumn("_sub", F.xxhash64("text")).mapInPandas(_nodes(n), "_id long, _sub long, n_shingles long, node long"), "nodes")
-    reps = nodes.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"))
+    reps = nodes.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("size"))
 
     posted = slim.select("text").mapInPandas(_signatures(n, pct), "signature long, node long")
     posted = posted.repartition("signature").sortWithinPartitions("signature", "node")
-    pairs = cut(posted.mapInPandas(_lists, "leader long, node long").distinct())
+    pairs = posted.mapInPandas(_lists, "leader long, node long").distinct()
+    pairs = cut(pairs.join(reps.select("node", "size"), "node").select("leader", "node", "size"))
 
     def check(groups: DataFrame) -> DataFrame:
         """u, v of the linked nodes of each group."""
-        wanted = cut(groups.select("node").distinct().join(reps, "node"))
+        wanted = cut(groups.select("node").distinct().join(reps.select("node", "rep"), "node"))
         table = spark.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64("rep").alias("hash")), TABLE_BITS))
         texts = slim.select(F.xxhash64("_id").alias("hash"), "_id", "text").mapInPandas(_flagged(table), "_id long, text string")
         texts = wanted.select("node", F.col("rep").alias("_id")).join(texts, "_id").select("node", "text")

@@ -243,7 +243,7 @@ def test_similar_sets_share_a_signature():
 
 def test_large_groups_meet_chunk_by_chunk(spark, monkeypatch):
     """Several components that share passages, each larger than a group or smaller."""
-    monkeypatch.setattr(jaccard_join, "GROUP", 6)
+    monkeypatch.setattr(jaccard_join, "GROUP", 1200)
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
     common, rows = [word() for _ in range(160)], []
