@@ -9,8 +9,9 @@ left are minimizers with several different stretches; only their bytes are sorte
 Those stretches are dealt by minimizer and worked on in units of bounded size. A unit is cut into shards. Each shard gets its own
 suffix order and Burrows-Wheeler transform, and the transforms are merged by iterative interleave refinement: starting from
 shard after shard, each round moves every suffix to the bucket of the character before it, which makes the interleaving
-right for one more character. No suffix is sorted again. A round also carries where neighbours first differ, so after k rounds the
-boundaries that are missing are the common prefixes of k bytes or more: the repeated intervals. Their earliest coordinate stays.
+right for one more character. No suffix is sorted again. A round also carries where neighbours first differ and drops the suffixes
+that differ from all others, so what is left after k rounds are the common prefixes of k bytes or more: the repeated intervals. Their
+earliest coordinate stays.
 
 A minimizer with very many different stretches is dealt out once more by the bytes of each window, so no group is unbounded.
 
@@ -193,22 +194,23 @@ def transform(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleaving of the shards' suffixes (numbered shard after shard) by their first depth characters, and the block of
-    each: suffixes of a block agree in all of these."""
+    """The repeated intervals of all shards' suffixes (numbered shard after shard): those that agree with another one in their first
+    depth characters, interleaved by these, and the block of each: suffixes of a block agree.
+
+    A suffix that agrees with no other in d characters leaves, as those that are longer by characters before it can't agree with
+    others in more than these and d.
+    """
     offsets = np.cumsum([0] + [len(p[0]) for p in parts])
     bwt = np.concatenate([p[1] for p in parts])
     step = np.concatenate([p[2] + o for p, o in zip(parts, offsets, strict=False)]).astype(np.int32)
-    ends = np.concatenate([o + np.arange(int((p[1] == 0).sum())) for p, o in zip(parts, offsets, strict=False)]).astype(np.int32)
-    z = np.arange(len(bwt), dtype=np.int32)
-    z = np.concatenate([ends, np.delete(z, ends)])
-    block = np.zeros(len(z), np.int32)
+    z, block = np.arange(len(bwt), dtype=np.int32), np.zeros(len(bwt), np.int32)
     for _ in range(depth):
         before = bwt[z]
-        move = np.argsort(before, kind="stable")[len(ends) :]
+        move = np.argsort(before, kind="stable")[int(np.count_nonzero(before == 0)) :]  # 0: there is no character before
         c, b = before[move], block[move]
-        new = np.append(True, (c[1:] != c[:-1]) | (b[1:] != b[:-1]))
-        z = np.concatenate([ends, step[z[move]]])
-        block = np.concatenate([np.arange(len(ends), dtype=np.int32), np.cumsum(new, dtype=np.int32) + np.int32(len(ends) - 1)])
+        new = np.append(True, (c[1:] != c[:-1]) | (b[1:] != b[:-1]))[: len(c)]
+        shared = ~(new & np.append(new[1:], True)[: len(c)])
+        z, block = step[z[move[shared]]], np.cumsum(new, dtype=np.int32)[shared]
     return z, block
 
 
@@ -224,9 +226,6 @@ def repeats(strings: list[bytes], docs: list[int], starts: list[int], k: int) ->
         doc.append(np.repeat(np.array([docs[i] for i in shard]), lengths)[order])
         pos.append((np.repeat(np.array([starts[i] for i in shard]), lengths) + np.arange(lengths.sum()) - first)[order])
     z, block = merge(parts, k)
-    size = np.bincount(block)
-    shared = size[block] > 1
-    z, block = z[shared], block[shared]
     if not len(z):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     d, p = np.concatenate(doc)[z], np.concatenate(pos)[z]
