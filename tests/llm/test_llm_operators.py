@@ -401,7 +401,8 @@ def vectors(seed=4, n=300, dim=16):
 
 def test_embedding_dedup(spark):
     rows = vectors()
-    got = {r[0]: tuple(r)[1:] for r in embedding_dedup.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("rep", "weight", "pivot", "pivots", "chunk", "_id", "vector")})
+    got = {r[0]: tuple(r)[1:] for r in embedding_dedup.link_vectors(df.repartition(3)).collect()}
     ok = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v and None not in v and np.isfinite(v).all() and np.any(v)}
     ids = sorted(ok)
     links = [(a, b) for k, a in enumerate(ids) for b in ids[:k] if len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] >= 0.95]
@@ -416,6 +417,32 @@ def test_embedding_dedup(spark):
     assert sorted(r[1] for r in embedding_dedup.link_vectors(twice).collect()) == [0, 2, 2, 2]
 
 
+def test_permutations_and_shared_pivots():
+    """The index by itself: order of nearness, shared counts, and each linked pair taken in one list."""
+    r = np.random.default_rng(3)
+    pivots = [embedding_dedup.unit(v) for v in r.normal(size=(60, 8))]
+    base = r.normal(size=(40, 8))
+    x = np.concatenate([base, base + r.normal(size=(40, 8)) * 0.05])
+    shared = type("Shared", (), {"value": pivots})
+    import pandas as pd
+
+    (posted,) = embedding_dedup._posted(shared, 8)([pd.DataFrame({"rep": range(80), "weight": 1, "vector": list(x)})])
+    for v, p in zip(x, posted["pivots"], strict=True):
+        assert p == sorted(range(60), key=lambda k: -float(pivots[k] @ embedding_dedup.unit(v)))[:8]
+    lists = np.array(posted["pivots"].to_list())
+    for n in (1, 2, 5):
+        i, j = embedding_dedup.candidates(lists, None, n)
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) == {(a, b) for b in range(80) for a in range(b) if len({*lists[a]} & {*lists[b]}) >= n}
+    taken = []
+    for pivot in range(60):
+        rows = posted[[pivot in p for p in posted["pivots"]]].assign(chunk=0)
+        if len(rows):
+            taken += embedding_dedup._linked(0.95, 2)((pivot, 0, 0), rows)["links"].tolist()
+    u = embedding_dedup.unit(x)
+    want = [(a, b) for b in range(80) for a in range(b) if u[a] @ u[b] >= 0.95 and len({*lists[a]} & {*lists[b]}) >= 2]
+    assert sum(taken) == 2 * len(want) and len(want) >= 40
+
+
 def test_long_lists_meet_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 40)
     r = np.random.default_rng(0)
