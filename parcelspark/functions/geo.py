@@ -53,6 +53,20 @@ def segment_distance(px, py, ax, ay, bx, by) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
+def box_segment_distance(xmin, ymin, xmax, ymax, ax, ay, bx, by) -> Column:
+    """Distance of a box to a segment, 0 where they touch: where none of them crosses the other, an end of the segment or a corner of the
+    box is nearest."""
+    low, high = F.lit(0.0), F.lit(1.0)
+    inside = F.lit(True)
+    for lo, hi, a, b in ((xmin, xmax, ax, bx), (ymin, ymax, ay, by)):
+        t0, t1 = F.when(a != b, (lo - a) / (b - a)), F.when(a != b, (hi - a) / (b - a))
+        low, high = F.greatest(low, F.least(t0, t1)), F.least(high, F.greatest(t0, t1))
+        inside = inside & ((a != b) | a.between(lo, hi))
+    ends = [box_distance(x, y, xmin, ymin, xmax, ymax) for x, y in ((ax, ay), (bx, by))]
+    corners = [segment_distance(x, y, ax, ay, bx, by) for x in (xmin, xmax) for y in (ymin, ymax)]
+    return F.when(inside & (low <= high), F.lit(0.0)).otherwise(F.least(*ends, *corners))
+
+
 def tile_x(lon, zoom) -> Column:
     return F.floor((lon + 180.0) / 360.0 * F.pow(F.lit(2.0), zoom)).cast("long")
 
@@ -106,3 +120,21 @@ def utm(lat, lon) -> tuple[Column, Column]:
         north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     false_north = F.when(lat < 0, F.lit(10000000.0)).otherwise(F.lit(0.0))
     return SCALE * MEAN_RADIUS * east + 500000.0, SCALE * MEAN_RADIUS * north + false_north
+
+
+def pixel_in_grid(lat, lon, zoom, x0, y0) -> tuple[Column, Column]:
+    """Pixel of a point in a grid of tiles that starts at tile (x0, y0), cut to whole pixels."""
+    n = F.pow(F.lit(2.0), zoom)
+    x = ((lon + 180.0) / 360.0 * n - x0) * TILE
+    y = ((1.0 - F.asinh(F.tan(F.radians(lat))) / math.pi) / 2.0 * n - y0) * TILE
+    return x.cast("int"), y.cast("int")
+
+
+def to_pixel(lat, lon, north, south, east, west, width, height) -> tuple[Column, Column]:
+    """Pixel of a point in an image with these bounds, linear, cut to whole pixels."""
+    return ((lon - west) / (east - west) * width).cast("int"), ((north - lat) / (north - south) * height).cast("int")
+
+
+def from_pixel(px, py, north, south, east, west, width, height) -> tuple[Column, Column]:
+    """lat, lon of a pixel."""
+    return north - py / height * (north - south), west + px / width * (east - west)

@@ -1,18 +1,20 @@
 """Raster map algebra on pixel tables (y, x, bands): colour, focal windows, morphology, distance and components.
 
-Focal operators are separable windows along rows, then columns, so a pixel is never joined to its whole neighbourhood.
+Focal operators are separable windows along rows, then columns, so a pixel is never joined to its whole neighbourhood. A table may hold
+many images (or chunks of one): `by` names their key columns, and every window, join and label stays within an image. An image
+has a bounded side, so a window over a row or a column of one has too.
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from parcelspark.operators.tables import cut
 
 c = F.col
 
-#: Windows along columns work on so many rows of the raster at a time.
-BLOCK = 1024
-
 #: Hue, saturation and value ranges of vegetation (low, high).
 GREENS = (
     ((35, 25, 25), (85, 255, 255)),
@@ -56,87 +58,172 @@ def reflected(df: DataFrame, axis: str, size: int, by: int) -> DataFrame:
     return df.withColumn(axis, F.explode(places))
 
 
-def blocked(df: DataFrame, halo: int) -> DataFrame:
-    """Rows of the raster in blocks (_block); those up to halo rows beyond a block's ends stand in it too. See unblocked."""
-    at = lambda y: F.floor(y / F.lit(BLOCK))
-    blocks = F.sequence(at(c("y") - halo), at(c("y") + halo))
-    return df.withColumn("_own", at(c("y"))).withColumn("_block", F.explode(blocks))
-
-
-def unblocked(df: DataFrame) -> DataFrame:
-    return df.where(c("_block") == c("_own")).drop("_block", "_own")
-
-
-def box_sums(df: DataFrame, sizes: dict[str, int], half: int, *values: str, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
-    """Sums over the square of side 2 half + 1 around each pixel, mirrored at the border."""
+def box_sums(df: DataFrame, sizes: dict[str, int], half: int, *values: str, axes: tuple[str, ...] = ("x", "y"), by: tuple[str, ...] = ()) -> DataFrame:
+    """Sums over the square of side 2 half + 1 around each pixel, mirrored at the border; half may be no longer than a side."""
     for axis in axes:
         other = "y" if axis == "x" else "x"
-        w = Window.partitionBy(other, *["_block"] * (axis == "y")).orderBy(axis).rowsBetween(-half, half)
+        w = Window.partitionBy(*by, other).orderBy(axis).rowsBetween(-half, half)
         df = reflected(df, axis, sizes[axis], half)
-        df = blocked(df, half) if axis == "y" else df
         df = df.withColumns({v: F.sum(v).over(w) for v in values}).where(c(axis).between(0, sizes[axis] - 1))
-        df = unblocked(df) if axis == "y" else df
     return df
 
 
-def cross(df: DataFrame, value: str, pick, name: str) -> DataFrame:
-    """pick (F.max: dilate, F.min: erode) over a pixel and its four neighbours; the border has fewer."""
-    row = Window.partitionBy("y", "_block").orderBy("x").rowsBetween(-1, 1)
-    column = Window.partitionBy("x", "_block").orderBy("y").rowsBetween(-1, 1)
-    both = (F.greatest if pick is F.max else F.least)(pick(value).over(row), pick(value).over(column))
-    return unblocked(blocked(df, 1).withColumn(name, both))
+#: Structuring elements: for each row offset, how far they reach along the row.
+CROSS_3 = {-1: 0, 0: 1, 1: 0}
+ELLIPSE_5 = {-2: 0, -1: 2, 0: 2, 1: 2, 2: 0}
+ELLIPSE_7 = {-3: 0, -2: 2, -1: 3, 0: 3, 1: 3, 2: 2, 3: 0}
 
 
-def owner_edges(df: DataFrame, owner: str) -> DataFrame:
+def morph(df: DataFrame, value: str, pick, name: str, element: dict[int, int] = CROSS_3, by: tuple[str, ...] = ()) -> DataFrame:
+    """pick (F.max: dilate, F.min: erode) over the structuring element around each pixel; beyond the border there are no pixels.
+
+    One window along the row for each reach that occurs, then one along the column for each row offset.
+    """
+    along = {r: f"_r{r}" for r in set(element.values())}
+    df = df.withColumns({n: pick(value).over(Window.partitionBy(*by, "y").orderBy("x").rangeBetween(-r, r)) for r, n in along.items()})
+    column = Window.partitionBy(*by, "x").orderBy("y")
+    parts = [pick(along[r]).over(column.rangeBetween(dy, dy)) for dy, r in element.items()]
+    join = F.greatest if pick is F.max else F.least
+    return df.withColumn(name, join(*parts)).drop(*along.values())
+
+
+def owner_edges(df: DataFrame, owner: str, by: tuple[str, ...] = ()) -> DataFrame:
     """edge: the owner differs from that of the pixel to the left or above."""
-    left = F.lag(owner).over(Window.partitionBy("y", "_block").orderBy("x"))
-    above = F.lag(owner).over(Window.partitionBy("x", "_block").orderBy("y"))
-    return unblocked(blocked(df, 1).withColumn("edge", F.coalesce(left != c(owner), F.lit(False)) | F.coalesce(above != c(owner), F.lit(False))))
+    left = F.lag(owner).over(Window.partitionBy(*by, "y").orderBy("x"))
+    above = F.lag(owner).over(Window.partitionBy(*by, "x").orderBy("y"))
+    return df.withColumn("edge", F.coalesce(left != c(owner), F.lit(False)) | F.coalesce(above != c(owner), F.lit(False)))
 
 
-def squared_distance(df: DataFrame, source: Column, reach: int) -> DataFrame:
-    """d2: squared distance to the nearest source pixel, where that is within reach; else null.
+def _lower_envelope(places: np.ndarray, heights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each place in `at`, which of the parabolas h + (at - p)^2 is lowest; of equally low ones the first in the arrays' order.
 
-    Exact in two passes: distance within the column by windows, then the best column of the row within reach.
+    Exact in integers: heights are scaled by the number of parabolas, and the order in the arrays is the rest.
+    """
+    n = len(places)
+    order = np.argsort(places, kind="stable")
+    p, f = places[order].tolist(), (heights[order] * n + order).tolist()
+    kept, ends = [0], []
+    for q in range(1, n):
+        while True:
+            k = kept[-1]
+            cross = (f[q] + n * p[q] * p[q] - f[k] - n * p[k] * p[k]) // (2 * n * (p[q] - p[k]))  # from cross + 1 on q is lower
+            if ends and cross <= ends[-1]:
+                kept.pop()
+                ends.pop()
+                continue
+            break
+        kept.append(q)
+        ends.append(cross)
+    return order[np.array(kept)[np.searchsorted(np.array(ends), at, side="left")]]
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _best_columns(xs: pd.Series, places: pd.Series, heights: pd.Series) -> pd.Series:
+    return pd.Series([_lower_envelope(np.asarray(p, np.int64), np.asarray(h, np.int64), np.asarray(x)) if len(p) else None for x, p, h in zip(xs, places, heights, strict=True)])
+
+
+def nearest_source(df: DataFrame, source: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with sy, sx, the nearest source pixel of the image (smallest sy, then sx, of equally near ones), and d2, its squared
+    distance; null where an image has no source. Exact at any distance.
+
+    The first pass is two windows along the columns; the second finds, for each row, the lower envelope of one parabola a column.
     """
-    down = Window.partitionBy("x", "_block").orderBy("y").rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy("x", "_block").orderBy("y").rowsBetween(0, Window.unboundedFollowing)
+    column = Window.partitionBy(*by, "x").orderBy("y")
     at = F.when(source, c("y"))
-    col = unblocked(blocked(df, reach).withColumn("_g", F.least(c("y") - F.last(at, True).over(down), F.first(at, True).over(up) - c("y")))).where(c("_g") <= reach)
-    steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    best = col.select("y", "x", "_g", steps.alias("_d")).groupBy("y", (c("x") + c("_d")).alias("x")).agg(F.min(c("_g") * c("_g") + c("_d") * c("_d")).alias("d2"))
-    return df.join(best.where(c("d2") <= reach * reach), ["y", "x"], "left")
-
-
-def components(df: DataFrame, eight: bool = False) -> DataFrame:
+    up = F.last(at, True).over(column.rowsBetween(Window.unboundedPreceding, 0))
+    down = F.first(at, True).over(column.rowsBetween(0, Window.unboundedFollowing))
+    near = F.when(down.isNull() | (c("y") - up <= down - c("y")), up).otherwise(down)
+    row = df.select(*by, "y", "x", near.cast("int").alias("_sy")).groupBy(*by, "y").agg(F.sort_array(F.collect_list(F.struct(c("x").cast("int").alias("x"), "_sy"))).alias("_row"))
+    filled = F.array_sort(F.transform(F.filter("_row", lambda p: p["_sy"].isNotNull()), lambda p: F.struct(p["_sy"].alias("sy"), p["x"].alias("sx"))))
+    row = row.withColumn("_from", filled)
+    best = _best_columns(c("_row.x"), c("_from.sx"), F.transform("_from", lambda p: (c("y") - p["sy"]) * (c("y") - p["sy"])))
+    row = row.withColumn("_best", best).select(*by, "y", "_from", "_best", F.posexplode("_row").alias("_i", "_p"))
+    found = row.select(*by, "y", c("_p.x").alias("x"), F.get("_from", F.get("_best", c("_i"))).alias("_s"))
+    out = df.join(found, [*by, "y", "x"]).withColumns({"sy": c("_s.sy"), "sx": c("_s.sx")}).drop("_s")
+    return out.withColumn("d2", ((c("y") - c("sy")) * (c("y") - c("sy")) + (c("x") - c("sx")) * (c("x") - c("sx"))).cast("long"))
+
+
+def squared_distance(df: DataFrame, source: Column, reach: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with d2, the squared distance to the nearest source pixel; with a reach, null beyond it."""
+    df = nearest_source(df, source, by).drop("sy", "sx")
+    return df if reach is None else df.withColumn("d2", F.when(c("d2") <= reach * reach, c("d2")))
+
+
+def components(df: DataFrame, eight: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """y, x, label of the given pixels; label is the smallest y * 2^20 + x of the component.
 
     Horizontal runs are the nodes; a run links to the runs it touches in the row above. Labels fall to the smallest neighbour's
     and then jump to their label's label, so the rounds grow with the logarithm of a component's length.
     """
-    row = Window.partitionBy("y").orderBy("x")
+    row = Window.partitionBy(*by, "y").orderBy("x")
     new = F.coalesce(c("x") - F.lag("x").over(row) > 1, F.lit(True))
-    runs = df.select("y", "x").withColumn("_n", F.sum(new.cast("int")).over(row))
-    runs = runs.withColumn("run", c("y") * (1 << 20) + F.min("x").over(Window.partitionBy("y", "_n"))).drop("_n")
+    runs = df.select(*by, "y", "x").withColumn("_n", F.sum(new.cast("int")).over(row))
+    runs = runs.withColumn("run", c("y") * (1 << 20) + F.min("x").over(Window.partitionBy(*by, "y", "_n"))).drop("_n")
     pixels = cut(runs.withColumn("run", c("run").cast("long")))
-    above = pixels.select((c("y") + 1).alias("y"), F.explode(F.array(*[c("x") + i for i in ((-1, 0, 1) if eight else (0,))])).alias("x"), c("run").alias("other"))
-    links = pixels.join(above, ["y", "x"]).select("run", "other").distinct()
-    links = cut(links.union(links.select("other", "run")))
-    labels = pixels.select("run").distinct().withColumn("label", c("run"))
+    above = pixels.select(*by, (c("y") + 1).alias("y"), F.explode(F.array(*[c("x") + i for i in ((-1, 0, 1) if eight else (0,))])).alias("x"), c("run").alias("other"))
+    links = pixels.join(above, [*by, "y", "x"]).select(*by, "run", "other").distinct()
+    links = cut(links.union(links.select(*by, "other", "run")))
+    labels = pixels.select(*by, "run").distinct().withColumn("label", c("run"))
     while True:
-        low = links.join(labels.select(c("run").alias("other"), c("label").alias("_l")), "other").groupBy("run").agg(F.min("_l").alias("_l"))
-        moved = labels.join(low, "run", "left").withColumn("_new", F.least("label", "_l"))
-        jump = moved.select(c("run").alias("_new"), c("_new").alias("_far"))
-        after = moved.join(jump, "_new", "left").select("run", F.least(c("_new"), F.coalesce("_far", "_new")).alias("_to"), "label")
+        low = links.join(labels.select(*by, c("run").alias("other"), c("label").alias("_l")), [*by, "other"]).groupBy(*by, "run").agg(F.min("_l").alias("_l"))
+        moved = labels.join(low, [*by, "run"], "left").withColumn("_new", F.least("label", "_l"))
+        jump = moved.select(*by, c("run").alias("_new"), c("_new").alias("_far"))
+        after = moved.join(jump, [*by, "_new"], "left").select(*by, "run", F.least(c("_new"), F.coalesce("_far", "_new")).alias("_to"), "label")
         after = cut(after)
-        labels = after.select("run", c("_to").alias("label"))
-        if not after.where("_to <> label").limit(1).count():
-            return pixels.join(labels, "run").select("y", "x", "label")
+        labels = after.select(*by, "run", c("_to").alias("label"))
+        if after.where("_to <> label").isEmpty():
+            return pixels.join(labels, [*by, "run"]).select(*by, "y", "x", "label")
 
 
-def holes(df: DataFrame, mask: str, width: int, height: int) -> DataFrame:
+def holes(df: DataFrame, mask: str, width: int, height: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Pixels outside the mask whose component does not touch the border."""
-    out = components(df.where(~c(mask)))
+    out = components(df.where(~c(mask)), by=by)
     edge = (c("x") == 0) | (c("y") == 0) | (c("x") == width - 1) | (c("y") == height - 1)
-    open_ = out.groupBy("label").agg(F.bool_or(edge).alias("_open")).where(~c("_open")).select("label")
-    return out.join(open_, "label").select("y", "x")
+    open_ = out.groupBy(*by, "label").agg(F.bool_or(edge).alias("_open")).where(~c("_open")).select(*by, "label")
+    return out.join(open_, [*by, "label"]).select(*by, "y", "x")
+
+
+def contours(labels: DataFrame, least: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pixels of components of at least `least` pixels that have a neighbour (of four) outside their component."""
+    large = labels.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("_n")).where(c("_n") >= least).select(*by, "label")
+    rows, columns = Window.partitionBy(*by, "label", "y").orderBy("x"), Window.partitionBy(*by, "label", "x").orderBy("y")
+    inner = [F.lag("x").over(rows) == c("x") - 1, F.lead("x").over(rows) == c("x") + 1, F.lag("y").over(columns) == c("y") - 1, F.lead("y").over(columns) == c("y") + 1]
+    all_ = inner[0]
+    for i in inner[1:]:
+        all_ = all_ & i
+    return labels.join(large, [*by, "label"]).withColumn("_in", F.coalesce(all_, F.lit(False))).where(~c("_in")).select(*by, "y", "x", "label")
+
+
+def fill_boxes(boxes: DataFrame, key: str) -> DataFrame:
+    """y, x and key of every pixel of boxes (y0, x0, y1, x1, ends included)."""
+    rows = boxes.select(key, "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("y"))
+    return rows.select(key, "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+
+
+def fill_ring(rings: DataFrame, key: str) -> DataFrame:
+    """y, x and key of every pixel whose centre lies inside a ring (array of struct x, y; the last corner is the first).
+
+    Each row of pixels asks where the ring's sides cross it and fills between the first and second crossing, the third and fourth, and so on.
+    """
+    ys = lambda f: f(F.transform("ring", lambda q: q["y"]))
+    rows = rings.select(key, "ring", F.explode(F.sequence(F.ceil(ys(F.array_min)).cast("int"), F.floor(ys(F.array_max)).cast("int"))).alias("y"))
+    n = F.size("ring") - 1
+    sides = F.arrays_zip(F.slice("ring", F.lit(1), n).alias("a"), F.slice("ring", F.lit(2), n).alias("b"))
+    crossed = F.filter(sides, lambda q: (q["a"]["y"] <= c("y")) != (q["b"]["y"] <= c("y")))
+    at = F.array_sort(F.transform(crossed, lambda q: q["a"]["x"] + (c("y") - q["a"]["y"]) * (q["b"]["x"] - q["a"]["x"]) / (q["b"]["y"] - q["a"]["y"])))
+    rows = rows.withColumn("_at", at).where(F.size("_at") > 0)
+    pairs = rows.select(key, "y", "_at", F.explode(F.sequence(F.lit(0), F.size("_at") - 2, F.lit(2))).alias("_i"))
+    ends = pairs.select(key, "y", F.ceil(F.get("_at", c("_i"))).cast("int").alias("x0"), F.floor(F.get("_at", c("_i") + 1)).cast("int").alias("x1")).where("x0 <= x1")
+    return ends.select(key, "y", F.explode(F.sequence("x0", "x1")).alias("x")).distinct()
+
+
+def draw_lines(lines: DataFrame, key: str, width: float) -> DataFrame:
+    """y, x and key of every pixel whose centre lies within width / 2 of a segment (ax, ay, bx, by)."""
+    from parcelspark.functions.geo import segment_distance
+
+    half = width / 2
+    lo = lambda a, b: F.ceil(F.least(a, b) - half).cast("int")
+    hi = lambda a, b: F.floor(F.greatest(a, b) + half).cast("int")
+    rows = lines.select("*", F.explode(F.sequence(lo("ay", "by"), hi("ay", "by"))).alias("y"))
+    rows = rows.select("*", F.explode(F.sequence(lo("ax", "bx"), hi("ax", "bx"))).alias("x"))
+    return rows.where(segment_distance(c("x"), c("y"), c("ax"), c("ay"), c("bx"), c("by")) <= half).select(key, "y", "x").distinct()

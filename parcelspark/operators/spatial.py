@@ -1,4 +1,9 @@
-"""Spatial joins as equi-joins on grid cells, so Spark shuffles them by key instead of comparing all with all."""
+"""Spatial joins as equi-joins on grid cells, so Spark shuffles them by key instead of comparing all with all.
+
+Cells are bands of latitude, each divided into columns whose width follows the band's own highest latitude, so a cell is at least
+as wide as it should be anywhere on the globe, and columns wrap around at 180 degrees. Neighbours of a point are then in its
+band and the two beside it, in the columns around its own.
+"""
 
 import math
 
@@ -7,40 +12,90 @@ from pyspark.sql import functions as F
 
 from parcelspark.functions.geo import M_PER_DEG
 
+c = F.col
 
-def cells(df: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon", reach: int = 0, lat0: float = 53.35) -> DataFrame:
-    """Adds _cy, _cx: the cell of each point, of a side of radius_m or more; with reach also the cells around it, one row each.
 
-    The cosine of the highest latitude that a band of cells can hold keeps neighbours within one cell.
-    """
-    side_y = radius_m / M_PER_DEG
-    side_x = radius_m / (M_PER_DEG * math.cos(math.radians(min(89.0, abs(lat0) + 1))))
-    df = df.withColumns({"_cy": F.floor(F.col(lat) / side_y), "_cx": F.floor(F.col(lon) / side_x)})
+def _columns(band: Column, side: float) -> Column:
+    """How many columns a band has: as many as fit at the latitude nearest to a pole that it or a neighbour has, and at least one."""
+    top = F.least(F.lit(90.0), F.greatest(F.abs((band - 1) * side), F.abs((band + 2) * side)))
+    return F.greatest(F.lit(1), F.floor(360.0 * F.cos(F.radians(top)) / side)).cast("long")
+
+
+def cells(df: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon", reach: int = 0) -> DataFrame:
+    """Adds _cy, _cx: the cell of each point, of a side of radius_m or more; with reach also the cells around it, one row each."""
+    side = radius_m * 1.001 / M_PER_DEG
+    turn = F.pmod(c(lon) + 180.0, F.lit(360.0)) / 360.0
+    df = df.withColumn("_cy", F.floor(c(lat) / side))
     if not reach:
-        return df
-    steps = [F.lit(i) for i in range(-reach, reach + 1)]
-    df = df.withColumn("_dy", F.explode(F.array(*steps))).withColumn("_dx", F.explode(F.array(*steps)))
-    return df.withColumns({"_cy": F.col("_cy") + F.col("_dy"), "_cx": F.col("_cx") + F.col("_dx")}).drop("_dy", "_dx")
+        return df.withColumn("_cx", F.floor(turn * _columns(c("_cy"), side)))
+    df = df.withColumn("_cy", F.explode(F.sequence(c("_cy") - reach, c("_cy") + reach)))
+    n = _columns(c("_cy"), side)
+    around = F.when(n <= 2 * reach + 1, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.transform(F.sequence(F.lit(-reach).cast("long"), F.lit(reach).cast("long")), lambda k: F.pmod(F.floor(turn * n) + k, n)))
+    return df.withColumn("_cx", F.explode(around))
 
 
-def range_join(left: DataFrame, right: DataFrame, radius_m: float, distance: Column, **where) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, radius_m: float, distance: Column) -> DataFrame:
     """Pairs of left and right at a distance of at most radius_m. Both have lat, lon; right's columns are named r_...
 
     distance is an expression over lat, lon, r_lat and r_lon.
     """
-    right = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    near = cells(right, radius_m, "r_lat", "r_lon", reach=1, **where)
-    pairs = cells(left, radius_m, **where).join(near, ["_cy", "_cx"]).drop("_cy", "_cx")
-    return pairs.withColumn("distance_m", distance).where(F.col("distance_m") <= radius_m)
+    right = right.select(*[c(n).alias(f"r_{n}") for n in right.columns])
+    near = cells(right, radius_m, "r_lat", "r_lon", reach=1)
+    pairs = cells(left, radius_m).join(near, ["_cy", "_cx"]).drop("_cy", "_cx")
+    return pairs.withColumn("distance_m", distance).where(c("distance_m") <= radius_m)
+
+
+def within_own_radius(points: DataFrame, circles: DataFrame, radius: str, distance: Column, extra_m: float = 0.0) -> DataFrame:
+    """Pairs of points and circles whose centre is within the circle's own radius (a column) and extra_m of the point.
+
+    Circles are joined by class of radius (powers of two), each on cells of its class, so small ones never meet points that only a
+    large one reaches, and no radius is too large.
+    """
+    size = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1.0), c(radius) + extra_m)))).cast("int")
+    circles = circles.withColumn("_size", size)
+    sizes = sorted(r[0] for r in circles.select("_size").distinct().collect())  # at most 25: a circle of 2^25 m spans the globe
+    out = None
+    for k in sizes:
+        found = range_join(points, circles.where(c("_size") == k).drop("_size"), float(1 << min(k, 24)), distance)
+        found = found.where(c("distance_m") <= c(f"r_{radius}") + extra_m)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return range_join(points, circles.drop("_size"), 1.0, distance)
+    return out
 
 
 def nearest(pairs: DataFrame, key: str, *order) -> DataFrame:
     """The first right row of each left key; ties by the later order columns. A partial aggregate, not a sort of all pairs."""
     order = order or ("distance_m",)
-    rest = [c for c in pairs.columns if c not in (key, *order)]
+    rest = [n for n in pairs.columns if n not in (key, *order)]
     best = F.min_by(F.struct(*order, *rest), F.struct(*order))
     return pairs.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
 
 
 def ranked(pairs: DataFrame, key: str, most: int, *order) -> DataFrame:
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank") <= most)
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(c("rank") <= most)
+
+
+def nearest_at_any_distance(left: DataFrame, right: DataFrame, key: str, start_m: float, distance: Column, *ties: str, most_m: float = math.inf, reach: str | None = None) -> DataFrame:
+    """For each left row (key, lat, lon) the right row of smallest distance, whatever that is: cells grow by four until all rows have
+    theirs. Columns as in range_join.
+
+    A hit counts once its distance is at most the radius of the ring it was found in, as nothing outside that ring can be nearer. reach:
+    a right column with how far a row's shape goes beyond its point; it widens the rings. most_m: give up beyond that.
+    """
+    from parcelspark.operators.tables import cut
+
+    wide = 0.0 if reach is None else (right.agg(F.max(reach)).first()[0] or 0.0)
+    radius, out, open_ = start_m, None, left
+    while True:
+        last = radius >= min(most_m, math.pi * 6371000.0)
+        # the ring is one of points; the distance is to shapes
+        r = right.select(*[c(n).alias(f"r_{n}") for n in right.columns])
+        near = cells(r, radius + wide, "r_lat", "r_lon", reach=1)
+        pairs = cells(open_, radius + wide).join(near, ["_cy", "_cx"]).drop("_cy", "_cx").withColumn("distance_m", distance)
+        found = cut(nearest(pairs.where(c("distance_m") <= min(radius, most_m)), key, "distance_m", *ties))
+        out = found if out is None else out.unionByName(found)
+        open_ = cut(open_.join(found.select(key), key, "left_anti"))
+        if last or open_.isEmpty():
+            return out
+        radius *= 4

@@ -1,15 +1,13 @@
 """Queries of the front/back decisions: directions, sides, corrections and placement."""
 
-from functools import partial
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from parcelspark.functions import geo
 from parcelspark.operators import raster as R
 from parcelspark.operators import spatial
+from parcelspark.operators.tables import cut
 from parcelspark.plans import vector as X
-from parcelspark.plans.raster import EXG, P64, components_sql, px64, size
+from parcelspark.plans.raster import EXG, VEG, box_sql, components_sql, size, source_sql
 from parcelspark.sources import views as V
 from parcelspark.sources.views import oracle
 
@@ -28,20 +26,22 @@ COUNTRY = (51.3, 55.5, -10.7, -5.3)
 
 
 def directions(spark, d):
-    """building_id, ux, uy, source: the nearest segment of the own street within 150 m, else the nearest at any distance."""
-    near = X.street_road(spark, d).select("building_id", "road_id", "distance_m", "lat", "lon", "lat0", "lon0", "lat1", "lon1")
-    best = spatial.nearest(near, "building_id", "distance_m", "road_id")
-    x0, y0 = geo.metres(c("lat0"), c("lon0"), c("lat"), c("lon"))
-    x1, y1 = geo.metres(c("lat1"), c("lon1"), c("lat"), c("lon"))
-    vx, vy = x1 - x0, y1 - y0
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (-x0 * vx - y0 * vy) / (vx * vx + vy * vy)))
-    best = best.withColumns({"px": x0 + t * vx, "py": y0 + t * vy}).where("distance_m > 0.1")
+    """building_id, ux, uy, source of the first that there is: the nearest segment of the own street within 150 m (address), the
+    nearest driveway within 25 m of the footprint's edge (driveway), the nearest road (road). None is nearer than 0.1 m."""
+    keep = ("building_id", "px", "py", "distance_m", "source")
+    street = spatial.nearest(X.street_road(spark, d).where("distance_m > 0.1"), "building_id", "distance_m", "road_id").withColumn("source", F.lit("address")).select(*keep)
+    drive = spatial.nearest(X.driveways(spark, d).where("distance_m > 0.1"), "building_id", "edge_m", "road_id").withColumn("source", F.lit("driveway")).select(*keep)
+    road = X.nearest_segment(V.buildings(spark, d), V.roads(spark, d), "building_id").where("distance_m > 0.1").withColumn("source", F.lit("road")).select(*keep)
+    first = F.min_by(F.struct("px", "py", "source"), F.when(c("source") == "address", 1).when(c("source") == "driveway", 2).otherwise(3))
+    best = street.unionByName(drive).unionByName(road).groupBy("building_id").agg(first.alias("b")).select("building_id", "b.*")
     norm = F.sqrt(c("px") * c("px") + c("py") * c("py"))
-    return best.select("building_id", r(c("px") / norm, 5).alias("ux"), r(c("py") / norm, 5).alias("uy"), F.when(c("distance_m") < 150, "address").otherwise("road").alias("source"))
+    return best.select("building_id", r(c("px") / norm, 5).alias("ux"), r(c("py") / norm, 5).alias("uy"), "source")
 
 
-DIR = f""", {X.SEG}, dq AS (SELECT *, ax + t * (ex - ax) AS px, ay + t * (ey - ay) AS py FROM sd QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY distance_m, road_id) = 1),
- dir AS (SELECT building_id, round(px / sqrt(px * px + py * py), 5) AS ux, round(py / sqrt(px * px + py * py), 5) AS uy, CASE WHEN distance_m < 150 THEN 'address' ELSE 'road' END AS source FROM dq WHERE distance_m > 0.1)"""
+DIR = X.DRIVE + f""", {X.SEG}, {X.ANY}, dq AS (SELECT * FROM (SELECT building_id, ax + t * (ex - ax) AS px, ay + t * (ey - ay) AS py, 1 AS k, 'address' AS source, distance_m AS m, road_id FROM sd WHERE distance_m < 150 AND distance_m > 0.1
+   UNION ALL SELECT building_id, px, py, 2, 'driveway', edge_m, road_id FROM dw WHERE edge_m < 25 AND distance_m > 0.1
+   UNION ALL SELECT building_id, ax + t * (ex - ax), ay + t * (ey - ay), 3, 'road', distance_m, road_id FROM (SELECT * FROM ad {X.NEAREST}) WHERE distance_m > 0.1) QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY k, m, road_id) = 1),
+ dir AS (SELECT building_id, round(px / sqrt(px * px + py * py), 5) AS ux, round(py / sqrt(px * px + py * py), 5) AS uy, source FROM dq)"""
 
 
 def front_direction(spark, d):
@@ -74,23 +74,31 @@ def lateral_corridor(spark, d):
 
 def outlier_fix_round(spark, d):
     """Directions that oppose (dot < -0.7) the mean (longer than 0.6) of at least four of the ten nearest neighbours within 40 m take the
-    mean; one round, all reading the state before."""
+    mean, in tables of more than ten buildings; one round, all reading the state before."""
     dirs = directions(spark, d).select("building_id", "ux", "uy")
     near = X.neighbour_knn10(spark, d).join(dirs.toDF("other", "ox", "oy"), "other")
     mean = near.groupBy("building_id").agg(F.count(F.lit(1)).alias("n"), F.avg("ox").alias("mx"), F.avg("oy").alias("my"))
-    df = dirs.join(mean, "building_id").withColumn("norm", F.sqrt(c("mx") * c("mx") + c("my") * c("my")))
-    return df.where((c("n") >= 4) & (c("norm") > 0.6) & ((c("ux") * c("mx") + c("uy") * c("my")) / c("norm") < -0.7)).select("building_id", r(c("mx") / c("norm"), 4).alias("ux"), r(c("my") / c("norm"), 4).alias("uy"))
+    many = V.buildings(spark, d).agg((F.count(F.lit(1)) > 10).alias("many"))
+    df = dirs.join(mean, "building_id").withColumn("norm", F.sqrt(c("mx") * c("mx") + c("my") * c("my"))).crossJoin(F.broadcast(many))  # one row
+    return df.where(c("many") & (c("n") >= 4) & (c("norm") > 0.6) & ((c("ux") * c("mx") + c("uy") * c("my")) / c("norm") < -0.7)).select("building_id", r(c("mx") / c("norm"), 4).alias("ux"), r(c("my") / c("norm"), 4).alias("uy"))
 
 
 def road_verify(spark, d):
-    """Directions by address that point away (dot < 0.3) from the nearest road start within 300 m take that one."""
-    ends = V.roads(spark, d).select("road_id", c("lat0").alias("lat"), c("lon0").alias("lon"))
-    b = V.buildings(spark, d).select("building_id", "lat", "lon")
-    pairs = spatial.range_join(b, ends, 300.0, r(geo.equirectangular(c("r_lat"), c("r_lon"), c("lat"), c("lon")), 4)).where("distance_m > 0.1")
-    best = spatial.nearest(pairs, "building_id", "distance_m", "r_road_id")
-    x, y = geo.metres(c("r_lat"), c("r_lon"), c("lat"), c("lon"))
-    df = best.withColumns({"vx": r(x / c("distance_m"), 4), "vy": r(y / c("distance_m"), 4)}).join(directions(spark, d), "building_id")
-    return df.where((c("source") == "address") & (c("ux") * c("vx") + c("uy") * c("vy") < 0.3)).select("building_id", "r_road_id", c("vx").alias("ux"), c("vy").alias("uy")).withColumnRenamed("r_road_id", "road_id")
+    """Directions by address that point away (dot < 0.3) from the nearest road of all take the direction to that."""
+    best = X.nearest_segment(V.buildings(spark, d), V.roads(spark, d), "building_id").where("distance_m > 0.1")
+    norm = F.sqrt(c("px") * c("px") + c("py") * c("py"))
+    df = best.select("building_id", "road_id", r(c("px") / norm, 4).alias("vx"), r(c("py") / norm, 4).alias("vy")).join(directions(spark, d), "building_id")
+    return df.where((c("source") == "address") & (c("ux") * c("vx") + c("uy") * c("vy") < 0.3)).select("building_id", "road_id", c("vx").alias("ux"), c("vy").alias("uy"))
+
+
+def front_of_other_anti(spark, d):
+    """Back pins less those in front of another building: within 12 m of it, in the direction that it faces (dot > 0.5)."""
+    p = V.pins(spark, d).where("garden_type = 'back'").select("pin_id", "building_id", "lat", "lon")
+    b = V.buildings(spark, d).select("building_id", "lat", "lon").join(directions(spark, d), "building_id")
+    near = spatial.range_join(p, b, 12.0, r(geo.equirectangular(c("lat"), c("lon"), c("r_lat"), c("r_lon")), 4)).where("building_id <> r_building_id and distance_m > 0.001")
+    x, y = geo.metres(c("lat"), c("lon"), c("r_lat"), c("r_lon"))
+    near = near.where(r((x * c("r_ux") + y * c("r_uy")) / c("distance_m"), 4) > 0.5)
+    return p.join(near.select("pin_id").distinct(), "pin_id", "left_anti").select("pin_id")
 
 
 def same_side_detect(spark, d):
@@ -128,39 +136,36 @@ def route_key_check(spark, d):
 
 
 def geocode_cascade(spark, d):
-    """The first strategy that finds a valid point: own building, street, routing key, country."""
+    """The first strategy that finds a point inside the country: own building, own street, routing key, area of that number, middle of the country."""
     b = V.buildings(spark, d)
-    q = V.table(spark, d, "orders").select(c("o_orderkey").alias("id"), (c("o_custkey") * 2).alias("building_id"), F.concat(F.lit("street "), (c("o_orderkey") % 40).cast("string")).alias("street_key"))
-    street = b.groupBy("street_key").agg(r(F.avg("lat"), 6).alias("s_lat"))
-    own = b.select("building_id", r("lat", 6).alias("o_lat"))
-    df = q.join(own, "building_id", "left").join(street, "street_key", "left")
-    how = F.when(c("o_lat").isNotNull(), "building").when(c("s_lat").isNotNull(), "street").otherwise("country")
-    return df.select("id", how.alias("strategy"), F.coalesce("o_lat", "s_lat", F.lit(53.35)).alias("lat"))
-
-
-def driveway_override(spark, d, rows=64):
+    q = V.table(spark, d, "orders").select(c("o_orderkey").alias("id"), (c("o_custkey") * 2).alias("building_id"), F.concat(F.lit("street "), (c("o_orderkey") % 40).cast("string")).alias("street_key"), F.concat(F.lit("D"), F.lpad((c("o_orderkey") % 37).cast("string"), 2, "0")).alias("key"), (c("o_orderkey") % 50).alias("area_id"))
+    keys = F.broadcast(spark.createDataFrame([(k, v[0]) for k, v in ROUTING.items()], "key string, k_lat double"))  # a fixed table of 22 rows
+    found = (("building", b.select("building_id", r("lat", 6).alias("b_lat")), "building_id", "b_lat"), ("street", b.groupBy("street_key").agg(r(F.avg("lat"), 6).alias("s_lat")), "street_key", "s_lat"), ("routing_key", keys, "key", "k_lat"), ("area", V.areas(spark, d).select("area_id", r("lat", 6).alias("a_lat")), "area_id", "a_lat"))
+    how, lat = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for name, table, on, col in found:
+        q = q.join(table, on, "left")
+        valid = c(col).between(*COUNTRY[:2])
+        how, lat = F.coalesce(how, F.when(valid, name)), F.coalesce(lat, F.when(valid, c(col)))
+    return q.select("id", F.coalesce(how, F.lit("country")).alias("strategy"), F.coalesce(lat, F.lit(53.35)).alias("lat"))
+
+
+def driveway_override(spark, d):
     """Ground of a class within 5 pixels of a driveway is front."""
-    df = R.squared_distance(px64(spark, d, rows), c("r") + c("b") > 340, 5)
-    kind = F.when(c("g") < 100, 0).when(c("d2").isNotNull() & (c("d2") < 25), 1).when(c("g") > 140, 2).otherwise(3)
+    df = R.squared_distance(V.pixels(spark, d), c("r") + c("b") > 340)
+    kind = F.when(c("g") < 100, 0).when(c("d2") < 25, 1).when(c("g") > 140, 2).otherwise(3)
     return df.select("y", "x", kind.alias("class"))
 
 
-def shade_recovery(spark, d, rows=64):
+def shade_recovery(spark, d):
     """Dark pixels with more than 15 % vegetation in the 51 x 51 square around them, not vegetation, building or road themselves."""
-    df = px64(spark, d, rows).withColumn("n", (R.excess_green() > 0.1).cast("long"))
-    ratio = R.box_sums(df.select("y", "x", "n"), size(spark, d, rows), 25, "n").select("y", "x", c("n").alias("near"))
+    df = V.pixels(spark, d).withColumn("n", (R.excess_green() > 0.1).cast("long"))
+    ratio = R.box_sums(df.select("y", "x", "n"), size(spark, d), 25, "n").select("y", "x", c("n").alias("near"))
     return df.join(ratio, ["y", "x"]).where((c("n") == 0) & (c("near") > 0.15 * 2601) & (c("r") <= 190) & (c("b") <= 190) & (R.gray() < 120)).select("y", "x")
 
 
-def property_zones(spark, d, rows=64):
-    """4-connected zones of what is no barrier, and the (owner, zone) pairs that touch; owners are tiles of 16 x 16 pixels."""
-    zones = R.components(px64(spark, d, rows).where("g <= 100").select("y", "x"))
-    return zones.select((F.floor(c("y") / 16) * 4 + F.floor(c("x") / 16)).cast("long").alias("owner"), c("label").alias("zone")).distinct()
-
-
-def claim_disc(spark, d, rows=64):
+def claim_disc(spark, d):
     """Pixels within 5 of a placed pin; pins stand where red is above 215."""
-    return R.squared_distance(px64(spark, d, rows), c("r") > 215, 5).where("d2 is not null").select("y", "x", c("d2").cast("long").alias("d2"))
+    return R.squared_distance(V.pixels(spark, d), c("r") > 215, 5).where("d2 is not null").select("y", "x", "d2")
 
 
 def grass_ladder(spark, d):
@@ -172,41 +177,50 @@ def grass_ladder(spark, d):
     return s.join(best, ["building_id", "tier"]).select("building_id", "pin_id", "tier")
 
 
-def _claims(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """Pins in order of their number; one within 5 m of a pin of its kind that was placed before isn't placed."""
-    placed: dict[str, list[tuple[float, float]]] = {"front": [], "back": []}
-    keep = []
-    for pin, kind, x, y in rows.sort_values("pin_id")[["pin_id", "garden_type", "x", "y"]].itertuples(index=False):
-        if all((x - a) ** 2 + (y - b) ** 2 > 25 for a, b in placed[kind]):
-            placed[kind].append((x, y))
-            keep.append((int(key[0]), int(pin)))
-    return pd.DataFrame(keep, columns=["building_id", "pin_id"])
+def settle_claims(pins, reach_m=5.0):
+    """Of the pins (pin_id, garden_type, lat, lon), in order of their number, those that no pin of their kind placed before them is
+    within reach of: the result of going through all of them one by one, over all buildings.
+
+    In rounds: a pin with a placed earlier rival falls away, one without open earlier rivals is placed. Only pairs of near pins are
+    moved, and a round settles every pin at the head of a chain.
+    """
+    p = pins.select("pin_id", "garden_type", "lat", "lon")
+    near = spatial.range_join(p, p, reach_m, geo.equirectangular(c("lat"), c("lon"), c("r_lat"), c("r_lon"))).where("garden_type = r_garden_type and r_pin_id < pin_id")
+    rivals = cut(near.select("pin_id", c("r_pin_id").alias("rival")))
+    state = cut(p.select("pin_id", F.lit(None).cast("boolean").alias("placed")))
+    while True:
+        before = rivals.join(state.toDF("rival", "done"), "rival").groupBy("pin_id").agg(F.bool_or(F.coalesce("done", F.lit(False))).alias("taken"), F.bool_or(c("done").isNull()).alias("open"))
+        now = F.when(c("taken"), F.lit(False)).when(F.coalesce("open", F.lit(False)), F.lit(None)).otherwise(F.lit(True))
+        state = cut(state.join(before, "pin_id", "left").select("pin_id", F.coalesce("placed", now).alias("placed")))
+        if state.where("placed is null").isEmpty():
+            return state.where("placed").select("pin_id")
 
 
 def greedy_claims(spark, d):
-    """Sequential by nature: pins of a building claim their discs in order, one small group a building."""
-    p = pin_offsets(spark, d).select("building_id", "pin_id", "garden_type", "x", "y")
-    return p.groupBy("building_id").applyInPandas(_claims, "building_id long, pin_id long")
+    """Pins claim discs of 5 m in order, whatever their building."""
+    pins = V.pins(spark, d)
+    return pins.join(settle_claims(pins), "pin_id").select("building_id", "pin_id")
 
 
 ORACLES = {
     "front_direction": oracle("bld road", "SELECT building_id, ux, uy, source FROM dir", DIR),
     "correct_side": oracle("bld road pin", "SELECT pin_id, CASE WHEN sqrt(x * x + y * y) < 1 THEN true WHEN garden_type = 'front' THEN (x * ux + y * uy) / sqrt(x * x + y * y) > -0.3::DOUBLE ELSE (x * ux + y * uy) / sqrt(x * x + y * y) < 0.3::DOUBLE END AS ok FROM off", OFF),
     "lateral_corridor": oracle("bld road pin", "SELECT pin_id FROM off WHERE abs(-uy * x + ux * y) <= round((abs(uy) * w_m + abs(ux) * h_m) / 2 + 3, 4)", OFF),
-    "outlier_fix_round": oracle("bld road", "SELECT building_id, round(mx / nm, 4) AS ux, round(my / nm, 4) AS uy FROM z JOIN dir USING (building_id) WHERE n >= 4 AND nm > 0.6 AND (ux * mx + uy * my) / nm < -0.7", X.NB + DIR + """, kn AS (SELECT building_id, other FROM nb WHERE distance_m <= 40 QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY distance_m, other) <= 10),
+    "outlier_fix_round": oracle("bld road", "SELECT building_id, round(mx / nm, 4) AS ux, round(my / nm, 4) AS uy FROM z JOIN dir USING (building_id) WHERE (SELECT count(*) FROM bld) > 10 AND n >= 4 AND nm > 0.6 AND (ux * mx + uy * my) / nm < -0.7", X.NB + DIR + """, kn AS (SELECT building_id, other FROM nb WHERE distance_m <= 40 QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY distance_m, other) <= 10),
       y AS (SELECT kn.building_id, count(*) AS n, avg(ux) AS mx, avg(uy) AS my FROM kn JOIN dir ON dir.building_id = kn.other GROUP BY 1), z AS (SELECT *, sqrt(mx * mx + my * my) AS nm FROM y)"""),
-    "road_verify": oracle("bld road", "SELECT building_id, road_id, vx AS ux, vy AS uy FROM v JOIN dir USING (building_id) WHERE source = 'address' AND ux * vx + uy * vy < 0.3", DIR + f""", q AS (SELECT b.building_id, road_id, round({X.flat_sql('lat0', 'lon0', 'lat', 'lon')}, 4) AS m, (lon0 - lon) * 111320::DOUBLE * cos(radians(lat)) AS x, (lat0 - lat) * 111320::DOUBLE AS y FROM bld b, road),
-      v AS (SELECT building_id, road_id, round(x / m, 4) AS vx, round(y / m, 4) AS vy FROM q WHERE m <= 300 AND m > 0.1 QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY m, road_id) = 1)"""),
+    "road_verify": oracle("bld road", "SELECT building_id, road_id, vx AS ux, vy AS uy FROM v JOIN dir USING (building_id) WHERE source = 'address' AND ux * vx + uy * vy < 0.3", DIR + f""", v AS (SELECT building_id, road_id, round(px / sqrt(px * px + py * py), 4) AS vx, round(py / sqrt(px * px + py * py), 4) AS vy FROM (SELECT *, ax + t * (ex - ax) AS px, ay + t * (ey - ay) AS py FROM (SELECT * FROM ad {X.NEAREST}) WHERE distance_m > 0.1))"""),
+    "front_of_other_anti": oracle("bld road pin", "SELECT pin_id FROM pin WHERE garden_type = 'back' AND pin_id NOT IN (SELECT pin_id FROM f WHERE m <= 12 AND m > 0.001 AND round((x * ux + y * uy) / m, 4) > 0.5)",
+      DIR + f", f AS (SELECT pin_id, ux, uy, round({X.flat_sql('p.lat', 'p.lon', 'b.lat', 'b.lon')}, 4) AS m, (p.lon - b.lon) * 111320::DOUBLE * cos(radians(b.lat)) AS x, (p.lat - b.lat) * 111320::DOUBLE AS y FROM pin p, bld b JOIN dir USING (building_id) WHERE p.garden_type = 'back' AND b.building_id <> p.building_id AND abs(p.lat - b.lat) < 0.0002)"),
     "same_side_detect": oracle("pin", "SELECT building_id, round(m, 3) AS apart_m, CASE WHEN front_score >= back_score THEN 'front' ELSE 'back' END AS stays FROM w WHERE m < 8", X.PIV + f", w AS (SELECT *, {X.pair_sql('x', 'y').replace('x.l', 'front_l').replace('y.l', 'back_l')} AS m FROM pv WHERE front_pin_id IS NOT NULL AND back_pin_id IS NOT NULL)"),
     "address_label_fix": oracle("bld road pin", "SELECT building_id FROM l GROUP BY 1 HAVING max(dep) FILTER (garden_type = 'front') > max(dep) FILTER (garden_type = 'back') * 1.05", OFF + ", l AS (SELECT off.building_id, garden_type, 20 - round(x * off.ux + y * off.uy, 3) AS dep FROM off JOIN dir USING (building_id) WHERE source = 'address' QUALIFY row_number() OVER (PARTITION BY off.building_id, garden_type ORDER BY pin_id DESC) = 1)"),
     "specific_building_pin": oracle("bld road pin", "SELECT building_id, garden_type, pin_id, score FROM off WHERE sqrt(x * x + y * y) <= 10 QUALIFY row_number() OVER (PARTITION BY building_id, garden_type ORDER BY score DESC, pin_id) = 1", OFF),
     "route_key_check": oracle("bld", f"SELECT building_id, key, lat BETWEEN 51.3 AND 55.5 AND lon BETWEEN -10.7 AND -5.3 AND (k_lat IS NULL OR sqrt(power(abs(lat - k_lat) * 111000::DOUBLE, 2) + power(abs(lon - k_lon) * 111000::DOUBLE * 0.6::DOUBLE, 2)) < 15000) AS plausible FROM q LEFT JOIN keys USING (key)",
       f", keys(key, k_lat, k_lon) AS (VALUES {', '.join(f'({k!r}, {a}::DOUBLE, {b}::DOUBLE)' for k, (a, b) in ROUTING.items())}), q AS (SELECT building_id, lat, lon + (building_id % 9 - 4) * 0.05::DOUBLE AS lon, ({[*ROUTING, 'X99', 'Z00']})[(building_id % {len(ROUTING) + 2} + 1)::INT] AS key FROM bld)"),
-    "geocode_cascade": oracle("bld", "SELECT o_orderkey AS id, CASE WHEN b.lat IS NOT NULL THEN 'building' WHEN s_lat IS NOT NULL THEN 'street' ELSE 'country' END AS strategy, coalesce(round(b.lat, 6), s_lat, 53.35::DOUBLE) AS lat FROM orders LEFT JOIN bld b ON b.building_id = o_custkey * 2 LEFT JOIN (SELECT street_key, round(avg(lat), 6) AS s_lat FROM bld GROUP BY 1) s ON s.street_key = 'street ' || (o_orderkey % 40)"),
-    "driveway_override": oracle("px", "SELECT y, x, CASE WHEN g < 100 THEN 0 WHEN EXISTS (SELECT 1 FROM p s WHERE s.r + s.b > 340 AND (s.y - p.y) * (s.y - p.y) + (s.x - p.x) * (s.x - p.x) < 25) THEN 1 WHEN g > 140 THEN 2 ELSE 3 END AS class FROM p", P64),
-    "shade_recovery": oracle("px", f"SELECT p0.y, p0.x FROM p0 JOIN ry USING (y, x) WHERE p0.n = 0 AND ry.n > 0.15::DOUBLE * 2601 AND r <= 190 AND b <= 190 AND (r * 299 + g * 587 + b * 114) / 1000::DOUBLE < 120", P64 + f", p0 AS (SELECT *, ({EXG} > 0.1::DOUBLE)::INT AS n FROM p), rx AS (SELECT p.y, p.x, sum(q.n) AS n FROM p0 p JOIN range(-25, 26) j(j) ON true JOIN p0 q ON q.y = p.y AND q.x = CASE WHEN p.x + j < 0 THEN -(p.x + j) - 1 WHEN p.x + j >= 64 THEN 127 - (p.x + j) ELSE p.x + j END GROUP BY p.y, p.x), ry AS (SELECT p.y, p.x, sum(q.n) AS n FROM rx p JOIN range(-25, 26) i(i) ON true JOIN rx q ON q.x = p.x AND q.y = CASE WHEN p.y + i < 0 THEN -(p.y + i) - 1 WHEN p.y + i >= 64 THEN 127 - (p.y + i) ELSE p.y + i END GROUP BY p.y, p.x)"),
-    "property_zones": oracle("px", "SELECT DISTINCT ((id // 1048576) // 16 * 4 + (id % 1048576) // 16)::BIGINT AS owner, label AS zone FROM lab", components_sql("abs(a.y - b.y) + abs(a.x - b.x) <= 1", "g <= 100"), recursive=True),
-    "claim_disc": oracle("px", "SELECT p.y, p.x, min((p.y - s.y) * (p.y - s.y) + (p.x - s.x) * (p.x - s.x)) AS d2 FROM p JOIN p s ON s.r > 215 AND (p.y - s.y) * (p.y - s.y) + (p.x - s.x) * (p.x - s.x) <= 25 GROUP BY p.y, p.x", P64),
+    "geocode_cascade": oracle("bld area", "SELECT id, CASE WHEN b.lat IS NOT NULL THEN 'building' WHEN s_lat IS NOT NULL THEN 'street' WHEN k_lat IS NOT NULL THEN 'routing_key' WHEN a.lat IS NOT NULL THEN 'area' ELSE 'country' END AS strategy, coalesce(round(b.lat, 6), s_lat, k_lat, round(a.lat, 6), 53.35::DOUBLE) AS lat FROM q LEFT JOIN bld b USING (building_id) LEFT JOIN (SELECT street_key, round(avg(lat), 6) AS s_lat FROM bld GROUP BY 1) s ON s.street_key = q.street_key LEFT JOIN keys USING (key) LEFT JOIN area a ON a.area_id = q.area_id",
+      f", keys(key, k_lat) AS (VALUES {', '.join(f'({k!r}, {v[0]}::DOUBLE)' for k, v in ROUTING.items())}), q AS (SELECT o_orderkey AS id, o_custkey * 2 AS building_id, 'street ' || (o_orderkey % 40) AS street_key, 'D' || lpad((o_orderkey % 37)::VARCHAR, 2, '0') AS key, o_orderkey % 50 AS area_id FROM orders)"),
+    "driveway_override": oracle("px", "SELECT y, x, CASE WHEN g < 100 THEN 0 WHEN d2 < 25 THEN 1 WHEN g > 140 THEN 2 ELSE 3 END AS class FROM px JOIN nd USING (y, x)", source_sql("r + b > 340")),
+    "shade_recovery": oracle("px", "SELECT y, x FROM px JOIN vg USING (y, x) JOIN (SELECT y, x, n AS near FROM bs) USING (y, x) WHERE n = 0 AND near > 0.15::DOUBLE * 2601 AND r <= 190 AND b <= 190 AND (r * 299 + g * 587 + b * 114) / 1000::DOUBLE < 120", VEG + box_sql("bs", "vg", 25, "n")),
+    "claim_disc": oracle("px", "SELECT y, x, d2 FROM nd WHERE d2 <= 25", source_sql("r > 215")),
     "grass_ladder": oracle("pin", "SELECT building_id, pin_id, tier::INT AS tier FROM (SELECT p.building_id, s.pin_id, CASE WHEN to_edge >= 4.5 AND garden_m2 >= 5 AND density > 0.1::DOUBLE THEN 1 WHEN garden_m2 >= 5 AND density > 0.1::DOUBLE THEN 2 WHEN density > 0.05::DOUBLE THEN 3 ELSE 4 END AS tier FROM s JOIN pin p USING (pin_id) WHERE s.surface_type = 'grass') QUALIFY tier = min(tier) OVER (PARTITION BY building_id)", X.SCORE_IN),
 }
-QUERIES = {n: globals()[n] for n in ORACLES} | {"greedy_claims": greedy_claims} | {f"whole_{n}": partial(globals()[n], rows=None) for n in ("driveway_override", "shade_recovery", "property_zones", "claim_disc")}
+QUERIES = {n: globals()[n] for n in ORACLES} | {"greedy_claims": greedy_claims}

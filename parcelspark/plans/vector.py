@@ -130,9 +130,9 @@ def polygon_area_centroid(spark, d):
 
 
 def point_in_polygon(spark, d):
-    """Pins inside a footprint: cells of the largest footprint's reach, then the containment test."""
-    b = V.buildings(spark, d).select("building_id", "lat", "lon", "xmin", "xmax", "ymin", "ymax")
-    pairs = spatial.range_join(V.pins(spark, d).select("pin_id", "lat", "lon"), b, 20.0, geo.equirectangular(c("lat"), c("lon"), c("r_lat"), c("r_lon")))
+    """Pins inside a footprint: cells of each footprint's own reach, then the containment test."""
+    b = V.buildings(spark, d).select("building_id", "lat", "lon", "xmin", "xmax", "ymin", "ymax", (F.sqrt(c("w_m") * c("w_m") + c("h_m") * c("h_m")) / 2 + 1).alias("reach_m"))
+    pairs = spatial.within_own_radius(V.pins(spark, d).select("pin_id", "lat", "lon"), b, "reach_m", geo.equirectangular(c("lat"), c("lon"), c("r_lat"), c("r_lon")))
     inside = c("lon").between(c("r_xmin"), c("r_xmax")) & c("lat").between(c("r_ymin"), c("r_ymax"))
     return pairs.where(inside).select("pin_id", c("r_building_id").alias("building_id"))
 
@@ -143,8 +143,10 @@ def building_type_filter(spark, d):
 
 
 def small_area_filter(spark, d):
-    df = V.buildings(spark, d).withColumn("area_m2", c("w_m") * c("h_m"))
-    return df.where((c("area_m2") > 70) & (c("area_m2") * 0.7 >= 30)).select("building_id", "area_m2")
+    """Half footprints of more than 30 m2 (all of them where none is), whose box times 0.7 has 30 m2 or more."""
+    df = V.buildings(spark, d).withColumn("area_m2", c("w_m") * c("h_m") / 2)
+    some = df.agg(F.coalesce(F.max("area_m2") > 30, F.lit(False)).alias("some"))
+    return df.crossJoin(F.broadcast(some)).where((~c("some") | (c("area_m2") > 30)) & (c("area_m2") * 0.7 >= 30)).select("building_id", "area_m2")  # one row
 
 
 def front_roads(spark, d):
@@ -174,40 +176,90 @@ def dedup_first(spark, d):
     return V.progress(spark, d).groupBy("task_id").agg(first.alias("f")).select("task_id", "f.seq", "f.status")
 
 
-def street_road(spark, d):
-    """building and each road of its street, with the distance from the centre to the segment."""
-    rd = V.roads(spark, d).withColumn("street_key", F.lower(F.trim("name")))
-    df = V.buildings(spark, d).select("building_id", "lat", "lon", "street_key").join(rd.drop("name"), "street_key")
+def to_segment(df):
+    """distance_m from (lat, lon) to the road of the row, and px, py, the nearest point of it in metres from there."""
     x0, y0 = geo.metres(c("lat0"), c("lon0"), c("lat"), c("lon"))
     x1, y1 = geo.metres(c("lat1"), c("lon1"), c("lat"), c("lon"))
-    return df.withColumn("distance_m", r(geo.segment_distance(F.lit(0.0), F.lit(0.0), x0, y0, x1, y1), 4))
+    vx, vy = x1 - x0, y1 - y0
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (-x0 * vx - y0 * vy) / (vx * vx + vy * vy)))
+    return df.withColumns({"distance_m": r(geo.segment_distance(F.lit(0.0), F.lit(0.0), x0, y0, x1, y1), 4), "px": x0 + t * vx, "py": y0 + t * vy})
+
+
+SEGMENT = ("road_id", "lat0", "lon0", "lat1", "lon1")
+
+
+def street_road(spark, d):
+    """building and each road of its street within 150 m of its centre."""
+    rd = V.with_middle(V.roads(spark, d)).select(*SEGMENT, "lat", "lon", "half_m", F.lower(F.trim("name")).alias("street_key"))
+    b = V.buildings(spark, d).select("building_id", "lat", "lon", "street_key")
+    near = spatial.within_own_radius(b, rd, "half_m", geo.equirectangular(c("r_lat"), c("r_lon"), c("lat"), c("lon")), extra_m=152.0).where("street_key = r_street_key")
+    return to_segment(near.select("building_id", "lat", "lon", *[c(f"r_{n}").alias(n) for n in SEGMENT])).where("distance_m < 150")
 
 
-SEG = """street AS (SELECT building_id, road_id, lat, lon, lat0, lon0, lat1, lon1, (lon0 - lon) * 111320::DOUBLE * cos(radians(lat)) AS ax, (lat0 - lat) * 111320::DOUBLE AS ay,
-   (lon1 - lon) * 111320::DOUBLE * cos(radians(lat)) AS ex, (lat1 - lat) * 111320::DOUBLE AS ey FROM bld JOIN road ON lower(trim(name)) = street_key),
- tt AS (SELECT *, CASE WHEN power(ex - ax, 2) + power(ey - ay, 2) > 0 THEN greatest(0::DOUBLE, least(1::DOUBLE, (-ax * (ex - ax) - ay * (ey - ay)) / (power(ex - ax, 2) + power(ey - ay, 2)))) ELSE 0 END AS t FROM street),
- sd AS (SELECT *, round(sqrt(power(ax + t * (ex - ax), 2) + power(ay + t * (ey - ay), 2)), 4) AS distance_m FROM tt)"""
+def nearest_segment(points, roads, key):
+    """The nearest road of each point, whatever its distance; the smaller road_id of equally near ones."""
+    x0, y0 = geo.metres(c("r_lat0"), c("r_lon0"), c("lat"), c("lon"))
+    x1, y1 = geo.metres(c("r_lat1"), c("r_lon1"), c("lat"), c("lon"))
+    far = r(geo.segment_distance(F.lit(0.0), F.lit(0.0), x0, y0, x1, y1), 4)
+    right = V.with_middle(roads).select(*SEGMENT, "lat", "lon", "half_m")
+    best = spatial.nearest_at_any_distance(points.select(key, "lat", "lon"), right, key, 200.0, far, "r_road_id", reach="half_m")
+    return to_segment(best.select(key, "lat", "lon", *[c(f"r_{n}").alias(n) for n in SEGMENT]))
+
+
+def seg_sql(name, points, roads, keys, where="true"):
+    """name: keys, road_id, lat, lon, ax .. ey (the road's ends in metres), t (place of the nearest point) and distance_m of each point and road."""
+    return f"""{name}a AS (SELECT {keys}, road_id, q.lat, q.lon, lat0, lon0, lat1, lon1, (lon0 - q.lon) * 111320::DOUBLE * cos(radians(q.lat)) AS ax, (lat0 - q.lat) * 111320::DOUBLE AS ay,
+   (lon1 - q.lon) * 111320::DOUBLE * cos(radians(q.lat)) AS ex, (lat1 - q.lat) * 111320::DOUBLE AS ey FROM {points} q JOIN {roads} ON {where}),
+ {name}t AS (SELECT *, CASE WHEN power(ex - ax, 2) + power(ey - ay, 2) > 0 THEN greatest(0::DOUBLE, least(1::DOUBLE, (-ax * (ex - ax) - ay * (ey - ay)) / (power(ex - ax, 2) + power(ey - ay, 2)))) ELSE 0 END AS t FROM {name}a),
+ {name} AS (SELECT *, round(sqrt(power(ax + t * (ex - ax), 2) + power(ay + t * (ey - ay), 2)), 4) AS distance_m FROM {name}t)"""
+
+
+SEG = seg_sql("sd", "bld", "road", "building_id", "lower(trim(name)) = street_key")
+ANY = seg_sql("ad", "bld", "road", "building_id")
+NEAREST = "QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY distance_m, road_id) = 1"
 
 
 def nearest_road(spark, d):
-    return spatial.nearest(street_road(spark, d).select("building_id", "road_id", "distance_m"), "building_id", "distance_m", "road_id")
+    """Of all roads the nearest, at any distance."""
+    best = nearest_segment(V.buildings(spark, d), V.roads(spark, d), "building_id")
+    return best.select("building_id", "road_id", "distance_m")
+
+
+def driveways(spark, d):
+    """Each building and the service roads within 25 m of the edge of its footprint."""
+    ways = V.with_middle(V.roads(spark, d).where(F.array_contains("highway", "service"))).select(*SEGMENT, "lat", "lon", "half_m")
+    b = V.buildings(spark, d).select("building_id", "lat", "lon", "w_m", "h_m")
+    near = spatial.within_own_radius(b, ways, "half_m", geo.equirectangular(c("r_lat"), c("r_lon"), c("lat"), c("lon")), extra_m=25.0 + 15.0)  # half a footprint's diagonal is below 15 m
+    near = near.select("building_id", "lat", "lon", "w_m", "h_m", *[c(f"r_{n}").alias(n) for n in SEGMENT])
+    x0, y0 = geo.metres(c("lat0"), c("lon0"), c("lat"), c("lon"))
+    x1, y1 = geo.metres(c("lat1"), c("lon1"), c("lat"), c("lon"))
+    edge = r(geo.box_segment_distance(-c("w_m") / 2, -c("h_m") / 2, c("w_m") / 2, c("h_m") / 2, x0, y0, x1, y1), 4)
+    return to_segment(near).withColumn("edge_m", edge).where("edge_m < 25")
 
 
 def nearest_driveway_25m(spark, d):
-    """Nearest road start within 25 m of any pin, as an edge search with a maximum distance."""
-    ends = V.roads(spark, d).select("road_id", c("lat0").alias("lat"), c("lon0").alias("lon"))
-    pairs = spatial.range_join(V.pins(spark, d).select("pin_id", "lat", "lon"), ends, 25.0, r(geo.equirectangular(c("lat"), c("lon"), c("r_lat"), c("r_lon")), 4))
-    return spatial.nearest(pairs.select("pin_id", c("r_road_id").alias("road_id"), "distance_m"), "pin_id", "distance_m", "road_id")
+    """The nearest driveway, measured from the edge of the footprint, within 25 m."""
+    return spatial.nearest(driveways(spark, d).select("building_id", "road_id", "edge_m"), "building_id", "edge_m", "road_id").select("building_id", "road_id", c("edge_m").alias("distance_m"))
+
+
+BOXD = "sqrt(power(greatest(-w_m / 2 - {x}, 0::DOUBLE, {x} - w_m / 2), 2) + power(greatest(-h_m / 2 - {y}, 0::DOUBLE, {y} - h_m / 2), 2))"
+
+
+def corner_sql(x, y):
+    t = f"greatest(0::DOUBLE, least(1::DOUBLE, (({x} - ax) * (ex - ax) + ({y} - ay) * (ey - ay)) / (power(ex - ax, 2) + power(ey - ay, 2))))"
+    return f"sqrt(power({x} - ax - {t} * (ex - ax), 2) + power({y} - ay - {t} * (ey - ay), 2))"
+
+
+#: dw: building_id, road_id, px, py, edge_m of driveways within 25 m of the footprint's edge.
+DRIVE = ", " + seg_sql("wd", "bld", "(SELECT * FROM road WHERE list_contains(highway, 'service'))", "building_id, w_m, h_m") + f""",
+ wc AS (SELECT *, ax + t * (ex - ax) AS px, ay + t * (ey - ay) AS py, CASE WHEN ex <> ax THEN (-w_m / 2 - ax) / (ex - ax) END AS u0, CASE WHEN ex <> ax THEN (w_m / 2 - ax) / (ex - ax) END AS u1, CASE WHEN ey <> ay THEN (-h_m / 2 - ay) / (ey - ay) END AS v0, CASE WHEN ey <> ay THEN (h_m / 2 - ay) / (ey - ay) END AS v1 FROM wd),
+ dw AS (SELECT building_id, road_id, distance_m, px, py, round(CASE WHEN (ex <> ax OR abs(ax) <= w_m / 2) AND (ey <> ay OR abs(ay) <= h_m / 2) AND greatest(0, least(u0, u1), least(v0, v1)) <= least(1, greatest(u0, u1), greatest(v0, v1)) THEN 0
+   ELSE least({BOXD.format(x='ax', y='ay')}, {BOXD.format(x='ex', y='ey')}, {', '.join(corner_sql(f'{i} * w_m / 2', f'{j} * h_m / 2') for i in (-1, 1) for j in (-1, 1))}) END, 4) AS edge_m FROM wc)"""
 
 
 def address_road_direction(spark, d):
     """Unit vector from a building to the nearest segment of its street, within 150 m and longer than 0.1 m."""
-    df = street_road(spark, d)
-    x0, y0 = geo.metres(c("lat0"), c("lon0"), c("lat"), c("lon"))
-    x1, y1 = geo.metres(c("lat1"), c("lon1"), c("lat"), c("lon"))
-    vx, vy = x1 - x0, y1 - y0
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (-x0 * vx - y0 * vy) / (vx * vx + vy * vy)))
-    df = df.withColumns({"px": x0 + t * vx, "py": y0 + t * vy}).where((c("distance_m") < 150) & (c("distance_m") > 0.1))
+    df = street_road(spark, d).where("distance_m > 0.1")
     best = spatial.nearest(df.select("building_id", "road_id", "distance_m", "px", "py"), "building_id", "distance_m", "road_id")
     norm = F.sqrt(c("px") * c("px") + c("py") * c("py"))
     return best.select("building_id", "road_id", "distance_m", r(c("px") / norm, 5).alias("ux"), r(c("py") / norm, 5).alias("uy"))
@@ -248,8 +300,8 @@ def neighbour_agreement(spark, d):
 def containing_or_nearest(spark, d):
     """The area that holds a building, smallest first; else the nearest within 900 m of its edge."""
     b, a = V.buildings(spark, d).select("building_id", "lat", "lon"), V.areas(spark, d).select("area_id", "lat", "lon", "radius_m")
-    pairs = spatial.range_join(b, a, 1500.0, r(_plane(c("lat"), c("lon"), c("r_lat"), c("r_lon")), 3))
-    pairs = pairs.where(c("distance_m") <= c("r_radius_m") + 900).withColumn("outside", c("distance_m") > c("r_radius_m"))
+    pairs = spatial.within_own_radius(b, a, "radius_m", r(_plane(c("lat"), c("lon"), c("r_lat"), c("r_lon")), 3), extra_m=900.0)
+    pairs = pairs.withColumn("outside", c("distance_m") > c("r_radius_m"))
     pairs = pairs.withColumn("by", F.when(c("outside"), c("distance_m") - c("r_radius_m")).otherwise(c("r_radius_m")))
     best = spatial.nearest(pairs.select("building_id", "outside", "by", c("r_area_id").alias("area_id")), "building_id", "outside", "by", "area_id")
     return best.select("building_id", "area_id", "outside")
@@ -260,16 +312,8 @@ def not_nearest_anti(spark, d):
     own = V.pins(spark, d).join(V.buildings(spark, d).select("building_id", c("lat").alias("o_lat"), c("lon").alias("o_lon")), "building_id")
     own = own.withColumn("own_m", r(_plane(c("lat"), c("lon"), c("o_lat"), c("o_lon")), 4)).select("pin_id", "building_id", "lat", "lon", "own_m")
     b = V.buildings(spark, d).select("building_id", "lat", "lon")
-    rivals = spatial.range_join(own, b, 40.0, r(_plane(c("lat"), c("lon"), c("r_lat"), c("r_lon")), 4)).where((c("r_building_id") != c("building_id")) & (c("distance_m") < c("own_m") * 1.5))
-    return own.join(rivals.select("pin_id").distinct(), "pin_id", "left_anti").select("pin_id", "own_m")
-
-
-def front_of_other_anti(spark, d):
-    """Back pins less those within 12 m of another building and north of it."""
-    p = V.pins(spark, d).where("garden_type = 'back'").select("pin_id", "building_id", "lat", "lon")
-    near = spatial.range_join(p, V.buildings(spark, d).select("building_id", "lat", "lon"), 12.0, r(_plane(c("lat"), c("lon"), c("r_lat"), c("r_lon")), 4))
-    near = near.where((c("building_id") != c("r_building_id")) & (c("lat") > c("r_lat")))
-    return p.join(near.select("pin_id").distinct(), "pin_id", "left_anti").select("pin_id")
+    rivals = spatial.within_own_radius(b, own.withColumn("reach_m", c("own_m") * 1.5), "reach_m", r(_plane(c("r_lat"), c("r_lon"), c("lat"), c("lon")), 4)).where((c("r_building_id") != c("building_id")) & (c("distance_m") < c("r_own_m") * 1.5))
+    return own.join(rivals.select(c("r_pin_id").alias("pin_id")).distinct(), "pin_id", "left_anti").select("pin_id", "own_m")
 
 
 def zone_semi(spark, d):
@@ -280,18 +324,19 @@ def zone_semi(spark, d):
 
 
 def chunk_assign(spark, d):
-    """Buildings dealt to the 500 m chunks of an area whose 100 m halo holds their centre; own: inside the core. Chunks that don't
-    touch the circle fall away."""
+    """Buildings dealt to every 500 m chunk of an area whose bounds, with a halo of 100 m, their box touches; own: the centre is in the
+    core. Chunks that don't touch the circle fall away."""
     a = V.areas(spark, d).withColumn("n", F.ceil(c("radius_m") / 500.0).cast("int"))
     grid = a.select("area_id", "lat", "lon", "radius_m", "n", F.explode(F.sequence(-c("n"), c("n") - 1)).alias("i")).select("*", F.explode(F.sequence(-c("n"), c("n") - 1)).alias("j"))
     near = lambda k: F.greatest(k * 500.0, F.least(F.lit(0.0), k * 500.0 + 500.0))
     grid = grid.where(near(c("i")) * near(c("i")) + near(c("j")) * near(c("j")) <= c("radius_m") * c("radius_m"))
-    b = V.buildings(spark, d).select("building_id", "lat", "lon")
-    pairs = spatial.range_join(b, V.areas(spark, d).select("area_id", "lat", "lon"), 1600.0, r(geo.equirectangular(c("lat"), c("lon"), c("r_lat"), c("r_lon")), 4))
+    b = V.buildings(spark, d).select("building_id", "lat", "lon", "w_m", "h_m")
+    reach = a.select("area_id", "lat", "lon", ((c("n") * 500 + 120) * 1.5).alias("reach_m"))
+    pairs = spatial.within_own_radius(b, reach, "reach_m", geo.equirectangular(c("lat"), c("lon"), c("r_lat"), c("r_lon")))
     x, y = geo.metres(c("lat"), c("lon"), c("r_lat"), c("r_lon"))
-    pairs = pairs.select("building_id", c("r_area_id").alias("area_id"), r(x, 4).alias("x"), r(y, 4).alias("y"))
-    reach = lambda v: F.sequence(F.floor((v - 100) / 500.0).cast("int"), F.floor((v + 100) / 500.0).cast("int"))
-    dealt = pairs.withColumn("i", F.explode(reach(c("x")))).withColumn("j", F.explode(reach(c("y")))).join(grid.select("area_id", "i", "j"), ["area_id", "i", "j"])
+    pairs = pairs.select("building_id", "w_m", "h_m", c("r_area_id").alias("area_id"), r(x, 4).alias("x"), r(y, 4).alias("y"))
+    touched = lambda v, half: F.sequence(F.floor((v - half - 100) / 500.0).cast("int"), F.floor((v + half + 100) / 500.0).cast("int"))
+    dealt = pairs.withColumn("i", F.explode(touched(c("x"), c("w_m") / 2))).withColumn("j", F.explode(touched(c("y"), c("h_m") / 2))).join(grid.select("area_id", "i", "j"), ["area_id", "i", "j"])
     return dealt.select("area_id", "i", "j", "building_id", ((F.floor(c("x") / 500.0) == c("i")) & (F.floor(c("y") / 500.0) == c("j"))).alias("own"))
 
 
@@ -303,8 +348,9 @@ def source_compare(spark, d):
 
 
 def pins_filtered(spark, d):
-    pairs = spatial.range_join(V.pins(spark, d).where("garden_type = 'front' and score >= 40"), V.areas(spark, d).select("area_id", "lat", "lon", "radius_m"), 600.0, geo.haversine(c("lat"), c("lon"), c("r_lat"), c("r_lon")))
-    return pairs.where(c("distance_m") <= c("r_radius_m")).groupBy(c("r_area_id").alias("area_id")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("score"), 4).alias("avg_score"))
+    pins = V.pins(spark, d).where("garden_type = 'front' and score >= 40").select("pin_id", "lat", "lon", "score")
+    pairs = spatial.within_own_radius(pins, V.areas(spark, d).select("area_id", "lat", "lon", "radius_m"), "radius_m", geo.haversine(c("lat"), c("lon"), c("r_lat"), c("r_lon")))
+    return pairs.groupBy(c("r_area_id").alias("area_id")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("score"), 4).alias("avg_score"))
 
 
 def pins_by_type(spark, d):
@@ -348,20 +394,23 @@ def front_back_pivot(spark, d):
 
 
 def front_back_swap(spark, d):
-    """Pins swap where the front one is 1.05 times as far from the street as the back one, or both are within 8 m and it is no nearer."""
-    best = spatial.nearest(street_road(spark, d).select("building_id", "road_id", "lat0", "lon0", "distance_m"), "building_id", "distance_m", "road_id").drop("distance_m")
-    df = pivoted(spark, d).where("front_pin_id is not null and back_pin_id is not null").join(best, "building_id")
-    dist = lambda t: r(_plane(c(f"{t}_lat"), c(f"{t}_lon"), c("lat0"), c("lon0")), 4)
-    df = df.withColumns({"front_m": dist("front"), "back_m": dist("back"), "apart_m": r(_plane(c("front_lat"), c("front_lon"), c("back_lat"), c("back_lon")), 4)})
+    """Pins swap where the front one is 1.05 times as far from its nearest road as the back one, or both are within 8 m and it is no nearer."""
+    last = last_pins(spark, d)
+    road = nearest_segment(last, V.roads(spark, d), "pin_id").select("pin_id", "distance_m")
+    df = pivoted(spark, d).where("front_pin_id is not null and back_pin_id is not null")
+    for side in ("front", "back"):
+        df = df.join(road.toDF(f"{side}_pin_id", f"{side}_m"), f"{side}_pin_id")
+    df = df.withColumn("apart_m", r(_plane(c("front_lat"), c("front_lon"), c("back_lat"), c("back_lon")), 4))
     swap = (c("front_m") > c("back_m") * 1.05) | ((c("apart_m") < 8) & (c("back_m") <= c("front_m")))
     return df.select("building_id", swap.alias("swap"), F.when(swap, c("back_pin_id")).otherwise(c("front_pin_id")).alias("front_pin_id"))
 
 
 def nearest_building_pins(spark, d):
-    """Each area centre to the building whose pins lie nearest on average."""
+    """Each area centre to the building whose pins lie nearest on average, at any distance."""
     mean = V.pins(spark, d).groupBy("building_id").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
-    pairs = spatial.range_join(V.areas(spark, d).select("area_id", "lat", "lon"), mean, 100.0, r(_plane(c("lat"), c("lon"), c("r_lat"), c("r_lon")), 3))
-    return spatial.nearest(pairs.select("area_id", c("r_building_id").alias("building_id"), "distance_m"), "area_id", "distance_m", "building_id")
+    far = r(_plane(c("lat"), c("lon"), c("r_lat"), c("r_lon")), 3)
+    best = spatial.nearest_at_any_distance(V.areas(spark, d).select("area_id", "lat", "lon"), mean, "area_id", 50.0, far, "r_building_id")
+    return best.select("area_id", c("r_building_id").alias("building_id"), "distance_m")
 
 
 def point_classify_30m(spark, d):
@@ -377,33 +426,41 @@ def boxed(df):
     return df.withColumns({"xmin": c("lon") - kx, "xmax": c("lon") + kx, "ymin": c("lat") - k, "ymax": c("lat") + k})
 
 
-def catalog_pairs(spark, d):
-    """Pairs of entries of the catalog, a small table of one row for each cached area."""
-    a = boxed(V.areas(spark, d))
-    b = a.select(*[c(x).alias(f"r_{x}") for x in a.columns])
-    return a.join(b, c("area_id") != c("r_area_id"))
+def catalog_pairs(spark, d, times):
+    """Pairs of entries of the catalog, the second (r_...) with its centre within so many times its radius of the first one's."""
+    a = boxed(V.areas(spark, d)).withColumn("reach_m", c("radius_m") * times)
+    return spatial.within_own_radius(a, a, "reach_m", r(geo.haversine(c("lat"), c("lon"), c("r_lat"), c("r_lon")), 4)).where("area_id <> r_area_id")
 
 
 def cache_covering(spark, d):
+    """Boxes within boxes: the centre of the inner one is within the outer one's half diagonal."""
     inside = (c("r_xmin") <= c("xmin")) & (c("r_xmax") >= c("xmax")) & (c("r_ymin") <= c("ymin")) & (c("r_ymax") >= c("ymax"))
-    return catalog_pairs(spark, d).where(inside).select("area_id", c("r_area_id").alias("covering"))
+    return catalog_pairs(spark, d, 1.5).where(inside).select("area_id", c("r_area_id").alias("covering"))
 
 
 def cache_overlap(spark, d):
+    """Boxes that touch: centres are within two half diagonals of the larger one."""
     apart = (c("r_xmin") > c("xmax")) | (c("r_xmax") < c("xmin")) | (c("r_ymin") > c("ymax")) | (c("r_ymax") < c("ymin"))
-    return catalog_pairs(spark, d).where(~apart & (c("area_id") < c("r_area_id"))).select("area_id", c("r_area_id").alias("other"))
+    larger = (c("r_radius_m") > c("radius_m")) | ((c("r_radius_m") == c("radius_m")) & (c("r_area_id") > c("area_id")))
+    df = catalog_pairs(spark, d, 3.0).where(~apart & larger)
+    return df.select(F.least("area_id", "r_area_id").alias("area_id"), F.greatest("area_id", "r_area_id").alias("other"))
 
 
 def cache_circle_in_circle(spark, d):
-    m = r(geo.haversine(c("lat"), c("lon"), c("r_lat"), c("r_lon")), 4)
-    return catalog_pairs(spark, d).where(m + c("radius_m") <= c("r_radius_m")).select("area_id", c("r_area_id").alias("covering"), r(m, 3).alias("distance_m"))
+    df = catalog_pairs(spark, d, 1.01).where(c("distance_m") + c("radius_m") <= c("r_radius_m"))
+    return df.select("area_id", c("r_area_id").alias("covering"), r(c("distance_m"), 3).alias("distance_m"))
 
 
 def cache_downscale(spark, d):
-    """An area served by the smallest larger one of the same centre: its pins within half the radius."""
-    want = V.areas(spark, d).select("area_id", "lat", "lon", (c("radius_m") / 2).alias("radius_m"))
-    pairs = spatial.range_join(V.pins(spark, d).select("pin_id", "lat", "lon", "score"), want, 300.0, r(geo.equirectangular(c("lat"), c("lon"), c("r_lat"), c("r_lon")), 4))
-    return pairs.where(c("distance_m") <= c("r_radius_m")).groupBy(c("r_area_id").alias("area_id")).agg(F.count(F.lit(1)).alias("n_pins"), F.sum("score").alias("score"))
+    """Requests of 100, 250 and 450 m around each cached area's centre: served by the smallest larger area whose centre is within 1 m, its
+    pins cut to the request's radius; the area's count of pins is passed on uncut."""
+    asked = V.areas(spark, d).select(c("area_id").alias("asked"), "lat", "lon", F.explode(F.array(F.lit(100.0), F.lit(250.0), F.lit(450.0))).alias("want_m"))
+    areas = V.areas(spark, d).select("area_id", "lat", "lon", "radius_m")
+    same = spatial.range_join(asked, areas, 1.0, r(geo.equirectangular(c("lat"), c("lon"), c("r_lat"), c("r_lon")), 4)).where((c("distance_m") < 1) & (c("r_radius_m") > c("want_m")))
+    serve = same.groupBy("asked", "want_m").agg(F.min_by(F.struct(c("r_area_id").alias("area_id"), c("r_lat").alias("lat"), c("r_lon").alias("lon"), c("r_radius_m").alias("radius_m")), F.struct("r_radius_m", "r_area_id")).alias("s")).select("asked", "want_m", "s.*")
+    pins = spatial.within_own_radius(V.pins(spark, d).select("pin_id", "lat", "lon", "score"), serve, "radius_m", r(geo.equirectangular(c("lat"), c("lon"), c("r_lat"), c("r_lon")), 4))
+    near = c("distance_m") <= c("r_want_m")
+    return pins.groupBy(c("r_asked").alias("asked"), c("r_want_m").alias("want_m"), c("r_area_id").alias("area_id")).agg(F.count_if(near).alias("n_pins"), F.coalesce(F.sum(F.when(near, c("score"))), F.lit(0.0)).alias("score"), F.count(F.lit(1)).alias("uncut"))
 
 
 def cache_estimate(spark, d):
@@ -468,9 +525,14 @@ def centroid_place(spark, d):
 
 
 def no_garden_placeholder(spark, d):
-    """Buildings without a pin get one 5 m north of their centre, of score 0."""
-    b = V.buildings(spark, d).select("building_id", "lat", "lon")
-    return b.join(V.pins(spark, d).select("building_id").distinct(), "building_id", "left_anti").select("building_id", r(c("lat") + 5 / geo.M_PER_DEG).alias("lat"), r(c("lon")).alias("lon"), F.lit(0.0).alias("score"), F.lit("no_garden").alias("surface_type"))
+    """Sides of a building without a pin of 45 points or more get one of score 0, 5 m from the centre along the direction to the nearest road
+    (front) or away from it (back)."""
+    sides = V.buildings(spark, d).select("building_id", F.explode(F.array(F.lit("front"), F.lit("back"))).alias("garden_type"))
+    left = sides.join(V.pins(spark, d).where("score >= 45").select("building_id", "garden_type").distinct(), ["building_id", "garden_type"], "left_anti")
+    road = nearest_segment(V.buildings(spark, d), V.roads(spark, d), "building_id").where("distance_m > 0.1")
+    norm = F.sqrt(c("px") * c("px") + c("py") * c("py"))
+    out = left.join(road, "building_id").withColumn("by", F.when(c("garden_type") == "front", 5.0).otherwise(-5.0))
+    return out.select("building_id", "garden_type", r(c("lat") + c("by") * c("py") / norm / geo.M_PER_DEG).alias("lat"), r(c("lon") + c("by") * c("px") / norm / (geo.M_PER_DEG * F.cos(F.radians("lat")))).alias("lon"), F.lit(0.0).alias("score"), F.lit("no_garden").alias("surface_type"))
 
 
 def eircode_normalise(spark, d):
@@ -489,7 +551,7 @@ def coords_parse(spark, d):
     return V.buildings(spark, d).select("building_id", ok.alias("valid"), F.when(ok, num(0)).alias("lat"), F.when(ok, num(1)).alias("lon"))
 
 
-QUERIES = {f.__name__: f for f in (circle_count_area, bbox_slice, haversine_topk, equirect_within, slippy_tiles, tile_bounds, tiles_for_radius, zoom_options, recommended_zoom, utm_project, polygon_area_centroid, point_in_polygon, building_type_filter, small_area_filter, front_roads, residential_regex, tag_split, exclusion_union, dedup_first, nearest_road, nearest_driveway_25m, address_road_direction, neighbour_knn10, range_pairs_20m, neighbour_agreement, containing_or_nearest, not_nearest_anti, front_of_other_anti, zone_semi, chunk_assign, source_compare, pins_filtered, pins_by_type, attempt_hist, catalog_stats, class_stats, last_pin_per_building, front_back_pivot, front_back_swap, nearest_building_pins, point_classify_30m, cache_covering, cache_overlap, cache_circle_in_circle, cache_downscale, cache_estimate, evict_oldest, ttl_filter, score_simple, score_graduated, score_color, candidate_fallback, centroid_place, no_garden_placeholder, eircode_normalise, coords_parse)}
+QUERIES = {f.__name__: f for f in (circle_count_area, bbox_slice, haversine_topk, equirect_within, slippy_tiles, tile_bounds, tiles_for_radius, zoom_options, recommended_zoom, utm_project, polygon_area_centroid, point_in_polygon, building_type_filter, small_area_filter, front_roads, residential_regex, tag_split, exclusion_union, dedup_first, nearest_road, nearest_driveway_25m, address_road_direction, neighbour_knn10, range_pairs_20m, neighbour_agreement, containing_or_nearest, not_nearest_anti, zone_semi, chunk_assign, source_compare, pins_filtered, pins_by_type, attempt_hist, catalog_stats, class_stats, last_pin_per_building, front_back_pivot, front_back_swap, nearest_building_pins, point_classify_30m, cache_covering, cache_overlap, cache_circle_in_circle, cache_downscale, cache_estimate, evict_oldest, ttl_filter, score_simple, score_graduated, score_color, candidate_fallback, centroid_place, no_garden_placeholder, eircode_normalise, coords_parse)}
 
 
 def pair_sql(a, b):
@@ -526,15 +588,15 @@ ORACLES = {
     "polygon_area_centroid": oracle("bld", "SELECT building_id, round(w_m * h_m, 3) AS area_m2, round(w_m / 2, 3) AS cx, round(h_m / 2, 3) AS cy, round(xmax, 6) AS xmax, round(ymin, 6) AS ymin FROM bld"),
     "point_in_polygon": oracle("bld pin", "SELECT pin_id, b.building_id FROM pin p JOIN bld b ON p.lon BETWEEN xmin AND xmax AND p.lat BETWEEN ymin AND ymax"),
     "building_type_filter": oracle("bld", f"SELECT building_id, building FROM bld WHERE building IS NULL OR building NOT IN ({QUOTED})"),
-    "small_area_filter": oracle("bld", "SELECT building_id, w_m * h_m AS area_m2 FROM bld WHERE w_m * h_m > 70 AND w_m * h_m * 0.7 >= 30"),
+    "small_area_filter": oracle("bld", "SELECT building_id, w_m * h_m / 2 AS area_m2 FROM bld WHERE (w_m * h_m / 2 > 30 OR NOT EXISTS (SELECT 1 FROM bld WHERE w_m * h_m / 2 > 30)) AND w_m * h_m / 2 * 0.7::DOUBLE >= 30"),
     "front_roads": oracle("road", f"SELECT road_id, trim(name) AS name FROM road WHERE list_has_any(highway, [{', '.join(repr(x) for x in FRONT_ROADS)}])"),
     "residential_regex": oracle("bld", f"SELECT building_id, building FROM bld WHERE regexp_matches(building, '{DWELLINGS}')"),
     "tag_split": """SELECT 'buildings' AS branch, count(*) AS n FROM part WHERE p_size % 3 = 0 UNION ALL SELECT 'roads', count(*) FROM part WHERE p_type LIKE '%BRASS' UNION ALL SELECT 'driveways', count(*) FROM part WHERE p_type LIKE '%STEEL' AND p_brand LIKE 'Brand#1%'
       UNION ALL SELECT 'addresses', count(*) FROM part WHERE p_brand IS NOT NULL AND p_size > 25 UNION ALL SELECT 'boundaries', count(*) FROM part WHERE p_brand IN ('Brand#11', 'Brand#22', 'Brand#33', 'Brand#44')""",
     "exclusion_union": "SELECT p_partkey, 'landuse' AS exclusion_type FROM part WHERE p_size % 2 = 0 UNION ALL SELECT p_partkey, 'leisure' FROM part WHERE p_size % 5 = 0 UNION ALL SELECT p_partkey, 'natural' FROM part WHERE p_size % 7 = 0",
     "dedup_first": oracle("prog", "SELECT task_id, seq, status FROM prog QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY seq) = 1"),
-    "nearest_road": oracle("bld road", "SELECT building_id, distance_m, road_id FROM sd QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY distance_m, road_id) = 1", f", {SEG}"),
-    "nearest_driveway_25m": oracle("pin road", f"SELECT pin_id, m AS distance_m, road_id FROM (SELECT pin_id, road_id, round({flat_sql('lat', 'lon', 'lat0', 'lon0')}, 4) AS m FROM pin, road WHERE abs(lat - lat0) < 0.001) WHERE m <= 25 QUALIFY row_number() OVER (PARTITION BY pin_id ORDER BY m, road_id) = 1"),
+    "nearest_road": oracle("bld road", f"SELECT building_id, road_id, distance_m FROM ad {NEAREST}", f", {ANY}"),
+    "nearest_driveway_25m": oracle("bld road", "SELECT building_id, road_id, edge_m AS distance_m FROM dw WHERE edge_m < 25 QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY edge_m, road_id) = 1", DRIVE),
     "address_road_direction": oracle("bld road", """SELECT building_id, road_id, distance_m, round(px / sqrt(px * px + py * py), 5) AS ux, round(py / sqrt(px * px + py * py), 5) AS uy
       FROM (SELECT *, ax + t * (ex - ax) AS px, ay + t * (ey - ay) AS py FROM sd WHERE distance_m < 150 AND distance_m > 0.1) QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY distance_m, road_id) = 1""", f", {SEG}"),
     "neighbour_knn10": oracle("bld", "SELECT building_id, other, distance_m, row_number() OVER (PARTITION BY building_id ORDER BY distance_m, other)::INT AS rank FROM nb WHERE distance_m <= 40 QUALIFY rank <= 10", NB),
@@ -542,15 +604,14 @@ ORACLES = {
     "neighbour_agreement": oracle("bld", "SELECT building_id, count(*) FILTER (building = other_building) AS agree, count(*) FILTER (building <> other_building) AS disagree, count(*) FILTER (building <> other_building) >= 2 AND count(*) FILTER (building = other_building) = 0 AS flip FROM nb WHERE distance_m <= 20 AND building IS NOT NULL AND other_building IS NOT NULL GROUP BY building_id", NB),
     "containing_or_nearest": oracle("bld area", """SELECT building_id, area_id, m > radius_m AS outside FROM m WHERE m <= radius_m + 900
       QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY m > radius_m, CASE WHEN m > radius_m THEN m - radius_m ELSE radius_m END, area_id) = 1""", f", m AS (SELECT b.building_id, a.area_id, a.radius_m, round({pair_sql('b', 'a')[6:-4]}, 3) AS m FROM bld b, area a)"),
-    "not_nearest_anti": oracle("bld pin", "SELECT pin_id, own_m FROM o WHERE NOT EXISTS (SELECT 1 FROM bld b WHERE b.building_id <> o.building_id AND abs(b.lat - o.lat) < 0.001 AND abs(b.lon - o.lon) < 0.001 AND " + pair_sql("o", "b") + " <= 40 AND " + pair_sql("o", "b") + " < o.own_m * 1.5)",
+    "not_nearest_anti": oracle("bld pin", "SELECT pin_id, own_m FROM o WHERE NOT EXISTS (SELECT 1 FROM bld b WHERE b.building_id <> o.building_id AND " + pair_sql("o", "b") + " < o.own_m * 1.5)",
       f", o AS (SELECT p.*, {pair_sql('p', 'b')} AS own_m FROM pin p JOIN bld b USING (building_id))"),
-    "front_of_other_anti": oracle("bld pin", "SELECT pin_id FROM pin p WHERE garden_type = 'back' AND NOT EXISTS (SELECT 1 FROM bld b WHERE b.building_id <> p.building_id AND p.lat > b.lat AND abs(b.lat - p.lat) < 0.001 AND abs(b.lon - p.lon) < 0.001 AND " + pair_sql("p", "b") + " <= 12)"),
     "zone_semi": oracle("pin", "SELECT pin_id, building_id, surface_type FROM pin WHERE (building_id, surface_type) IN (SELECT (building_id, surface_type) FROM pin WHERE score >= 90)"),
     "chunk_assign": oracle("bld area", """SELECT area_id, i::INT AS i, j::INT AS j, building_id, floor(x / 500) = i AND floor(y / 500) = j AS own FROM g JOIN p USING (area_id)
-      WHERE x >= i * 500 - 100 AND x < i * 500 + 600 + 0.00001 AND y >= j * 500 - 100 AND y < j * 500 + 600 + 0.00001 AND floor((x + 100) / 500) >= i AND floor((x - 100) / 500) <= i AND floor((y + 100) / 500) >= j AND floor((y - 100) / 500) <= j""",
+      WHERE floor((x + w_m / 2 + 100) / 500) >= i AND floor((x - w_m / 2 - 100) / 500) <= i AND floor((y + h_m / 2 + 100) / 500) >= j AND floor((y - h_m / 2 - 100) / 500) <= j""",
       f""", g AS (SELECT area_id, i, j FROM area, range(-3, 3) a(i), range(-3, 3) b(j) WHERE i BETWEEN -ceil(radius_m / 500) AND ceil(radius_m / 500) - 1 AND j BETWEEN -ceil(radius_m / 500) AND ceil(radius_m / 500) - 1
         AND power(greatest(i * 500, least(0, i * 500 + 500)), 2) + power(greatest(j * 500, least(0, j * 500 + 500)), 2) <= radius_m * radius_m),
-      p AS (SELECT building_id, area_id, round((b.lon - a.lon) * 111320::DOUBLE * cos(radians(a.lat)), 4) AS x, round((b.lat - a.lat) * 111320::DOUBLE, 4) AS y FROM bld b, area a WHERE round({flat_sql('b.lat', 'b.lon', 'a.lat', 'a.lon')}, 4) <= 1600)"""),
+      p AS (SELECT building_id, w_m, h_m, area_id, round((b.lon - a.lon) * 111320::DOUBLE * cos(radians(a.lat)), 4) AS x, round((b.lat - a.lat) * 111320::DOUBLE, 4) AS y FROM bld b, area a)"""),
     "source_compare": "SELECT a AS first_count, b AS second_count, a - b AS difference, printf('first found %+d more buildings (%+.1f%%)', a - b, round((a - b) / b::DOUBLE * 100, 1)) AS comparison FROM (SELECT (SELECT count(*) FROM customer) AS a, (SELECT count(*) FROM supplier) AS b)",
     "pins_filtered": oracle("pin area", f"SELECT area_id, count(*) AS n, round(avg(score), 4) AS avg_score FROM pin p JOIN area a ON {hav_sql('p.lat', 'p.lon', 'a.lat', 'a.lon')} <= radius_m WHERE garden_type = 'front' AND score >= 40 GROUP BY area_id"),
     "pins_by_type": oracle("pin", "SELECT garden_type, surface_type, count(*) AS n, count(*) FILTER (score = 0) AS no_garden, round(avg(score), 4) AS avg_score FROM pin GROUP BY ALL"),
@@ -559,16 +620,16 @@ ORACLES = {
     "class_stats": oracle("pin", "SELECT building_id, front, back, round(front * 100::DOUBLE / (front + back), 4) AS front_pct FROM (SELECT building_id, count(*) FILTER (garden_type = 'front') AS front, count(*) FILTER (garden_type = 'back') AS back FROM pin GROUP BY 1)"),
     "last_pin_per_building": oracle("pin", "SELECT building_id, garden_type, pin_id, score FROM lp", LASTP),
     "front_back_pivot": oracle("pin", "SELECT building_id, front_pin_id, back_pin_id, front_score, back_score FROM pv", PIV),
-    "front_back_swap": oracle("bld road pin", "SELECT building_id, swap, CASE WHEN swap THEN back_pin_id ELSE front_pin_id END AS front_pin_id FROM (SELECT *, f > b * 1.05 OR (ap < 8 AND b <= f) AS swap FROM w)",
-      f"""{PIV}, {SEG}, nr AS (SELECT building_id, lat0, lon0 FROM sd QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY distance_m, road_id) = 1),
-      w AS (SELECT building_id, front_pin_id, back_pin_id, {pair_sql('x', 'y').replace('x.l', 'front_l').replace('y.lon', 'lon0').replace('y.lat', 'lat0')} AS f, {pair_sql('x', 'y').replace('x.l', 'back_l').replace('y.lon', 'lon0').replace('y.lat', 'lat0')} AS b, {pair_sql('x', 'y').replace('x.l', 'front_l').replace('y.l', 'back_l')} AS ap
-        FROM pv JOIN nr USING (building_id) WHERE front_pin_id IS NOT NULL AND back_pin_id IS NOT NULL)"""),
-    "nearest_building_pins": oracle("pin area", "SELECT area_id, building_id, m AS distance_m FROM m WHERE m <= 100 QUALIFY row_number() OVER (PARTITION BY area_id ORDER BY m, building_id) = 1", f", p AS (SELECT building_id, avg(lat) AS lat, avg(lon) AS lon FROM pin GROUP BY 1), m AS (SELECT area_id, building_id, round({pair_sql('a', 'p')[6:-4]}, 3) AS m FROM area a, p)"),
+    "front_back_swap": oracle("bld road pin", "SELECT building_id, swap, CASE WHEN swap THEN back_pin_id ELSE front_pin_id END AS front_pin_id FROM (SELECT *, f > b * 1.05::DOUBLE OR (ap < 8 AND b <= f) AS swap FROM w)",
+      f"""{PIV}, {seg_sql('pd', 'lp', 'road', 'pin_id')}, nr AS (SELECT pin_id, min(distance_m) AS m FROM pd GROUP BY pin_id),
+      w AS (SELECT building_id, front_pin_id, back_pin_id, x.m AS f, y.m AS b, {pair_sql('x', 'y').replace('x.l', 'front_l').replace('y.l', 'back_l')} AS ap FROM pv JOIN nr x ON x.pin_id = front_pin_id JOIN nr y ON y.pin_id = back_pin_id)"""),
+    "nearest_building_pins": oracle("pin area", "SELECT area_id, building_id, m AS distance_m FROM m QUALIFY row_number() OVER (PARTITION BY area_id ORDER BY m, building_id) = 1", f", p AS (SELECT building_id, avg(lat) AS lat, avg(lon) AS lon FROM pin GROUP BY 1), m AS (SELECT area_id, building_id, round({pair_sql('a', 'p')[6:-4]}, 3) AS m FROM area a, p)"),
     "point_classify_30m": oracle("pin area", "SELECT area_id, pin_id, coalesce(garden_type, 'out_of_bounds') AS classification FROM area LEFT JOIN (SELECT * FROM m WHERE m <= 30 QUALIFY row_number() OVER (PARTITION BY area_id ORDER BY m, pin_id) = 1) USING (area_id)", f", m AS (SELECT area_id, pin_id, garden_type, round({pair_sql('a', 'p')[6:-4]}, 3) AS m FROM area a, pin p)"),
     "cache_covering": oracle("area", "SELECT a.area_id, b.area_id AS covering FROM e a, e b WHERE a.area_id <> b.area_id AND b.xmin <= a.xmin AND b.xmax >= a.xmax AND b.ymin <= a.ymin AND b.ymax >= a.ymax", BOXED),
     "cache_overlap": oracle("area", "SELECT a.area_id, b.area_id AS other FROM e a, e b WHERE a.area_id < b.area_id AND NOT (b.xmin > a.xmax OR b.xmax < a.xmin OR b.ymin > a.ymax OR b.ymax < a.ymin)", BOXED),
     "cache_circle_in_circle": oracle("area", "SELECT x AS area_id, y AS covering, round(m, 3) AS distance_m FROM m WHERE m + r1 <= r2", f", m AS (SELECT a.area_id AS x, b.area_id AS y, a.radius_m AS r1, b.radius_m AS r2, round({hav_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 4) AS m FROM area a, area b WHERE a.area_id <> b.area_id)"),
-    "cache_downscale": oracle("pin area", f"SELECT area_id, count(*) AS n_pins, sum(score) AS score FROM pin p JOIN area a ON round({flat_sql('p.lat', 'p.lon', 'a.lat', 'a.lon')}, 4) <= radius_m / 2 GROUP BY area_id"),
+    "cache_downscale": oracle("pin area", f"SELECT asked, want_m, area_id, count(*) FILTER (m <= want_m) AS n_pins, coalesce(sum(score) FILTER (m <= want_m), 0) AS score, count(*) AS uncut FROM (SELECT s.*, p.score, round({flat_sql('p.lat', 'p.lon', 's.lat', 's.lon')}, 4) AS m FROM s, pin p) WHERE m <= radius_m GROUP BY ALL",
+      f", s AS (SELECT q.area_id AS asked, want_m, a.* FROM area q, (VALUES (100::DOUBLE), (250::DOUBLE), (450::DOUBLE)) v(want_m), area a WHERE {flat_sql('q.lat', 'q.lon', 'a.lat', 'a.lon')} < 1 AND a.radius_m > want_m QUALIFY row_number() OVER (PARTITION BY q.area_id, want_m ORDER BY a.radius_m, a.area_id) = 1)"),
     "cache_estimate": oracle("area", "SELECT area_id, round(km2, 2) AS area_km2, n AS estimated_buildings, n * 160 AS estimated_size_bytes, round(n * 160 / 1048576::DOUBLE, 2) AS estimated_size_mb FROM (SELECT *, floor(round(km2, 9) * 200)::BIGINT AS n FROM k)", BOXED + ", k AS (SELECT area_id, abs((ymax - ymin) * 111.32::DOUBLE * (xmax - xmin) * 111.32::DOUBLE * cos(radians((ymin + ymax) / 2))) AS km2 FROM e)"),
     "evict_oldest": oracle("prog", "SELECT task_id, max(seq) AS seq FROM prog GROUP BY task_id ORDER BY seq DESC LIMIT 50"),
     "ttl_filter": oracle("prog", "SELECT task_id, seq FROM prog WHERE ts > (SELECT max(ts) FROM prog) - INTERVAL 1 DAY"),
@@ -582,7 +643,8 @@ ORACLES = {
     "candidate_fallback": oracle("pin", "SELECT building_id, attempt, pin_id, score FROM (SELECT p.building_id, s.pin_id, s.score, CASE WHEN to_edge >= 1.5 AND to_road >= 2 THEN 1 WHEN to_edge >= 1.5 THEN 2 ELSE 3 END AS attempt FROM s JOIN pin p USING (pin_id)) QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY attempt, score DESC, pin_id) = 1", SCORE_IN),
     "centroid_place": oracle("pin", "SELECT building_id, pin_id, distance_m FROM (SELECT a.building_id, pin_id, round(" + pair_sql("a", "b")[6:-4] + ", 3) AS distance_m FROM g a JOIN mid b USING (building_id)) QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY distance_m, pin_id) = 1",
       ", g AS (SELECT * FROM pin WHERE score > 0 QUALIFY score >= max(score) OVER (PARTITION BY building_id) * 0.5), mid AS (SELECT building_id, avg(lat) AS lat, avg(lon) AS lon FROM g GROUP BY 1)"),
-    "no_garden_placeholder": oracle("bld", "SELECT building_id, round(lat + 5 / 111320::DOUBLE, 6) AS lat, round(lon, 6) AS lon, 0::DOUBLE AS score, 'no_garden' AS surface_type FROM bld WHERE building_id NOT IN (SELECT o_custkey FROM orders)"),
+    "no_garden_placeholder": oracle("bld road pin", "SELECT building_id, garden_type, round(lat + s * py / sqrt(px * px + py * py) / 111320::DOUBLE, 6) AS lat, round(lon + s * px / sqrt(px * px + py * py) / (111320::DOUBLE * cos(radians(lat))), 6) AS lon, 0::DOUBLE AS score, 'no_garden' AS surface_type FROM n, (VALUES ('front', 5), ('back', -5)) v(garden_type, s) WHERE (building_id, garden_type) NOT IN (SELECT (building_id, garden_type) FROM pin WHERE score >= 45)",
+      f", {ANY}, n AS (SELECT *, ax + t * (ex - ax) AS px, ay + t * (ey - ay) AS py FROM (SELECT * FROM ad {NEAREST}) WHERE distance_m > 0.1)"),
     "eircode_normalise": """SELECT id, code, length(code) = 7 AS valid, substr(code, 1, 3) AS routing, substr(code, 4, 4) AS unit FROM (SELECT c_custkey AS id, upper(replace(trim(' d' || lpad((c_custkey % 30)::VARCHAR, 2, '0') || ' x' || lpad((c_custkey % 1500)::VARCHAR, 3, '7') || CASE WHEN c_custkey % 11 = 0 THEN 'z' ELSE ' ' END), ' ', '')) AS code FROM customer)""",
     "coords_parse": oracle("bld", """SELECT building_id, ok AS valid, CASE WHEN ok THEN a END AS lat, CASE WHEN ok THEN b END AS lon FROM (SELECT building_id, a, b, len(p) = 2 AND a IS NOT NULL AND b IS NOT NULL AS ok FROM (SELECT building_id, p, try_cast(trim(p[1]) AS DOUBLE) AS a, try_cast(trim(p[2]) AS DOUBLE) AS b FROM t))""",
       ", t AS (SELECT building_id, string_split(CASE WHEN building_id % 7 = 0 THEN '53.1; -6.2' WHEN building_id % 5 = 0 THEN 'abc, -6.2' ELSE ' 53.' || (building_id % 1000) || ' , -6.' || (building_id % 77) END, ',') AS p FROM bld)"),

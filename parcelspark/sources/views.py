@@ -47,6 +47,13 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({"lat1": F.col("lat0") + 0.0004 * (s_of("road_id", 3) - 1), "lon1": F.col("lon0") + 0.0006 * (2 * s_of("road_id", 2) - 1)})
 
 
+def with_middle(roads: DataFrame) -> DataFrame:
+    """roads with lat, lon, the middle of the segment, and half_m, how far it goes from there."""
+    lat, lon = (F.col("lat0") + F.col("lat1")) / 2, (F.col("lon0") + F.col("lon1")) / 2
+    x, y = (F.col("lon1") - F.col("lon0")) * M_PER_DEG * F.cos(F.radians("lat0")), (F.col("lat1") - F.col("lat0")) * M_PER_DEG
+    return roads.withColumns({"lat": lat, "lon": lon, "half_m": F.sqrt(x * x + y * y) / 2 + 1})
+
+
 def s_of(name: str, mod: int):
     return (F.col(name) % mod).cast("double")
 
@@ -75,10 +82,9 @@ def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.join(at, "_at").select("area_id", "lat", "lon", "radius_m", "created_at", "zoom")
 
 
-def pixels(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
-    """y, x, r, g, b of a raster 64 pixels wide; the first `rows` rows of it."""
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """y, x, r, g, b of a raster 64 pixels wide."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"), "embedding")
-    e = e.where(F.col("y") < rows) if rows else e
     e = e.select("y", "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("x"))
     band = lambda shift: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor(128 + 300 * F.get("embedding", (F.col("x") + shift) % 64).cast("double")))).cast("int")
     return e.select("y", "x", band(0).alias("r"), band(21).alias("g"), band(42).alias("b"))

@@ -1,5 +1,7 @@
 """Functions on literals with known answers, plans, and edge cases."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,48 @@ def test_raster_edge_cases(spark):
     spiral = [(0, x) for x in range(9)] + [(y, 8) for y in range(9)] + [(8, x) for x in range(9)] + [(y, 0) for y in range(2, 9)]
     out = raster.components(spark.createDataFrame(spiral, "y long, x int")).collect()
     assert {r["label"] for r in out} == {0}
+
+
+def globe(seed, n, lat, lon, spread_m):
+    import random
+
+    r = random.Random(seed)
+    k = spread_m / geo.M_PER_DEG
+    place = lambda: (lat + r.uniform(-k, k), (lon + r.uniform(-k, k) / math.cos(math.radians(lat)) + 180) % 360 - 180)
+    return [(i, *place()) for i in range(n)]
+
+
+def _meters(a, b):
+    f = math.radians
+    h = math.sin(f(b[1] - a[1]) / 2) ** 2 + math.cos(f(a[1])) * math.cos(f(b[1])) * math.sin(f(b[2] - a[2]) / 2) ** 2
+    return 2 * geo.EARTH_RADIUS * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+
+@pytest.mark.parametrize("lat,lon,radius", [(65, 20, 50), (0, 10, 50), (-40, -70, 50), (53, 180, 50), (-80, -179.999, 60), (53, -6, 5000), (89.5, 0, 3000)])
+def test_range_join_finds_all_pairs_everywhere(spark, lat, lon, radius):
+    rows = globe(1, 250, lat, lon, radius * 6)
+    df = spark.createDataFrame(rows, "id long, lat double, lon double")
+    far = geo.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
+    got = {(r["id"], r["r_id"]) for r in spatial.range_join(df, df, radius, far).select("id", "r_id").collect()}
+    assert got == {(a[0], b[0]) for a in rows for b in rows if _meters(a, b) <= radius} and len(got) > 300
+
+
+def test_circles_of_all_sizes_find_their_points(spark):
+    points = globe(2, 300, 53, -6, 4000)
+    circles = [(i, la, lo, float(10 * 3 ** (i % 9))) for i, la, lo in globe(3, 60, 53, -6, 4000)]
+    p, q = spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(circles, "id long, lat double, lon double, radius_m double")
+    far = geo.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
+    got = {(r["id"], r["r_id"]) for r in spatial.within_own_radius(p, q, "radius_m", far).select("id", "r_id").collect()}
+    assert got == {(a[0], b[0]) for a in points for b in circles if _meters(a, b) <= b[3]} and len(got) > 1000
+    assert spatial.within_own_radius(p, q.limit(0), "radius_m", far).count() == 0
+
+
+def test_nearest_at_any_distance(spark):
+    left = globe(4, 80, 53, 179.99, 30000)
+    right = globe(5, 12, 53, 179.99, 3000)
+    far = geo.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
+    a, b = spark.createDataFrame(left, "id long, lat double, lon double"), spark.createDataFrame(right, "id long, lat double, lon double")
+    got = {r["id"]: r["r_id"] for r in spatial.nearest_at_any_distance(a, b, "id", 100.0, far, "r_id").collect()}
+    assert got == {x[0]: min(right, key=lambda y: _meters(x, y))[0] for x in left}
+    near = spatial.nearest_at_any_distance(a, b, "id", 100.0, far, "r_id", most_m=2000.0)
+    assert {r["id"] for r in near.collect()} == {x[0] for x in left if min(_meters(x, y) for y in right) <= 2000}
