@@ -4,9 +4,10 @@ A document's set is its distinct n-word shingles as 64-bit hashes, in the global
 from the start, so copies never meet each other as pairs.
 
 1. Dealing. Two sets that are similar enough differ in at most k shingles, where k follows from the larger size. Shingles are dealt
-   into k + 1 parts by a hash (and some spare ones for parts that stay empty), so similar sets agree in at least one whole part.
-   Each set posts a hash of each of its parts, by size class. Sets only meet over several equal shingles at once, which
-   chance doesn't bring about however large the corpus grows, and no frequencies have to be known.
+   into k + 1 parts and some spare ones by a hash, so similar sets agree in more whole parts than there are spare ones. Each set
+   posts a hash of each of its parts, by size class; parts of few shingles are left out unless a set has more of these than
+   spare ones. So sets only meet over several equal shingles that stand alone in both, which a shared passage or chance seldom brings
+   about however large the corpus grows, and no frequencies have to be known.
 2. The smallest node of a list leads it, and the others are its candidates. Candidates of a leader form groups of bounded
    size (in shingles). In a group, sets are stored in a prefix tree. Each set meets those it shares one of its rarest shingles of the
    group with and isn't connected to yet: on the way down to them, the overlap with common paths is worked out once, and a
@@ -26,6 +27,7 @@ row of the smallest doc_id (then hash of the text) stays, of rows that agree in
 
 import hashlib
 from bisect import bisect_right
+from math import exp
 
 import numpy as np
 import pandas as pd
@@ -61,26 +63,41 @@ def size_classes(pct: int, most: int = 1 << 40) -> list[int]:
     return out
 
 
+def parts_of(most: int, pct: int) -> tuple[int, int, int]:
+    """For sets of up to so many shingles: number of parts, how many of them are spare, and the size up to which a part is thin, so that
+    few sets have more thin parts than spare ones. No parts where only equal sets are linked."""
+    differ = 2 * (100 - pct) * most // (100 + pct)
+    if not differ:
+        return 0, 0, 0
+    spare = 1 + differ * (100 - pct) // 40
+    parts = differ + 1 + spare
+    mean = 0.85 * most / parts
+    thin, share = 0, exp(-mean)
+    chance = share
+    while thin < 3:
+        chance *= mean / (thin + 1)
+        if share + chance > 0.9 * spare / parts:
+            break
+        thin, share = thin + 1, share + chance
+    return parts, spare, thin
+
+
 def signatures(shingles: np.ndarray, pct: int, classes: list[int]) -> np.ndarray:
     """One hash for each part of the set, in its size class and, where a linked set may be in it, the next."""
     size, out = len(shingles), []
     own = bisect_right(classes, size) - 1
     for c in (own, own + 1):
-        if 100 * size < pct * classes[c]:
+        parts, spare, thin = parts_of(classes[c + 1] - 1, pct)
+        if not parts or 100 * size < pct * classes[c]:
             continue
-        differ = 2 * (100 - pct) * (classes[c + 1] - 1) // (100 + pct)
-        if not differ:
-            continue  # only equal sets are linked
-        spare = 1 + differ // 32
-        parts = differ + 1 + spare
         h = mixed(shingles ^ mixed(np.array([c + 1], np.uint64)))
         part = (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
         low = np.bincount(part, weights=(h & np.uint64(0xFFFFFFFF)).astype(float), minlength=parts).astype(np.uint64)
         high = np.bincount(part, weights=(h >> np.uint64(32)).astype(float), minlength=parts).astype(np.uint64)
         of = mixed(((high << np.uint64(32)) + low) ^ mixed(np.arange(parts, dtype=np.uint64) + np.uint64(c << 32)))
-        filled = np.bincount(part, minlength=parts) > 0
-        # two sets agree in spare + 1 parts or more; all of these are empty only if either has more empty parts than spare ones
-        out.append(of[filled] if parts - int(filled.sum()) <= spare else of)
+        full = np.bincount(part, minlength=parts) > thin
+        # linked sets agree in spare + 1 parts or more; all of these are thin only if both have more thin parts than spare ones
+        out.append(of[full] if parts - int(full.sum()) <= spare else of)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
