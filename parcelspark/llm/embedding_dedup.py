@@ -104,6 +104,8 @@ def _linked(at_least: float, shared: int):
             p, q = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
             near = np.einsum("ij,ij->i", x[p], x[q]) >= at_least
             p, q = p[near], q[near]
+            if not len(p):
+                continue
             same = (lists[p][:, :, None] == lists[q][:, None, :]) & (lists[p] != NONE)[:, :, None]
             places = np.where(same, np.arange(width)[:, None] + np.arange(width)[None, :], 1 << 20) * (1 << 20) + np.where(lists[p] < 0, 0, lists[p])[:, :, None]
             best = places.reshape(len(p), -1).argmin(axis=1) // width

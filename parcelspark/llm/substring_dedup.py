@@ -187,7 +187,7 @@ def _meet(batches):
         yield out
 
 
-def covered(n: int, k: int, starts: list[int], runs: list[int]) -> np.ndarray:
+def covered(n: int, k: int, starts, runs) -> np.ndarray:
     """Which of n units a window of k units covers; windows start at starts and the runs - 1 places after."""
     steps = np.zeros(n + 1, np.int64)
     a = np.asarray(starts, np.int64)
@@ -207,14 +207,14 @@ def removals(docs: DataFrame, k: int = 20, gram: int = 10) -> DataFrame:
 
 
 def _cut_words(k: int):
-    def run(text: pd.Series, removed: pd.Series, copy: pd.Series) -> pd.DataFrame:
+    def run(text: pd.Series, pos: pd.Series, n: pd.Series, copy: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, r, number in zip(text, removed, copy, strict=True):
+        for t, starts, runs, number in zip(text, pos, n, copy, strict=True):
             words = (t or "").encode().split()
             if number > 1:
                 gone = np.full(len(words), len(words) >= k)
             else:
-                gone = np.zeros(len(words), bool) if r is None or not len(r) else covered(len(words), k, [x["pos"] for x in r], [x["n"] for x in r])
+                gone = np.zeros(len(words), bool) if starts is None or not len(starts) else covered(len(words), k, starts, runs)
             kept = b" ".join(w for w, g in zip(words, gone, strict=True) if not g) if gone.any() else b" ".join(words)
             edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
             rows.append((len(words), int(gone.sum()), kept.decode(), edges.tolist()))
@@ -228,5 +228,5 @@ def remove_repeats(docs: DataFrame, k: int = 20, gram: int = 10) -> DataFrame:
     docs = row_keys(docs)
     out = numbered(docs).join(removals(docs.select("_id", "_sub", "text"), k, gram), ["_id", "_sub"], "left")
     cut_words = F.pandas_udf(_cut_words(k), "n_words long, n_removed long, kept string, spans array<int>")
-    out = out.withColumn("_c", cut_words("text", "removed", "_copy")).drop("_id", "_sub", "_copy", "removed")
+    out = out.withColumn("_c", cut_words("text", "removed.pos", "removed.n", "_copy")).drop("_id", "_sub", "_copy", "removed")
     return out.withColumns({c: F.col(f"_c.{c}") for c in ("n_words", "n_removed", "kept", "spans")}).drop("_c")

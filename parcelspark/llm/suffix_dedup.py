@@ -148,14 +148,14 @@ def _bytes(k: int):
     def run(batches):
         for batch in batches:
             rows = []
-            for doc, sub, t, todo in zip(batch["_id"], batch["_sub"], batch["text"], batch["todo"], strict=True):
+            for doc, sub, t, *todo in zip(*(batch[c] for c in ("_id", "_sub", "text", "pos", "n", "m", "parts")), strict=True):
                 data = (t or "").encode()
-                for x in todo:
-                    raw = data[x["pos"] : x["pos"] + x["n"] + k - 1]
-                    if x["parts"] == 1:
-                        rows.append((x["m"], 0, doc, sub, x["pos"], raw))
+                for pos, n, m, parts in zip(*(x.tolist() for x in todo), strict=True):
+                    raw = data[pos : pos + n + k - 1]
+                    if parts == 1:
+                        rows.append((m, 0, doc, sub, pos, raw))
                     else:
-                        rows += [(x["m"], zlib.crc32(raw[i : i + k]) % x["parts"], doc, sub, x["pos"] + i, raw[i : i + k]) for i in range(x["n"])]
+                        rows += [(m, zlib.crc32(raw[i : i + k]) % parts, doc, sub, pos + i, raw[i : i + k]) for i in range(n)]
             yield pd.DataFrame(rows, columns=["m", "part", "doc", "sub", "pos", "raw"])
 
     return run
@@ -277,23 +277,24 @@ def removals(docs: DataFrame, k: int = 100, gram: int = 40) -> DataFrame:
     todo = met.where("open")
     parts = todo.groupBy("m").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
     todo = todo.join(parts, "m").groupBy(F.col("doc").alias("_id"), F.col("sub").alias("_sub")).agg(F.collect_list(F.struct("pos", "n", "m", "parts")).alias("todo"))
+    todo = todo.select("_id", "_sub", *[F.col(f"todo.{c}").alias(c) for c in ("pos", "n", "m", "parts")])  # an array a column: numbers, no objects
     raw = docs.join(todo, ["_id", "_sub"]).mapInPandas(_bytes(k), "m long, part int, doc long, sub long, pos int, raw binary")
     more = raw.repartition("m", "part").sortWithinPartitions("m", "part").mapInPandas(_merged(k), "doc long, sub long, pos int, n int")
     return met.where("not open").select("doc", "sub", "pos", "n").union(more)
 
 
 def _cut_bytes(k: int):
-    def run(text: pd.Series, removed: pd.Series, copy: pd.Series) -> pd.DataFrame:
+    def run(text: pd.Series, pos: pd.Series, n: pd.Series, copy: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, r, number in zip(text, removed, copy, strict=True):
+        for t, starts, runs, number in zip(text, pos, n, copy, strict=True):
             data = (t or "").encode()
             if number > 1 and len(data) >= k:
                 rows.append((len(data), len(data), 1, b""))
                 continue
-            if r is None or not len(r):
+            if starts is None or not len(starts):
                 rows.append((len(data), 0, 0, data))
                 continue
-            gone = covered(len(data), k, [x["pos"] for x in r], [x["n"] for x in r])
+            gone = covered(len(data), k, starts, runs)
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
             rows.append((len(data), int(gone.sum()), spans, np.frombuffer(data, np.uint8)[~gone].tobytes()))
         return pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept"])
@@ -306,5 +307,5 @@ def remove_repeats(docs: DataFrame, k: int = 100, gram: int = 40) -> DataFrame:
     docs = row_keys(docs)
     gone = removals(docs.select("_id", "_sub", "text"), k, gram).groupBy(F.col("doc").alias("_id"), F.col("sub").alias("_sub")).agg(F.collect_list(F.struct("pos", "n")).alias("removed"))
     cut_bytes = F.pandas_udf(_cut_bytes(k), "n_bytes long, n_removed long, n_spans long, kept binary")
-    out = numbered(docs).join(gone, ["_id", "_sub"], "left").withColumn("_c", cut_bytes("text", "removed", "_copy")).drop("_id", "_sub", "_copy", "removed")
+    out = numbered(docs).join(gone, ["_id", "_sub"], "left").withColumn("_c", cut_bytes("text", "removed.pos", "removed.n", "_copy")).drop("_id", "_sub", "_copy", "removed")
     return out.withColumns({c: F.col(f"_c.{c}") for c in ("n_bytes", "n_removed", "n_spans", "kept")}).drop("_c")
