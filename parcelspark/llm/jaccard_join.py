@@ -8,6 +8,9 @@ from the start, so copies never meet each other as pairs.
    posts a hash of each of its parts, by size class; parts of few shingles are left out unless a set has more of these than
    spare ones. So sets only meet over several equal shingles that stand alone in both, which a shared passage or chance seldom brings
    about however large the corpus grows, and no frequencies have to be known.
+   With deal="rare" sets post their rarest shingles instead, as many as must include a common one. That is better where most
+   documents are made of passages that many share; rarity is a count over all documents in a table of fixed size (cells of the
+   hash), so it tells less in a larger corpus.
 2. The smallest node of a list leads it, and the others are its candidates. Candidates of a leader form groups of bounded
    size (in shingles). In a group, sets are stored in a prefix tree. Each set meets those it shares one of its rarest shingles of the
    group with and isn't connected to yet: on the way down to them, the overlap with common paths is worked out once, and a
@@ -41,6 +44,7 @@ from parcelspark.llm.substring_dedup import bit_table, has_bit
 
 LAST = (1 << 63) - 1
 TABLE_BITS = 24
+CELL_BITS = 18
 #: Shingles of a group.
 GROUP = 1 << 19
 #: Sets whose signatures a task remembers, to send those of equal sets once.
@@ -101,6 +105,19 @@ def signatures(shingles: np.ndarray, pct: int, classes: list[int]) -> np.ndarray
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def cell_of(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def rare_signatures(shingles: np.ndarray, pct: int, classes: list[int], cells: np.ndarray) -> np.ndarray:
+    """The set's rarest shingles, one of which every linked set has among its own, in its size class and, where a linked set may be in it,
+    the next."""
+    size = len(shingles)
+    rarest = shingles[np.lexsort((shingles, cells[cell_of(shingles)]))[: size - -(-pct * size // 100) + 1]]
+    own = bisect_right(classes, size) - 1
+    return np.concatenate([mixed(rarest ^ mixed(np.array([c + 1], np.uint64))) for c in (own, own + 1) if 100 * size >= pct * classes[c]])
+
+
 def _nodes(n: int):
     def run(batches):
         roller = Roller()
@@ -111,8 +128,21 @@ def _nodes(n: int):
     return run
 
 
-def _signatures(n: int, pct: int):
-    """signature and node of each posting; equal sets of one task send theirs once."""
+def _cells(n: int):
+    """How many documents of a task have a shingle in each cell."""
+
+    def run(batches):
+        roller, cells = Roller(), np.zeros(1 << CELL_BITS, np.int64)
+        for batch in batches:
+            cells += np.bincount(cell_of(np.concatenate([set_of(t, n, roller) for t in batch["text"]])), minlength=len(cells))
+        at = np.flatnonzero(cells)
+        yield pd.DataFrame({"cell": at, "docs": cells[at]})
+
+    return run
+
+
+def _signatures(n: int, pct: int, rarity=None):
+    """signature and node of each posting, of parts or (with the counts of cells) of rare shingles; equal sets of one task send theirs once."""
 
     def run(batches):
         roller, classes, seen = Roller(), size_classes(pct), set()
@@ -124,7 +154,7 @@ def _signatures(n: int, pct: int):
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
-                found = signatures(s, pct, classes)
+                found = signatures(s, pct, classes) if rarity is None else rare_signatures(s, pct, classes, rarity.value)
                 out.append((found.view(np.int64), np.full(len(found), node)))
             if out:
                 yield pd.DataFrame(dict(zip(("signature", "node"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
@@ -324,14 +354,20 @@ def open_groups(pairs: DataFrame, so_far: DataFrame) -> DataFrame:
     return rows.join(both, ["leader", "chunk"]).select("leader", "group", "node", "component")
 
 
-def link_nodes(docs: DataFrame, n: int = 5, pct: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+def link_nodes(docs: DataFrame, n: int = 5, pct: int = 80, deal: str = "parts") -> tuple[DataFrame, DataFrame, DataFrame]:
     """_id, _sub (hash of the text), n_shingles and node of each row; node and smallest _id of each set; u, v of linked nodes."""
     spark = docs.sparkSession
     slim = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), "text")
     nodes = written(slim.withColumn("_sub", F.xxhash64("text")).mapInPandas(_nodes(n), "_id long, _sub long, n_shingles long, node long"), "nodes")
     reps = nodes.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("size"))
 
-    posted = slim.select("text").mapInPandas(_signatures(n, pct), "signature long, node long")
+    rarity = None
+    if deal == "rare":
+        rows = slim.select("text").mapInPandas(_cells(n), "cell int, docs long").groupBy("cell").agg(F.sum("docs").alias("docs")).toPandas()
+        cells = np.zeros(1 << CELL_BITS, np.int64)
+        cells[rows["cell"]] = rows["docs"]
+        rarity = spark.sparkContext.broadcast(cells)
+    posted = slim.select("text").mapInPandas(_signatures(n, pct, rarity), "signature long, node long")
     posted = posted.repartition("signature").sortWithinPartitions("signature", "node")
     pairs = posted.mapInPandas(_lists, "leader long, node long").distinct()
     pairs = cut(pairs.join(reps.select("node", "size"), "node").select("leader", "node", "size"))
@@ -350,9 +386,9 @@ def link_nodes(docs: DataFrame, n: int = 5, pct: int = 80) -> tuple[DataFrame, D
     return nodes, reps, found if more.isEmpty() else found.union(check(more))
 
 
-def link_components(docs: DataFrame, n: int = 5, pct: int = 80) -> DataFrame:
+def link_components(docs: DataFrame, **how) -> DataFrame:
     """_id, n_shingles and component_id of each row: rows link at a Jaccard similarity of pct / 100 of their n-word shingles."""
-    nodes, reps, links = link_nodes(docs, n, pct)
+    nodes, reps, links = link_nodes(docs, **how)
     names = reps.select("node", "rep")
     links = links.join(names.toDF("u", "ru"), "u").join(names.toDF("v", "rv"), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
     final = reps.join(components(links).toDF("rep", "component"), "rep", "left")

@@ -205,8 +205,8 @@ def test_language_model_against_a_plain_one(spark):
 
 
 def test_jaccard_join(docs, rows, empty, clash, repeated):
-    for n, pct in ((4, 85), (5, 80), (1, 60)):
-        assert by_id(jaccard_join.link_documents(docs, n=n, pct=pct), "n_shingles", "component_id") == brute.jaccard([r[:2] for r in rows], n, pct)
+    for n, pct, deal in ((4, 85, "parts"), (5, 80, "rare"), (1, 60, "parts"), (1, 60, "rare")):
+        assert by_id(jaccard_join.link_documents(docs, n=n, pct=pct, deal=deal), "n_shingles", "component_id") == brute.jaccard([r[:2] for r in rows], n, pct)
     part = brute.jaccard([r[:2] for r in rows], 5, 80)
     kept = jaccard_join.drop_near_copies(clash)
     assert kept.columns == clash.columns and {r["doc_id"] for r in kept.collect()} == {d for d in part if part[d][1] == d}
@@ -253,8 +253,8 @@ def test_large_groups_meet_chunk_by_chunk(spark, monkeypatch):
             rows.append((len(rows), " ".join(common + own[: r.randint(24, 30)] + [word() for _ in range(r.randint(0, 6))])))
     r.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for pct in (75, 85, 90):
-        assert by_id(jaccard_join.link_documents(docs, n=2, pct=pct), "n_shingles", "component_id") == brute.jaccard(rows, 2, pct)
+    for pct, deal in ((75, "rare"), (85, "parts"), (90, "rare")):
+        assert by_id(jaccard_join.link_documents(docs, n=2, pct=pct, deal=deal), "n_shingles", "component_id") == brute.jaccard(rows, 2, pct)
 
 
 def test_decontamination(spark, docs, rows, empty, clash, repeated):
