@@ -19,7 +19,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity 0.8 or more, smallest doc_id."""
-    return jaccard_join.drop_near_copies(docs, n=5, pct=80).select(*docs.columns)
+    return jaccard_join.drop_near_copies(docs, n=5, pct=80, deal="rare").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
