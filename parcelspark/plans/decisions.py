@@ -185,7 +185,7 @@ def settle_claims(pins, reach_m=5.0):
     moved, and a round settles every pin at the head of a chain.
     """
     p = pins.select("pin_id", "garden_type", "lat", "lon")
-    near = spatial.range_join(p, p, reach_m, geo.equirectangular(c("lat"), c("lon"), c("r_lat"), c("r_lon"))).where("garden_type = r_garden_type and r_pin_id < pin_id")
+    near = spatial.range_join(p, p, reach_m, r(geo.equirectangular(c("lat"), c("lon"), c("r_lat"), c("r_lon")), 4)).where("garden_type = r_garden_type and r_pin_id < pin_id")
     rivals = cut(near.select("pin_id", c("r_pin_id").alias("rival")))
     state = cut(p.select("pin_id", F.lit(None).cast("boolean").alias("placed")))
     while True:

@@ -35,11 +35,25 @@ def running_pct(spark, d):
     return df.select("task_id", "seq", F.least(F.lit(70), 5 + F.floor(65 * c("rows") / 500.0)).cast("int").alias("pct"))
 
 
+def _admitted(batches):
+    """Rows sorted by task and time: those an hour or more after the last one of their task that was let in. Only that one is held."""
+    task, last = None, None
+    for batch in batches:
+        keep = []
+        for t, ts in zip(batch["task_id"].tolist(), batch["us"].tolist(), strict=True):
+            let_in = t != task or ts - last >= 3600 * 1000000
+            if let_in:
+                task, last = t, ts
+            keep.append(let_in)
+        yield batch[keep]
+
+
 def job_dedup_inflight(spark, d):
-    """Requests of a task less than an hour after its last one that was let in do not start a new job: batch form."""
-    gap = F.unix_micros(c("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(Window.partitionBy("task_id").orderBy("ts", "seq")).cast("timestamp"))
-    df = V.progress(spark, d).withColumn("gap", gap)
-    return df.where(c("gap").isNull() | (c("gap") >= 3600 * 1000000)).groupBy("task_id").agg(F.count(F.lit(1)).alias("jobs"))
+    """Requests of a task less than an hour after its last one that was let in wait for that one's job and do not start one. Sequential by
+    task; a task's requests stream through one task in order."""
+    df = V.progress(spark, d).where("task_id is not null").select("task_id", F.unix_micros(c("ts").cast("timestamp")).alias("us"), "seq")
+    df = df.repartition("task_id").sortWithinPartitions("task_id", "us", "seq")
+    return df.mapInPandas(_admitted, df.schema).groupBy("task_id").agg(F.count(F.lit(1)).alias("jobs"))
 
 
 def stream_tumbling(spark, d):
@@ -57,7 +71,7 @@ ORACLES = {
     "progress_on_change": oracle("prog", "SELECT task_id, seq, status FROM (SELECT *, lag(status) OVER (PARTITION BY task_id ORDER BY seq) AS b FROM prog) WHERE b IS NULL OR b <> status"),
     "message_tail": oracle("prog", "SELECT task_id, seq, n::INT AS n FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS n FROM prog) WHERE n > 60"),
     "running_pct": oracle("prog", "SELECT task_id, seq, least(70, 5 + floor(65 * count(*) OVER (PARTITION BY task_id ORDER BY seq ROWS UNBOUNDED PRECEDING) / 500::DOUBLE))::INT AS pct FROM prog"),
-    "job_dedup_inflight": oracle("prog", "SELECT task_id, count(*) AS jobs FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY task_id ORDER BY ts, seq) AS gap FROM prog) WHERE gap IS NULL OR gap >= INTERVAL 1 HOUR GROUP BY task_id"),
+    "job_dedup_inflight": oracle("prog", "SELECT task_id, count(*) AS jobs FROM j GROUP BY task_id", ", j AS (SELECT task_id, min(ts) AS ts FROM prog WHERE task_id IS NOT NULL GROUP BY task_id UNION ALL SELECT j.task_id, (SELECT min(p.ts) FROM prog p WHERE p.task_id = j.task_id AND p.ts >= j.ts + INTERVAL 1 HOUR) FROM j WHERE (SELECT max(p.ts) FROM prog p WHERE p.task_id = j.task_id) >= j.ts + INTERVAL 1 HOUR)", recursive=True),
     "stream_tumbling": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, date_trunc('day', ts) HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)",
     "stream_session": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
       s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
