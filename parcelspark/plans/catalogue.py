@@ -1,6 +1,6 @@
 """Every registered query with the SQL that must give the same rows."""
 
-from parcelspark.plans import decisions, events, raster, site, vector
+from parcelspark.plans import decisions, events, raster, site, small, vector
 
-QUERIES = {**vector.QUERIES, **raster.QUERIES, **events.QUERIES, **decisions.QUERIES, **site.QUERIES}
-ORACLES = {**vector.ORACLES, **raster.ORACLES, **events.ORACLES, **decisions.ORACLES, **site.ORACLES}
+QUERIES = {**vector.QUERIES, **raster.QUERIES, **events.QUERIES, **decisions.QUERIES, **site.QUERIES, **small.QUERIES}
+ORACLES = {**vector.ORACLES, **raster.ORACLES, **events.ORACLES, **decisions.ORACLES, **site.ORACLES, **small.ORACLES}
