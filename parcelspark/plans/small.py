@@ -9,7 +9,7 @@ from parcelspark.sources.views import oracle
 c = F.col
 r = F.round
 #: The image of the examples: bounds (north, south, east, west) and sides.
-IMAGE = (53.362, 53.35, -6.33, -6.35, 2048, 2048)
+IMAGE = (53.362, 53.35, -6.33, -6.35, 1999, 1997)
 
 
 def cache_keys(spark, d):
