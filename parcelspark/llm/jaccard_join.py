@@ -10,7 +10,7 @@ from the start, so copies never meet each other as pairs.
    about however large the corpus grows, and no frequencies have to be known.
    With deal="rare" sets post their rarest shingles instead, as many as must include a common one. That is better where most
    documents are made of passages that many share; rarity is a count over all documents in a table of fixed size (cells of the
-   hash), so it tells less in a larger corpus.
+   hash), so it tells less in a larger corpus. Lists whose members are not connected after step 2 are then joined across components.
 2. The smallest node of a list leads it, and the others are its candidates. Candidates of a leader form groups of bounded
    size (in shingles). In a group, sets are stored in a prefix tree. Each set meets those it shares one of its rarest shingles of the
    group with and isn't connected to yet: on the way down to them, the overlap with common paths is worked out once, and a
@@ -109,13 +109,8 @@ def cell_of(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def rare_signatures(shingles: np.ndarray, pct: int, classes: list[int], cells: np.ndarray) -> np.ndarray:
-    """The set's rarest shingles, one of which every linked set has among its own, in its size class and, where a linked set may be in it,
-    the next."""
-    size = len(shingles)
-    rarest = shingles[np.lexsort((shingles, cells[cell_of(shingles)]))[: size - -(-pct * size // 100) + 1]]
-    own = bisect_right(classes, size) - 1
-    return np.concatenate([mixed(rarest ^ mixed(np.array([c + 1], np.uint64))) for c in (own, own + 1) if 100 * size >= pct * classes[c]])
+def prefix_length(size: int, pct: int) -> int:
+    return size - -(-pct * size // 100) + 1
 
 
 def _nodes(n: int):
@@ -141,8 +136,59 @@ def _cells(n: int):
     return run
 
 
-def _signatures(n: int, pct: int, rarity=None):
-    """signature and node of each posting, of parts or (with the counts of cells) of rare shingles; equal sets of one task send theirs once."""
+def _prefixes(n: int, pct: int, shared):
+    """shingle, node, size, place of each prefix posting; equal sets of one task send theirs once."""
+
+    def run(batches):
+        roller, cells, seen = Roller(), shared.value, set()
+        for batch in batches:
+            out = []
+            for t in batch["text"]:
+                s = set_of(t, n, roller)
+                node = node_of(s)
+                if not len(s) or node in seen:
+                    continue
+                seen.add(node)
+                p = prefix_length(len(s), pct)
+                s = s[np.lexsort((s, cells[cell_of(s)]))[:p]]
+                out.append((s.view(np.int64), np.full(p, node), np.arange(p, dtype=np.int32)))
+            if out:
+                yield pd.DataFrame(dict(zip(("shingle", "node", "place"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+    return run
+
+
+def _rare_lists(batches):
+    """Rows sorted by shingle and node: lists of two nodes or more, each node once, with the smallest node as leader."""
+    last = None  # shingle, leader, its place, whether the leader's row is still held back, the latest node
+    for b in batches:
+        shingle, node, place = (b[c].to_numpy() for c in ("shingle", "node", "place"))
+        if not len(b):
+            continue
+        new = np.append(last is None or last[0] != shingle[0], shingle[1:] != shingle[:-1])
+        again = ~new & (node == np.append(node[0] - 1 if last is None else last[4], node[:-1]))
+        starts = np.flatnonzero(new)
+        group = np.cumsum(new) - 1  # -1: goes on from the batch before
+        leader = np.where(group >= 0, node[starts][group] if len(starts) else 0, last[1] if last else 0)
+        keep = ~new & ~again
+        led = np.unique(group[keep])
+        heads = starts[led[led >= 0]]
+        at = np.concatenate([heads, np.flatnonzero(keep)])
+        out = [(shingle[at], node[at], place[at], leader[at])]
+        held = last is not None and last[3]
+        if held and len(led) and led[0] < 0:
+            out.append(tuple(np.array([x]) for x in (last[0], last[1], last[2], last[1])))
+            held = False
+        if len(starts):
+            h = starts[-1]
+            last = (shingle[h], node[h], place[h], not (len(led) and led[-1] == group[-1]), node[-1])
+        else:
+            last = (*last[:3], held, node[-1])
+        yield pd.DataFrame({c: np.concatenate([o[k] for o in out]) for k, c in enumerate(("shingle", "node", "place", "leader"))})
+
+
+def _signatures(n: int, pct: int):
+    """signature and node of each posting; equal sets of one task send theirs once."""
 
     def run(batches):
         roller, classes, seen = Roller(), size_classes(pct), set()
@@ -154,7 +200,7 @@ def _signatures(n: int, pct: int, rarity=None):
                 if not len(s) or node in seen:
                     continue
                 seen.add(node)
-                found = signatures(s, pct, classes) if rarity is None else rare_signatures(s, pct, classes, rarity.value)
+                found = signatures(s, pct, classes)
                 out.append((found.view(np.int64), np.full(len(found), node)))
             if out:
                 yield pd.DataFrame(dict(zip(("signature", "node"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
@@ -361,16 +407,22 @@ def link_nodes(docs: DataFrame, n: int = 5, pct: int = 80, deal: str = "parts")
     nodes = written(slim.withColumn("_sub", F.xxhash64("text")).mapInPandas(_nodes(n), "_id long, _sub long, n_shingles long, node long"), "nodes")
     reps = nodes.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("size"))
 
-    rarity = None
+    sizes = reps.select("node", "size")
+    near = F.expr(f"100 * least(size, lsize) >= {pct} * greatest(size, lsize)")
     if deal == "rare":
         rows = slim.select("text").mapInPandas(_cells(n), "cell int, docs long").groupBy("cell").agg(F.sum("docs").alias("docs")).toPandas()
         cells = np.zeros(1 << CELL_BITS, np.int64)
         cells[rows["cell"]] = rows["docs"]
-        rarity = spark.sparkContext.broadcast(cells)
-    posted = slim.select("text").mapInPandas(_signatures(n, pct, rarity), "signature long, node long")
-    posted = posted.repartition("signature").sortWithinPartitions("signature", "node")
-    pairs = posted.mapInPandas(_lists, "leader long, node long").distinct()
-    pairs = cut(pairs.join(reps.select("node", "size"), "node").select("leader", "node", "size"))
+        postings = slim.select("text").mapInPandas(_prefixes(n, pct, spark.sparkContext.broadcast(cells)), "shingle long, node long, place int")
+        postings = postings.repartition("shingle").sortWithinPartitions("shingle", "node")
+        postings = cut(postings.mapInPandas(_rare_lists, "shingle long, node long, place int, leader long"))
+        pairs = postings.where("node <> leader").select("leader", "node").distinct()
+        pairs = cut(pairs.join(sizes, "node").join(sizes.toDF("leader", "lsize"), "leader").where(near).select("leader", "node", "size"))
+    else:
+        posted = slim.select("text").mapInPandas(_signatures(n, pct), "signature long, node long")
+        posted = posted.repartition("signature").sortWithinPartitions("signature", "node")
+        pairs = posted.mapInPandas(_lists, "leader long, node long").distinct()
+        pairs = cut(pairs.join(sizes, "node").select("leader", "node", "size"))
 
     def check(groups: DataFrame) -> DataFrame:
         """u, v of the linked nodes of each group."""
@@ -382,8 +434,18 @@ def link_nodes(docs: DataFrame, n: int = 5, pct: int = 80, deal: str = "parts")
         return cut(rows.mapInPandas(_groups(n, pct), "u long, v long"))
 
     found = check(first_groups(pairs))
-    more = cut(open_groups(pairs, components(found)))
-    return nodes, reps, found if more.isEmpty() else found.union(check(more))
+    so_far = components(found)
+    if deal != "rare":
+        more = cut(open_groups(pairs, so_far))
+        return nodes, reps, found if more.isEmpty() else found.union(check(more))
+    # lists whose members are not yet connected: pairs across components that the places in the prefixes allow
+    open_ = postings.join(so_far, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sizes, "node")
+    mixed_lists = open_.groupBy("shingle").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_n")).where("_a < _b and _n > 2").select("shingle")
+    open_ = cut(open_.join(mixed_lists, "shingle").select("shingle", "node", "component", "size", "place"))
+    most = F.expr(f"(100 + {pct}) * (1 + least(size - place, lsize - lplace) - 1) >= {pct} * (size + lsize)")
+    across = open_.join(open_.toDF("shingle", "leader", "lcomponent", "lsize", "lplace"), "shingle").where("leader < node and component <> lcomponent")
+    across = across.where(near).where(most).select("leader", "node", "size").distinct()
+    return nodes, reps, found.union(check(first_groups(cut(across.join(pairs, ["leader", "node"], "left_anti")))))
 
 
 def link_components(docs: DataFrame, **how) -> DataFrame:
