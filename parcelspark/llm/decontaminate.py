@@ -5,7 +5,7 @@ the runs that remain (bytes above 127 belong to words). The patterns are all win
 items, an item of fewer words being one window, with a space at either end. One automaton holds all of them and each text is
 scanned once. Normalising keeps the length, so word numbers map straight to byte offsets of the original text.
 
-The windows are made and grouped in Spark; the distinct ones and the items that hold them go to all tasks, where each worker
+The windows are made and grouped in Spark; the distinct ones and the items that hold them go to all tasks, where each task
 builds the automaton once and keeps it for all its batches and tasks. The benchmark doesn't grow with the corpus, but what is broadcast is
 checked all the same: more than `most_bytes` of windows raise an error, as one automaton then doesn't fit a task.
 
@@ -55,7 +55,7 @@ def automaton(windows: dict[str, list[str]]) -> ahocorasick.Automaton:
     return out
 
 
-#: The windows last seen by this worker process, and their automaton.
+#: The windows and their automaton. The package travels to the tasks by value, so each task has its own.
 _BUILT: list = [None, None]
 
 

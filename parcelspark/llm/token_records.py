@@ -16,7 +16,7 @@ the files back and checking every checksum; it has a row for each record with fi
 records up by offset: a file is read once, and only the wanted records are taken out of it.
 
 Whole texts are encoded. With most tokenizers a text's ids are those of its chunks between ASCII white space, one after another: then each
-worker encodes a distinct chunk once and keeps it, within a bound in bytes. Whether that holds for the given tokenizer is
+task encodes a distinct chunk once and keeps it, within a bound in bytes. Whether that holds for the given tokenizer is
 found out before, on every pair of a set of characters beside each other and across white space (`splits`), and checked again on
 one text in CHECKED of each batch, which goes to the tokenizer whole. Tokenizers for which it doesn't hold get all texts whole, in
 batches of bounded size. The definition of the tokenizer travels to the tasks by broadcast; it has the size of its vocabulary, which
@@ -45,7 +45,7 @@ END_ID = 1
 #: Characters that go to the tokenizer at a time (a longer text goes alone), and the largest tokenizer definition that is broadcast.
 TOGETHER = 1 << 18
 MOST_DEFINITION = 256 << 20
-#: Bytes of chunks and ids that a worker keeps, what an entry takes beside them, and how seldom a text is encoded in both ways.
+#: Bytes of chunks and ids that a task keeps, what an entry takes beside them, and how seldom a text is encoded in both ways.
 KEPT, ENTRY, CHECKED = 96 << 20, 150, 1000
 #: What stands between chunks that are encoded together: a character that is one id by itself.
 MARK = "|"
@@ -166,46 +166,38 @@ def splits(tokenizer) -> bool:
     return [np.frombuffer(x, "<u4").tolist() for x in ids] == whole(tokenizer, texts)
 
 
-#: The definition last seen by this worker process, and its tokenizer and encoder.
+#: The definition, and its tokenizer and encoder. The package travels to the tasks by value, so each task has its own.
 _MADE: list = [None, None, None]
 
 
-def _made(definition: str, width_of, by_chunk: bool):
-    """Tokenizer, bytes of an id and encoder, made once a worker. A function of the module, as one that travels to the tasks by
-    value brings its own copy of every global along, and with it a tokenizer and an encoder for each task."""
-    if _MADE[0] != definition:
-        from tokenizers import Tokenizer
-
-        _MADE[:] = definition, Tokenizer.from_str(definition), None
-    width = width_of(_MADE[1])
-    if by_chunk and (_MADE[2] is None or _MADE[2].kind != f"<u{width}"):
-        _MADE[2] = ChunkEncoder(_MADE[1], f"<u{width}")
-    return _MADE[1], width, _MADE[2]
-
-
 def _encoder(shared, end_id: int, by_chunk: bool):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        width_of = lambda t: 2 if max(t.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        tokenizer, width, encoder = _made(shared.value, width_of, by_chunk)
+        from tokenizers import Tokenizer
+
+        if _MADE[0] is not shared.value:
+            _MADE[:] = shared.value, Tokenizer.from_str(shared.value), None
+        tokenizer = _MADE[1]
+        width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         kind = f"<u{width}"
+        if by_chunk and _MADE[2] is None:
+            _MADE[2] = ChunkEncoder(tokenizer, kind)
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
             docs = zip(batch["doc_id"].tolist(), batch["doc_id"].isna().tolist(), strict=True)
             given = [t or "" for t in batch["text"]]
             if by_chunk and given:
                 some = given[::CHECKED]
-                if encoder(some) != [np.array(x, kind).tobytes() for x in whole(tokenizer, some)]:
+                if _MADE[2](some) != [np.array(x, kind).tobytes() for x in whole(tokenizer, some)]:
                     raise ValueError("the tokenizer doesn't encode chunk by chunk")
             for texts in together(given):
-                ids = encoder(texts) if by_chunk else [np.array(x, kind).tobytes() for x in whole(tokenizer, texts)]
+                ids = _MADE[2](texts) if by_chunk else [np.array(x, kind).tobytes() for x in whole(tokenizer, texts)]
                 yield pd.DataFrame({"frame": [frame(None if none else int(d), x + end, width) for x, (d, none) in zip(ids, docs, strict=False)]})
 
     return run
 
 
 def _parse(batches):
-    _MADE[:] = None, None, None  # what this worker kept to encode
     for batch in batches:
         for shard, path, data in zip(batch["shard"], batch["path"], batch["content"], strict=True):
             rows, before = [], 0
