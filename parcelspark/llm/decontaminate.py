@@ -6,7 +6,7 @@ items, an item of fewer words being one window, with a space at either end. One
 scanned once. Normalising keeps the length, so word numbers map straight to byte offsets of the original text.
 
 The windows are made and grouped in Spark; the distinct ones and the items that hold them go to all tasks, where each task
-builds the automaton once and keeps it for all its batches and tasks. The benchmark doesn't grow with the corpus, but what is broadcast is
+builds the automaton once and keeps it for all its batches. The benchmark doesn't grow with the corpus, but what is broadcast is
 checked all the same: more than `most_bytes` of windows raise an error, as one automaton then doesn't fit a task.
 
 Defined results: a null or empty text has no words and no hits; null items and items without words are never found; a window of
