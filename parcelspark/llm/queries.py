@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelspark.llm import decontaminate, embedding_dedup, jaccard_join, language_id, line_dedup, lm_scoring, mixing, substring_dedup, suffix_dedup, token_records
+from parcelspark.llm import decontaminate, embedding_dedup, filter_audit, jaccard_join, language_id, line_dedup, lm_scoring, mixing, substring_dedup, suffix_dedup, token_records, url_filters, vector_codes
 from parcelspark.llm.common import shared_path, table, word_count, written
 
 try:
@@ -152,6 +152,73 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def _op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round is a pair of common table expressions: the nearest entry of each part, then the means."""
+    near = """SELECT vec_id, label, x.p, s, min(struct_pack(d := list_sum(list_transform(range(1, len(s) + 1), lambda j: (s[j] - e[j]) * (s[j] - e[j])))::BIGINT, k := k)) AS m
+      FROM x JOIN c{i} c ON x.p = c.p GROUP BY vec_id, label, x.p, s"""
+    mean = """SELECT c.p, c.k, coalesce(n.e, c.e) AS e FROM c{i} c LEFT JOIN (
+        SELECT p, k, list(z ORDER BY j) AS e FROM (SELECT p, m.k AS k, j, floor(sum(s[j])::DOUBLE / count(*))::BIGINT AS z FROM a{i}, (SELECT unnest(range(1, (SELECT any_value(w) FROM v) + 1)) AS j) GROUP BY p, m.k, j) GROUP BY p, k
+      ) n ON n.p = c.p AND n.k = c.k"""
+    steps = "".join(f"a{i} AS MATERIALIZED ({near.format(i=i)}),\nc{i + 1} AS MATERIALIZED ({mean.format(i=i)}),\n" for i in range(rounds))
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, label, len(embedding) // {parts} AS w, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, label, p, e[p * w + 1:(p + 1) * w] AS s FROM v, (SELECT unnest(range({parts})) AS p)),
+c0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k, s AS e FROM x QUALIFY k < {entries}),
+{steps}f AS MATERIALIZED ({near.format(i=rounds)}),
+r AS (SELECT vec_id, label, string_agg(printf('%02x', m.k), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM f GROUP BY vec_id, label)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, k)) FROM c{rounds}) AS codebooks_sha256 FROM r
+"""
+
+
+#: The rules of the query, each with its host and path.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filters.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP12_SQL = r"""
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')) t(h, s, v)),
+f AS (SELECT host, path, arg_max(h || s, length(h || s)) AS rule, arg_max(v, length(h || s)) AS verdict
+      FROM (SELECT DISTINCT host, path FROM p) u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY host, path)
+SELECT page_id, p.host, p.path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f ON p.host = f.host AND p.path = f.path
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return filter_audit.audit(filter_audit.flags(docs.select("doc_id", "source", "text"), labels.select("doc_id", "quality", "toxic")))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+e AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * (length(t.text) - length(regexp_replace(t.text, '[A-Z]', '', 'g'))) > 5 * length(t.text),
+                    regexp_matches(t.text, '[#$%&*|]'), coalesce(t.doc_id > first, false)] AS f, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+      FROM t JOIN e ON t.text = e.text LEFT JOIN l ON t.doc_id = l.doc_id),
+g AS MATERIALIZED (SELECT part, f, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic, len(list_filter(f, lambda x: x)) AS fails FROM d GROUP BY part, f),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || c FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) WHERE NOT contains(filter_order, c)),
+s AS (SELECT filter_order, step::INTEGER AS step, position(filter_order[step] IN 'ABCDE') AS k, list_transform(range(1, step), lambda i: position(filter_order[i] IN 'ABCDE')) AS before
+      FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM o WHERE length(filter_order) = 5)),
+x AS (SELECT part, filter_order, step, k, f[k] AS fail, len(list_filter(before, lambda i: f[i])) = 0 AS here, n, good, toxic, fails FROM g, s),
+y AS (SELECT part, filter_order, step, k, coalesce(sum(n) FILTER (here AND NOT fail), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (here AND fail), 0)::BIGINT AS removed,
+             coalesce(sum(n) FILTER (NOT here AND fail), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fail AND fails = 1), 0)::BIGINT AS unique_fails,
+             coalesce(sum(good) FILTER (here AND fail), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (here AND fail), 0)::BIGINT AS toxic_lost FROM x GROUP BY part, filter_order, step, k)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM y
+"""
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
@@ -163,6 +230,9 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_url_filters": op12_url_filters,
+    "op13_filter_audit": op13_filter_audit,
 }
 ORACLES = {
     "op1_mixing": OP1_SQL,
@@ -171,4 +241,7 @@ ORACLES = {
     "op7_decontamination": OP7_SQL,
     "op8_jaccard_join": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
+    "op11_vector_codes": _op11_sql(),
+    "op12_url_filters": OP12_SQL,
+    "op13_filter_audit": OP13_SQL,
 }
