@@ -46,11 +46,19 @@ def box_distance(px, py, xmin, ymin, xmax, ymax) -> Column:
 
 def segment_distance(px, py, ax, ay, bx, by) -> Column:
     """Distance of a point to a segment; to its start where the segment has no length."""
-    vx, vy = bx - ax, by - ay
-    length2 = vx * vx + vy * vy
-    t = F.when(length2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * vx + (py - ay) * vy) / length2))).otherwise(F.lit(0.0))
-    dx, dy = px - (ax + t * vx), py - (ay + t * vy)
-    return F.sqrt(dx * dx + dy * dy)
+    vx, vy, wx, wy = bx - ax, by - ay, px - ax, py - ay
+    along, length2 = wx * vx + wy * vy, vx * vx + vy * vy
+    to_end = F.sqrt((px - bx) * (px - bx) + (py - by) * (py - by))
+    # three cases instead of a clamped place on the segment, which would stand in the expression once for each use
+    return F.when(along <= 0, F.sqrt(wx * wx + wy * wy)).when(along >= length2, to_end).otherwise(F.abs(wx * vy - wy * vx) / F.sqrt(length2))
+
+
+def segments_distance(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
+    """Distance of two segments, 0 where they cross: else one of the four ends is nearest."""
+    side = lambda px, py, qx, qy, x, y: F.signum((qx - px) * (y - py) - (qy - py) * (x - px))
+    crossed = (side(ax, ay, bx, by, cx, cy) * side(ax, ay, bx, by, dx, dy) < 0) & (side(cx, cy, dx, dy, ax, ay) * side(cx, cy, dx, dy, bx, by) < 0)
+    ends = [segment_distance(x, y, ax, ay, bx, by) for x, y in ((cx, cy), (dx, dy))] + [segment_distance(x, y, cx, cy, dx, dy) for x, y in ((ax, ay), (bx, by))]
+    return F.when(crossed, F.lit(0.0)).otherwise(F.least(*ends))
 
 
 def box_segment_distance(xmin, ymin, xmax, ymax, ax, ay, bx, by) -> Column:
@@ -107,9 +115,10 @@ ALPHA = (
 )
 
 
-def utm(lat, lon) -> tuple[Column, Column]:
-    """Easting and northing of the point's own zone, by the Krueger series (northern hemisphere: no false northing)."""
-    central = (utm_zone(lon) * 6 - 183).cast("double")
+def utm(lat, lon, central: Column | None = None) -> tuple[Column, Column]:
+    """Easting and northing by the Krueger series (northern hemisphere: no false northing), of the point's own zone or that of a given
+    central meridian."""
+    central = (utm_zone(lon) * 6 - 183).cast("double") if central is None else central
     phi, lam = F.radians(lat), F.radians(lon - central)
     ecc = 2 * math.sqrt(N3) / (1 + N3)
     t = F.sinh(F.atanh(F.sin(phi)) - ecc * F.atanh(ecc * F.sin(phi)))

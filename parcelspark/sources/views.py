@@ -33,6 +33,46 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({"ymin": F.col("lat") - dlat, "ymax": F.col("lat") + dlat, "xmin": F.col("lon") - dlon, "xmax": F.col("lon") + dlon})
 
 
+#: Outlines in parts of a building's width and height, as parts of rings of corners: a block, one with a yard, a U with an annex, an L, a small and a
+#: large part with a yard.
+BLOCK = [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5)]
+YARD = [(-0.2, -0.2), (-0.2, 0.2), (0.2, 0.2), (0.2, -0.2)]
+U = [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (0.2, 0.5), (0.2, -0.1), (-0.2, -0.1), (-0.2, 0.5), (-0.5, 0.5)]
+ANNEX = [(0.7, -0.2), (1.0, -0.2), (1.0, 0.2), (0.7, 0.2)]
+L = [(-0.5, -0.5), (0.5, -0.5), (0.5, 0.0), (0.0, 0.0), (0.0, 0.5), (-0.5, 0.5)]
+FAR = [(-1.2, -0.5), (-0.8, -0.5), (-0.8, -0.1), (-1.2, -0.1)]
+#: The kind and outline of a building by its number modulo 16; walls, posts and the like are no footprints.
+SHAPES = {
+    **dict.fromkeys((0, 1, 2), ("Polygon", [[BLOCK]])), **dict.fromkeys((3, 4), ("Polygon", [[BLOCK, YARD]])), **dict.fromkeys((5, 6), ("MultiPolygon", [[U], [ANNEX]])), **dict.fromkeys((7, 8), ("Polygon", [[L]])),
+    **dict.fromkeys((9, 10), ("MultiPolygon", [[FAR], [BLOCK, YARD]])), 11: ("LineString", [[BLOCK[:3]]]), 12: ("MultiLineString", [[BLOCK[:2]], [ANNEX[:3]]]), 13: ("Point", [[BLOCK[:1]]]), 14: ("Polygon", []), 15: None,
+}
+
+
+def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, geometry (WKB, null for some), building_id, and nested columns as the source has them."""
+    from parcelspark.functions.geometry import GEOMETRY, moved, to_wkb
+
+    ring = lambda kind, r: [*r, *r[:1]] if kind.endswith("Polygon") else r
+    known = [(k, (s[0], [(s[0].removeprefix("Multi"), [ring(s[0], x) for x in part]) for part in s[1]]) if s else None) for k, s in SHAPES.items()]
+    outlines = F.broadcast(spark.createDataFrame(known, f"_shape long, _g {GEOMETRY}"))  # 16 rows
+    b = buildings(spark, sf_dir).withColumn("_shape", F.col("building_id") % 16).join(outlines, "_shape")
+    corner = lambda x, y: (F.col("lon") + x * F.col("w_m") / (M_PER_DEG * F.cos(F.radians("lat"))), F.col("lat") + y * F.col("h_m") / M_PER_DEG)
+    b = b.withColumn("_g", moved(F.col("_g"), corner))
+    nested = [F.struct(F.col("street_key").alias("primary")).alias("names"), F.array(F.struct(F.lit("open").alias("dataset"), F.col("building_id").alias("record"))).alias("sources")]
+    return b.select(F.concat(F.lit("b"), F.col("building_id").cast("string")).alias("id"), to_wkb(F.col("_g")).alias("geometry"), "building_id", *nested)
+
+
+def footprint_sql() -> str:
+    """The corners of all rings: building_id, kind, part, ring, i, x, y (degrees); rings of polygons are closed."""
+    rows = []
+    for k, (kind, parts) in ((k, s) for k, s in SHAPES.items() if s):
+        for p, part in enumerate(parts):
+            for r, ring in enumerate(part):
+                rows += [f"({k}, '{kind}', {p}, {r}, {i}, {x}::DOUBLE, {y}::DOUBLE)" for i, (x, y) in enumerate(ring + ring[:1] if kind.endswith("Polygon") else ring)]
+    return f"""shp AS (SELECT * FROM (VALUES {", ".join(rows)}) t(k, kind, part, ring, i, fx, fy)),
+ crn AS (SELECT building_id, kind, part, ring, i, lon + fx * w_m / (111320::DOUBLE * cos(radians(lat))) AS x, lat + fy * h_m / 111320::DOUBLE AS y FROM bld0 JOIN shp ON building_id % 16 = k)"""
+
+
 def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """road_id, name, highway tags, one segment from (lat0, lon0) to (lat1, lon1)."""
     s = F.col("s_suppkey").cast("long")
