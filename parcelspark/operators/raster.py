@@ -68,6 +68,35 @@ def box_sums(df: DataFrame, sizes: dict[str, int], half: int, *values: str, axes
     return df
 
 
+def gauss_sums(df: DataFrame, sizes: dict[str, int], *values: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sums over the square of side 5 with the weights 1 4 6 4 1 in both axes (256 in all), mirrored at the border without its own pixel: c b | a b c | b a.
+    Sides have three pixels or more."""
+    for axis, other in (("x", "y"), ("y", "x")):
+        w = Window.partitionBy(*by, other).orderBy(axis)
+
+        def weighted(v: str) -> Column:
+            back, on = (lambda k: F.lag(v, k).over(w)), (lambda k: F.lead(v, k).over(w))
+            near = F.coalesce(back(1), on(1)) + F.coalesce(on(1), back(1))
+            far = F.coalesce(back(2), F.when(c(axis) == 0, on(2)).otherwise(c(v))) + F.coalesce(on(2), F.when(c(axis) == sizes[axis] - 1, back(2)).otherwise(c(v)))
+            return far + 4 * near + 6 * c(v)
+
+        df = df.withColumns({v: weighted(v) for v in values})
+    return df
+
+
+#: Weights of the channels in a gray of whole numbers, of 16384.
+GRAY = (4899, 9617, 1868)
+
+
+def rough(df: DataFrame, sizes: dict[str, int], by: tuple[str, ...] = ()) -> DataFrame:
+    """y, x, rough (0 or 1): within two dilations by the ellipse of 7 of a pixel whose gray is more than 3 off its Gaussian mean."""
+    gray = F.floor((c("r") * GRAY[0] + c("g") * GRAY[1] + c("b") * GRAY[2] + 8192) / 16384).cast("int")
+    df = gauss_sums(df.select(*by, "y", "x", gray.alias("gray"), gray.alias("n")), sizes, "n", by=by)
+    df = df.select(*by, "y", "x", (F.abs(c("gray") - F.floor((c("n") + 128) / 256)) > 3).cast("int").alias("t0"))
+    df = morph(morph(df, "t0", F.max, "t1", ELLIPSE_7, by), "t1", F.max, "rough", ELLIPSE_7, by)
+    return df.select(*by, "y", "x", "rough")
+
+
 #: Structuring elements: for each row offset, how far they reach along the row.
 CROSS_3 = {-1: 0, 0: 1, 1: 0}
 ELLIPSE_5 = {-2: 0, -1: 2, 0: 2, 1: 2, 2: 0}

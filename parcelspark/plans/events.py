@@ -5,9 +5,12 @@ from pyspark.sql import functions as F
 
 from parcelspark.sources import views as V
 from parcelspark.sources.views import oracle
+from parcelspark.streaming import jobs as J
 from parcelspark.streaming import progress as S
 
 c = F.col
+
+
 def task():
     return Window.partitionBy("task_id").orderBy("seq")
 
@@ -66,7 +69,44 @@ def stream_session(spark, d):
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("n"))
 
 
+def job_events(spark, d):
+    """The events as a stream of jobs: one second of a job is an hour of the table."""
+    kinds = F.create_map(*[F.lit(x) for x in ("signup", "start", "click", "message", "view", "watch", "purchase", "done", "error", "error")])
+    df = S.event_stream(spark, d).where("user_id is not null")
+    return df.select(c("user_id").cast("string").alias("job"), F.expr("unix_micros(ts) div 3600000").alias("ms"), c("event_id").alias("seq"), F.try_element_at(kinds, c("event_type")).alias("kind"), F.concat(F.lit("m"), c("event_id").cast("string")).alias("text"))
+
+
+def stream_job_log(spark, d):
+    """What each watcher of a job is sent: replay, messages, heartbeats, the end."""
+    return S.run_to_end(J.stateful(job_events(spark, d), J.JobLog(), J.LOG))
+
+
+def stream_on_change(spark, d):
+    return S.run_to_end(J.stateful(job_events(spark, d), J.OnChange(), J.CHANGES))
+
+
+def stream_in_flight(spark, d):
+    """Requests and when they were answered; those of jobs that still run aren't yet."""
+    return S.run_to_end(J.stateful(job_events(spark, d), J.InFlight(), J.ANSWERS))
+
+
+#: Jobs in SQL: every event with the number of its job and whether that ran when it came.
+JOBS_SQL = """WITH e AS (SELECT user_id::VARCHAR AS job, event_id AS seq, epoch_us(ts) // 3600000 AS ms, CASE event_type WHEN 'signup' THEN 'start' WHEN 'view' THEN 'watch' WHEN 'click' THEN 'message' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' END AS kind FROM events WHERE user_id IS NOT NULL),
+ s AS (SELECT *, coalesce(last_value(CASE WHEN kind IN ('start', 'done', 'error') THEN kind END IGNORE NULLS) OVER (PARTITION BY job ORDER BY ms, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 'start', false) AS running FROM e),
+ j AS (SELECT *, kind = 'start' AND NOT running AS new, sum((kind = 'start' AND NOT running)::INT) OVER (PARTITION BY job ORDER BY ms, seq) AS k FROM s),
+ jb AS (SELECT job, k, min(ms) FILTER (new) AS started, min(ms) FILTER (running AND kind IN ('done', 'error')) AS ended, min(kind) FILTER (running AND kind IN ('done', 'error')) AS final FROM j WHERE k > 0 GROUP BY job, k),
+ m AS (SELECT job, k, ms, (row_number() OVER (PARTITION BY job, k ORDER BY ms, seq) - 1)::INT AS n, 'm' || seq AS text FROM j WHERE running AND kind = 'message'),
+ w AS (SELECT j.job, j.k, seq AS watcher, ms, kind, new, running OR new AS active, started, ended, final, NOT (running OR new) AND (started IS NULL OR ms - started > 600000) AS missing FROM j LEFT JOIN jb USING (job, k) WHERE kind IN ('start', 'watch'))"""
+
+
 ORACLES = {
+    "stream_job_log": JOBS_SQL + """
+     SELECT job, watcher, ms AS at_ms, CASE WHEN missing THEN 'missing' WHEN new THEN 'started' ELSE 'reconnected' END AS kind, NULL::INT AS n, CASE WHEN kind = 'start' AND NOT new THEN (ms - started)::VARCHAR END AS text FROM w WHERE missing OR kind = 'start'
+     UNION ALL SELECT job, watcher, greatest(w.ms, m.ms), 'message', n, text FROM w JOIN m USING (job, k) WHERE NOT missing
+     UNION ALL SELECT job, watcher, greatest(ms, ended), final, NULL, NULL FROM w WHERE NOT missing AND final IS NOT NULL
+     UNION ALL SELECT job, watcher, h, 'heartbeat', NULL, NULL FROM (SELECT job, watcher, unnest(range(ms + 5000, coalesce(ended, (SELECT max(ms) FROM e)), 5000)) AS h FROM w WHERE active)""",
+    "stream_on_change": JOBS_SQL + " SELECT job, seq, ms, kind FROM (SELECT *, lag(kind) OVER (PARTITION BY job ORDER BY ms, seq) AS b FROM e) WHERE b IS NULL OR b <> kind",
+    "stream_in_flight": JOBS_SQL + " SELECT job, watcher AS seq, ms AS asked_ms, new AS computes, final AS kind, ended AS answered_ms FROM w WHERE kind = 'start' AND final IS NOT NULL",
     "progress_last_value": oracle("prog", "SELECT task_id, status, round(progress, 6) AS progress FROM prog QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY seq DESC) = 1"),
     "progress_on_change": oracle("prog", "SELECT task_id, seq, status FROM (SELECT *, lag(status) OVER (PARTITION BY task_id ORDER BY seq) AS b FROM prog) WHERE b IS NULL OR b <> status"),
     "message_tail": oracle("prog", "SELECT task_id, seq, n::INT AS n FROM (SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY seq) AS n FROM prog) WHERE n > 60"),

@@ -130,10 +130,14 @@ def density_maps(spark, d):
 
 
 def enhanced_vegetation(spark, d):
-    """Vegetation by hue and by excess green, opened by the ellipse of 5 after being closed twice."""
-    m = (R.is_green() & (R.excess_green() >= 0.9)).cast("int")
-    df = R.hsv(V.pixels(spark, d)).select("y", "x", m.alias("m"))
-    for k, (value, pick, name) in enumerate((("m", F.max, "a"), ("a", F.max, "b"), ("b", F.min, "e"), ("e", F.min, "f"), ("f", F.min, "g"), ("g", F.max, "h"))):
+    """Vegetation by hue and by excess green where the ground is rough, closed twice and opened once by the ellipse of 5; of the image smoothed once,
+    as its raw pixels have nothing to do with each other."""
+    at = size(spark, d)
+    mean = lambda v: F.floor(c(v) / 256).cast("int").alias(v)
+    px = R.gauss_sums(V.pixels(spark, d), at, "r", "g", "b").select("y", "x", mean("r"), mean("g"), mean("b"))
+    green = R.hsv(px).select("y", "x", (R.is_green() & (R.excess_green() > 0.1)).cast("int").alias("green"))
+    df = green.join(R.rough(px, at), ["y", "x"]).select("y", "x", (c("green") * c("rough")).alias("m"))
+    for value, pick, name in (("m", F.max, "a"), ("a", F.max, "b"), ("b", F.min, "e"), ("e", F.min, "f"), ("f", F.min, "g"), ("g", F.max, "h")):
         df = R.morph(df, value, pick, name, R.ELLIPSE_5)
     return df.where("h = 1").select("y", "x")
 
@@ -178,8 +182,8 @@ def placeholder_raster(spark, d):
 
 
 def fill_and_draw(spark, d):
-    """Diamonds around every 40th building and 3-pixel lines through them, as pixels of a plane of 1 m; counted by building."""
-    b = V.buildings(spark, d).where("building_id % 40 = 0").select("building_id", "w_m", "h_m")
+    """Diamonds around every building and 3-pixel lines through them, as pixels of a plane of 1 m; counted by building."""
+    b = V.buildings(spark, d).select("building_id", "w_m", "h_m")
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     zero, w, h = F.lit(0.0), c("w_m"), c("h_m")
     ring = F.array(corner(zero, -h), corner(w, zero), corner(zero, h), corner(-w, zero), corner(zero, -h))
@@ -259,6 +263,19 @@ def components_sql(eight=False, where="g > 150"):
  lab AS (SELECT u AS id, min(root) AS label FROM walk GROUP BY u)"""
 
 
+#: Weighted sums as joins of each pixel with the 25 it mirrors to; sm: the raster smoothed once; t2: where that is rough.
+FOLD = lambda v, last: f"({last} - abs({last} - abs({v})))"
+
+
+def gauss_sql(name, source, *values):
+    sums = ", ".join(f"sum(w * q.{v}) AS {v}" for v in values)
+    return f""", {name}x AS (SELECT p.y, p.x, {sums} FROM {source} p, gw JOIN {source} q ON q.y = p.y AND q.x = {FOLD('p.x + k', '63')} GROUP BY p.y, p.x),
+ {name} AS (SELECT p.y, p.x, {sums} FROM {source} p, gw JOIN {name}x q ON q.x = p.x AND q.y = {FOLD('p.y + k', '(SELECT max(y) FROM px)')} GROUP BY p.y, p.x)"""
+
+
+SMOOTH = ", gw AS (SELECT * FROM (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) t(k, w))" + gauss_sql("s0", "px", "r", "g", "b") + ", sm AS (SELECT y, x, (r // 256)::INT AS r, (g // 256)::INT AS g, (b // 256)::INT AS b FROM s0)"
+TEXTURE = f", gr AS (SELECT y, x, (r * {R.GRAY[0]} + g * {R.GRAY[1]} + b * {R.GRAY[2]} + 8192) // 16384 AS v FROM sm)" + gauss_sql("gy", "gr", "v") + """,
+ t0 AS (SELECT y, x, (abs(gr.v - (gy.v + 128) // 256) > 3)::INT AS t FROM gr JOIN gy USING (y, x))""" + morph_sql("t1", "t0", "t", "max", R.ELLIPSE_7) + morph_sql("t2", "t1", "t", "max", R.ELLIPSE_7)
 BIN = ", mk AS (SELECT y, x, (g > 128)::INT AS m FROM px)"
 ORACLES = {
     "hsv_convert": oracle("px", "SELECT y, x, h, s, v FROM hsv", HSV),
@@ -280,13 +297,13 @@ ORACLES = {
     "mask_stats": oracle("px", "SELECT count(*) AS pixels, round(count(*) * 100::DOUBLE / (SELECT count(*) FROM px), 4) AS pct, count(DISTINCT label) AS components, round(count(*) * 0.09::DOUBLE, 4) AS area_m2 FROM lab", components_sql(True, f"{EXG} > 0.3::DOUBLE"), recursive=True),
     "fill_holes": oracle("px", "SELECT id // 1048576 AS y, (id % 1048576)::INT AS x FROM lab WHERE label NOT IN (SELECT label FROM lab WHERE id // 1048576 IN (0, (SELECT max(y) FROM px)) OR id % 1048576 IN (0, 63))", components_sql(where="NOT g > 100"), recursive=True),
     "density_maps": oracle("px", "SELECT y, x, round(g1.n / 961::DOUBLE, 6) AS green_31, round(g2.t / 1681::DOUBLE, 6) AS tree_41, round(CASE WHEN g2.n / 1681::DOUBLE > 0.05::DOUBLE THEN (g2.t / 1681::DOUBLE) / (g2.n / 1681::DOUBLE) ELSE 0 END, 6) AS tree_fraction FROM g1 JOIN g2 USING (y, x)", f", gt AS (SELECT y, x, ({EXG} > 0.1::DOUBLE)::INT AS n, ({EXG} > 0.1::DOUBLE AND greatest(r, g, b) < 170)::INT AS t FROM px)" + box_sql("g1", "gt", 15, "n") + box_sql("g2", "gt", 20, "n", "t")),
-    "enhanced_vegetation": oracle("px", "SELECT y, x FROM m6 WHERE m = 1", HSV + f", m0 AS (SELECT y, x, ({green_sql(R.GREENS)} AND {EXG} >= 0.9::DOUBLE)::INT AS m FROM hsv)" + "".join(morph_sql(f"m{k + 1}", f"m{k}", "m", p, R.ELLIPSE_5) for k, p in enumerate(("max", "max", "min", "min", "min", "max")))),
+    "enhanced_vegetation": oracle("px", "SELECT y, x FROM m6 WHERE m = 1", SMOOTH + HSV.replace("FROM px", "FROM sm") + TEXTURE + f", m0 AS (SELECT y, x, ({green_sql(R.GREENS)} AND {EXG} > 0.1::DOUBLE)::INT * t AS m FROM hsv JOIN t2 USING (y, x))" + "".join(morph_sql(f"m{k + 1}", f"m{k}", "m", p, R.ELLIPSE_5) for k, p in enumerate(("max", "max", "min", "min", "min", "max")))),
     "tree_recovery": oracle("px", f"SELECT y, x FROM cv JOIN nd USING (y, x) JOIN px USING (y, x), lim WHERE d2 <= 256 AND {EXG} > 0.1::DOUBLE AND cv >= t AND cv < 2 * t", CV + source_sql("r > 190")),
     "shade_image": oracle("px", f"SELECT y, x FROM hsv JOIN vg USING (y, x) JOIN nd USING (y, x) JOIN (SELECT y, x, n AS near FROM bs) USING (y, x) WHERE v < 170 AND s > 10 AND h BETWEEN 20 AND 105 AND {EXG} > 0.005::DOUBLE AND n = 0 AND r <= 190 AND b <= 190 AND near > 0.08::DOUBLE * 961 AND d2 <= 900", HSV + VEG + box_sql("bs", "vg", 15, "n") + source_sql("r > 190")),
     "crop": oracle("px", "SELECT i::INT AS i, j::INT AS j, count(*) AS pixels, count(*) FILTER (y // 16 = i AND x // 16 = j) AS core, sum(g)::BIGINT AS total FROM px, range((SELECT max(y) // 16 + 2 FROM px)) a(i), range(4) b(j) WHERE y BETWEEN i * 16 - 4 AND i * 16 + 19 AND x BETWEEN j * 16 - 4 AND j * 16 + 19 GROUP BY 1, 2"),
     "placeholder_raster": oracle("area", "SELECT area_id, ((2 * n + 1) * (2 * n + 1))::BIGINT AS tiles, (256 * 256 * 200 - 50 * (256 * 256 - 254 * 254))::BIGINT AS total, (256 * 256 - 254 * 254)::BIGINT AS lines FROM (SELECT area_id, greatest(1, ceil(radius_m / (156543.03392::DOUBLE / power(2::DOUBLE, zoom) * cos(radians(lat))) / 256)) AS n FROM area)"),
     "fill_and_draw": oracle("bld", """SELECT building_id, count(*) FILTER (abs(x) / w_m + abs(y) / h_m < 1 OR (abs(x) / w_m + abs(y) / h_m <= 1 AND y < h_m)) AS filled, count(*) FILTER (d <= 1.5) AS drawn
-      FROM (SELECT *, sqrt(power(x - t * 2 * w_m + w_m, 2) + power(y - t * 2 * h_m + h_m, 2)) AS d FROM (SELECT building_id, w_m, h_m, x, y, greatest(0::DOUBLE, least(1::DOUBLE, ((x + w_m) * 2 * w_m + (y + h_m) * 2 * h_m) / (4 * w_m * w_m + 4 * h_m * h_m))) AS t FROM bld, range(-20, 21) a(x), range(-20, 21) b(y) WHERE building_id % 40 = 0)) GROUP BY building_id"""),
+      FROM (SELECT *, sqrt(power(x - t * 2 * w_m + w_m, 2) + power(y - t * 2 * h_m + h_m, 2)) AS d FROM (SELECT building_id, w_m, h_m, x, y, greatest(0::DOUBLE, least(1::DOUBLE, ((x + w_m) * 2 * w_m + (y + h_m) * 2 * h_m) / (4 * w_m * w_m + 4 * h_m * h_m))) AS t FROM bld, range(-20, 21) a(x), range(-20, 21) b(y))) GROUP BY building_id"""),
     "surface_precedence": oracle("px", f"SELECT y, x, CASE WHEN r > 190 THEN 'building' WHEN b > 190 THEN 'road' WHEN r + b > 300 THEN 'driveway' WHEN {EXG} > 0.1::DOUBLE THEN 'grass' WHEN {EXG} > 0.005::DOUBLE AND g > 120 THEN 'grass' WHEN r < 70 THEN 'car_parking' ELSE 'paved' END AS surface FROM px"),
     "spatial_mask_20m": oracle("px", "SELECT y, x, d2 FROM nd JOIN px USING (y, x) WHERE d2 <= 1600 AND r <= 190 AND b <= 190", source_sql("r > 190")),
 }

@@ -15,10 +15,10 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run_to_end(df: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over all there is and returns what it wrote."""
+def run_to_end(df: DataFrame, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Runs a stream over all there is and returns what it has written. With the path of an earlier run it goes on from where that one stopped."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    path = path or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
     query = df.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{path}/out")
@@ -32,8 +32,3 @@ def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> D
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 hour") -> DataFrame:
     w = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id")
     return w.agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
-
-
-def deduplicated(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """One request of each key in flight."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id"])

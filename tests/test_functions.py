@@ -120,3 +120,20 @@ def test_nearest_at_any_distance(spark):
     assert got == {x[0]: min(right, key=lambda y: _meters(x, y))[0] for x in left}
     near = spatial.nearest_at_any_distance(a, b, "id", 100.0, far, "r_id", most_m=2000.0)
     assert {r["id"] for r in near.collect()} == {x[0] for x in left if min(_meters(x, y) for y in right) <= 2000}
+
+
+def test_rough_ground(spark):
+    """A flat image with one odd pixel and a checkered corner, against the definition; and another image beside it."""
+    h, w = 21, 33
+    gray = {(y, x): 100 + (40 if (y, x) == (10, 25) else 0) + (30 * ((x + y) % 2) if y < 4 and x < 4 else 0) for y in range(h) for x in range(w)}
+    rows = [(i, y, x, *([v * (i == 0) + 50 * (i == 1)] * 3)) for i in (0, 1) for (y, x), v in gray.items()]
+    df = spark.createDataFrame(rows, "image int, y int, x int, r int, g int, b int")
+    got = {(p["image"], p["y"], p["x"]): p["rough"] for p in raster.rough(df, {"x": w, "y": h}, by=("image",)).collect()}
+    fold = lambda v, n: n - 1 - abs(n - 1 - abs(v))
+    weights = dict(zip(range(-2, 3), (1, 4, 6, 4, 1), strict=True))
+    mean = lambda y, x: (sum(a * b * gray[fold(y + i, h), fold(x + j, w)] for i, a in weights.items() for j, b in weights.items()) + 128) // 256
+    mask = {p for p, v in gray.items() if abs(v - mean(*p)) > 3}
+    for _ in range(2):
+        mask = {(y, x) for y, x in gray if any((y + dy, x + dx) in mask for dy, reach in raster.ELLIPSE_7.items() for dx in range(-reach, reach + 1))}
+    assert {p[1:] for p, v in got.items() if v and p[0] == 0} == mask and 50 < len(mask) < h * w - 50
+    assert not any(v for p, v in got.items() if p[0] == 1)
