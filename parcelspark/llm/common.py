@@ -23,6 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """From now on tasks get rows in Arrow batches of at most so many bytes: what a batch needs counts several times over, in the JVM and in Python."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
