@@ -8,10 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; one of our own only where it names none, as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="parcelspark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster has to name a shared folder in spark.checkpoint.dir")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="parcelspark-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Removes a folder or file of any store that Spark can write to."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
