@@ -228,15 +228,26 @@ def _lists(batches):
 
 
 def _flagged(shared):
-    """The documents whose bit is set."""
+    """The documents whose bit is set; equal rows of a batch once."""
 
     def run(batches):
         for batch in batches:
-            yield batch.loc[has_bit(shared.value, batch["hash"].to_numpy().view(np.uint64)), ["_id", "text"]]
+            batch = batch[has_bit(shared.value, batch["hash"].to_numpy().view(np.uint64))]
+            yield batch.drop_duplicates(["_id", "_sub"])[["_id", "_sub", "text"]]
 
     return run
 
 
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and text of the wanted nodes (node, _id, _sub), one row each, from docs (_id, text): documents are found by their own number and the hash of
+    their text, so rows without a doc_id don't all meet each other."""
+    key = F.xxhash64("_id", "_sub").alias("hash")
+    table = wanted.sparkSession.sparkContext.broadcast(bit_table(wanted.select(key), TABLE_BITS))
+    texts = docs.withColumn("_sub", F.xxhash64("text")).select(key, "_id", "_sub", "text").mapInPandas(_flagged(table), "_id long, _sub long, text string")
+    texts = texts.groupBy("_id", "_sub").agg(F.first("text").alias("text"))
+    return wanted.select("node", "_id", "_sub").join(texts, ["_id", "_sub"]).select("node", "text")
+
+
 class Tree:
     """A prefix tree over ascending arrays; a node holds the run of values that all sets below it share.
 
@@ -405,7 +416,8 @@ def link_nodes(docs: DataFrame, n: int = 5, pct: int = 80, deal: str = "parts")
     spark = docs.sparkSession
     slim = docs.select(F.coalesce("doc_id", F.lit(LAST)).alias("_id"), "text")
     nodes = written(slim.withColumn("_sub", F.xxhash64("text")).mapInPandas(_nodes(n), "_id long, _sub long, n_shingles long, node long"), "nodes")
-    reps = nodes.where("node is not null").groupBy("node").agg(F.min("_id").alias("rep"), F.first("n_shingles").alias("size"))
+    reps = nodes.where("node is not null").groupBy("node").agg(F.min(F.struct("_id", "_sub")).alias("r"), F.first("n_shingles").alias("size"))
+    reps = reps.select("node", F.col("r._id").alias("rep"), F.col("r._sub").alias("sub"), "size")
 
     sizes = reps.select("node", "size")
     near = F.expr(f"100 * least(size, lsize) >= {pct} * greatest(size, lsize)")
@@ -426,10 +438,8 @@ def link_nodes(docs: DataFrame, n: int = 5, pct: int = 80, deal: str = "parts")
 
     def check(groups: DataFrame) -> DataFrame:
         """u, v of the linked nodes of each group."""
-        wanted = cut(groups.select("node").distinct().join(reps.select("node", "rep"), "node"))
-        table = spark.sparkContext.broadcast(bit_table(wanted.select(F.xxhash64("rep").alias("hash")), TABLE_BITS))
-        texts = slim.select(F.xxhash64("_id").alias("hash"), "_id", "text").mapInPandas(_flagged(table), "_id long, text string")
-        texts = wanted.select("node", F.col("rep").alias("_id")).join(texts, "_id").select("node", "text")
+        wanted = cut(groups.select("node").distinct().join(reps.select("node", F.col("rep").alias("_id"), F.col("sub").alias("_sub")), "node"))
+        texts = texts_of(wanted, slim)
         rows = groups.join(texts, "node").select("group", "node", "component", "text").repartition("group").sortWithinPartitions("group")
         return cut(rows.mapInPandas(_groups(n, pct), "u long, v long"))
 
