@@ -19,9 +19,20 @@ def haversine(lat1, lon1, lat2, lon2) -> Column:
     return 2 * EARTH_RADIUS * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def turn(lon, lon0) -> Column:
+    """lon - lon0 in degrees, the short way around."""
+    d = lon - lon0
+    return d - 360.0 * F.rint(d / 360.0)
+
+
 def metres(lat, lon, lat0, lon0) -> tuple[Column, Column]:
     """East and north of (lat0, lon0), on the plane that touches there."""
-    return (lon - lon0) * M_PER_DEG * F.cos(F.radians(lat0)), (lat - lat0) * M_PER_DEG
+    return turn(lon, lon0) * M_PER_DEG * F.cos(F.radians(lat0)), (lat - lat0) * M_PER_DEG
+
+
+def plane(lat, lon, lat0, lon0) -> tuple[Column, Column]:
+    """East and north of (lat0, lon0) by the cosine of the mean latitude, so that both ways are equally far."""
+    return turn(lon, lon0) * M_PER_DEG * F.cos(F.radians((lat + lat0) / 2)), (lat - lat0) * M_PER_DEG
 
 
 def equirectangular(lat, lon, lat0, lon0) -> Column:

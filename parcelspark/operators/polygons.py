@@ -15,19 +15,12 @@ from parcelspark.operators import spatial
 c = F.col
 
 
-def plane(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[Column, Column]:
-    """East and north of (lat0, lon0) in metres, by the cosine of the mean latitude, the short way around."""
-    turn = lon - lon0
-    turn = F.when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn)
-    return turn * geo.M_PER_DEG * F.cos(F.radians((lat + lat0) / 2)), (lat - lat0) * geo.M_PER_DEG
-
-
 def pieces(df: DataFrame, key: str, most_m: float) -> DataFrame:
     """key, ax, ay, bx, by (degrees) of the sides of df's geometry, cut into pieces of most_m at most, with their middle lat, lon. A point is a side."""
     one = lambda r: F.when(F.size(r) == 1, F.array(F.struct(F.get(r, F.lit(0)).alias("a"), F.get(r, F.lit(0)).alias("b")))).otherwise(geometry.sides(r))
     df = df.select(key, F.explode(F.flatten(F.transform(geometry.rings(c("geometry")), one))).alias("s"))
     df = df.select(key, c("s.a.x").alias("x0"), c("s.a.y").alias("y0"), c("s.b.x").alias("x1"), c("s.b.y").alias("y1"))
-    x, y = plane(c("y1"), c("x1"), c("y0"), c("x0"))
+    x, y = geo.plane(c("y1"), c("x1"), c("y0"), c("x0"))
     n = F.greatest(F.lit(1), F.ceil(F.sqrt(x * x + y * y) / most_m)).cast("int")
     df = df.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), c("n") - 1)))
     at = lambda a, b, i: c(a) + (c(b) - c(a)) * i / c("n")
@@ -54,9 +47,9 @@ def touching(left: DataFrame, right: DataFrame, key: str, other: str, reach_m: f
     """key, other of all geometries of left (key, geometry) and right (other, geometry) that meet or come within reach_m of each other: pieces of
     their boundaries do, or a part of one lies in a polygon of the other."""
     a, b = pieces(left, key, piece_m), pieces(right, other, piece_m)
-    x, y = plane(c("r_lat"), c("r_lon"), c("lat"), c("lon"))
+    x, y = geo.plane(c("r_lat"), c("r_lon"), c("lat"), c("lon"))
     near = spatial.range_join(a, b, reach_m + piece_m + 1, F.sqrt(x * x + y * y))  # of their middles
-    ends = [v for n, m in (("ay", "ax"), ("by", "bx"), ("r_ay", "r_ax"), ("r_by", "r_bx")) for v in plane(c(n), c(m), c("lat"), c("lon"))]
+    ends = [v for n, m in (("ay", "ax"), ("by", "bx"), ("r_ay", "r_ax"), ("r_by", "r_bx")) for v in geo.plane(c(n), c(m), c("lat"), c("lon"))]
     # explode keeps the optimizer from writing these expressions out wherever the distance names them
     near = near.select(key, f"r_{other}", F.explode(F.array(F.struct(*[v.alias(f"v{i}") for i, v in enumerate(ends)]))).alias("s"))
     near = near.where(geo.segments_distance(*[c(f"s.v{i}") for i in range(8)]) <= reach_m)

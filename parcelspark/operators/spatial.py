@@ -76,26 +76,46 @@ def ranked(pairs: DataFrame, key: str, most: int, *order) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(c("rank") <= most)
 
 
+def ring_start(right: DataFrame, most_m: float) -> float | None:
+    """A radius in which a place of mean density has some four rows; None where there are no rows."""
+    n, south, north, west, east = right.agg(F.count(F.lit(1)), F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
+    if not n:
+        return None
+    area = ((north - south) * M_PER_DEG + 1) * ((east - west) * M_PER_DEG * math.cos(math.radians((north + south) / 2)) + 1)
+    return max(1.0, min(most_m, 2 * math.sqrt(area / (math.pi * n))))
+
+
 def nearest_at_any_distance(left: DataFrame, right: DataFrame, key: str, start_m: float, distance: Column, *ties: str, most_m: float = math.inf, reach: str | None = None) -> DataFrame:
     """For each left row (key, lat, lon) the right row of smallest distance, whatever that is: cells grow by four until all rows have
     theirs. Columns as in range_join.
 
-    A hit counts once its distance is at most the radius of the ring it was found in, as nothing outside that ring can be nearer. reach:
-    a right column with how far a row's shape goes beyond its point; it widens the rings. most_m: give up beyond that.
+    A hit counts once its distance is at most the radius of the ring it was found in, as nothing outside that ring can be nearer. The first ring has
+    the radius that the density of right suggests, start_m at most. reach: a right column with how far a row's shape goes beyond its point; rows are
+    joined by class of reach (powers of two), each on cells of its own, so a long one widens the ring for itself only. most_m: give up beyond that.
     """
     from parcelspark.operators.tables import cut
 
-    wide = 0.0 if reach is None else (right.agg(F.max(reach)).first()[0] or 0.0)
-    radius, out, open_ = start_m, None, left
+    classes: list = [None]
+    if reach is not None:
+        right = right.withColumn("_class", F.ceil(F.log2(F.greatest(F.lit(1.0), c(reach)))).cast("int"))
+        classes = sorted(r[0] for r in right.select("_class").distinct().collect()) or [None]  # at most 25
+    far = min(most_m, math.pi * 6371000.0)
+    start = ring_start(right, start_m)
+    radius, out, open_, todo = start or far, None, left, left.count()
     while True:
-        last = radius >= min(most_m, math.pi * 6371000.0)
-        # the ring is one of points; the distance is to shapes
-        r = right.select(*[c(n).alias(f"r_{n}") for n in right.columns])
-        near = cells(r, radius + wide, "r_lat", "r_lon", reach=1)
-        pairs = cells(open_, radius + wide).join(near, ["_cy", "_cx"]).drop("_cy", "_cx").withColumn("distance_m", distance)
-        found = cut(nearest(pairs.where(c("distance_m") <= min(radius, most_m)), key, "distance_m", *ties))
+        found = None
+        for k in classes:
+            # the ring is one of points; the distance is to shapes
+            some = right if k is None else right.where(c("_class") == k)
+            r = some.select(*[c(n).alias(f"r_{n}") for n in right.columns if n != "_class"])
+            wide = radius + (0.0 if k is None else float(1 << k))
+            pairs = cells(open_, wide).join(cells(r, wide, "r_lat", "r_lon", reach=1), ["_cy", "_cx"]).drop("_cy", "_cx").withColumn("distance_m", distance)
+            pairs = nearest(pairs.where(c("distance_m") <= min(radius, most_m)), key, "distance_m", *ties)
+            found = pairs if found is None else found.unionByName(pairs)
+        found = cut(found if len(classes) == 1 else nearest(found, key, "distance_m", *ties))
         out = found if out is None else out.unionByName(found)
-        open_ = cut(open_.join(found.select(key), key, "left_anti"))
-        if last or open_.isEmpty():
+        todo -= found.count()
+        if radius >= far or not todo:
             return out
+        open_ = open_.join(found.select(key), key, "left_anti")
         radius *= 4

@@ -219,8 +219,9 @@ D2 = "(p.y - s.y) * (p.y - s.y) + (p.x - s.x) * (p.x - s.x)"
 
 
 def source_sql(where):
-    """nd: y, x, d2 of every pixel to the nearest pixel of a kind."""
-    return f", nd AS (SELECT p.y, p.x, min({D2}) AS d2 FROM px p LEFT JOIN (SELECT y, x FROM px WHERE {where}) s ON true GROUP BY p.y, p.x)"
+    """nd: y, x, d2 of every pixel to the nearest pixel of a kind: the nearest one of its column, then the best column of its row."""
+    return f""", nc AS (SELECT y, x, least(y - max(s) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), min(s) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - y) AS c FROM (SELECT y, x, CASE WHEN {where} THEN y END AS s FROM px) WINDOW w AS (PARTITION BY x ORDER BY y)),
+ nd AS (SELECT p.y, p.x, min((p.x - q.x) * (p.x - q.x) + q.c * q.c)::BIGINT AS d2 FROM nc p LEFT JOIN nc q ON q.y = p.y AND q.c IS NOT NULL GROUP BY p.y, p.x)"""
 
 
 def box_sql(name, source, half, *values):

@@ -180,9 +180,12 @@ def to_segment(df):
     """distance_m from (lat, lon) to the road of the row, and px, py, the nearest point of it in metres from there."""
     x0, y0 = geo.metres(c("lat0"), c("lon0"), c("lat"), c("lon"))
     x1, y1 = geo.metres(c("lat1"), c("lon1"), c("lat"), c("lon"))
+    ends = F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    df = df.select("*", F.explode(F.array(ends)).alias("_s"))  # worked out once, which the optimizer would undo for plain columns
+    x0, y0, x1, y1 = (c(f"_s.{n}") for n in ("x0", "y0", "x1", "y1"))
     vx, vy = x1 - x0, y1 - y0
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (-x0 * vx - y0 * vy) / (vx * vx + vy * vy)))
-    return df.withColumns({"distance_m": r(geo.segment_distance(F.lit(0.0), F.lit(0.0), x0, y0, x1, y1), 4), "px": x0 + t * vx, "py": y0 + t * vy})
+    return df.withColumns({"distance_m": r(geo.segment_distance(F.lit(0.0), F.lit(0.0), x0, y0, x1, y1), 4), "px": x0 + t * vx, "py": y0 + t * vy}).drop("_s")
 
 
 SEGMENT = ("road_id", "lat0", "lon0", "lat1", "lon1")
@@ -229,12 +232,15 @@ def driveways(spark, d):
     """Each building and the service roads within 25 m of the edge of its footprint."""
     ways = V.with_middle(V.roads(spark, d).where(F.array_contains("highway", "service"))).select(*SEGMENT, "lat", "lon", "half_m")
     b = V.buildings(spark, d).select("building_id", "lat", "lon", "w_m", "h_m")
-    near = spatial.within_own_radius(b, ways, "half_m", geo.equirectangular(c("r_lat"), c("r_lon"), c("lat"), c("lon")), extra_m=25.0 + 15.0)  # half a footprint's diagonal is below 15 m
+    half = b.agg(F.max(F.sqrt(c("w_m") * c("w_m") + c("h_m") * c("h_m")) / 2)).first()[0] or 0.0  # the largest footprint's, so none loses its driveway
+    near = spatial.within_own_radius(b, ways, "half_m", geo.equirectangular(c("r_lat"), c("r_lon"), c("lat"), c("lon")), extra_m=25.0 + half)
     near = near.select("building_id", "lat", "lon", "w_m", "h_m", *[c(f"r_{n}").alias(n) for n in SEGMENT])
     x0, y0 = geo.metres(c("lat0"), c("lon0"), c("lat"), c("lon"))
     x1, y1 = geo.metres(c("lat1"), c("lon1"), c("lat"), c("lon"))
-    edge = r(geo.box_segment_distance(-c("w_m") / 2, -c("h_m") / 2, c("w_m") / 2, c("h_m") / 2, x0, y0, x1, y1), 4)
-    return to_segment(near).withColumn("edge_m", edge).where("edge_m < 25")
+    ends = F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), (c("w_m") / 2).alias("w"), (c("h_m") / 2).alias("h"))
+    near = near.select("*", F.explode(F.array(ends)).alias("_e"))
+    edge = r(geo.box_segment_distance(-c("_e.w"), -c("_e.h"), c("_e.w"), c("_e.h"), c("_e.x0"), c("_e.y0"), c("_e.x1"), c("_e.y1")), 4)
+    return to_segment(near.select("*", F.explode(F.array(edge)).alias("edge_m")).drop("_e").where("edge_m < 25"))
 
 
 def nearest_driveway_25m(spark, d):
@@ -272,12 +278,12 @@ def neighbours(spark, d, radius=40.0):
 
 
 def _plane(lat, lon, lat2, lon2):
-    """Distance with one cosine for the whole region, so it is the same both ways."""
-    x, y = (lon - lon2) * geo.M_PER_DEG * F.cos(F.radians(F.lit(LAT))), (lat - lat2) * geo.M_PER_DEG
+    """Distance by the mean latitude, so it is the same both ways."""
+    x, y = geo.plane(lat, lon, lat2, lon2)
     return F.sqrt(x * x + y * y)
 
 
-PLANE = f"round(sqrt(power((a.lon - b.lon) * 111320::DOUBLE * cos(radians({LAT}::DOUBLE)), 2) + power((a.lat - b.lat) * 111320::DOUBLE, 2)), 4)"
+PLANE = "round(sqrt(power((a.lon - b.lon) * 111320::DOUBLE * cos(radians((a.lat + b.lat) / 2)), 2) + power((a.lat - b.lat) * 111320::DOUBLE, 2)), 4)"
 NB = f""", nb AS (SELECT a.building_id, b.building_id AS other, a.building, b.building AS other_building, {PLANE} AS distance_m FROM bld a JOIN bld b ON a.building_id <> b.building_id AND abs(a.lat - b.lat) < 0.001 AND abs(a.lon - b.lon) < 0.001)"""
 
 
@@ -287,7 +293,7 @@ def neighbour_knn10(spark, d):
 
 
 def range_pairs_20m(spark, d):
-    return neighbours(spark, d, 20.0).select("building_id", c("r_building_id").alias("other"), r(c("distance_m"), 3).alias("distance_m"))
+    return neighbours(spark, d, 20.0).select("building_id", c("r_building_id").alias("other"), "distance_m")
 
 
 def neighbour_agreement(spark, d):
@@ -555,7 +561,7 @@ QUERIES = {f.__name__: f for f in (circle_count_area, bbox_slice, haversine_topk
 
 
 def pair_sql(a, b):
-    return f"round(sqrt(power(({a}.lon - {b}.lon) * 111320::DOUBLE * cos(radians({LAT}::DOUBLE)), 2) + power(({a}.lat - {b}.lat) * 111320::DOUBLE, 2)), 4)"
+    return f"round(sqrt(power(({a}.lon - {b}.lon) * 111320::DOUBLE * cos(radians(({a}.lat + {b}.lat) / 2)), 2) + power(({a}.lat - {b}.lat) * 111320::DOUBLE, 2)), 4)"
 
 
 B = geo.circle_box(LAT, LON, RADIUS)
@@ -600,7 +606,7 @@ ORACLES = {
     "address_road_direction": oracle("bld road", """SELECT building_id, road_id, distance_m, round(px / sqrt(px * px + py * py), 5) AS ux, round(py / sqrt(px * px + py * py), 5) AS uy
       FROM (SELECT *, ax + t * (ex - ax) AS px, ay + t * (ey - ay) AS py FROM sd WHERE distance_m < 150 AND distance_m > 0.1) QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY distance_m, road_id) = 1""", f", {SEG}"),
     "neighbour_knn10": oracle("bld", "SELECT building_id, other, distance_m, row_number() OVER (PARTITION BY building_id ORDER BY distance_m, other)::INT AS rank FROM nb WHERE distance_m <= 40 QUALIFY rank <= 10", NB),
-    "range_pairs_20m": oracle("bld", "SELECT building_id, other, round(distance_m, 3) AS distance_m FROM nb WHERE distance_m <= 20", NB),
+    "range_pairs_20m": oracle("bld", "SELECT building_id, other, distance_m FROM nb WHERE distance_m <= 20", NB),
     "neighbour_agreement": oracle("bld", "SELECT building_id, count(*) FILTER (building = other_building) AS agree, count(*) FILTER (building <> other_building) AS disagree, count(*) FILTER (building <> other_building) >= 2 AND count(*) FILTER (building = other_building) = 0 AS flip FROM nb WHERE distance_m <= 20 AND building IS NOT NULL AND other_building IS NOT NULL GROUP BY building_id", NB),
     "containing_or_nearest": oracle("bld area", """SELECT building_id, area_id, m > radius_m AS outside FROM m WHERE m <= radius_m + 900
       QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY m > radius_m, CASE WHEN m > radius_m THEN m - radius_m ELSE radius_m END, area_id) = 1""", f", m AS (SELECT b.building_id, a.area_id, a.radius_m, round({pair_sql('b', 'a')[6:-4]}, 3) AS m FROM bld b, area a)"),

@@ -137,3 +137,56 @@ def test_rough_ground(spark):
         mask = {(y, x) for y, x in gray if any((y + dy, x + dx) in mask for dy, reach in raster.ELLIPSE_7.items() for dx in range(-reach, reach + 1))}
     assert {p[1:] for p, v in got.items() if v and p[0] == 0} == mask and 50 < len(mask) < h * w - 50
     assert not any(v for p, v in got.items() if p[0] == 1)
+
+
+def test_one_long_road_widens_the_ring_for_itself_only(spark):
+    """Nearest segments of any length against all pairs; the pairs that are looked at hardly grow by one segment of 50 km."""
+    places = globe(6, 120, 53, -6, 6000)
+    short = [(i, la, lo, la, lo + 0.0002, 7.0) for i, la, lo in globe(7, 150, 53, -6, 6000)]
+    long_ = [(999, 53.0, -6.0, 53.0, -5.25, 25100.0)]
+    x0, y0 = geo.metres(c("r_lat0"), c("r_lon0"), c("lat"), c("lon"))
+    x1, y1 = geo.metres(c("r_lat1"), c("r_lon1"), c("lat"), c("lon"))
+    to_road = geo.segment_distance(F.lit(0.0), F.lit(0.0), x0, y0, x1, y1)
+    points = spark.createDataFrame(places, "id long, lat double, lon double")
+
+    def roads(rows):
+        df = spark.createDataFrame(rows, "road long, lat0 double, lon0 double, lat1 double, lon1 double, half double")
+        return df.withColumns({"lat": (c("lat0") + c("lat1")) / 2, "lon": (c("lon0") + c("lon1")) / 2})
+
+    def plain(p, s):
+        k = math.cos(math.radians(p[1])) * geo.M_PER_DEG
+        ax, ay, bx, by = (s[2] - p[2]) * k, (s[1] - p[1]) * geo.M_PER_DEG, (s[4] - p[2]) * k, (s[3] - p[1]) * geo.M_PER_DEG
+        n = (bx - ax) ** 2 + (by - ay) ** 2
+        t = max(0, min(1, -(ax * (bx - ax) + ay * (by - ay)) / n))
+        return math.hypot(ax + t * (bx - ax), ay + t * (by - ay))
+
+    all_ = short + long_
+    seen = spark.sparkContext.accumulator(0)
+    got = {r["id"]: r["r_road"] for r in spatial.nearest_at_any_distance(points, roads(all_), "id", 200.0, to_road, "r_road", reach="half").collect()}
+    assert got == {p[0]: min(all_, key=lambda s: (plain(p, s), s[0]))[0] for p in places} and 999 in got.values() and len(set(got.values())) > 20
+
+    @F.udf("double")
+    def counted(d):
+        seen.add(1)
+        return d
+
+    looked = []
+    for rows in (short, all_):
+        before = seen.value
+        spatial.nearest_at_any_distance(points, roads(rows), "id", 200.0, counted(to_road), "r_road", reach="half").count()
+        looked.append(seen.value - before)
+    assert looked[1] <= looked[0] + 4 * len(places) < 120 * 150
+    assert spatial.nearest_at_any_distance(points, roads(short).limit(0), "id", 200.0, to_road, "r_road", reach="half").count() == 0
+
+
+@pytest.mark.parametrize(("lat", "lon"), [(65, 20), (0, 10), (53, 180), (-40, -179.9999)])
+def test_flat_distances_hold_everywhere(spark, lat, lon):
+    """The distance of the registered joins against all pairs on the sphere, to a part in a thousand."""
+    rows = globe(8, 150, lat, lon, 200)
+    df = spark.createDataFrame(rows, "id long, lat double, lon double")
+    far = vector._plane(c("lat"), c("lon"), c("r_lat"), c("r_lon"))
+    got = {(r["id"], r["r_id"]): r["distance_m"] for r in spatial.range_join(df, df, 50.0, far).collect()}
+    scale = geo.M_PER_DEG / (geo.EARTH_RADIUS * math.pi / 180)
+    real = {(a[0], b[0]): _meters(a, b) * scale for a in rows for b in rows}
+    assert all(abs(real[p] - m) <= 0.001 * m + 1e-6 for p, m in got.items())
+    assert {p for p, m in real.items() if m <= 49.9} <= set(got) and len(got) > 500
