@@ -5,12 +5,10 @@ many images (or chunks of one): `by` names their key columns, and every window,
 has a bounded side, so a window over a row or a column of one has too.
 """
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
+from parcelspark.operators import blocks
 from parcelspark.operators.tables import cut
 
 c = F.col
@@ -62,9 +60,9 @@ def box_sums(df: DataFrame, sizes: dict[str, int], half: int, *values: str, axes
     """Sums over the square of side 2 half + 1 around each pixel, mirrored at the border; half may be no longer than a side."""
     for axis in axes:
         other = "y" if axis == "x" else "x"
-        w = Window.partitionBy(*by, other).orderBy(axis).rowsBetween(-half, half)
-        df = reflected(df, axis, sizes[axis], half)
-        df = df.withColumns({v: F.sum(v).over(w) for v in values}).where(c(axis).between(0, sizes[axis] - 1))
+        w = Window.partitionBy(*by, other, "_block").orderBy(axis).rowsBetween(-half, half)
+        df = blocks.windowed(reflected(df, axis, sizes[axis], half), axis, half)
+        df = df.withColumns({v: F.sum(v).over(w) for v in values}).where(c("_own") & c(axis).between(0, sizes[axis] - 1)).drop("_block", "_own")
     return df
 
 
@@ -72,7 +70,7 @@ def gauss_sums(df: DataFrame, sizes: dict[str, int], *values: str, by: tuple[str
     """Sums over the square of side 5 with the weights 1 4 6 4 1 in both axes (256 in all), mirrored at the border without its own pixel: c b | a b c | b a.
     Sides have three pixels or more."""
     for axis, other in (("x", "y"), ("y", "x")):
-        w = Window.partitionBy(*by, other).orderBy(axis)
+        w = Window.partitionBy(*by, other, "_block").orderBy(axis)
 
         def weighted(v: str) -> Column:
             back, on = (lambda k: F.lag(v, k).over(w)), (lambda k: F.lead(v, k).over(w))
@@ -80,7 +78,8 @@ def gauss_sums(df: DataFrame, sizes: dict[str, int], *values: str, by: tuple[str
             far = F.coalesce(back(2), F.when(c(axis) == 0, on(2)).otherwise(c(v))) + F.coalesce(on(2), F.when(c(axis) == sizes[axis] - 1, back(2)).otherwise(c(v)))
             return far + 4 * near + 6 * c(v)
 
-        df = df.withColumns({v: weighted(v) for v in values})
+        df = blocks.windowed(df, axis, 2)
+        df = df.withColumns({v: weighted(v) for v in values}).where("_own").drop("_block", "_own")
     return df
 
 
@@ -109,11 +108,13 @@ def morph(df: DataFrame, value: str, pick, name: str, element: dict[int, int] =
     One window along the row for each reach that occurs, then one along the column for each row offset.
     """
     along = {r: f"_r{r}" for r in set(element.values())}
-    df = df.withColumns({n: pick(value).over(Window.partitionBy(*by, "y").orderBy("x").rangeBetween(-r, r)) for r, n in along.items()})
-    column = Window.partitionBy(*by, "x").orderBy("y")
+    df = blocks.windowed(df, "x", max(element.values()))
+    df = df.withColumns({n: pick(value).over(Window.partitionBy(*by, "y", "_block").orderBy("x").rangeBetween(-r, r)) for r, n in along.items()}).where("_own").drop("_block", "_own")
+    df = blocks.windowed(df, "y", max(element))
+    column = Window.partitionBy(*by, "x", "_block").orderBy("y")
     parts = [pick(along[r]).over(column.rangeBetween(dy, dy)) for dy, r in element.items()]
     join = F.greatest if pick is F.max else F.least
-    return df.withColumn(name, join(*parts)).drop(*along.values())
+    return df.withColumn(name, join(*parts)).where("_own").drop(*along.values(), "_block", "_own")
 
 
 def owner_edges(df: DataFrame, owner: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -123,52 +124,10 @@ def owner_edges(df: DataFrame, owner: str, by: tuple[str, ...] = ()) -> DataFram
     return df.withColumn("edge", F.coalesce(left != c(owner), F.lit(False)) | F.coalesce(above != c(owner), F.lit(False)))
 
 
-def _lower_envelope(places: np.ndarray, heights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """For each place in `at`, which of the parabolas h + (at - p)^2 is lowest; of equally low ones the first in the arrays' order.
-
-    Exact in integers: heights are scaled by the number of parabolas, and the order in the arrays is the rest.
-    """
-    n = len(places)
-    order = np.argsort(places, kind="stable")
-    p, f = places[order].tolist(), (heights[order] * n + order).tolist()
-    kept, ends = [0], []
-    for q in range(1, n):
-        while True:
-            k = kept[-1]
-            cross = (f[q] + n * p[q] * p[q] - f[k] - n * p[k] * p[k]) // (2 * n * (p[q] - p[k]))  # from cross + 1 on q is lower
-            if ends and cross <= ends[-1]:
-                kept.pop()
-                ends.pop()
-                continue
-            break
-        kept.append(q)
-        ends.append(cross)
-    return order[np.array(kept)[np.searchsorted(np.array(ends), at, side="left")]]
-
-
-@F.pandas_udf(ArrayType(IntegerType()))
-def _best_columns(xs: pd.Series, places: pd.Series, heights: pd.Series) -> pd.Series:
-    return pd.Series([_lower_envelope(np.asarray(p, np.int64), np.asarray(h, np.int64), np.asarray(x)) if len(p) else None for x, p, h in zip(xs, places, heights, strict=True)])
-
-
 def nearest_source(df: DataFrame, source: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """df with sy, sx, the nearest source pixel of the image (smallest sy, then sx, of equally near ones), and d2, its squared
-    distance; null where an image has no source. Exact at any distance.
-
-    The first pass is two windows along the columns; the second finds, for each row, the lower envelope of one parabola a column.
-    """
-    column = Window.partitionBy(*by, "x").orderBy("y")
-    at = F.when(source, c("y"))
-    up = F.last(at, True).over(column.rowsBetween(Window.unboundedPreceding, 0))
-    down = F.first(at, True).over(column.rowsBetween(0, Window.unboundedFollowing))
-    near = F.when(down.isNull() | (c("y") - up <= down - c("y")), up).otherwise(down)
-    row = df.select(*by, "y", "x", near.cast("int").alias("_sy")).groupBy(*by, "y").agg(F.sort_array(F.collect_list(F.struct(c("x").cast("int").alias("x"), "_sy"))).alias("_row"))
-    filled = F.array_sort(F.transform(F.filter("_row", lambda p: p["_sy"].isNotNull()), lambda p: F.struct(p["_sy"].alias("sy"), p["x"].alias("sx"))))
-    row = row.withColumn("_from", filled)
-    best = _best_columns(c("_row.x"), c("_from.sx"), F.transform("_from", lambda p: (c("y") - p["sy"]) * (c("y") - p["sy"])))
-    row = row.withColumn("_best", best).select(*by, "y", "_from", "_best", F.posexplode("_row").alias("_i", "_p"))
-    found = row.select(*by, "y", c("_p.x").alias("x"), F.get("_from", F.get("_best", c("_i"))).alias("_s"))
-    out = df.join(found, [*by, "y", "x"]).withColumns({"sy": c("_s.sy"), "sx": c("_s.sx")}).drop("_s")
+    distance; null where an image has no source. Exact at any distance, block by block."""
+    out = df.join(blocks.nearest_source(df, source, by), [*by, "y", "x"])
     return out.withColumn("d2", ((c("y") - c("sy")) * (c("y") - c("sy")) + (c("x") - c("sx")) * (c("x") - c("sx"))).cast("long"))
 
 
@@ -181,18 +140,14 @@ def squared_distance(df: DataFrame, source: Column, reach: int | None = None, by
 def components(df: DataFrame, eight: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """y, x, label of the given pixels; label is the smallest y * 2^20 + x of the component.
 
-    Horizontal runs are the nodes; a run links to the runs it touches in the row above. Labels fall to the smallest neighbour's
-    and then jump to their label's label, so the rounds grow with the logarithm of a component's length.
+    Each block labels its own pixels; labels that touch over a seam are linked. They fall to the smallest neighbour's and then jump to their
+    label's label, so the rounds grow with the logarithm of the number of blocks that a component goes through.
     """
-    row = Window.partitionBy(*by, "y").orderBy("x")
-    new = F.coalesce(c("x") - F.lag("x").over(row) > 1, F.lit(True))
-    runs = df.select(*by, "y", "x").withColumn("_n", F.sum(new.cast("int")).over(row))
-    runs = runs.withColumn("run", c("y") * (1 << 20) + F.min("x").over(Window.partitionBy(*by, "y", "_n"))).drop("_n")
-    pixels = cut(runs.withColumn("run", c("run").cast("long")))
-    above = pixels.select(*by, (c("y") + 1).alias("y"), F.explode(F.array(*[c("x") + i for i in ((-1, 0, 1) if eight else (0,))])).alias("x"), c("run").alias("other"))
-    links = pixels.join(above, [*by, "y", "x"]).select(*by, "run", "other").distinct()
+    pixels, links = blocks.local_labels(df, eight, by)
     links = cut(links.union(links.select(*by, "other", "run")))
-    labels = pixels.select(*by, "run").distinct().withColumn("label", c("run"))
+    if links.isEmpty():
+        return pixels.withColumnRenamed("run", "label")
+    labels = links.select(*by, "run").distinct().withColumn("label", c("run"))
     while True:
         low = links.join(labels.select(*by, c("run").alias("other"), c("label").alias("_l")), [*by, "other"]).groupBy(*by, "run").agg(F.min("_l").alias("_l"))
         moved = labels.join(low, [*by, "run"], "left").withColumn("_new", F.least("label", "_l"))
@@ -201,7 +156,7 @@ def components(df: DataFrame, eight: bool = False, by: tuple[str, ...] = ()) ->
         after = cut(after)
         labels = after.select(*by, "run", c("_to").alias("label"))
         if after.where("_to <> label").isEmpty():
-            return pixels.join(labels, [*by, "run"]).select(*by, "y", "x", "label")
+            return pixels.join(labels, [*by, "run"], "left").select(*by, "y", "x", F.coalesce("label", "run").alias("label"))
 
 
 def holes(df: DataFrame, mask: str, width: int, height: int, by: tuple[str, ...] = ()) -> DataFrame:
