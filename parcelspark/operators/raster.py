@@ -8,6 +8,8 @@ has a bounded side, so a window over a row or a column of one has too.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelspark.functions import geometry
+from parcelspark.functions.geo import segment_distance
 from parcelspark.operators import blocks
 from parcelspark.operators.tables import cut
 
@@ -178,12 +180,6 @@ def contours(labels: DataFrame, least: int, by: tuple[str, ...] = ()) -> DataFra
     return labels.join(large, [*by, "label"]).withColumn("_in", F.coalesce(all_, F.lit(False))).where(~c("_in")).select(*by, "y", "x", "label")
 
 
-def fill_boxes(boxes: DataFrame, key: str) -> DataFrame:
-    """y, x and key of every pixel of boxes (y0, x0, y1, x1, ends included)."""
-    rows = boxes.select(key, "x0", "x1", F.explode(F.sequence("y0", "y1")).alias("y"))
-    return rows.select(key, "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-
-
 def fill_ring(rings: DataFrame, key: str) -> DataFrame:
     """y, x and key of every pixel whose centre lies inside a ring (array of struct x, y; the last corner is the first).
 
@@ -201,10 +197,33 @@ def fill_ring(rings: DataFrame, key: str) -> DataFrame:
     return ends.select(key, "y", F.explode(F.sequence("x0", "x1")).alias("x")).distinct()
 
 
+def fill_polygons(shapes: DataFrame, key: str) -> DataFrame:
+    """y, x and key of every pixel whose centre lies in a polygon of the geometry (key, geometry in pixels), holes left out.
+
+    Sides go to the rows of pixels they cross; a row of a part fills between its first and second crossing, the third and fourth, and so on. So the work
+    follows sides times rows they cross, and a polygon of very many sides is spread over its rows.
+    """
+    parts = shapes.select(key, F.posexplode(F.filter("geometry.parts", lambda p: p["kind"] == "Polygon")).alias("_part", "_p"))
+    sides = parts.select(key, "_part", F.explode(F.flatten(F.transform("_p.rings", geometry.sides))).alias("q"))
+    low, high = F.least("q.a.y", "q.b.y"), F.greatest("q.a.y", "q.b.y")
+    y0, y1 = F.ceil(low), F.ceil(high) - 1  # a row that an end lies on belongs to the side above it
+    rows = sides.where(y0 <= y1).select(key, "_part", "q", F.explode(F.sequence(y0, y1)).alias("y"))
+    at = c("q.a.x") + (c("y") - c("q.a.y")) * (c("q.b.x") - c("q.a.x")) / (c("q.b.y") - c("q.a.y"))
+    rows = rows.groupBy(key, "_part", "y").agg(F.array_sort(F.collect_list(at)).alias("_at"))  # as many as a part's sides on one row
+    pairs = rows.select(key, "y", "_at", F.explode(F.sequence(F.lit(0), F.size("_at") - 2, F.lit(2))).alias("_i"))
+    ends = pairs.select(key, "y", F.ceil(F.get("_at", c("_i"))).alias("x0"), F.floor(F.get("_at", c("_i") + 1)).alias("x1")).where("x0 <= x1")
+    return ends.select(key, "y", F.explode(F.sequence("x0", "x1")).alias("x")).distinct()
+
+
+def draw_polylines(shapes: DataFrame, key: str, width: float) -> DataFrame:
+    """y, x and key of every pixel whose centre lies within width / 2 of a line of the geometry (key, geometry in pixels): ends and joints are round."""
+    parts = shapes.select(key, F.explode(F.filter("geometry.parts", lambda p: p["kind"] == "LineString")).alias("_p"))
+    sides = parts.select(key, F.explode(F.flatten(F.transform("_p.rings", geometry.sides))).alias("q"))
+    return draw_lines(sides.select(key, c("q.a.x").alias("ax"), c("q.a.y").alias("ay"), c("q.b.x").alias("bx"), c("q.b.y").alias("by")), key, width)
+
+
 def draw_lines(lines: DataFrame, key: str, width: float) -> DataFrame:
     """y, x and key of every pixel whose centre lies within width / 2 of a segment (ax, ay, bx, by)."""
-    from parcelspark.functions.geo import segment_distance
-
     half = width / 2
     lo = lambda a, b: F.ceil(F.least(a, b) - half).cast("int")
     hi = lambda a, b: F.floor(F.greatest(a, b) + half).cast("int")

@@ -1,5 +1,6 @@
 """Queries over footprints with real geometry: a stored WKB table with bbox, its parts, circles and boxes of it, pins and addresses that meet it."""
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from parcelspark.functions import geo
 from parcelspark.functions import geometry as G
 from parcelspark.operators import polygons
+from parcelspark.operators import raster as R
 from parcelspark.operators.tables import shared_folder
 from parcelspark.plans.vector import LAT, LON, RADIUS
 from parcelspark.sources import footprints as S
@@ -78,6 +80,21 @@ def address_first_hit(spark, d):
     return hits.groupBy("building_id").agg(F.min("address_id").alias("address_id"), F.count(F.lit(1)).alias("n_addresses"))
 
 
+#: Pixels a metre and pixels a tile of the drawn footprints, and the width of a wall in pixels.
+SCALE, TILE, WALL = 2.0, 256, 3.0
+
+
+def drawn_footprints(spark, d):
+    """Footprints filled, with their yards left out, and walls drawn, on tiles of a plane of half a metre a pixel: pixels by building and tile."""
+    k = geo.M_PER_DEG * math.cos(math.radians(LAT)) * SCALE
+    to = lambda x, y: ((x - LON) * k, (LAT - y) * (geo.M_PER_DEG * SCALE))
+    df = S.read(spark, stored(spark, d), keep=("building_id",)).select("building_id", G.moved(G.from_wkb(c("geometry")), to).alias("geometry"))
+    px = R.fill_polygons(df, "building_id").withColumn("kind", F.lit("filled")).unionByName(R.draw_polylines(df, "building_id", WALL).withColumn("kind", F.lit("drawn")))
+    tile = lambda v: F.floor(c(v) / TILE).cast("long")
+    out = px.groupBy("building_id", "kind", tile("y").alias("tile_y"), tile("x").alias("tile_x"))
+    return out.agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.pmod(c("y"), F.lit(TILE)) * TILE + F.pmod(c("x"), F.lit(TILE))).cast("long").alias("places"))
+
+
 # SQL over the corners of the same outlines
 
 SIDES = """, crn1 AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1, count(*) OVER (PARTITION BY building_id, part, ring) AS n FROM crn WINDOW w AS (PARTITION BY building_id, part, ring ORDER BY i)),
@@ -149,6 +166,12 @@ ORACLES = {
     "footprint_box": _sql(f"""SELECT 'b' || building_id AS id, building_id, round(min(x), 6) AS xmin, round(max(y), 6) AS ymax FROM crn GROUP BY building_id
       HAVING max(x) >= {BOX['xmin']}::DOUBLE AND min(x) <= {BOX['xmax']}::DOUBLE AND max(y) >= {BOX['ymin']}::DOUBLE AND min(y) <= {BOX['ymax']}::DOUBLE"""),
     "pins_in_footprints": PINS_IN_SQL,
+    "drawn_footprints": _sql(f"""SELECT building_id, kind, floor(y / {TILE}::DOUBLE)::BIGINT AS tile_y, floor(x / {TILE}::DOUBLE)::BIGINT AS tile_x, count(*) AS pixels, sum(((y % {TILE} + {TILE}) % {TILE}) * {TILE} + (x % {TILE} + {TILE}) % {TILE})::BIGINT AS places FROM (
+      SELECT DISTINCT building_id, 'filled' AS kind, y, x FROM (SELECT g.building_id, part, g.y, g.x FROM grid g JOIN e ON e.building_id = g.building_id AND e.kind LIKE '%Polygon' AND (e.y0 <= g.y) <> (e.y1 <= g.y) AND g.x < e.x0 + (g.y - e.y0) * (e.x1 - e.x0) / (e.y1 - e.y0) GROUP BY ALL HAVING count(*) % 2 = 1)
+      UNION ALL SELECT DISTINCT building_id, 'drawn', g.y, g.x FROM grid g JOIN e USING (building_id) WHERE e.kind LIKE '%LineString' AND {_to_segment('g.x', 'g.y', 'e.x0', 'e.y0', 'e.x1', 'e.y1')} <= {WALL / 2}) GROUP BY ALL""", SIDES + f""",
+ e AS (SELECT building_id, kind, part, (x0 - ({LON})::DOUBLE) * {geo.M_PER_DEG * math.cos(math.radians(LAT)) * SCALE!r}::DOUBLE AS x0, ({LAT}::DOUBLE - y0) * {geo.M_PER_DEG * SCALE}::DOUBLE AS y0, (x1 - ({LON})::DOUBLE) * {geo.M_PER_DEG * math.cos(math.radians(LAT)) * SCALE!r}::DOUBLE AS x1, ({LAT}::DOUBLE - y1) * {geo.M_PER_DEG * SCALE}::DOUBLE AS y1 FROM sd),
+ ext AS (SELECT building_id, floor(min(least(x0, x1)) - 2)::BIGINT AS xa, ceil(max(greatest(x0, x1)) + 2)::BIGINT AS xb, floor(min(least(y0, y1)) - 2)::BIGINT AS ya, ceil(max(greatest(y0, y1)) + 2)::BIGINT AS yb FROM e GROUP BY building_id),
+ grid AS (SELECT building_id, y, unnest(range(xa, xb + 1)) AS x FROM (SELECT building_id, xa, xb, unnest(range(ya, yb + 1)) AS y FROM ext))"""),
     "address_first_hit": _address_sql(),
 }
 QUERIES = {n: globals()[n] for n in ORACLES}

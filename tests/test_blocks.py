@@ -79,3 +79,28 @@ def test_no_window_runs_along_a_whole_column(spark):
     for out in (raster.box_sums(df, at, 3, "n"), raster.morph(df, "n", F.max, "e"), raster.gauss_sums(df, at, "n")):
         windows = [x for x in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [" in x]
         assert windows and all("_block" in x for x in windows)
+
+
+def test_polygons_with_holes_and_lines_with_joints(spark):
+    from parcelspark.functions.geometry import GEOMETRY
+
+    r = random.Random(9)
+    shift = lambda ring, x, y: [(a + x, b + y) for a, b in ring]
+    u = [(0.3, 0.2), (20.3, 0.2), (20.3, 15.1), (14.1, 15.1), (14.1, 5.7), (6.2, 5.7), (6.2, 15.1), (0.3, 15.1), (0.3, 0.2)]
+    tri, hole = [(-30.2, -4.4), (-8.1, 9.3), (-19.7, 18.6), (-30.2, -4.4)], [(-22.3, 5.2), (-18.4, 7.9), (-20.1, 11.3), (-22.3, 5.2)]
+    lines = [[(r.uniform(-40, 40), r.uniform(-40, 40)) for _ in range(4)] for _ in range(2)]
+    shapes = {1: ("MultiPolygon", [("Polygon", [u]), ("Polygon", [tri, hole])]), 2: ("Polygon", [("Polygon", [shift(u, 3.4, 2.2)])]), 3: ("MultiLineString", [("LineString", [x]) for x in lines]), 4: ("Point", [("Point", [[(1.0, 1.0)]])]), 5: ("Polygon", [])}
+    df = spark.createDataFrame(list(shapes.items()), f"key int, geometry {GEOMETRY}")
+    grid = [(y, x) for y in range(-45, 46) for x in range(-45, 46)]
+    pairs = lambda ring: list(zip(ring, ring[1:], strict=False))
+    odd = lambda rings, y, x: sum((a[1] <= y) != (b[1] <= y) and x < a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for ring in rings for a, b in pairs(ring)) % 2
+
+    def far(p, a, b):
+        v, q = (b[0] - a[0], b[1] - a[1]), (p[0] - a[0], p[1] - a[1])
+        t = max(0, min(1, (v[0] * q[0] + v[1] * q[1]) / (v[0] ** 2 + v[1] ** 2)))
+        return ((q[0] - t * v[0]) ** 2 + (q[1] - t * v[1]) ** 2) ** 0.5
+
+    filled = {(k, y, x) for k, (_, parts) in shapes.items() for y, x in grid if any(kind == "Polygon" and odd(rings, y, x) for kind, rings in parts)}
+    assert {(p["key"], p["y"], p["x"]) for p in raster.fill_polygons(df, "key").collect()} == filled and len(filled) > 500
+    drawn = {(3, y, x) for y, x in grid if any(far((x, y), a, b) <= 1.5 for line in lines for a, b in pairs(line))}
+    assert {(p["key"], p["y"], p["x"]) for p in raster.draw_polylines(df, "key", 3.0).collect()} == drawn
