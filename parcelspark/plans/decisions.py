@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from parcelspark.functions import geo
 from parcelspark.operators import raster as R
 from parcelspark.operators import spatial
+from parcelspark.operators.sequence import in_turn
 from parcelspark.operators.tables import cut
 from parcelspark.plans import vector as X
 from parcelspark.plans.raster import EXG, VEG, box_sql, components_sql, size, source_sql
@@ -83,6 +84,54 @@ def outlier_fix_round(spark, d):
     return df.where(c("many") & (c("n") >= 4) & (c("norm") > 0.6) & ((c("ux") * c("mx") + c("uy") * c("my")) / c("norm") < -0.7)).select("building_id", r(c("mx") / c("norm"), 4).alias("ux"), r(c("my") / c("norm"), 4).alias("uy"))
 
 
+def fix_outliers(dirs, links):
+    """building_id and new direction of the buildings that oppose (dot < -0.7) the mean (longer than 0.6) of at least four neighbours (links:
+    building_id, other), one after the other in place; directions by address or driveway stand, and so do tables of ten buildings or fewer."""
+
+    def decide(rows, seen):
+        mean = seen.groupBy("building_id").agg(F.count(F.lit(1)).alias("n"), r(F.avg("ux"), 9).alias("mx"), r(F.avg("uy"), 9).alias("my"))
+        df = rows.join(mean, "building_id").withColumn("norm", F.sqrt(c("mx") * c("mx") + c("my") * c("my")))
+        df = df.where(~c("source").isin("address", "driveway") & (c("n") >= 4) & (c("norm") > 0.6) & (r((c("ux") * c("mx") + c("uy") * c("my")) / c("norm"), 9) < -0.7))
+        return df.select("building_id", r(c("mx") / c("norm"), 9).alias("ux"), r(c("my") / c("norm"), 9).alias("uy"))
+
+    if dirs.count() <= 10:
+        return dirs.select("building_id", "ux", "uy").limit(0)
+    return in_turn(dirs, links, "building_id", ("ux", "uy"), decide)
+
+
+def outlier_fix(spark, d):
+    """Directions after one pass over the buildings in their order: neighbours are the nine nearest within 40 m."""
+    near = X.neighbours(spark, d).select("building_id", c("r_building_id").alias("other"), "distance_m").where("distance_m < 40")
+    links = spatial.ranked(near, "building_id", 9, "distance_m", "other").select("building_id", "other")
+    return fix_outliers(directions(spark, d).select("building_id", "ux", "uy", "source"), links).select("building_id", r("ux", 4).alias("ux"), r("uy", 4).alias("uy"))
+
+
+def flip_by_neighbours(dirs, links):
+    """building_id of the buildings whose two pins change labels: two or more neighbours face another way (dot <= 0) and none the same, one after the
+    other in place; a building that is `fixed` stands."""
+
+    def decide(rows, seen):
+        near = seen.select("building_id", c("dx").alias("ox"), c("dy").alias("oy")).join(rows, "building_id")
+        same = r(c("dx") * c("ox") + c("dy") * c("oy"), 9) > 0
+        flips = near.where(~c("fixed")).groupBy("building_id").agg(F.count_if(same).alias("agree"), F.count_if(~same).alias("disagree")).where("disagree >= 2 and agree = 0")
+        return rows.join(flips, "building_id").select("building_id", (-c("dx")).alias("dx"), (-c("dy")).alias("dy"))
+
+    return in_turn(dirs, links, "building_id", ("dx", "dy"), decide).select("building_id")
+
+
+def neighbour_flips(spark, d):
+    """Buildings of which both pins have a score, from the back pin to the front one; neighbours are within 20 m, middle to middle. Labels that the
+    address has put right stand."""
+    df = X.pivoted(spark, d).where("front_score > 0 and back_score > 0")
+    x, y = geo.plane(c("front_lat"), c("front_lon"), c("back_lat"), c("back_lon"))
+    df = df.withColumns({"n": F.sqrt(x * x + y * y), "lat": (c("front_lat") + c("back_lat")) / 2, "lon": (c("front_lon") + c("back_lon")) / 2}).where("n > 0.0001")
+    dirs = cut(df.select("building_id", "lat", "lon", r(x / c("n"), 9).alias("dx"), r(y / c("n"), 9).alias("dy")))
+    near = spatial.range_join(dirs, dirs.select("building_id", "lat", "lon"), 20.0, r(X._plane(c("lat"), c("lon"), c("r_lat"), c("r_lon")), 4)).where("building_id <> r_building_id")
+    put_right = address_label_fix(spark, d).withColumn("fixed", F.lit(True))
+    dirs = dirs.join(put_right, "building_id", "left").select("building_id", "dx", "dy", F.coalesce("fixed", F.lit(False)).alias("fixed"))
+    return flip_by_neighbours(dirs, near.select("building_id", c("r_building_id").alias("other")))
+
+
 def road_verify(spark, d):
     """Directions by address that point away (dot < 0.3) from the nearest road of all take the direction to that."""
     best = X.nearest_segment(V.buildings(spark, d), V.roads(spark, d), "building_id").where("distance_m > 0.1")
@@ -223,4 +272,4 @@ ORACLES = {
     "claim_disc": oracle("px", "SELECT y, x, d2 FROM nd WHERE d2 <= 25", source_sql("r > 215")),
     "grass_ladder": oracle("pin", "SELECT building_id, pin_id, tier::INT AS tier FROM (SELECT p.building_id, s.pin_id, CASE WHEN to_edge >= 4.5 AND garden_m2 >= 5 AND density > 0.1::DOUBLE THEN 1 WHEN garden_m2 >= 5 AND density > 0.1::DOUBLE THEN 2 WHEN density > 0.05::DOUBLE THEN 3 ELSE 4 END AS tier FROM s JOIN pin p USING (pin_id) WHERE s.surface_type = 'grass') QUALIFY tier = min(tier) OVER (PARTITION BY building_id)", X.SCORE_IN),
 }
-QUERIES = {n: globals()[n] for n in ORACLES} | {"greedy_claims": greedy_claims}
+QUERIES = {n: globals()[n] for n in ORACLES} | {"greedy_claims": greedy_claims, "outlier_fix": outlier_fix, "neighbour_flips": neighbour_flips}
