@@ -1,5 +1,6 @@
 """Queries of the front/back decisions: directions, sides, corrections and placement."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from parcelspark.functions import geo
@@ -188,14 +189,40 @@ def geocode_cascade(spark, d):
     """The first strategy that finds a point inside the country: own building, own street, routing key, area of that number, middle of the country."""
     b = V.buildings(spark, d)
     q = V.table(spark, d, "orders").select(c("o_orderkey").alias("id"), (c("o_custkey") * 2).alias("building_id"), F.concat(F.lit("street "), (c("o_orderkey") % 40).cast("string")).alias("street_key"), F.concat(F.lit("D"), F.lpad((c("o_orderkey") % 37).cast("string"), 2, "0")).alias("key"), (c("o_orderkey") % 50).alias("area_id"))
-    keys = F.broadcast(spark.createDataFrame([(k, v[0]) for k, v in ROUTING.items()], "key string, k_lat double"))  # a fixed table of 22 rows
-    found = (("building", b.select("building_id", r("lat", 6).alias("b_lat")), "building_id", "b_lat"), ("street", b.groupBy("street_key").agg(r(F.avg("lat"), 6).alias("s_lat")), "street_key", "s_lat"), ("routing_key", keys, "key", "k_lat"), ("area", V.areas(spark, d).select("area_id", r("lat", 6).alias("a_lat")), "area_id", "a_lat"))
-    how, lat = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for name, table, on, col in found:
+    keys = F.broadcast(spark.createDataFrame([(k, *v) for k, v in ROUTING.items()], "key string, k_lat double, k_lon double"))  # a fixed table of 22 rows
+    at = lambda df, on, lat, lon, n: df.select(on, r(lat, 6).alias(f"{n}_lat"), r(lon, 6).alias(f"{n}_lon"))
+    streets = b.groupBy("street_key").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    found = (("building", at(b, "building_id", "lat", "lon", "b"), "building_id", "b"), ("street", at(streets, "street_key", "lat", "lon", "s"), "street_key", "s"), ("routing_key", keys, "key", "k"), ("area", at(V.areas(spark, d), "area_id", "lat", "lon", "a"), "area_id", "a"))
+    point = F.lit(None).cast("struct<strategy:string,lat:double,lon:double>")
+    for name, table, on, n in found:
         q = q.join(table, on, "left")
-        valid = c(col).between(*COUNTRY[:2])
-        how, lat = F.coalesce(how, F.when(valid, name)), F.coalesce(lat, F.when(valid, c(col)))
-    return q.select("id", F.coalesce(how, F.lit("country")).alias("strategy"), F.coalesce(lat, F.lit(53.35)).alias("lat"))
+        hit = F.struct(F.lit(name).alias("strategy"), c(f"{n}_lat").alias("lat"), c(f"{n}_lon").alias("lon"))
+        point = F.coalesce(point, F.when(c(f"{n}_lat").between(*COUNTRY[:2]) & c(f"{n}_lon").between(*COUNTRY[2:]), hit))
+    middle = F.struct(F.lit("country").alias("strategy"), F.lit(53.35).alias("lat"), F.lit(-7.8).alias("lon"))
+    return q.select("id", F.coalesce(point, middle).alias("p")).select("id", "p.strategy", "p.lat", "p.lon")
+
+
+#: How many answers of each strategy are looked at.
+MOST_ANSWERS = {1: 1, 2: 5, 3: 10, 4: 6}
+
+
+def geocode_first_valid(spark, d):
+    """Of the answers of each strategy the first ones, in their order; the first of these, strategy by strategy, that lies in the country and within 15 km
+    of the request's routing key (unknown keys pass); else the point of the key, as an approximation, if it is known."""
+    names = F.array(*[F.lit(k) for k in [*ROUTING, "X99", "Z00"]])
+    keys = F.broadcast(spark.createDataFrame([(k, *v) for k, v in ROUTING.items()], "key string, k_lat double, k_lon double"))  # a fixed table of 22 rows
+    spots = F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(o).alias("lon")) for a, o in ROUTING.values()])
+    l = V.table(spark, d, "lineitem").select(c("l_suppkey").cast("long").alias("id"), c("l_orderkey").cast("long").alias("o"), c("l_linenumber").cast("long").alias("n"), c("l_partkey").cast("long").alias("p"))  # noqa: E741
+    spot = F.element_at(spots, (c("p") % len(ROUTING) + 1).cast("int"))
+    l = l.select("id", (1 + c("n") % 4).cast("int").alias("strategy"), "o", "n", "p", F.when(c("o") % 13 == 0, 48.0).otherwise(spot["lat"] + (c("o") % 41 - 20) / 100.0).alias("lat"), (spot["lon"] + (c("p") % 31 - 15) / 100.0).alias("lon"))
+    most = F.element_at(F.create_map(*[F.lit(x) for kv in MOST_ANSWERS.items() for x in kv]), c("strategy"))
+    l = l.withColumn("rank", F.row_number().over(Window.partitionBy("id", "strategy").orderBy("o", "n", "p"))).where((c("rank") <= most) & (c("rank") <= max(MOST_ANSWERS.values())))
+    asked = V.table(spark, d, "supplier").select(c("s_suppkey").cast("long").alias("id")).withColumn("key", F.element_at(names, (c("id") % (len(ROUTING) + 2) + 1).cast("int"))).join(keys, "key", "left")
+    y, x = F.abs(c("lat") - c("k_lat")) * 111000.0, F.abs(c("lon") - c("k_lon")) * 111000.0 * 0.6
+    valid = c("lat").between(*COUNTRY[:2]) & c("lon").between(*COUNTRY[2:]) & (c("k_lat").isNull() | (r(F.sqrt(y * y + x * x), 3) < 15000))
+    best = asked.join(l, "id").where(valid).groupBy("id").agg(F.min_by(F.struct("strategy", "rank", "lat", "lon"), F.struct("strategy", "rank")).alias("b"))
+    out = asked.join(best, "id", "left").select("id", "key", "b.strategy", "b.rank", F.coalesce("b.lat", "k_lat").alias("lat"), F.coalesce("b.lon", "k_lon").alias("lon"), (c("b").isNull() & c("k_lat").isNotNull()).alias("approximate"))
+    return out.withColumns({"lat": r("lat", 6), "lon": r("lon", 6)})
 
 
 def driveway_override(spark, d):
@@ -265,8 +292,13 @@ ORACLES = {
     "specific_building_pin": oracle("bld road pin", "SELECT building_id, garden_type, pin_id, score FROM off WHERE sqrt(x * x + y * y) <= 10 QUALIFY row_number() OVER (PARTITION BY building_id, garden_type ORDER BY score DESC, pin_id) = 1", OFF),
     "route_key_check": oracle("bld", f"SELECT building_id, key, lat BETWEEN 51.3 AND 55.5 AND lon BETWEEN -10.7 AND -5.3 AND (k_lat IS NULL OR sqrt(power(abs(lat - k_lat) * 111000::DOUBLE, 2) + power(abs(lon - k_lon) * 111000::DOUBLE * 0.6::DOUBLE, 2)) < 15000) AS plausible FROM q LEFT JOIN keys USING (key)",
       f", keys(key, k_lat, k_lon) AS (VALUES {', '.join(f'({k!r}, {a}::DOUBLE, {b}::DOUBLE)' for k, (a, b) in ROUTING.items())}), q AS (SELECT building_id, lat, lon + (building_id % 9 - 4) * 0.05::DOUBLE AS lon, ({[*ROUTING, 'X99', 'Z00']})[(building_id % {len(ROUTING) + 2} + 1)::INT] AS key FROM bld)"),
-    "geocode_cascade": oracle("bld area", "SELECT id, CASE WHEN b.lat IS NOT NULL THEN 'building' WHEN s_lat IS NOT NULL THEN 'street' WHEN k_lat IS NOT NULL THEN 'routing_key' WHEN a.lat IS NOT NULL THEN 'area' ELSE 'country' END AS strategy, coalesce(round(b.lat, 6), s_lat, k_lat, round(a.lat, 6), 53.35::DOUBLE) AS lat FROM q LEFT JOIN bld b USING (building_id) LEFT JOIN (SELECT street_key, round(avg(lat), 6) AS s_lat FROM bld GROUP BY 1) s ON s.street_key = q.street_key LEFT JOIN keys USING (key) LEFT JOIN area a ON a.area_id = q.area_id",
-      f", keys(key, k_lat) AS (VALUES {', '.join(f'({k!r}, {v[0]}::DOUBLE)' for k, v in ROUTING.items())}), q AS (SELECT o_orderkey AS id, o_custkey * 2 AS building_id, 'street ' || (o_orderkey % 40) AS street_key, 'D' || lpad((o_orderkey % 37)::VARCHAR, 2, '0') AS key, o_orderkey % 50 AS area_id FROM orders)"),
+    "geocode_cascade": oracle("bld area", "SELECT id, CASE WHEN b.lat IS NOT NULL THEN 'building' WHEN s_lat IS NOT NULL THEN 'street' WHEN k_lat IS NOT NULL THEN 'routing_key' WHEN a.lat IS NOT NULL THEN 'area' ELSE 'country' END AS strategy, coalesce(round(b.lat, 6), s_lat, k_lat, round(a.lat, 6), 53.35::DOUBLE) AS lat, coalesce(round(b.lon, 6), s_lon, k_lon, round(a.lon, 6), -7.8::DOUBLE) AS lon FROM q LEFT JOIN bld b USING (building_id) LEFT JOIN (SELECT street_key, round(avg(lat), 6) AS s_lat, round(avg(lon), 6) AS s_lon FROM bld GROUP BY 1) s ON s.street_key = q.street_key LEFT JOIN keys USING (key) LEFT JOIN area a ON a.area_id = q.area_id",
+      f", keys(key, k_lat, k_lon) AS (VALUES {', '.join(f'({k!r}, {v[0]}::DOUBLE, {v[1]}::DOUBLE)' for k, v in ROUTING.items())}), q AS (SELECT o_orderkey AS id, o_custkey * 2 AS building_id, 'street ' || (o_orderkey % 40) AS street_key, 'D' || lpad((o_orderkey % 37)::VARCHAR, 2, '0') AS key, o_orderkey % 50 AS area_id FROM orders)"),
+    "geocode_first_valid": f"""WITH keys(i, key, k_lat, k_lon) AS (VALUES {', '.join(f'({i}, {k!r}, {a}::DOUBLE, {b}::DOUBLE)' for i, (k, (a, b)) in enumerate(ROUTING.items()))}),
+      q AS (SELECT s_suppkey::BIGINT AS id, ({[*ROUTING, 'X99', 'Z00']})[(s_suppkey % {len(ROUTING) + 2} + 1)::INT] AS key FROM supplier), m(strategy, most) AS (VALUES {', '.join(map(str, MOST_ANSWERS.items()))}),
+      l AS (SELECT l_suppkey AS id, (1 + l_linenumber % 4)::INT AS strategy, row_number() OVER (PARTITION BY l_suppkey, l_linenumber % 4 ORDER BY l_orderkey, l_linenumber, l_partkey)::INT AS rank, CASE WHEN l_orderkey % 13 = 0 THEN 48 ELSE k_lat + (l_orderkey % 41 - 20) / 100::DOUBLE END AS lat, k_lon + (l_partkey % 31 - 15) / 100::DOUBLE AS lon FROM lineitem JOIN keys ON i = l_partkey % {len(ROUTING)}),
+      v AS (SELECT q.id, q.key, l.strategy, rank, lat, lon FROM q LEFT JOIN keys k ON k.key = q.key JOIN l ON l.id = q.id JOIN m ON m.strategy = l.strategy WHERE rank <= most AND lat BETWEEN 51.3 AND 55.5 AND lon BETWEEN -10.7 AND -5.3 AND (k_lat IS NULL OR round(sqrt(power(abs(lat - k_lat) * 111000::DOUBLE, 2) + power(abs(lon - k_lon) * 111000::DOUBLE * 0.6::DOUBLE, 2)), 3) < 15000) QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY l.strategy, rank) = 1)
+      SELECT q.id, q.key, strategy, rank, round(coalesce(lat, k_lat), 6) AS lat, round(coalesce(lon, k_lon), 6) AS lon, strategy IS NULL AND k_lat IS NOT NULL AS approximate FROM q LEFT JOIN v USING (id) LEFT JOIN keys k ON k.key = q.key""",
     "driveway_override": oracle("px", "SELECT y, x, CASE WHEN g < 100 THEN 0 WHEN d2 < 25 THEN 1 WHEN g > 140 THEN 2 ELSE 3 END AS class FROM px JOIN nd USING (y, x)", source_sql("r + b > 340")),
     "shade_recovery": oracle("px", "SELECT y, x FROM px JOIN vg USING (y, x) JOIN (SELECT y, x, n AS near FROM bs) USING (y, x) WHERE n = 0 AND near > 0.15::DOUBLE * 2601 AND r <= 190 AND b <= 190 AND (r * 299 + g * 587 + b * 114) / 1000::DOUBLE < 120", VEG + box_sql("bs", "vg", 25, "n")),
     "claim_disc": oracle("px", "SELECT y, x, d2 FROM nd WHERE d2 <= 25", source_sql("r > 215")),

@@ -77,9 +77,9 @@ def job_rows(spark, d):
 
 
 def area_limit(spark, d):
-    """Areas whose box has more than 0.5 km2 are refused, with the reason."""
-    km2 = r(F.pow(c("radius_m") * 2 / 1000.0, F.lit(2.0)), 4)
-    return V.areas(spark, d).select("area_id", km2.alias("km2"), F.when(km2 > 0.5, F.format_string("area of %.2f km2 is above the limit", km2)).alias("error"))
+    """Areas a hundred times as wide whose box has more than 10,000 km2 are refused, with the reason."""
+    km2 = r(F.pow(c("radius_m") * 200 / 1000.0, F.lit(2.0)), 4)
+    return V.areas(spark, d).select("area_id", km2.alias("km2"), F.when(km2 > 10000, F.format_string("Area too large (%.0f km2). Maximum is 10,000 km2.", km2)).alias("error"))
 
 
 def area_lookup(spark, d):
@@ -110,7 +110,7 @@ ORACLES = {
     "ring_pixels": oracle("bld", f"SELECT building_id, 4 AS corners, round((ymin + ymin + ymax + ymax) / 4, 6) AS lat, round((xmin + xmax + xmax + xmin) / 4, 6) AS lon, {_corner('xmin', 'ymin')} || ',' || {_corner('xmax', 'ymin')} || ',' || {_corner('xmax', 'ymax')} || ',' || {_corner('xmin', 'ymax')} AS ring_px FROM bld"),
     "tile_results": oracle("prog", "SELECT task_id % 25 AS area_id, count(*) FILTER (status <> 'error') AS success, count(*) FILTER (status = 'error') AS failed, count(*) FILTER (seq IN (SELECT seq FROM prog WHERE status = 'error' ORDER BY seq LIMIT 5)) AS logged FROM prog GROUP BY 1"),
     "job_rows": oracle("prog", "SELECT task_id, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1000000::DOUBLE, 1) AS elapsed_s, count(*) AS message_count, arg_max(status, seq) IN ('complete', 'error') AS done FROM prog WHERE task_id IS NOT NULL GROUP BY task_id"),
-    "area_limit": oracle("area", "SELECT area_id, km2, CASE WHEN km2 > 0.5 THEN printf('area of %.2f km2 is above the limit', km2) END AS error FROM (SELECT area_id, round(power(radius_m * 2 / 1000, 2), 4) AS km2 FROM area)"),
+    "area_limit": oracle("area", "SELECT area_id, km2, CASE WHEN km2 > 10000 THEN printf('Area too large (%.0f km2). Maximum is 10,000 km2.', km2) END AS error FROM (SELECT area_id, round(power(radius_m * 200 / 1000, 2), 4) AS km2 FROM area)"),
     "area_lookup": oracle("area", "SELECT request, area_id, CASE WHEN zoom IS NULL THEN 'compute' WHEN zoom = want THEN 'exact' ELSE 'reduced' END AS how FROM (SELECT w.*, a.area_id, a.zoom, a.created_at FROM (SELECT area_id AS request, lat, lon, zoom + area_id % 3 - 1 AS want FROM area) w LEFT JOIN area a ON round(a.lat, 5) = round(w.lat, 5) AND round(a.lon, 5) = round(w.lon, 5) AND a.zoom <= want) QUALIFY row_number() OVER (PARTITION BY request ORDER BY CASE WHEN zoom = want THEN 0 ELSE 1 END, created_at, area_id) = 1"),
 }
 QUERIES = {n: globals()[n] for n in ORACLES}
