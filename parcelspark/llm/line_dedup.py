@@ -8,7 +8,8 @@ hash of the text, so rows of one doc_id, or of none, keep their own lines; rows
 
 The hash is 128 bits wide (a 64-bit hash of the key, and one that a number before the key gives another seed), so that 10^12 distinct lines don't collide.
 
-Defined results: null or empty text is one empty line and stays; null doc_ids count as one document, after all others; rows with
+Defined results: null or empty text is one empty line and stays; a very long text is exploded line by line, and put together again by one task; of equal
+keys (ties) all lines of the smallest doc_id stay; null doc_ids count as one document, after all others; rows with
 the same doc_id are one document as to counting, so a line of one never drops that of another; an empty table gives an empty table; other
 columns are carried along. Lines whose key has fewer than min_chars code points always stay.
 """

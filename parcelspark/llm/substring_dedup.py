@@ -7,14 +7,15 @@ fixed size that goes to all tasks. A false bit costs time, never a result.
 
 Edges that pass are compacted on the map side first: of equal edges within a task only the earliest source coordinate travels,
 the others are already decided. The rest meet by edge hash; the smallest (doc_id, position) of an edge keeps its words and every
-other coordinate is removed. Back at the documents, runs of removed edges join into spans; in the graph these are the
-nonbranching paths, since each edge of a run follows the one before it in both sources.
+other coordinate is removed. Back at the documents, runs of removed edges join into spans. A run may hold edges of several sources, so spans
+are those of the text, not of the graph: degrees of nodes are never worked out.
 
 Every row is a source of its own. Where a doc_id stands in more than one row (or is null), a hash of the text tells the rows apart:
 coordinates are (doc_id, hash, position), and rows that agree in both are copies, of which one is the source and the others lose
 all their windows. Which doc_ids those are is a table of bits of fixed size; a false bit costs space, never a result.
 
-Defined results: null or empty text has no words; texts shorter than k words lose nothing; null doc_ids come after all others;
+Defined results: null or empty text has no words; texts shorter than k words lose nothing; a very long text is hashed as a whole by one task, and its
+windows travel as those of any other; of equal windows (ties) the smallest (doc_id, hash, position) stays; null doc_ids come after all others;
 rows with the same doc_id count as one source each, in the order of a 64-bit hash of their text; an empty table gives an empty table; other columns
 are left behind by remove_spans' query form and carried along otherwise.
 """

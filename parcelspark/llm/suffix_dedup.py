@@ -15,7 +15,8 @@ earliest coordinate stays.
 
 A minimizer with very many different stretches is dealt out once more by the bytes of each window, so no group is unbounded.
 
-Defined results: null or empty text has no bytes; texts shorter than k bytes lose nothing; matches never cross rows; null doc_ids
+Defined results: null or empty text has no bytes; texts shorter than k bytes lose nothing; very long texts are screened in pieces of PIECE bytes that
+overlap by k - 1, so no window is lost at a seam; of equal strings (ties) the smallest (doc_id, hash, position) stays; matches never cross rows; null doc_ids
 come after all others; rows with the same doc_id are one source each, in the order of a 64-bit hash of their text, and of rows that
 agree in both one is the source and the others lose all their windows (see substring_dedup); an empty table gives an
 empty table; other columns are carried along, except that the added columns replace any of the same name.

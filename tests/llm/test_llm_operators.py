@@ -563,3 +563,50 @@ def test_texts_without_doc_ids_are_fetched_one_by_one(spark):
         assert got.count() == 100 and {r["text"] for r in got.collect()} == set(texts)
         assert jaccard_join.drop_near_copies(df, n=5, pct=80).count() == 50
         assert jaccard_join.drop_near_copies(df, n=5, pct=80, deal="rare").count() == 50
+
+
+def test_very_long_texts_cross_pieces(spark, monkeypatch):
+    """Texts of more than 2^20 characters, with a repeat that lies over the seam of two pieces."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    long_ = " ".join(word() for _ in range(200000))
+    assert len(long_) > suffix_dedup.PIECE == language_id.PIECE == 1 << 20
+    seam = long_[suffix_dedup.PIECE - 130 : suffix_dedup.PIECE + 120]
+    rows = [(1, long_), (2, f"{word()} {seam} {word()}"), (3, word())]
+    got = {x["doc_id"]: (x["n_removed"], x["n_spans"]) for x in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_removed", "n_spans").collect()}
+    assert got[1] == got[3] == (0, 0) and got[2][1] == 1 and 250 <= got[2][0] <= 252
+    model = language_id.train(spark.createDataFrame([(i, t, lang) for i in range(8) for t, lang in (("the cat and the dog sat", "en"), ("der hund und die katze", "de"))], "doc_id long, text string, lang string"))
+    texts = [(1, "the cat and the dog " * 60000), (2, " " * (1 << 20) + "der hund und die katze"), (3, "1 " * (1 << 20))]
+    out = {x["doc_id"]: x["lang_pred"] for x in language_id.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert out == {1: "en", 2: "de", 3: "und"}
+
+
+def test_lm_scoring_of_clashing_columns(docs, clash):
+    cols = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    assert by_id(lm_scoring.score_documents(clash, _remainder(7) == 2), *cols) == by_id(lm_scoring.score_documents(docs, _remainder(7) == 2), *cols)
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_pipeline_of_odd_rows(spark, tmp_path, rows, kind):
+    """Null and repeated doc_ids, rows that stand twice, columns with names that operators use; and a table without rows."""
+    import corpus_pipeline
+
+    odd = [*rows[:20], *rows[:3], (None, rows[5][1], "a", "s0", 1), (None, rows[6][1] + " and more of it", "b", None, 2), (7, rows[8][1], "a", "s1", 3), (None, None, None, None, None)] if kind == "odd" else []
+    odd = [(r[0], r[1], r[2] and "a", *r[3:]) for r in odd]  # one language, which nothing can be taken for another
+    df = spark.createDataFrame(odd, SCHEMA).withColumns({c: F.lit("x") for c in ("size", "node", "kept", "_id", "copies", "component")})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, rows[0][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before, columns = {r["text"] for r in docs.select("text").collect()} if name != "token_output" else set(), docs.columns
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        n, docs = docs.count(), spark.read.parquet(f"{tmp_path}/{name}")
+        if name == "token_output":
+            assert docs.count() == n
+        else:
+            assert docs.columns == columns and {r["text"] for r in docs.select("text").collect()} <= before
+        if name == "near_copies" and odd:
+            texts = [r["text"] for r in docs.collect()]
+            assert len(texts) == len(set(texts)) and rows[5][1] in texts
+    assert (docs.count() > 0) == (kind == "odd")
