@@ -228,23 +228,27 @@ def _lists(batches):
 
 
 def _flagged(shared):
-    """The documents whose bit is set; equal rows of a batch once."""
+    """The documents whose bit is set; equal rows of a task once, as far as it remembers them."""
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            batch = batch[has_bit(shared.value, batch["hash"].to_numpy().view(np.uint64))]
-            yield batch.drop_duplicates(["_id", "_sub"])[["_id", "_sub", "text"]]
+            batch = batch[has_bit(shared.value, batch["hash"].to_numpy().view(np.uint64))].drop_duplicates("hash")
+            batch = batch[~batch["hash"].isin(seen)]
+            if len(seen) > REMEMBER:
+                seen.clear()
+            seen.update(batch["hash"].tolist())
+            yield batch[["_id", "_sub", "text"]]
 
     return run
 
 
 def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """node and text of the wanted nodes (node, _id, _sub), one row each, from docs (_id, text): documents are found by their own number and the hash of
-    their text, so rows without a doc_id don't all meet each other."""
+    """node and text of the wanted nodes (node, _id, _sub) from docs (_id, text): documents are found by their own number and the hash of
+    their text, so rows without a doc_id don't all meet each other; equal rows come once a task."""
     key = F.xxhash64("_id", "_sub").alias("hash")
     table = wanted.sparkSession.sparkContext.broadcast(bit_table(wanted.select(key), TABLE_BITS))
     texts = docs.withColumn("_sub", F.xxhash64("text")).select(key, "_id", "_sub", "text").mapInPandas(_flagged(table), "_id long, _sub long, text string")
-    texts = texts.groupBy("_id", "_sub").agg(F.first("text").alias("text"))
     return wanted.select("node", "_id", "_sub").join(texts, ["_id", "_sub"]).select("node", "text")
 
 

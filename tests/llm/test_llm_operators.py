@@ -552,11 +552,11 @@ def test_second_hash_does_not_follow_from_the_first(spark):
 
 
 def test_texts_without_doc_ids_are_fetched_one_by_one(spark):
-    """As many texts go into the groups as there are candidates, whether they have ids, none, or one and the same; equal rows go once."""
+    """As many texts go into the groups as there are candidates, whether they have ids, none, or one and the same; equal rows of a task go once."""
     base = [f"{w} " + " ".join(f"{w}{k}" for k in range(30)) for w in (f"p{i}" for i in range(50))]
     texts = [t for b in base for t in (b, b + " more")]
     for ids in (range(100), [None] * 100, [7] * 100):
-        df = spark.createDataFrame([(i, t) for i, t in zip(ids, texts, strict=True)] * 2, "doc_id long, text string")
+        df = spark.createDataFrame([(i, t) for i, t in zip(ids, texts, strict=True) for _ in range(2)], "doc_id long, text string").coalesce(1)
         slim = df.select(F.coalesce("doc_id", F.lit(jaccard_join.LAST)).alias("_id"), "text")
         wanted = slim.select("_id", F.xxhash64("text").alias("_sub")).distinct().withColumn("node", F.xxhash64("_id", "_sub"))
         got = jaccard_join.texts_of(wanted, slim)
