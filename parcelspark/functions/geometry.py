@@ -246,9 +246,9 @@ def total(array: Column) -> Column:
 
 
 def part_area(part: Column) -> Column:
-    """Area of the outer ring less those of the holes; 0 for what isn't a polygon."""
+    """Area of the outer ring less those of the holes; 0 for what isn't a polygon, null for no part."""
     areas = F.transform(part["rings"], lambda r: F.abs(moments(r)["a"]))
-    return F.when((part["kind"] == "Polygon") & (F.size(areas) > 0), 2 * F.get(areas, F.lit(0)) - total(areas)).otherwise(F.lit(0.0))
+    return F.when(part.isNull(), F.lit(None)).when((part["kind"] == "Polygon") & (F.size(areas) > 0), 2 * F.get(areas, F.lit(0)) - total(areas)).otherwise(F.lit(0.0))
 
 
 def area(geometry: Column) -> Column:
