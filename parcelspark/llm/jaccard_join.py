@@ -231,14 +231,14 @@ def _flagged(shared):
     """The documents whose bit is set; equal rows of a task once, as far as it remembers them."""
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            batch = batch[has_bit(shared.value, batch["hash"].to_numpy().view(np.uint64))].drop_duplicates("hash")
-            batch = batch[~batch["hash"].isin(seen)]
+            batch = batch[has_bit(shared.value, batch["hash"].to_numpy().view(np.uint64))].drop_duplicates(["_id", "_sub"])
+            keys = list(zip(batch["_id"].tolist(), batch["_sub"].tolist(), strict=True))
+            yield batch.loc[[k not in seen for k in keys], ["_id", "_sub", "text"]]
             if len(seen) > REMEMBER:
                 seen.clear()
-            seen.update(batch["hash"].tolist())
-            yield batch[["_id", "_sub", "text"]]
+            seen.update(keys)
 
     return run
 
