@@ -51,3 +51,34 @@ def test_pairs_of_few_bytes_are_worked_out_in_many_tasks(spark):
     df = spark.range(200).select("id", F.lit(53.0).alias("lat"), (F.col("id") / 1000.0).alias("lon"))
     pairs = spatial.range_join(df, df, 5.0, F.lit(0.0) * F.col("lat"))
     assert pairs.count() >= 200 and pairs.rdd.getNumPartitions() >= 4
+
+
+def counting(monkeypatch, seen):
+    plain = spatial.range_join
+
+    def counted(*args):
+        pairs = plain(*args)
+        seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(spatial, "range_join", counted)
+
+
+def test_few_and_any_of_a_crowd_are_found_without_all_pairs(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(i, a, o, r.choice([3.0, 30.0])) for i, (a, o) in enumerate(crowd(r, 1500, side=60.0))] + [(1500, 53.352, -6.35, 30.0)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, reach double")
+    x, y = (F.col("lon") - F.col("r_lon")) * M * math.cos(math.radians(53.35)), (F.col("lat") - F.col("r_lat")) * M
+    far = F.round(F.sqrt(x * x + y * y), 4)
+    near = lambda p, q: round(math.hypot((p[2] - q[2]) * M * math.cos(math.radians(53.35)), (p[1] - q[1]) * M), 4)
+    within = {p[0]: sorted((m, q[0]) for q in rows if q is not p and (m := near(p, q)) <= 30) for p in rows}
+    seen = []
+    counting(monkeypatch, seen)
+    got = spatial.nearest_few(df, df, "id", 9, 30.0, far, F.col("id") != F.col("r_id"), "r_id").collect()
+    assert {(v["id"], v["rank"], v["r_id"]) for v in got} == {(i, k, other) for i, found in within.items() for k, (_, other) in enumerate(found[:9], 1)}
+    assert sum(seen) < sum(map(len, within.values())) / 4
+
+    seen.clear()
+    later = spatial.with_any(df, df, "id", "reach", far, (F.col("r_id") > F.col("id")) & (F.col("r_id") % 3 == 0)).collect()
+    assert {v["id"] for v in later} == {p[0] for p in rows if any(other > p[0] and other % 3 == 0 and m <= p[3] for m, other in within[p[0]])}
+    assert sum(seen) < sum(map(len, within.values())) / 4
