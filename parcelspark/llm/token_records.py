@@ -166,32 +166,26 @@ def splits(tokenizer) -> bool:
     return [np.frombuffer(x, "<u4").tolist() for x in ids] == whole(tokenizer, texts)
 
 
-#: The definition, and its tokenizer and encoder. The package travels to the tasks by value, so each task has its own.
-_MADE: list = [None, None, None]
-
-
 def _encoder(shared, end_id: int, by_chunk: bool):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        if _MADE[0] is not shared.value:
-            _MADE[:] = shared.value, Tokenizer.from_str(shared.value), None
-        tokenizer = _MADE[1]
+        # names of the task alone: the package travels by value, so what its globals hold would outlive the task until the worker collects cycles
+        tokenizer = Tokenizer.from_str(shared.value)
         width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         kind = f"<u{width}"
-        if by_chunk and _MADE[2] is None:
-            _MADE[2] = ChunkEncoder(tokenizer, kind)
+        encode = ChunkEncoder(tokenizer, kind) if by_chunk else None
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
             docs = zip(batch["doc_id"].tolist(), batch["doc_id"].isna().tolist(), strict=True)
             given = [t or "" for t in batch["text"]]
             if by_chunk and given:
                 some = given[::CHECKED]
-                if _MADE[2](some) != [np.array(x, kind).tobytes() for x in whole(tokenizer, some)]:
+                if encode(some) != [np.array(x, kind).tobytes() for x in whole(tokenizer, some)]:
                     raise ValueError("the tokenizer doesn't encode chunk by chunk")
             for texts in together(given):
-                ids = _MADE[2](texts) if by_chunk else [np.array(x, kind).tobytes() for x in whole(tokenizer, texts)]
+                ids = encode(texts) if by_chunk else [np.array(x, kind).tobytes() for x in whole(tokenizer, texts)]
                 yield pd.DataFrame({"frame": [frame(None if none else int(d), x + end, width) for x, (d, none) in zip(ids, docs, strict=False)]})
 
     return run

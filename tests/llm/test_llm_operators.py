@@ -304,6 +304,23 @@ def test_token_records(spark, docs, rows, empty, clash):
     assert token_records.write_records(empty, shared_path(spark, "t"), TOKENIZER).count() == 0
 
 
+def test_a_task_keeps_no_encoder_when_it_ends():
+    import gc
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    run = token_records._encoder(SimpleNamespace(value=Path(TOKENIZER).read_text(encoding="utf-8")), 1, True)
+    batch = pd.DataFrame({"doc_id": pd.array([1, None], "Int64"), "text": ["some words here", None]})
+    gc.disable()  # let go without waiting for a collection
+    try:
+        frames = [f for out in run(iter([batch])) for f in out["frame"]]
+        assert not [o for o in gc.get_objects() if isinstance(o, token_records.ChunkEncoder)]
+    finally:
+        gc.enable()
+    assert len(frames) == 2 and token_records.record(frames[1] + b"\n", 0)[1] is None
+
+
 def test_token_records_of_shared_ids_and_long_texts(spark):
     r = random.Random(2)
     long = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9))) for _ in range(60_000))
