@@ -82,3 +82,25 @@ def test_few_and_any_of_a_crowd_are_found_without_all_pairs(spark, monkeypatch):
     later = spatial.with_any(df, df, "id", "reach", far, (F.col("r_id") > F.col("id")) & (F.col("r_id") % 3 == 0)).collect()
     assert {v["id"] for v in later} == {p[0] for p in rows if any(other > p[0] and other % 3 == 0 and m <= p[3] for m, other in within[p[0]])}
     assert sum(seen) < sum(map(len, within.values())) / 4
+
+
+def test_claims_at_one_place_store_no_pairs(spark, monkeypatch):
+    from parcelspark.plans import decisions
+
+    r, stored, cut = random.Random(4), [], decisions.cut
+
+    def counted(df):
+        out = cut(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(decisions, "cut", counted)
+    rows = [(i, r.choice(("front", "back")), 53 + r.uniform(0, 9) / 111320, 6 + r.uniform(0, 9) / 67000) for i in range(400)] + [(400, "front", None, None), (401, "front", 53.0, float("nan"))]
+    far = lambda a, b: round(math.hypot((a[3] - b[3]) * 111320 * math.cos(math.radians(b[2])), (a[2] - b[2]) * 111320), 4)
+    placed = []
+    for row in rows[:400]:
+        if all(p[1] != row[1] or far(row, p) > 5 for p in placed):
+            placed.append(row)
+    got = {x[0] for x in decisions.settle_claims(spark.createDataFrame(rows, "pin_id long, garden_type string, lat double, lon double")).collect()}
+    assert got == {p[0] for p in placed} | {400, 401}
+    assert max(stored) <= len(rows)
