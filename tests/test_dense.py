@@ -104,3 +104,11 @@ def test_claims_at_one_place_store_no_pairs(spark, monkeypatch):
     got = {x[0] for x in decisions.settle_claims(spark.createDataFrame(rows, "pin_id long, garden_type string, lat double, lon double")).collect()}
     assert got == {p[0] for p in placed} | {400, 401}
     assert max(stored) <= len(rows)
+
+
+def test_only_near_pairs_are_rounded(spark):
+    from parcelspark.plans import vector
+
+    plan = vector.range_pairs_20m(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" in plan and "20.0001" in plan
+    assert plan.index("round(") < plan.index("20.0001")  # above the filter
