@@ -106,6 +106,19 @@ def test_claims_at_one_place_store_no_pairs(spark, monkeypatch):
     assert max(stored) <= len(rows)
 
 
+def test_edge_distances_of_many_pairs_are_those_of_the_expression(spark):
+    from parcelspark.functions import geo
+
+    r = random.Random(9)
+    rows = [(r.uniform(1, 9), r.uniform(1, 9), *(r.choice((r.uniform(-9, 9), 0.0, 2.0)) for _ in range(4))) for _ in range(500)]
+    rows += [(4.0, 6.0, x, y, x, y) for x, y in ((0.0, 0.0), (2.0, 3.0), (5.0, 7.0), (2.0, 9.0))]
+    df = spark.createDataFrame(rows, "w double, h double, ax double, ay double, bx double, by double")
+    c = F.col
+    want = geo.box_segment_distance(-c("w") / 2, -c("h") / 2, c("w") / 2, c("h") / 2, c("ax"), c("ay"), c("bx"), c("by"))
+    got = df.select(want.alias("a"), geo.box_to_segment("w", "h", "ax", "ay", "bx", "by").alias("b")).collect()
+    assert all(abs(x["a"] - x["b"]) < 1e-9 for x in got) and 50 < sum(x["a"] > 0 for x in got) < len(got)
+
+
 def test_only_near_pairs_are_rounded(spark):
     from parcelspark.plans import vector
 
