@@ -41,3 +41,25 @@ def test_points_meet_shapes_in_blocks(spark):
     # pairs are formed within tasks: far fewer rows leave the join than there are pairs
     assert polygons._met_boxes(at, flat).count() * 20 < len(got)
     assert polygons.in_boxes(at, flat.limit(0), "k").isEmpty() and polygons.in_boxes(at.limit(0), flat, "k").isEmpty()
+
+
+def test_few_large_circles_spread_points_over_cells(spark, monkeypatch):
+    from parcelspark.functions import geo
+    from parcelspark.operators import spatial
+
+    def far(a, b, x, y):
+        p, q, u, v = map(math.radians, (a, b, x, y))
+        return 2 * 6371000.0 * math.asin(min(1.0, math.sqrt(math.sin((u - p) / 2) ** 2 + math.cos(p) * math.cos(u) * math.sin((v - q) / 2) ** 2)))
+
+    rng = random.Random(3)
+    points = [(i, lat + rng.uniform(-0.4, 0.4), (lon + rng.uniform(-d, d) + 180) % 360 - 180) for i in range(1500) for lat, lon, d in [rng.choice([(53.3, -6.3, 0.5), (-79.0, 179.9, 3.0), (89.5, 0.0, 180.0), (0.0, -179.9, 0.5)])]]
+    circles = [(k, lat, lon, r) for k, (lat, lon, r) in enumerate([(53.3, -6.3, 20000.0), (53.31, -6.2, 900.0), (-79.0, 180.0, 40000.0), (89.7, 77.0, 30000.0), (89.0, -120.0, 90000.0), (0.1, 179.95, 30000.0), (20.0, 3.0, 2.0e7)])]
+    at, of = spark.createDataFrame(points, "id long, lat double, lon double"), spark.createDataFrame(circles, "k long, lat double, lon double, radius_m double")
+    hav = geo.haversine(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
+    got = sorted((r.id, r.r_k) for r in spatial.within_own_radius(at, of, "radius_m", hav).select("id", "r_k").collect())
+    assert got == sorted((i, k) for i, a, b in points for k, x, y, r in circles if far(a, b, x, y) <= r)
+    # points near a circle stood on a few cells of its size, and so in a few tasks
+    seen, met = [], spatial.met
+    monkeypatch.setattr(spatial, "met", lambda left, right, *on: seen.append(left.select(*on).distinct().count()) or met(left, right, *on))
+    spatial.within_own_radius(at.where("lat between 53 and 54"), of.where("k = 0"), "radius_m", hav)
+    assert seen[0] > 50
