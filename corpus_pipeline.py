@@ -9,6 +9,8 @@ from parcelspark.llm.queries import TOKENIZER
 
 #: A document stays if its language is known with at least this probability.
 LEAST_SCORE = 0.5
+#: Bytes of a file of records' text, and of what an encoder keeps: small, as the stages before have filled the executors' heaps.
+SHARD_BYTES, KEPT = 12 << 20, 32 << 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token records, a copy of a document being a record of its own, and returns their index."""
     bounded_batches(spark)
-    index = token_records.write_records(docs, shared_path(spark, "pipeline-records"), TOKENIZER)
+    index = token_records.write_records(docs, shared_path(spark, "pipeline-records"), TOKENIZER, shard_bytes=SHARD_BYTES, kept=KEPT)
     return token_records.offsets(index).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

@@ -113,8 +113,8 @@ def whole(tokenizer, texts: list[str]) -> list[list[int]]:
 class ChunkEncoder:
     """Ids of texts, chunk by chunk; known ones are kept."""
 
-    def __init__(self, tokenizer, kind: str):
-        self.tokenizer, self.kind = tokenizer, kind
+    def __init__(self, tokenizer, kind: str, kept: int = KEPT):
+        self.tokenizer, self.kind, self.kept = tokenizer, kind, kept
         self.known: dict[bytes, bytes] = {}
         self.size = 0
         (self.mark,) = tokenizer.encode(MARK, add_special_tokens=False).ids
@@ -137,7 +137,7 @@ class ChunkEncoder:
         return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if self.size > KEPT:
+        if self.size > self.kept:
             self.known.clear()
             self.size = 0
         split = [chunks(t) for t in texts]
@@ -166,7 +166,7 @@ def splits(tokenizer) -> bool:
     return [np.frombuffer(x, "<u4").tolist() for x in ids] == whole(tokenizer, texts)
 
 
-def _encoder(shared, end_id: int, by_chunk: bool):
+def _encoder(shared, end_id: int, by_chunk: bool, kept: int = KEPT):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -175,7 +175,7 @@ def _encoder(shared, end_id: int, by_chunk: bool):
         tokenizer = Tokenizer.from_str(shared.value)
         width = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         kind = f"<u{width}"
-        encode = ChunkEncoder(tokenizer, kind) if by_chunk else None
+        encode = ChunkEncoder(tokenizer, kind, kept) if by_chunk else None
         end = np.array([end_id], kind).tobytes()
         for batch in batches:
             docs = zip(batch["doc_id"].tolist(), batch["doc_id"].isna().tolist(), strict=True)
@@ -207,8 +207,9 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"part-(\d+)", 1).cast("int").alias("shard"), "path", "content")
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_bytes: int = 32 << 20) -> DataFrame:
-    """Writes path/records and path/index and returns the index. tokenizer: the file of its definition, read by the driver."""
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_bytes: int = 32 << 20, kept: int = KEPT) -> DataFrame:
+    """Writes path/records and path/index and returns the index. tokenizer: the file of its definition, read by the driver. kept: bytes of chunks and ids
+    that a task keeps; less of it and of shard_bytes, which a task reads back whole, is slower and takes less memory."""
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
@@ -220,7 +221,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
     parts = parts_for(spark, text_bytes(docs), shard_bytes)
     order = "doc_id", F.xxhash64("text")
     ordered = docs.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    frames = ordered.mapInPandas(_encoder(spark.sparkContext.broadcast(definition), end_id, by_chunk), "frame binary")
+    frames = ordered.mapInPandas(_encoder(spark.sparkContext.broadcast(definition), end_id, by_chunk, kept), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.text(f"{path}/records")
     _files(spark, path).mapInPandas(_parse, INDEX).write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
