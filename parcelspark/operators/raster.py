@@ -180,8 +180,24 @@ def contours(labels: DataFrame, least: int, by: tuple[str, ...] = ()) -> DataFra
     return labels.join(large, [*by, "label"]).withColumn("_in", F.coalesce(all_, F.lit(False))).where(~c("_in")).select(*by, "y", "x", "label")
 
 
+def apart(runs: DataFrame, key: str) -> DataFrame:
+    """Runs of pixels (key, y, x0, x1, both ends included) without those that an earlier run of the row has: the same pixels, each once."""
+    before = Window.partitionBy(key, "y").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.greatest("x0", F.max("x1").over(before) + 1)  # a null is skipped
+    return runs.select(key, "y", start.alias("x0"), "x1").where("x0 <= x1")
+
+
+def pixels_of(runs: DataFrame, key: str) -> DataFrame:
+    return runs.select(key, "y", F.explode(F.sequence("x0", "x1")).alias("x"))
+
+
 def fill_ring(rings: DataFrame, key: str) -> DataFrame:
-    """y, x and key of every pixel whose centre lies inside a ring (array of struct x, y; the last corner is the first).
+    """y, x and key of every pixel whose centre lies inside a ring."""
+    return pixels_of(ring_runs(rings, key), key)
+
+
+def ring_runs(rings: DataFrame, key: str) -> DataFrame:
+    """Runs of the pixels whose centre lies inside a ring (array of struct x, y; the last corner is the first), by key and y.
 
     Each row of pixels asks where the ring's sides cross it and fills between the first and second crossing, the third and fourth, and so on.
     """
@@ -194,7 +210,7 @@ def fill_ring(rings: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("_at", at).where(F.size("_at") > 0)
     pairs = rows.select(key, "y", "_at", F.explode(F.sequence(F.lit(0), F.size("_at") - 2, F.lit(2))).alias("_i"))
     ends = pairs.select(key, "y", F.ceil(F.get("_at", c("_i"))).cast("int").alias("x0"), F.floor(F.get("_at", c("_i") + 1)).cast("int").alias("x1")).where("x0 <= x1")
-    return ends.select(key, "y", F.explode(F.sequence("x0", "x1")).alias("x")).distinct()
+    return apart(ends, key)
 
 
 def fill_polygons(shapes: DataFrame, key: str) -> DataFrame:
@@ -212,7 +228,7 @@ def fill_polygons(shapes: DataFrame, key: str) -> DataFrame:
     rows = rows.groupBy(key, "_part", "y").agg(F.array_sort(F.collect_list(at)).alias("_at"))  # as many as a part's sides on one row
     pairs = rows.select(key, "y", "_at", F.explode(F.sequence(F.lit(0), F.size("_at") - 2, F.lit(2))).alias("_i"))
     ends = pairs.select(key, "y", F.ceil(F.get("_at", c("_i"))).alias("x0"), F.floor(F.get("_at", c("_i") + 1)).alias("x1")).where("x0 <= x1")
-    return ends.select(key, "y", F.explode(F.sequence("x0", "x1")).alias("x")).distinct()
+    return pixels_of(apart(ends, key), key)
 
 
 def draw_polylines(shapes: DataFrame, key: str, width: float) -> DataFrame:
@@ -224,9 +240,24 @@ def draw_polylines(shapes: DataFrame, key: str, width: float) -> DataFrame:
 
 def draw_lines(lines: DataFrame, key: str, width: float) -> DataFrame:
     """y, x and key of every pixel whose centre lies within width / 2 of a segment (ax, ay, bx, by)."""
+    return pixels_of(line_runs(lines, key, width), key)
+
+
+def line_runs(lines: DataFrame, key: str, width: float) -> DataFrame:
+    """Runs of the pixels whose centre lies within width / 2 of a segment (ax, ay, bx, by), by key and y.
+
+    What is near a segment is convex, so a row has one run of it; it is looked for beside the part of the segment that comes near the row, so the work
+    follows the segment's length and not its box.
+    """
     half = width / 2
-    lo = lambda a, b: F.ceil(F.least(a, b) - half).cast("int")
-    hi = lambda a, b: F.floor(F.greatest(a, b) + half).cast("int")
-    rows = lines.select("*", F.explode(F.sequence(lo("ay", "by"), hi("ay", "by"))).alias("y"))
-    rows = rows.select("*", F.explode(F.sequence(lo("ax", "bx"), hi("ax", "bx"))).alias("x"))
-    return rows.where(segment_distance(c("x"), c("y"), c("ax"), c("ay"), c("bx"), c("by")) <= half).select(key, "y", "x").distinct()
+    y0, y1 = F.ceil(F.least("ay", "by") - half).cast("int"), F.floor(F.greatest("ay", "by") + half).cast("int")
+    rows = lines.select(key, "ax", "ay", "bx", "by", F.explode(F.sequence(y0, y1)).alias("y"))
+    up, along = c("by") - c("ay"), c("bx") - c("ax")
+    # where the segment comes into reach of the row and leaves it; a flat one is in reach all the way
+    place = lambda dy, flat: c("ax") + along * F.when(F.abs(up) > 1e-9, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c("y") + dy - c("ay")) / up))).otherwise(flat)
+    one, two = place(-half, 0.0), place(half, 1.0)
+    # a pixel more on either side, as places are rounded
+    some = F.sequence(F.ceil(F.least(one, two) - half).cast("int") - 1, F.floor(F.greatest(one, two) + half).cast("int") + 1)
+    near = segment_distance(c("x"), c("y"), c("ax"), c("ay"), c("bx"), c("by")) <= half
+    runs = rows.select("*", F.explode(some).alias("x")).where(near).groupBy(key, "ax", "ay", "bx", "by", "y").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    return apart(runs.select(key, "y", "x0", "x1"), key)

@@ -184,12 +184,14 @@ def placeholder_raster(spark, d):
 def fill_and_draw(spark, d):
     """Diamonds around every building and 3-pixel lines through them, as pixels of a plane of 1 m; counted by building."""
     b = V.buildings(spark, d).select("building_id", "w_m", "h_m")
+    b = b.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "building_id")  # a shape is small: all its rows and pixels stay in the task
     corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     zero, w, h = F.lit(0.0), c("w_m"), c("h_m")
     ring = F.array(corner(zero, -h), corner(w, zero), corner(zero, h), corner(-w, zero), corner(zero, -h))
-    filled = R.fill_ring(b.select("building_id", ring.alias("ring")), "building_id").groupBy("building_id").agg(F.count(F.lit(1)).alias("filled"))
+    pixels = F.sum(c("x1").cast("long") - c("x0") + 1)  # of runs
+    filled = R.ring_runs(b.select("building_id", ring.alias("ring")), "building_id").groupBy("building_id").agg(pixels.alias("filled"))
     lines = b.select("building_id", (-w).alias("ax"), (-h).alias("ay"), w.alias("bx"), h.alias("by"))
-    drawn = R.draw_lines(lines, "building_id", 3.0).groupBy("building_id").agg(F.count(F.lit(1)).alias("drawn"))
+    drawn = R.line_runs(lines, "building_id", 3.0).groupBy("building_id").agg(pixels.alias("drawn"))
     return filled.join(drawn, "building_id")
 
 

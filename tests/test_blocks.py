@@ -1,5 +1,6 @@
 """Rasters in blocks against the whole image: small blocks, so that everything crosses seams."""
 
+import math
 import random
 
 import pytest
@@ -104,3 +105,20 @@ def test_polygons_with_holes_and_lines_with_joints(spark):
     assert {(p["key"], p["y"], p["x"]) for p in raster.fill_polygons(df, "key").collect()} == filled and len(filled) > 500
     drawn = {(3, y, x) for y, x in grid if any(far((x, y), a, b) <= 1.5 for line in lines for a, b in pairs(line))}
     assert {(p["key"], p["y"], p["x"]) for p in raster.draw_polylines(df, "key", 3.0).collect()} == drawn
+
+
+def test_lines_are_drawn_along_their_length(spark):
+    """Every pixel once, against all pixels of the plane; a long line takes what its length asks for, not what its box holds."""
+    lines = [(1, 0.0, 0.0, 6.0, 3.0), (1, 6.0, 3.0, 0.5, 7.25), (1, 0.0, 0.0, 6.0, 3.0), (2, -3.0, 2.0, 4.0, 2.0), (2, 1.5, -4.0, 1.5, 5.0), (3, 2.0, 2.0, 2.0, 2.0), (4, -5.0, 1.0, 5.0, 1.0 + 1e-12), (5, 0.3, 0.3, 0.35, 0.32)]
+    df = spark.createDataFrame(lines, "k long, ax double, ay double, bx double, by double")
+
+    def near(x, y, ax, ay, bx, by):
+        length2 = (bx - ax) ** 2 + (by - ay) ** 2
+        t = max(0.0, min(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / length2)) if length2 else 0.0
+        return math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)) <= 1.5
+
+    want = {(k, y, x) for k, *q in lines for y in range(-9, 12) for x in range(-9, 12) if near(x, y, *q)}
+    got = [(r["k"], r["y"], r["x"]) for r in raster.draw_lines(df, "k", 3.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    far = spark.createDataFrame([(1, 0.0, 0.0, 20_000.0, 20_000.0)], df.schema)  # a box of 4 * 10^8 pixels
+    assert raster.line_runs(far, "k", 3.0).agg(F.count("y"), F.sum(c("x1") - c("x0") + 1)).first()[0] == 20_003
