@@ -31,20 +31,24 @@ def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
-def released(run):
-    """run, a function over batches, that gives the memory of what it has let go back to the system when it ends: a worker waits for its next task with what
-    its allocators still hold, and counts with it."""
+def give_back() -> None:
+    """What this process's allocators hold of memory that was let go goes back to the system."""
+    import ctypes
 
-    def out(batches):
-        import ctypes
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
 
-        import pyarrow
 
+def released(run):
+    """run, a function over batches, that gives memory back when it ends: a worker waits for its next task with what its allocators still hold, and counts with it."""
+
+    def out(batches):
         yield from run(batches)
-        pyarrow.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return out
 

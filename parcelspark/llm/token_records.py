@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import parts_for, released, text_bytes
+from parcelspark.llm.common import give_back, parts_for, released, text_bytes
 
 MASK = 0xA282EAD8
 HOLDS, HOLDS_SIZE = "<qBBI", struct.calcsize("<qBBI")
@@ -262,6 +262,7 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_
     if len(definition) > MOST_DEFINITION:
         raise ValueError(f"the tokenizer's definition has {len(definition)} characters, more than {MOST_DEFINITION} to broadcast")
     by_chunk = splits(Tokenizer.from_str(definition))
+    give_back()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = parts_for(spark, text_bytes(docs), shard_bytes)
     order = "doc_id", F.xxhash64("text")
