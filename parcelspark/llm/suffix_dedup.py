@@ -13,7 +13,8 @@ right for one more character. No suffix is sorted again. A round also carries wh
 that differ from all others, so what is left after k rounds are the common prefixes of k bytes or more: the repeated intervals. Their
 earliest coordinate stays.
 
-A minimizer with very many different stretches is dealt out once more by the bytes of each window, so no group is unbounded.
+A minimizer whose different stretches are more than GROUP bytes is dealt out window by window. Windows have k bytes, so Spark's sort of them is their suffix
+order: equal ones stand together, and a task reads them as a stream. So no group is unbounded, whatever very many stretches share.
 
 Defined results: null or empty text has no bytes; texts shorter than k bytes lose nothing; very long texts are screened in pieces of PIECE bytes that
 overlap by k - 1, so no window is lost at a seam; of equal strings (ties) the smallest (doc_id, hash, position) stays; matches never cross rows; null doc_ids
@@ -29,14 +30,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelspark.llm.common import written
+from parcelspark.llm.common import bounded_batches, released, written
 from parcelspark.llm.rolling import Roller
 from parcelspark.llm.substring_dedup import FLUSH, bit_table, counted, covered, has_bit, numbered, ranked, row_keys, sliding
 
 PIECE = 1 << 20
 UNIT = 1 << 18
 SHARDS = 4
-GROUP = 16384
+GROUP = 1 << 21
+#: Bytes of strings that are passed on at a time.
+PASSED = 1 << 22
 
 
 def stretches(data: np.ndarray, k: int, gram: int, roller: Roller):
@@ -144,20 +147,25 @@ def _meet(batches):
 
 
 def _bytes(k: int):
-    """The bytes of open stretches; those of a minimizer dealt out further go window by window."""
+    """The bytes of open stretches (part 0); those of a minimizer dealt out further go window by window (parts from 1 on)."""
+    columns = ["m", "part", "doc", "sub", "pos", "raw"]
 
     def run(batches):
+        rows, size = [], 0
         for batch in batches:
-            rows = []
             for doc, sub, t, *todo in zip(*(batch[c] for c in ("_id", "_sub", "text", "pos", "n", "m", "parts")), strict=True):
                 data = (t or "").encode()
                 for pos, n, m, parts in zip(*(x.tolist() for x in todo), strict=True):
                     raw = data[pos : pos + n + k - 1]
-                    if parts == 1:
+                    if parts == 0:
                         rows.append((m, 0, doc, sub, pos, raw))
                     else:
-                        rows += [(m, zlib.crc32(raw[i : i + k]) % parts, doc, sub, pos + i, raw[i : i + k]) for i in range(n)]
-            yield pd.DataFrame(rows, columns=["m", "part", "doc", "sub", "pos", "raw"])
+                        rows += [(m, 1 + zlib.crc32(raw[i : i + k]) % parts, doc, sub, pos + i, raw[i : i + k]) for i in range(n)]
+                    size += len(raw) if parts == 0 else n * k
+                    if size > PASSED:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+        yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -189,9 +197,9 @@ def transform(strings: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray,
     rest = np.repeat(ends, np.diff(np.append(-1, ends))) - np.arange(len(text)) + 1
     order = suffix_order(text, rest, depth)
     bwt = text[order - 1]
-    step = np.empty(len(text), np.int64)
-    step[np.argsort(bwt, kind="stable")] = np.arange(len(text))
-    return order, bwt, step
+    step = np.empty(len(text), np.int32)
+    step[np.argsort(bwt, kind="stable")] = np.arange(len(text), dtype=np.int32)
+    return order.astype(np.int32), bwt, step
 
 
 def merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +211,7 @@ def merge(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int) ->
     """
     offsets = np.cumsum([0] + [len(p[0]) for p in parts])
     bwt = np.concatenate([p[1] for p in parts])
-    step = np.concatenate([p[2] + o for p, o in zip(parts, offsets, strict=False)]).astype(np.int32)
+    step = np.concatenate([p[2] + np.int32(o) for p, o in zip(parts, offsets, strict=False)])
     z, block = np.arange(len(bwt), dtype=np.int32), np.zeros(len(bwt), np.int32)
     for _ in range(depth):
         before = bwt[z]
@@ -224,8 +232,8 @@ def repeats(strings: list[bytes], docs: list[int], starts: list[int], k: int) ->
         lengths = np.array([len(strings[i]) + 1 for i in shard])
         first = np.repeat(np.cumsum(lengths) - lengths, lengths)
         order = parts[-1][0]
-        doc.append(np.repeat(np.array([docs[i] for i in shard]), lengths)[order])
-        pos.append((np.repeat(np.array([starts[i] for i in shard]), lengths) + np.arange(lengths.sum()) - first)[order])
+        doc.append(np.repeat(np.array([docs[i] for i in shard], np.int32), lengths)[order])
+        pos.append((np.repeat(np.array([starts[i] for i in shard]), lengths) + np.arange(lengths.sum()) - first).astype(np.int32)[order])
     z, block = merge(parts, k)
     if not len(z):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -234,7 +242,23 @@ def repeats(strings: list[bytes], docs: list[int], starts: list[int], k: int) ->
     return d[gone], p[gone]
 
 
+def _again(first: tuple | None, b: pd.DataFrame) -> tuple[pd.DataFrame, tuple]:
+    """Rows sorted by m, part, raw, doc, sub, pos: those at another coordinate than the first of their bytes, and the first of the last row's bytes. first: that
+    of the rows before."""
+    keys = [b[c].to_numpy() for c in ("m", "part", "raw")]
+    new = np.append(first is None or first[:3] != tuple(v[0] for v in keys), np.logical_or.reduce([v[1:] != v[:-1] for v in keys]))
+    heads, at, gone, last = np.flatnonzero(new), np.cumsum(new) - 1, np.zeros(len(b), bool), tuple(v[-1] for v in keys)
+    for i, c in enumerate(("doc", "sub", "pos"), 3):
+        v = b[c].to_numpy()
+        head = np.where(at >= 0, v[heads][at] if len(heads) else 0, first[i] if first else 0)
+        gone |= v != head
+        last += (head[-1],)
+    return b.loc[gone, ["doc", "sub", "pos"]].assign(n=np.int32(1)), last
+
+
 def _merged(k: int):
+    """Rows sorted by m, part, raw, doc, sub, pos: the windows that also start earlier. Stretches (part 0) are merged unit by unit."""
+
     def solved(rows: pd.DataFrame) -> pd.DataFrame:
         keys, row = ranked(rows[["doc", "sub"]].to_numpy())
         d, p = repeats(rows["raw"].tolist(), row.tolist(), rows["pos"].tolist(), k)
@@ -242,8 +266,13 @@ def _merged(k: int):
 
     def run(batches):
         kept: list[pd.DataFrame] = []
-        size = 0
+        size, first = 0, None
         for b in batches:
+            dealt = b["part"].to_numpy() > 0
+            if dealt.any():
+                gone, first = _again(first, b[dealt])
+                yield gone
+                b = b[~dealt]
             kept.append(b)
             size += b["raw"].str.len().sum()
             if size < UNIT:
@@ -270,17 +299,19 @@ def _merged(k: int):
 def removals(docs: DataFrame, k: int = 100, gram: int = 40) -> DataFrame:
     """doc, sub, pos, n: n windows from byte pos on also start earlier. docs: _id, _sub, text."""
     spark = docs.sparkSession
-    repeated = docs.select("text").mapInPandas(_screen(k, gram), "hash long, n int").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
+    bounded_batches(spark)
+    repeated = docs.select("text").mapInPandas(released(_screen(k, gram)), "hash long, n int").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
     table = spark.sparkContext.broadcast(bit_table(repeated))
-    rows = docs.mapInPandas(_stretches(k, gram, table), "m long, content long, doc long, sub long, pos int, n int, done boolean")
-    met = rows.repartition("m").sortWithinPartitions("m", "content", "doc", "sub", "pos").mapInPandas(_meet, "doc long, sub long, pos int, n int, m long, open boolean")
+    rows = docs.mapInPandas(released(_stretches(k, gram, table)), "m long, content long, doc long, sub long, pos int, n int, done boolean")
+    met = rows.repartition("m").sortWithinPartitions("m", "content", "doc", "sub", "pos").mapInPandas(released(_meet), "doc long, sub long, pos int, n int, m long, open boolean")
     met = written(met, "stretches")
     todo = met.where("open")
-    parts = todo.groupBy("m").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
+    size = F.sum(F.col("n") + (k - 1))
+    parts = todo.groupBy("m").agg(F.when(size <= GROUP, 0).otherwise(F.ceil(F.sum("n") * k / GROUP)).cast("int").alias("parts"))
     todo = todo.join(parts, "m").groupBy(F.col("doc").alias("_id"), F.col("sub").alias("_sub")).agg(F.collect_list(F.struct("pos", "n", "m", "parts")).alias("todo"))
     todo = todo.select("_id", "_sub", *[F.col(f"todo.{c}").alias(c) for c in ("pos", "n", "m", "parts")])  # an array a column: numbers, no objects
-    raw = docs.join(todo, ["_id", "_sub"]).mapInPandas(_bytes(k), "m long, part int, doc long, sub long, pos int, raw binary")
-    more = raw.repartition("m", "part").sortWithinPartitions("m", "part").mapInPandas(_merged(k), "doc long, sub long, pos int, n int")
+    raw = docs.join(todo, ["_id", "_sub"]).mapInPandas(released(_bytes(k)), "m long, part int, doc long, sub long, pos int, raw binary")
+    more = raw.repartition("m", "part").sortWithinPartitions("m", "part", "raw", "doc", "sub", "pos").mapInPandas(released(_merged(k)), "doc long, sub long, pos int, n int")
     return met.where("not open").select("doc", "sub", "pos", "n").union(more)
 
 

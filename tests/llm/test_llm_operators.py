@@ -380,6 +380,28 @@ def test_suffix_dedup(docs, rows, empty, clash, repeated):
     assert suffix_dedup.remove_repeats(empty).count() == 0 and suffix_dedup.remove_repeats(repeated).count() == repeated.count()
 
 
+def test_suffix_dedup_of_a_passage_that_many_share(spark, monkeypatch):
+    """The strings that a minimizer has in very many documents never meet in one group, whatever their number, and with the same result."""
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, other = word(130), word(70)
+    rows = [(i, word(r.randint(0, 90)) + (passage if i % 3 else other + passage) + word(r.randint(0, 90))) for i in range(240)]
+    want = brute.windows(rows, 100, lambda b: [b[i : i + 1] for i in range(len(b))], b"".join)
+    solve, most = suffix_dedup.repeats, 3000
+
+    def bounded(strings, docs, starts, k):
+        if sum(map(len, strings)) > 2 * most + 200:
+            raise AssertionError("a group of all that share a passage")
+        return solve(strings, docs, starts, k)
+
+    monkeypatch.setattr(suffix_dedup, "repeats", bounded)
+    monkeypatch.setattr(suffix_dedup, "UNIT", most)
+    monkeypatch.setattr(suffix_dedup, "GROUP", most)
+    monkeypatch.setattr(suffix_dedup, "PASSED", 500, raising=False)
+    got = by_id(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert got == want and sum(n[1] for n in got.values()) > 20_000
+
+
 def test_merged_transforms_find_all_repeats():
     r = random.Random(2)
     for _ in range(60):
