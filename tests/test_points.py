@@ -63,3 +63,31 @@ def test_few_large_circles_spread_points_over_cells(spark, monkeypatch):
     monkeypatch.setattr(spatial, "met", lambda left, right, *on: seen.append(left.select(*on).distinct().count()) or met(left, right, *on))
     spatial.within_own_radius(at.where("lat between 53 and 54"), of.where("k = 0"), "radius_m", hav)
     assert seen[0] > 50
+
+
+def test_near_pairs_are_formed_within_tasks(spark, monkeypatch):
+    """All pairs near one another in a crowd, over 180 degrees and around a pole; rows are sent once or little more, however many pairs there are."""
+    from parcelspark.functions import geo
+    from parcelspark.operators import near, polygons, spatial
+
+    monkeypatch.setattr(polygons, "AT_ONCE", 5000)
+    rng = random.Random(4)
+    deg = 1 / 111320.0
+    rows = [(53.3 + rng.uniform(0, 300) * deg, -6.3 + rng.uniform(0, 300) * deg) for _ in range(1500)]
+    rows += [(-40.0 + rng.uniform(0, 80) * deg, (180 + rng.uniform(-60, 60) * deg + 180) % 360 - 180) for _ in range(150)]
+    rows += [(s * (90 - rng.uniform(0, 90) * deg), rng.uniform(-180, 180)) for s in (1, -1) for _ in range(100)] + [(0.0, 0.0), (0.0, 0.0), (None, 1.0), (1.0, None)]
+    df = spark.createDataFrame([(i, lat, lon, f"k{i % 3}") for i, (lat, lon) in enumerate(rows)], "id long, lat double, lon double, kind string").repartition(3)
+    x, y = geo.plane(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
+    want = {(r.id, r.r_id): (r.kind, r.r_kind, r.distance_m) for r in spatial.range_join(df, df, 20.0, F.sqrt(x * x + y * y)).collect()}
+    got = [tuple(r) for r in near.pairs_within(df, 20.0).select("id", "r_id", "kind", "r_kind", "distance_m").collect()]
+    assert len(got) == len(want) == len({r[:2] for r in got}) > 20_000
+    assert all(want[r[:2]][:2] == r[2:4] and abs(want[r[:2]][2] - r[4]) < 1e-9 for r in got)
+    assert near._on_cells(df.where("lat > 50 and lat < 60"), 20.0).count() < 1.8 * 1500  # nine times before
+    assert near.pairs_within(df.limit(0), 20.0).isEmpty()
+
+
+def test_pairs_of_a_range_are_few_rows_in_the_shuffle(spark):
+    from parcelspark.plans import vector
+
+    plan = vector.range_pairs_20m(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
