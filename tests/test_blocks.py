@@ -122,3 +122,15 @@ def test_lines_are_drawn_along_their_length(spark):
     assert len(got) == len(set(got)) and set(got) == want
     far = spark.createDataFrame([(1, 0.0, 0.0, 20_000.0, 20_000.0)], df.schema)  # a box of 4 * 10^8 pixels
     assert raster.line_runs(far, "k", 3.0).agg(F.count("y"), F.sum(c("x1") - c("x0") + 1)).first()[0] == 20_003
+
+
+def test_pixels_are_not_broadcast(spark):
+    """Spark takes a table of pixels for as small as the file of few rows that they were made from, and would gather it at the driver."""
+    from parcelspark.plans import site
+
+    px = spark.range(40).select(c("id").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("x"))
+    claimed = site._claimed(px.selectExpr("'front' AS kind", "y", "x", "y AS owner"), px.selectExpr("'front' AS kind", "y", "x", "y AS owner").where("x = 0"), 10, c("by") < c("owner"))
+    for df in (raster.nearest_source(px, c("x") == 5), raster.squared_distance(px, c("x") == 5), claimed):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert raster.squared_distance(px, c("x") == 5).agg(F.max("d2")).first()[0] == 58**2
