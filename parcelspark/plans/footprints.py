@@ -76,8 +76,8 @@ def addresses(spark, d):
 
 def address_first_hit(spark, d):
     """Each footprint's first address, in their order, among the address polygons that come within 5 m of it, and how many do."""
-    hits = polygons.touching(shapes(spark, d), addresses(spark, d), "building_id", "address_id", REACH_M)
-    return hits.groupBy("building_id").agg(F.min("address_id").alias("address_id"), F.count(F.lit(1)).alias("n_addresses"))
+    hits = polygons.first_touching(shapes(spark, d), addresses(spark, d), "building_id", "address_id", REACH_M)
+    return hits.withColumnRenamed("n", "n_addresses")
 
 
 #: Pixels a metre and pixels a tile of the drawn footprints, and the width of a wall in pixels.

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -160,3 +161,22 @@ def test_geometries_meet_after_boxes_were_measured(spark):
     assert one.select(geo.box_to_segment(*one.columns)).first()[0] == 2.0
     for run in (polygons._compare(5.0, "l", "r"), geo._box_to_segment):
         assert cloudpickle.dumps(run)
+
+
+def test_most_pairs_of_a_crowd_are_settled_by_a_corner(spark, monkeypatch):
+    """Of very many near one another few are compared side by side, with the same pairs as by pieces, and they are counted where they are found."""
+    r = random.Random(5)
+    shape = lambda: ("MultiPolygon", [("Polygon", [[(20 + x / M, y / M) for x, y in ring] for ring in concave(r, r.uniform(0, 40), r.uniform(0, 40), 9)])])
+    left, right = (spark.createDataFrame([(i, shape()) for i in range(60)], f"{k} int, geometry {G.GEOMETRY}").cache() for k in "lr")
+    want = {tuple(x) for x in polygons.by_pieces(left, right, "l", "r", 5.0, 15.0).collect()}
+    assert {tuple(x) for x in polygons.touching(left, right, "l", "r", 5.0).collect()} == want and len(want) > 1000
+    firsts = {x["l"]: (x["r"], x["n"]) for x in polygons.first_touching(left, right, "l", "r", 5.0).collect()}
+    assert firsts == {i: (min(j for k, j in want if k == i), sum(k == i for k, _ in want)) for i in {k for k, _ in want}}
+
+    block = lambda df, k, name: (lambda x: {f"{name}_keys": [y[0] for y in x], f"{name}_n": [len(y["flat"]) / 6 for y in x], f"{name}_flat": [v for y in x for v in y["flat"]]})(polygons._sized(df, k).collect())
+    row = block(left, "l", "a") | block(right, "r", "b")
+    seen, near = [], polygons._near
+    monkeypatch.setattr(polygons, "_near", lambda s, t, reach: seen.append(len(s[0])) or near(s, t, reach))
+    got = [f for f in polygons._compare(5.0, "l", "r", True)(iter([pd.DataFrame({k: [v] for k, v in row.items()})]))]
+    assert sum(len(f) for f in got) == len(firsts)  # a row for each key, not for each pair
+    assert sum(seen) < sum(row["a_n"]) * sum(row["b_n"]) / 20
